@@ -1,11 +1,50 @@
-"""Corpus pipeline: stages of the llm subpackage, applied one after the other."""
+"""Corpus pipeline: language ID, exact and near deduplication, mixing and packing of the documents table."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quadlake.llm.common import materialize
+from quadlake.llm.exact_dedup import drop_exact_copies
+from quadlake.llm.langid import drop_unidentified
+from quadlake.llm.minhash import drop_near_copies
+from quadlake.llm.mixing import mixed_documents
+from quadlake.llm.packing import packed_documents
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language is ambiguous, go."""
+    return drop_unidentified(docs)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
+    return drop_exact_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes its words."""
+    return mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens, each with its sequence and place there."""
+    return packed_documents(docs)
+
+
+STAGES = [("language_id", identify_language), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
+
+#: Language ID, DartMinHash and the tokenizer have no SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

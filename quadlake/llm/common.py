@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Deletes every ASCII white-space character.
@@ -59,13 +59,6 @@ def buckets_for(rows: int, per_bucket: int = 50_000, least: int = 64) -> int:
     return max(least, -(-rows // per_bucket))
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on = on & left[k].eqNullSafe(right[k])
-    return on
-
-
 def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join that keeps the left keys and the right's other columns."""
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -76,20 +69,21 @@ def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "i
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{k}" for k in keys])
 
 
-def hash_prefix(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str | None, out: str, buckets: int, extra: DataFrame | None = None) -> DataFrame:
+def hash_prefix(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str | None, out: str, buckets: int, extra: DataFrame | None = None, spread: Sequence[str] | None = None) -> DataFrame:
     """Exclusive running sum of `value` (rows if None) within `group`, as column `out`.
 
     The order is by hash bucket of `order`, then by `order`; any fixed order serves the callers. A group of any
     size is spread over `buckets` parts: sums of parts are added up first, so no task sees a whole group.
-    `extra` has one row a group; its columns travel with the part sums instead of being joined to all rows.
+    `extra` has one row a group; its columns travel with the part sums instead of being joined to all rows, and are
+    null in groups that it lacks. `spread` names the columns to hash if not those of `order`.
     """
     v = F.lit(1).cast("long") if value is None else F.col(value).cast("long")
-    df = df.withColumn("_v", F.coalesce(v, F.lit(0))).withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    df = df.withColumn("_v", F.coalesce(v, F.lit(0))).withColumn("_b", F.pmod(F.xxhash64(*(spread or order)), F.lit(buckets)).cast("int"))
     parts = df.groupBy(*group, "_b").agg(F.sum("_v").alias("_t"))
     before = Window.partitionBy(*group or [F.lit(0)]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_o", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
     if extra is not None:
-        parts = joined(parts, extra, group)
+        parts = joined(parts, extra, group, "left")
     within = Window.partitionBy(*group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = joined(df, parts, [*group, "_b"])
     return df.withColumn(out, F.coalesce(F.sum("_v").over(within), F.lit(0)) + F.col("_o")).drop("_v", "_b", "_o")

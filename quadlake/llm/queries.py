@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .mixing import mix_sql
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,42 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_documents(spark, sf_dir)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op1_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_predictions
+
+    return language_predictions(_documents(spark, sf_dir))
+
+
+def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import perspectives
+
+    return perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op4_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import balanced_shards
+
+    return balanced_shards(_documents(spark, sf_dir)).drop("row")
+
+
+def op7_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_documents(spark, sf_dir)).drop("row")
+
+
+def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_filter
+
+    return quality_filter(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir)).drop("row")
+
+
 def op6_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -37,9 +74,42 @@ def op9_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_best_two_fit, op6_block_naming, op9_bit_planes)}
+def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan
+
+    return scan(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_output_codes, op2_perspectives, op3_best_two_fit, op4_label_propagation, op5_dart_minhash, op6_block_naming, op7_block_mixing, op8_rule_cascade, op9_bit_planes, op10_secret_forest)}
 
 ORACLES: dict[str, str] = {
+    "op2_perspectives": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+r AS (SELECT t.*, perspective, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role
+      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM r),
+s AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS segment FROM h),
+w AS (SELECT *, length(segment) AS length, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, body
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s)
+SELECT conv_id, perspective, turn, speaker, role, segment, start, length, role = 'assistant' AS mask,
+       start + CASE WHEN role = 'assistant' THEN length(head) ELSE 0 END AS mask_start, start + CASE WHEN role = 'assistant' THEN length - 1 ELSE 0 END AS mask_end FROM w""",
+    "op7_block_mixing": mix_sql(),
+    "op8_rule_cascade": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+a AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS c
+      FROM (SELECT doc_id, i, list_slice(words, i, i + 7) AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM a WHERE len(words) >= 8))),
+r AS (SELECT doc_id, sum(least(8, i - p)) AS n FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -8) AS p FROM g WHERE c > 1) GROUP BY doc_id),
+b AS (SELECT a.doc_id, text, words, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+      length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+      (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+      length(regexp_replace(text, '\P{L}', '', 'g')) AS letters, length(regexp_replace(text, '\P{Lu}', '', 'g')) AS capitals FROM a LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR n_symbols * 2 > n_words OR n_dup_lines * 10 > n_lines * 3 OR word_chars > n_words * 15 OR word_chars < n_words * 2
+            OR letters * 10 < word_chars * 6 OR capitals * 2 > letters OR len(list_distinct(words)) * 20 < n_words) AS kept FROM f""",
     "op6_block_naming": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents),
 g AS (SELECT doc_id, sha256(n) AS text_sha256, row_number() OVER w AS k, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY n) AS group_size
