@@ -11,7 +11,7 @@ from functools import lru_cache
 _UNSAFE = re.compile(r"[\s\x1c-\x1f\x85᠎​﻿] ")
 _SPACE = re.compile(r"\s|[\x1c-\x1f\x85᠎​﻿]")
 _TAIL = ".,!?;:|*#$%&"
-_MOST = 600_000
+_MOST = 250_000
 
 
 def default_tokenizer() -> str:
@@ -36,51 +36,77 @@ class Encoder:
 
         self.np, self.tokenizer = np, Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenizer.model._resize_cache(0)  # the library's own cache only costs time here
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sizes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             self.sizes[i] = len(token)
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.atoms: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _parts(self, word: str) -> list[str] | None:
-        """What stands for " " + word: atoms with a space before them, or a line feed, which is no part of them; None: not to be cut."""
-        if not _SPACE.search(word):
-            core = word.rstrip(_TAIL)
-            return [" " + core, "\n" + word[len(core) :]] if core and core is not word and core[-1].isalpha() and len(core) < len(word) else [" " + word]
-        lines = word.split("\n")
-        if any(not x or _SPACE.search(x) for x in lines):
-            return None
-        out = self._parts(lines[0])
-        for x in lines[1:]:
-            core = x.rstrip(_TAIL)
-            cut = [core, x[len(core) :]] if core and core[-1].isalpha() and len(core) < len(x) else [x]
-            out += ["\n", *("\n" + y for y in cut)]
+    def _encode(self, parts: list[str], lead: str) -> list[bytes]:
+        """Ids of lead + part for each of many parts without white space, all encoded at once; a line feed as lead has no share in them."""
+        out: list[bytes] = []
+        np = self.np
+        for k in range(0, len(parts), 20_000):
+            some = parts[k : k + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            bytes_of = np.fromiter(map(len, map(str.encode, some)), dtype=np.int64, count=len(some)) + 1
+            ends = (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(bytes_of)) + 1) * 4
+            starts = np.concatenate([[0], ends[:-1]]) + 4 * (lead == "\n")
+            raw = ids.tobytes()
+            out += [raw[a:z] for a, z in zip(starts.tolist(), ends.tolist())]
         return out
 
-    def _learn(self, words: Iterable[str]) -> None:
-        parts = {w: self._parts(w) for w in words}
-        new = [a for a in dict.fromkeys(a for p in parts.values() if p for a in p) if a not in self.atoms and a != "\n"]
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            ids = self.np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, dtype="<u4")
-            ends = self.np.searchsorted(self.np.cumsum(self.sizes[ids]), self.np.cumsum([len(a.encode()) for a in some])) + 1
-            raw, at = ids.tobytes(), 0
-            for a, end in zip(some, ends.tolist()):
-                self.atoms[a] = raw[4 * at + 4 * (a[0] == "\n") : 4 * end]
-                at = end
-        if "\n" not in self.atoms:
-            self.atoms["\n"] = self.whole("\n")
-        for w, p in parts.items():
-            self.words[w] = b"".join(map(self.atoms.__getitem__, p)) if p else self.whole(" " + w)
+    def _lines(self, word: str) -> list[list[str]] | None:
+        """The lines of a word, each cut before its closing marks; None if it holds other white space."""
+        out = []
+        for line in word.split("\n"):
+            if not line or _SPACE.search(line):
+                return None
+            core = line.rstrip(_TAIL)
+            out.append([core, line[len(core) :]] if core and core[-1].isalpha() and len(core) < len(line) else [line])
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        known, old = self.words, self.old
+        for w in words.intersection(old):
+            known[w] = old[w]
+        words = words.difference(old)
+        plain, marked, rest = [], [], {}
+        for w in words:
+            if w.isalpha():
+                plain.append(w)
+            elif (core := w.rstrip(_TAIL)).isalpha():
+                marked.append((w, core, w[len(core) :]))
+            else:
+                rest[w] = self._lines(w)
+        first = {core for _, core, _ in marked}
+        first.update(p[0][0] for p in rest.values() if p)
+        first.difference_update(known, plain)
+        plain += first
+        known.update(zip(plain, self._encode(plain, " ")))
+        later = {x for p in rest.values() if p for x in (*p[0][1:], *(y for line in p[1:] for y in line))}
+        later.update(tail for _, _, tail in marked)
+        later.difference_update(self.atoms)
+        self.atoms.update(zip(later, self._encode(list(later), "\n")))
+        atoms = self.atoms
+        for w, core, tail in marked:
+            known[w] = known[core] + atoms[tail]
+        if "\n" not in atoms:
+            atoms["\n"] = self.whole("\n")
+        feed, atom = atoms["\n"], atoms.__getitem__
+        for w, p in rest.items():
+            known[w] = b"".join([known[p[0][0]], *map(atom, p[0][1:]), *(x for line in p[1:] for x in (feed, *map(atom, line)))]) if p else self.whole(" " + w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > _MOST:
-            self.words = {}
-        if len(self.atoms) > _MOST:
+            self.old, self.words = self.words, {}
+        if len(self.atoms) > _MOST // 2:
             self.atoms = {}
         split: list[list[str] | None] = []
         unknown: set[str] = set()
@@ -103,7 +129,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(texts: list[str | None], path: str, chars: int = 4_000_000) -> Iterable[bytes]:
+def encoded(texts: list[str | None], path: str, chars: int = 3_000_000) -> Iterable[bytes]:
     """Ids of each text (null: empty), a few million characters at a time."""
     tool, some, size = encoder(path), [], 0
     for t in texts:
