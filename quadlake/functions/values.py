@@ -114,20 +114,18 @@ def unbox(x: Typed) -> Column:
 
 def rank_of(t: Column) -> Column:
     """1 integer, 2 decimal, 3 float, 4 double; null if no well-formed number."""
-    out = F.when(t["d"].isNull(), F.lit(None).cast("int")).when((t["d"] == XSD + "integer") & t["v"].rlike(INTEGER_FORM), 1)
-    n = F.expr("null")
-    for name, (low, high) in INTEGER_RANGES.items():
-        if name == "integer":
-            continue
-        n = t["v"].try_cast(_BIG)
-        ok = (t["d"] == XSD + name) & t["v"].rlike(INTEGER_FORM)
-        if low is not None:
-            ok = ok & (n >= F.lit(low).cast(_BIG) if abs(low) < 2**62 else n >= F.lit(str(low)).cast(_BIG))
-        if high is not None:
-            ok = ok & (n <= F.lit(str(high)).cast(_BIG))
-        out = out.when(ok, 1)
-    out = out.when((t["d"] == XSD + "decimal") & t["v"].rlike(DECIMAL_FORM), 2)
-    return out.when((t["d"] == XSD + "float") & t["v"].rlike(DOUBLE_FORM), 3).when((t["d"] == XSD + "double") & t["v"].rlike(DOUBLE_FORM), 4)
+    n = t["v"].try_cast(_BIG)
+    low, high = F.lit(None).cast(_BIG), F.lit(None).cast(_BIG)
+    bounds = lambda k: [(XSD + name, r[k]) for name, r in INTEGER_RANGES.items() if r[k] is not None]
+    for k in (0, 1):
+        chosen = None
+        for name, bound in bounds(k):
+            value = F.lit(str(bound)).cast(_BIG)
+            chosen = F.when(t["d"] == name, value) if chosen is None else chosen.when(t["d"] == name, value)
+        low, high = (chosen, high) if k == 0 else (low, chosen)
+    whole = t["d"].isin(INT_TYPES) & t["v"].rlike(INTEGER_FORM) & F.coalesce(n >= low, F.lit(True)) & F.coalesce(n <= high, F.lit(True))
+    real = t["v"].rlike(DOUBLE_FORM)
+    return F.when(whole, 1).when((t["d"] == XSD + "decimal") & t["v"].rlike(DECIMAL_FORM), 2).when((t["d"] == XSD + "float") & real, 3).when((t["d"] == XSD + "double") & real, 4)
 
 
 def _double(text: Column) -> Column:
@@ -229,14 +227,35 @@ def _ordered(op: str, a: Column, b: Column) -> Column:
 def _numbers(op: str, a: Typed, b: Typed) -> Column:
     x, y = number(a), number(b)
     if x.static and y.static:
-        if max(x.static, y.static) <= 2:
+        if a.kind == b.kind and max(x.static, y.static) <= 2:
             return _ordered(op, a.col, b.col)
         both = _ordered(op, x.dbl, y.dbl)
     else:
-        both = F.coalesce(_ordered(op, x.dec, y.dec), _ordered(op, x.dbl, y.dbl))
+        both = None
+    if both is None or max(x.static or 0, y.static or 0) <= 2:
+        # in one decimal type: Spark would round decimals of 18 places to compare them with whole ones of 38 digits
+        both = F.coalesce(_ordered(op, x.dec.try_cast(_DEC), y.dec.try_cast(_DEC)), _ordered(op, x.dbl, y.dbl))
     return both if op == "=" else F.when(~(F.isnan(x.dbl) | F.isnan(y.dbl)), both)
 
 
+def _with_plain(op: str, a: Typed, b: Typed) -> Column:
+    """A term against a number, string, boolean or IRI of known type."""
+    t = a.col
+    if b.kind == "iri" or b.kind.startswith("ref:"):
+        same = (t["k"] == IRI) & (t["v"] == text_of_iri(b))
+        return same if op == "=" else F.when(same, F.lit(None).cast("boolean"))
+    if b.kind == "str":
+        mine, test = t["d"] == XSD + "string", _ordered(op, t["v"], b.col)
+    elif b.kind == "bool":
+        mine, test = (t["d"] == XSD + "boolean") & t["v"].isin("true", "false", "0", "1"), _ordered(op, t["v"].isin("true", "1"), b.col)
+    else:
+        mine, test = number(a).rank.isNotNull(), _numbers(op, a, b)
+    mine = (t["k"] == LITERAL) & F.coalesce(mine, F.lit(False))
+    if op != "=":
+        return F.when(mine, test)
+    return F.when(t.isNotNull() & b.col.isNotNull(), F.when(mine, test).when((t["k"] != LITERAL) | class_of(t).isNotNull(), F.lit(False)))
+
+
 def compare(op: str, a: Typed, b: Typed) -> Column:
     """SPARQL = < > <= >=; null is an error."""
     resource = lambda x: x.kind == "iri" or x.kind.startswith("ref:")
@@ -253,6 +272,10 @@ def compare(op: str, a: Typed, b: Typed) -> Column:
     if "term" not in (a.kind, b.kind):
         missing = a.col.isNull() | b.col.isNull()
         return F.when(~missing, F.lit(False) if op == "=" else F.lit(None).cast("boolean"))
+    if a.kind != "term" and a.kind != "dt":
+        return _with_plain({"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op), b, a)
+    if b.kind != "term" and b.kind != "dt":
+        return _with_plain(op, a, b)
     x, y = box(a), box(b)
     tx, ty = Typed("term", x), Typed("term", y)
     cx, cy = class_of(x), class_of(y)

@@ -134,10 +134,35 @@ class VirtualStore(Store):
         name = self._table_of(p, o) if p.kind == IRI else None
         if name is not None and s.kind in (VARIABLE, BNODE, IRI):
             return self.star(s, name, [triple], active)
-        return Store(self.quads(active)).pattern(triple, active if active == GRAPH else None)
+        only = [t for t in (s, o) if t.kind == IRI][:1]
+        return Store(self.quads(active, only)).pattern(triple, active if active == GRAPH else None)
+
+    def about(self, terms: list[Term], active) -> DataFrame:
+        q = self.quads(active, terms)
+        names = [t.value for t in terms]
+        return q.where(((F.col("s.k") == IRI) & F.col("s.v").isin(names)) | ((F.col("o.k") == IRI) & F.col("o.v").isin(names))).select("s", "p", "o")
+
+    has_triple_terms = False
+
+    def _rows_with(self, t: Table, df: DataFrame, only: list[Term]) -> DataFrame | None:
+        """The rows that can have one of the resources as subject or object, found by key; None if there can be none."""
+        tests = []
+        columns = [(c, f"{PREFIX}{x}/") for c, x in t.foreign.items()] + ([(t.key[0], f"{PREFIX}{t.name}/")] if len(t.key) == 1 else [])
+        for c, prefix in columns:
+            keys = [x.value.removeprefix(prefix) for x in only if x.value.startswith(prefix)]
+            if keys:
+                tests.append(F.col(c).isin([int(k) if k.isdigit() else k for k in keys]))
+        if len(t.key) != 1 and any(x.value.startswith(f"{PREFIX}{t.name}/") for x in only):
+            return df
+        if any(x.value == PREFIX + t.name for x in only):
+            return df
+        out = None
+        for test in tests:
+            out = test if out is None else out | test
+        return None if out is None else df.where(out)
 
-    def quads(self, active=None) -> DataFrame:
-        """The triples of all tables (or of those whose graphs are active) as g, s, p, o."""
+    def quads(self, active=None, only: list[Term] | None = None) -> DataFrame:
+        """The triples of all tables (or of those whose graphs are active) as g, s, p, o; with `only`, at least those about these resources."""
         out = None
         for name, t in self.tables.items():
             graph = f"{PREFIX}graph/{name}"
@@ -149,6 +174,10 @@ class VirtualStore(Store):
                 if "PATH_NOT_FOUND" in str(e):
                     continue
                 raise
+            if only:
+                df = self._rows_with(t, df, only)
+                if df is None:
+                    continue
             subject = box(self.subject(t))
             items = [F.struct(term(IRI, F.lit(RDF + "type")).alias("p"), term(IRI, F.lit(PREFIX + name)).alias("o"))]
             for c in df.columns:

@@ -110,6 +110,20 @@ class Store:
         g = ["__g"] if active == GRAPH else []
         return p.select(*g, F.col("s").alias("n")).union(p.select(*g, F.col("o").alias("n"))).distinct()
 
+    has_triple_terms = True
+
+    def about(self, terms: list[Term], active) -> DataFrame:
+        """Triples (s, p, o) with one of the terms as subject or object."""
+        p = self.pattern((Term(VARIABLE, "s"), Term(VARIABLE, "p"), Term(VARIABLE, "o")), active).df
+        names = [t.value for t in terms]
+        test = F.lit(False)
+        for c in ("s", "o"):
+            one = F.lit(False)
+            for t in terms:
+                one = one | F.col(c).eqNullSafe(t.column())
+            test = test | (F.col(f"{c}.v").isin(names) & one)
+        return p.where(test).select("s", "p", "o")
+
     def graphs(self) -> DataFrame:
         """Names of the named graphs, as __g."""
         return self.quads.where(F.col("g").isNotNull()).select(F.col("g").alias(GRAPH)).distinct()

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.values import box
 from ..storage import materialize
-from ..terms import BNODE, TRIPLE, VARIABLE, Term, canonical_column
+from ..terms import BNODE, TRIPLE, VARIABLE, Term, canonical_column, from_row
 from . import algebra as A
 
+#: So many nodes at most are looked up as constants, which scans can use; more are joined.
+FEW = 200
+
 
 def describe(compiler, q: A.Query, active) -> DataFrame:
     """(s, p, o): triples from and to what is described, and triples that have one of these as a term; blank nodes met on
@@ -28,13 +31,17 @@ def describe(compiler, q: A.Query, active) -> DataFrame:
     seen = new = materialize(start.where(F.col("n").isNotNull()).distinct(), "described")
     out = None
     while not new.isEmpty():
-        nodes = new.select(F.col("n").alias("s"))
-        out_going = triples.join(nodes, "s", "left_semi").select("s", "p", "o")
-        incoming = triples.join(new.select(F.col("n").alias("o")), "o", "left_semi").select("s", "p", "o")
-        about = materialize(out_going.unionByName(incoming).distinct(), "about")
+        few = new.limit(FEW + 1).collect()
+        if len(few) <= FEW:
+            near = compiler.store.about([from_row(r["n"]) for r in few], active)
+        else:
+            near = triples.join(new.select(F.col("n").alias("s")), "s", "left_semi").select("s", "p", "o")
+            near = near.unionByName(triples.join(new.select(F.col("n").alias("o")), "o", "left_semi").select("s", "p", "o"))
+        about = materialize(near.distinct(), "about")
         text = F.concat(F.lit("<<( "), canonical_column(F.col("s")), F.lit(" "), canonical_column(F.col("p")), F.lit(" "), canonical_column(F.col("o")), F.lit(" )>>"))
-        mention = triples.where(F.col("o.k") == TRIPLE).join(about.select(text.alias("_t")), F.col("o.v") == F.col("_t"), "left_semi")
-        about = about.unionByName(mention)
+        if compiler.store.has_triple_terms:
+            mention = triples.where(F.col("o.k") == TRIPLE).join(about.select(text.alias("_t")), F.col("o.v") == F.col("_t"), "left_semi")
+            about = about.unionByName(mention)
         out = about if out is None else out.unionByName(about)
         more = about.select(F.explode(F.array("s", "o")).alias("n")).where(F.col("n.k") == BNODE).distinct()
         new = materialize(more.join(seen, "n", "left_anti"), "described")

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..iri import is_absolute
 from ..terms import BNODE, IRI, LITERAL, QUADS, RDF, TERM_DDL, TRIPLE, VARIABLE, XSD, Term, canonical, canonical_column, from_row, parse_term, term
@@ -45,7 +46,7 @@ def _unescaped(text: Column) -> Column:
     return F.when(~text.contains("\\"), text).otherwise(F.when(text.rlike(r"\\[uU]"), _decode(F.when(text.rlike(r"\\[uU]"), text))).otherwise(plain))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode(s):
     from quadlake.terms import unescape
 
@@ -72,7 +73,7 @@ def term_column(text: Column, scope: Column | None = None) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _retext(s, scope):
     """Canonical text of triple terms."""
     from quadlake.terms import canonical, parse_term
