@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -39,6 +40,16 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df if it only reads, filters and projects files or local rows, else what it holds, written once.
+
+    monotonically_increasing_id() numbers the rows of such a frame alike in every plan; behind a shuffle it would not.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {re.match(r"[\s:+\-|]*(\w+)", line)[1] for line in plan.splitlines() if re.match(r"[\s:+\-|]*\w", line)}
+    return df if nodes <= {"Relation", "Project", "Filter", "LocalRelation"} else materialize(df, "stable")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

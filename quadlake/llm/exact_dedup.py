@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, joined, materialize
+from .common import SPACES, joined, materialize, stable
 
 
 def normalized(text: Column) -> Column:
@@ -29,6 +29,7 @@ def block_identity(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     left of each document. `row` is monotonically_increasing_id() of the given frame. A null text counts as empty,
     which is one empty block. `hash_bits` below 64 forces clashes, for tests.
     """
+    docs = stable(docs)
     size = F.octet_length("_n")
     count = F.greatest(F.lit(1), F.ceil(size / F.lit(block_bytes))).cast("int")
     block = lambda i: F.substring(F.col("_n").cast("binary"), i * block_bytes + 1, F.lit(block_bytes))
@@ -85,6 +86,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **o
 
 def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows that exact_dedup drops; columns unchanged."""
+    docs = stable(docs)
     kept = exact_dedup(docs, **options).where("kept").select(F.col("row").alias("_kept_row"))
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     return rows.join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").drop("_row")
