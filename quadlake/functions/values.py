@@ -296,6 +296,18 @@ def compare(op: str, a: Typed, b: Typed) -> Column:
     return F.when(bound & literals, F.when(same & (cx.isNull()), F.lit(op in ("<=", ">="))).when(cx == cy, by_class))
 
 
+def condition(op: str, a: Typed, b: Typed) -> Column | None:
+    """A comparison of numbers of known types where errors count as false, in a form that scans can use; None for others."""
+    if not (a.numeric and b.numeric) or op not in ("<", ">", "<=", ">=") or (a.kind != b.kind and {"int", "dec"} == {a.kind, b.kind}):
+        return None
+    out = _ordered(op, a.col, b.col)
+    # Spark takes NaN for the greatest number
+    for x, greater in ((a, op[0] == ">"), (b, op[0] == "<")):
+        if greater and x.kind in ("dbl", "flt") and x.const is None:
+            out = out & ~F.isnan(x.col)
+    return out
+
+
 def ebv(x: Typed) -> Column:
     """Effective boolean value; null is an error."""
     if x.kind == "bool":

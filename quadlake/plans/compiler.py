@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import FUNCTIONS, iri_of, part_of
-from ..functions.values import Typed, arithmetic, box, compare, constant, ebv, negate, number, numeric_term, order_key, unbox, unified
+from ..functions.values import Typed, arithmetic, box, compare, condition, constant, ebv, negate, number, numeric_term, order_key, unbox, unified
 from ..operators.paths import reachable
 from ..terms import BNODE, IRI, LITERAL, TRIPLE, VARIABLE, XSD, Term, from_row, term
 from . import algebra as A
@@ -245,6 +245,10 @@ class Compiler:
         """Filter by an expression; EXISTS inside of it becomes a column first."""
         kinds, maybe = dict(s.kinds), set(s.maybe)
         s, e = self._flags(s, e, active)
+        if isinstance(e, A.Call) and e.name in ("<", ">", "<=", ">="):
+            test = condition(e.name, *[self.expr(a, s) for a in e.args])
+            if test is not None:
+                return self._keep(Solutions(s.df.where(test), s.kinds, s.maybe), kinds, maybe)
         return self._keep(Solutions(s.df.where(ebv(self.expr(e, s))), s.kinds, s.maybe), kinds, maybe)
 
     def _keep(self, s: Solutions, kinds: dict, maybe: set) -> Solutions:
