@@ -135,10 +135,10 @@ def _frame(name: str, sql: str) -> Callable:
     return register
 
 
-@_frame("ask_row", "SELECT true AS yes, false AS no")
+@_frame("ask_row", "SELECT EXISTS (SELECT 1 FROM region WHERE r_name = 'EUROPE') AS yes, EXISTS (SELECT 1 FROM region WHERE r_name = 'ATLANTIS') AS no")
 def _ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(VirtualStore(spark, sf_dir), PREFIXES)
-    return spark.createDataFrame([(e.query("ASK { ?n n:n_name 'FRANCE' }"), e.query("ASK { ?n n:n_name 'ATLANTIS' }"))], "yes boolean, no boolean")
+    return spark.createDataFrame([(e.query("ASK { ?r r:r_name 'EUROPE' }"), e.query("ASK { ?r r:r_name 'ATLANTIS' }"))], "yes boolean, no boolean")
 
 
 @_frame("construct_edges", "SELECT 'urn:x:nation/' || n_nationkey AS s, 'urn:x:in' AS p, r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey")
