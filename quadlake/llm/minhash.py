@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined, materialize
+from .common import joined, materialize, stable
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 20, 4, 0.8
 _P = 0x9E3779B97F4A7C15 | 1
@@ -217,12 +217,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _neighbours(now: DataFrame, turn: int, reach: int = 8) -> DataFrame:
-    """Pairs (node, b) of different labels that stand at most `reach` apart in the random order of a bucket; buckets above 64 members
-    are dealt into parts first. So all pairs of small buckets meet, and a member never makes more than `reach` pairs."""
-    part = F.pmod(F.xxhash64(F.lit(-1 - turn), "node"), F.ceil(F.col("n") / 32))
+def _neighbours(now: DataFrame, turn: int) -> DataFrame:
+    """Pairs (node, b) of different labels that stand near each other in the random order of a bucket.
+
+    Up to 16 members: within 8 places, so that all pairs of small buckets meet; up to 64: within 4. Larger buckets are dealt
+    into parts, and members meet within 2 places: a group that shares many buckets stands in much the same order in each.
+    """
+    parts = F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / 32))).cast("long")
+    part = F.pmod(F.xxhash64(F.lit(-1 - turn), "node"), parts)
+    reach = F.when(F.col("n") > 64, 2).when(F.col("n") > 16, 4).otherwise(8)
     order = Window.partitionBy("key", "_part").orderBy("_o", "node")
-    before = [F.lag(F.struct("node", "label"), k).over(order) for k in range(1, reach + 1)]
+    before = [F.when(k <= reach, F.lag(F.struct("node", "label"), k).over(order)) for k in range(1, 9)]
     dealt = now.withColumn("_part", F.when(F.col("n") > 64, part).otherwise(0)).withColumn("_near", F.array(*before))
     near = dealt.select("node", "label", F.explode("_near").alias("_p")).where("_p IS NOT NULL AND _p.label <> label")
     return near.select("node", F.col("_p.node").alias("b"))
@@ -252,6 +257,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Null and wordless texts are never linked. A text of fewer than five words is one shingle. Null doc_id sorts last. Other
     columns of docs are ignored. An empty table gives an empty result.
     """
+    docs = stable(docs)
     all_rows = materialize(signatures(docs, text, doc_id, bands, rows, size), "signatures")
     shingled = all_rows.where("n_shingles > 0")
     nodes = shingled.groupBy("n_shingles", "s1", "s2").agg(F.min_by(F.struct("bands", "bytes"), "row").alias("_s"), F.min("row").alias("node"))
@@ -295,6 +301,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each class of near_duplicates; columns unchanged."""
+    docs = stable(docs)
     kept = near_duplicates(docs, **options).where("kept").select(F.col("row").alias("_kept_row"))
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     return rows.join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").drop("_row")
