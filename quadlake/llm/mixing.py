@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, joined, materialize, range_prefix
+from .common import WORD, joined, materialize, range_prefix, stable
 
 #: Words in a block and blocks in an output shard.
 BLOCK_WORDS, SHARD_BLOCKS = 256, 1024
@@ -94,13 +94,15 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     spans = placed.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(-1 - F.pmod("row", F.lit(1024))))))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
     spans = spans.withColumn("words", F.when(F.col("size") > 0, words).otherwise(0))
-    found = joined(spans, taken, ["source_index", "block"], "left")
+    # Spark takes exploded rows for as small as the table before; the draws grow with the corpus and must not be broadcast.
+    found = joined(spans, taken.hint("merge"), ["source_index", "block"], "left")
     out = found.groupBy("row", "doc_id", "size", "source_index").agg(F.sum(F.col("words") * F.coalesce(F.col("times"), F.lit(0))).cast("long").alias("taken"))
     return joined(out, sources.select("source_index", "source_size", "target"), ["source_index"]).select("row", "doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes its words, rounded; columns unchanged. Rows without words go."""
+    docs = stable(docs)
     taken = mix(docs, **options).where("size > 0").select(F.col("row").alias("_taken_row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     out = rows.join(taken, F.col("_row") == F.col("_taken_row"))
