@@ -11,7 +11,7 @@ from functools import lru_cache
 _UNSAFE = re.compile(r"[\s\x1c-\x1f\x85᠎​﻿] ")
 _SPACE = re.compile(r"\s|[\x1c-\x1f\x85᠎​﻿]")
 _TAIL = ".,!?;:|*#$%&"
-_MOST = 250_000
+_MOST = 150_000
 
 
 def default_tokenizer() -> str:
@@ -129,7 +129,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(texts: list[str | None], path: str, chars: int = 3_000_000) -> Iterable[bytes]:
+def encoded(texts: list[str | None], path: str, chars: int = 2_000_000) -> Iterable[bytes]:
     """Ids of each text (null: empty), a few million characters at a time."""
     tool, some, size = encoder(path), [], 0
     for t in texts:
