@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
+#: Learning texts held as n-grams at a time.
+STEP = 50
 #: Odd multipliers of the n-gram hash.
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 UNKNOWN = "und"
@@ -107,7 +109,7 @@ class Model:
         for t in texts:
             some.append(t or "")
             size += len(some[-1])
-            if size > 2_000_000:
+            if size > 1_000_000:
                 for out, new in zip((labels, scores, doubts), self._predict(some)):
                     out += new
                 some, size = [], 0
@@ -144,11 +146,9 @@ def train(rows: list[tuple[str, str]], code=None) -> Model:
     of = {x: k for k, x in enumerate(labels)}
     y = np.array([of[x] for _, x in rows])
     counts = np.zeros((len(labels), BUCKETS))
-    cache = []
-    for k in range(0, len(rows), 200):
-        bucket, owner = grams([t for t, _ in rows[k : k + 200]])
-        np.add.at(counts, (y[k : k + 200][owner], bucket), 1.0 / np.maximum(np.bincount(owner), 1)[owner])
-        cache.append((bucket, owner, len(rows[k : k + 200])))
+    for k in range(0, len(rows), STEP):
+        bucket, owner = grams([t for t, _ in rows[k : k + STEP]])
+        np.add.at(counts, (y[k : k + STEP][owner], bucket), 1.0 / np.maximum(np.bincount(owner), 1)[owner])
     counts /= np.maximum(counts.sum(axis=1, keepdims=True), 1e-9)
     weights = np.zeros((BUCKETS, code.shape[1]))
     for b in range(code.shape[1]):
@@ -156,14 +156,14 @@ def train(rows: list[tuple[str, str]], code=None) -> Model:
         if len(plus) and len(minus):
             weights[:, b] = np.clip(np.log((plus.mean(axis=0) + 1e-5) / (minus.mean(axis=0) + 1e-5)), -6, 6)
     model = Model(labels, code, weights, np.ones(code.shape[1]), np.zeros(code.shape[1]), np.ones(code.shape[1]))
-    m = np.concatenate([model.margins([t for t, _ in rows[k : k + 200]]) for k in range(0, len(rows), 200)])
+    m = np.concatenate([model.margins([t for t, _ in rows[k : k + STEP]]) for k in range(0, len(rows), STEP)])
     target = code[y]
     share = np.bincount(y, minlength=len(labels))
     w = (1.0 / share[y])[:, None]
     scale, bias = np.full(code.shape[1], 5.0), np.zeros(code.shape[1])
     for _ in range(300):
         g = -target / (1 + np.exp(np.clip(target * (m * scale + bias), -50, 50))) * w
-        scale -= 20 * ((g * m).sum(axis=0) / w.sum()) - 0.0
+        scale -= 20 * ((g * m).sum(axis=0) / w.sum())
         bias -= 2 * (g.sum(axis=0) / w.sum())
         scale = np.clip(scale, 1.0, 60.0)
     right = ((m * scale + bias) * target > 0).mean(axis=0)
