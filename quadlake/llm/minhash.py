@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import joined, materialize, stable
@@ -14,6 +14,8 @@ from .common import joined, materialize, stable
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 20, 4, 0.8
 _P = 0x9E3779B97F4A7C15 | 1
 _PIECE = 1_000_000
+#: Members of a bucket that meet at a time, and how many of a node's pairs each turn checks; the last turn checks all that are left.
+_PART, _TURNS = 1024, (0, 4, 64, None)
 
 
 def _mix(x):
@@ -217,43 +219,107 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _neighbours(now: DataFrame, turn: int) -> DataFrame:
-    """Pairs (node, b) of different labels that stand near each other in the random order of a bucket.
+def _blocks(now: DataFrame, part: int = _PART) -> DataFrame:
+    """key, _i, _j, _side, node, label, bytes: buckets dealt into parts of about `part` members, and every two parts of a bucket, or one with itself, put into one block."""
+    parts = F.ceil(F.col("n") / F.lit(part)).cast("int")
+    dealt = now.withColumn("_parts", parts).withColumn("_p", F.pmod(F.xxhash64(F.lit(-1), "node"), F.col("_parts")).cast("int"))
+    dealt = dealt.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return dealt.select("key", F.least("_p", "_q").alias("_i"), F.greatest("_p", "_q").alias("_j"), (F.col("_p") > F.col("_q")).alias("_side"), "node", "label", "bytes")
 
-    Up to 16 members: within 8 places, so that all pairs of small buckets meet; up to 64: within 4. Larger buckets are dealt
-    into parts, and members meet within 2 places: a group that shares many buckets stands in much the same order in each.
+
+def _block_pairs(label, byte, side, least: int, keep: int | None):
+    """(x, y, cut): pairs of a block's members of different labels whose signatures agree in `least` coordinates or more.
+
+    All of them if keep is None. Else those with the member that agrees most with all others, and of each member those
+    with the `keep` that agree most with it; cut says whether others are left.
     """
-    parts = F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / 32))).cast("long")
-    part = F.pmod(F.xxhash64(F.lit(-1 - turn), "node"), parts)
-    reach = F.when(F.col("n") > 64, 2).when(F.col("n") > 16, 4).otherwise(8)
-    order = Window.partitionBy("key", "_part").orderBy("_o", "node")
-    before = [F.when(k <= reach, F.lag(F.struct("node", "label"), k).over(order)) for k in range(1, 9)]
-    dealt = now.withColumn("_part", F.when(F.col("n") > 64, part).otherwise(0)).withColumn("_near", F.array(*before))
-    near = dealt.select("node", "label", F.explode("_near").alias("_p")).where("_p IS NOT NULL AND _p.label <> label")
-    return near.select("node", F.col("_p.node").alias("b"))
-
-
-def _checked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, k: int) -> DataFrame:
-    """The pairs whose sets are similar. Pairs whose signatures agree in less than half of the coordinates go first: at similarity
-    0.8 that is over six standard deviations off; all others are decided by the sets themselves."""
-    side = lambda key, name: nodes.select(F.col("node").alias(key), F.col("bytes").alias(name)).hint("merge")
-    found = joined(joined(pairs, side("a", "x"), ["a"]), side("b", "y"), ["b"])
-    agree = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda same: same))
-    found = found.where(agree >= int(k * (threshold - 0.3))).select("a", "b")
+    import numpy as np
+
+    one, two = (np.flatnonzero(~side), np.flatnonzero(side)) if side.any() else (np.arange(len(side)),) * 2
+    a, b = byte[one], byte[two]
+    if len(a) * len(b) <= 4096:
+        agree = np.count_nonzero(a[:, None, :] == b[None, :, :], axis=2)
+    else:
+        agree = np.zeros((len(a), len(b)), dtype=np.int16)
+        for c in range(a.shape[1]):
+            agree += a[:, c, None] == b[None, :, c]
+    agree[(agree < least) | (label[one][:, None] == label[two][None, :])] = 0
+    if keep is None or not agree.any():
+        x, y = np.nonzero(agree)
+        return one[x], two[y], False
+    use = np.zeros(agree.shape, dtype=bool)
+    use[agree.sum(axis=1).argmax()] = True
+    use[:, agree.sum(axis=0).argmax()] = True
+    for axis in (0, 1) if keep else ():
+        if keep >= agree.shape[axis]:
+            use[:] = True
+        else:
+            np.put_along_axis(use, np.argpartition(-agree, keep - 1, axis=axis).take(range(keep), axis=axis), True, axis=axis)
+    cut = bool(((agree > 0) & ~(use | use.T if one is two else use)).any())
+    x, y = np.nonzero(use & (agree > 0))
+    return one[x], two[y], cut
+
+
+def _candidates(now: DataFrame, least: int, keep: int | None) -> DataFrame:
+    """a < b: the pairs of _block_pairs in all buckets of now (key, n, node, label, bytes); a row without b for each block with more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def found(t: pa.Table) -> pa.RecordBatch:
+            key, i, j, node, label = (t.column(c).to_numpy() for c in ("key", "_i", "_j", "node", "label"))
+            side = t.column("_side").to_numpy()
+            byte = t.column("bytes").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            first, second = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            more = 0
+            for f, e in zip([0, *edge.tolist()], [*edge.tolist(), len(node)]):
+                if i[f] != j[f] and (side[f:e].all() or not side[f:e].any()):
+                    continue  # one of the two parts has no member
+                x, y, cut = _block_pairs(label[f:e], byte[f:e], side[f:e], least, keep)
+                first.append(node[f:e][x])
+                second.append(node[f:e][y])
+                more += cut
+            x, y = np.concatenate(first), np.concatenate(second)
+            pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            a = pa.array(np.concatenate([pair[0], np.zeros(more, dtype=np.int64)]))
+            return pa.RecordBatch.from_arrays([a, pa.array([*pair[1].tolist(), *[None] * more], pa.int64())], names=["a", "b"])
+
+        kept: list[pa.RecordBatch] = []  # blocks that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([*kept, batch])
+            last = [t.column(c)[-1].as_py() for c in ("key", "_i", "_j")]
+            same = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(("key", "_i", "_j"), last)])
+            at = int(same.argmax())
+            if at:
+                yield found(t.slice(0, at))
+            kept = t.slice(at).to_batches()
+        if kept:
+            yield found(pa.Table.from_batches(kept))
+
+    dealt = _blocks(now).repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose sets are similar."""
     side = lambda key, name: sets.select(F.col("row").alias(key), F.col("shingles").alias(name)).hint("merge")
-    found = joined(joined(found, side("a", "x"), ["a"]), side("b", "y"), ["b"]).withColumn("_i", F.size(F.array_intersect("x", "y")))
+    found = joined(joined(pairs, side("a", "x"), ["a"]), side("b", "y"), ["b"]).withColumn("_i", F.size(F.array_intersect("x", "y")))
     return found.where(F.col("_i") >= F.lit(threshold) * (F.size("x") + F.size("y") - F.col("_i"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """One row for each row of docs: row, doc_id, class_id, class_size, kept.
 
     Linked texts have five-word shingle sets of Jaccard similarity `threshold` or more; classes are the components of the links,
     class_id is the least doc_id in one, whose (first) row is kept. Texts of equal shingle sets are one node. Nodes meet
     in bands of DartMinHash signatures; a pair of similarity 0.8 misses all 20 bands of 4 with a chance of 3 in 100,000.
-    Every link comes from an exact check of both sets. In a band's bucket each node is checked against one centre,
-    so work grows with the members, not with their pairs. Then only buckets that still hold several classes are looked
-    at again, with other centres and with the nearest neighbours in another random order, `rounds` times in all.
+    Every link comes from an exact check of both sets, and no two nodes of a bucket end in different classes unchecked, unless
+    their signatures agree in less than half of the coordinates: at similarity 0.8 that is over six standard deviations
+    off. The pairs likeliest to link come first, a few of each node; their links leave fewer buckets with several classes,
+    and in these more pairs are checked, turn by turn, until none is left.
     Null and wordless texts are never linked. A text of fewer than five words is one shingle. Null doc_id sorts last. Other
     columns of docs are ignored. An empty table gives an empty result.
     """
@@ -267,28 +333,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     members = materialize(joined(members, shared.hint("merge"), ["key"]), "buckets")
     sets = materialize(shingles_of(docs, members.select(F.col("node").alias("row")).distinct(), text, size), "sets")
     spark = docs.sparkSession
-    links = labels = None
-    for turn in range(rounds):
+    links = labels = done = None
+    for keep in _TURNS:
         if labels is None:
             now = members.withColumn("label", F.col("node"))
         else:
             now = joined(members, labels.hint("merge"), ["node"], "left").withColumn("label", F.coalesce("label", "node"))
             mixed = now.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("key")
             now = joined(now, mixed.hint("merge"), ["key"], "left_semi")
-        now = materialize(now.withColumn("_o", F.xxhash64(F.lit(turn), "node")), "members")
-        centre = now.groupBy("key").agg(F.min(F.struct("_o", "node", "label")).alias("_c")).select("key", F.col("_c.node").alias("b"), F.col("_c.label").alias("label_b"))
-        pairs = joined(now, centre.hint("merge"), ["key"]).where("label <> label_b").select("node", "b")
-        if turn:
-            pairs = pairs.unionByName(_neighbours(now, turn))
-        pairs = materialize(pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        new = materialize(_checked(pairs, nodes, sets, threshold, bands * rows), "links")
-        links = new if links is None else links.unionByName(new)
+        now = joined(now, nodes.select("node", "bytes").hint("merge"), ["node"])
+        # over six standard deviations below what pairs at the threshold agree in
+        found = materialize(_candidates(now, int(bands * rows * (threshold - 0.3)), keep), "candidates")
+        pairs = found.where("b IS NOT NULL")
+        if done is not None:
+            pairs = materialize(joined(pairs, done.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        new = materialize(_checked(pairs, sets, threshold), "links")
+        done = pairs if done is None else done.unionByName(pairs)
         if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
             labels = components(links)
-        elif labels is None:
-            labels = spark.createDataFrame([], "node long, label long")
+        if found.where("b IS NULL").isEmpty():
+            break
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")
     of_set = joined(nodes.select("n_shingles", "s1", "s2", "node"), labels, ["node"], "left").select("n_shingles", "s1", "s2", F.coalesce("label", "node").alias("label"))

@@ -220,6 +220,35 @@ def test_near_duplicates(spark, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_a_hub(spark):
+    # every copy is similar to the original, no two copies to each other
+    rng = random.Random(11)
+    words = [f"t{i}" for i in range(200)]
+    texts = [" ".join(words)]
+    for c in range(3000):
+        v = list(words)
+        for k in rng.sample(range(1, 39), 4):
+            v[5 * k] = f"edit{c}"
+        texts.append(" ".join(v))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sizes = Counter(r.class_id for r in minhash.near_duplicates(df).select("class_id").collect())
+    assert sizes == {0: 3001}
+
+
+def test_candidates_are_all_pairs_of_a_bucket(spark):
+    rng = np.random.default_rng(12)
+    byte = rng.integers(0, 2, (2500, 12)).astype(np.int8)
+    rows = [(k, n, i, i % 5, byte[i].tolist()) for k, n, some in ((1, 2500, range(2500)), (2, 3, (5, 6, 2499))) for i in some]
+    now = spark.createDataFrame(rows, "key long, n long, node long, label long, bytes array<tinyint>").repartition(3)
+    agree = sum((byte[:, None, c] == byte[None, :, c]).astype(int) for c in range(12))
+    x, y = np.nonzero(np.triu((agree >= 11) & (np.arange(2500)[:, None] % 5 != np.arange(2500)[None, :] % 5)))
+    whole = set(zip(x.tolist(), y.tolist()))
+    assert {tuple(r) for r in minhash._candidates(now, 11, None).collect()} == whole
+    for keep in (0, 4):
+        some = {tuple(r) for r in minhash._candidates(now, 11, keep).collect()}
+        assert {p for p in some if p[1] is not None} < whole and any(b is None for _, b in some)
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**63, 400).astype(np.uint64)
