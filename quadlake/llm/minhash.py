@@ -1,4 +1,4 @@
-"""Near-duplicate detection by DartMinHash signatures of weighted word shingles and exact checks."""
+"""Near-duplicate detection by DartMinHash signatures of word shingle sets and exact checks."""
 
 from __future__ import annotations
 
@@ -137,15 +137,14 @@ def dart_signatures(elements, weights, owner, documents: int, k: int):
 
 
 def sketch(texts: list[str], bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE):
-    """For each text: shingles, two 64-bit hashes of the shingle set, a hash for each band, and a byte for each coordinate; weights are 1 + ln(count)."""
+    """For each text: shingles, two 64-bit hashes of the shingle set, a hash for each band, and a byte for each coordinate. Every shingle has weight 1, as links are defined on sets."""
     import numpy as np
 
     sets = list(shingle_sets(texts, size))
     n = np.array([len(s) for s, _ in sets], dtype=np.int64)
     owner = np.repeat(np.arange(len(texts)), n)
     elements = np.concatenate([s for s, _ in sets]) if sets else np.zeros(0, dtype=np.uint64)
-    counts = np.concatenate([c for _, c in sets]) if sets else np.zeros(0)
-    sig = dart_signatures(elements, 1 + np.log(counts), owner, len(texts), bands * rows)
+    sig = dart_signatures(elements, np.ones(len(elements)), owner, len(texts), bands * rows)
     with np.errstate(over="ignore"):
         band = np.zeros((len(texts), bands), dtype=np.uint64)
         for r in range(rows):

@@ -235,6 +235,16 @@ def test_near_duplicates_of_a_hub(spark):
     assert sizes == {0: 3001}
 
 
+def test_near_duplicates_that_repeat_passages(spark):
+    rng = random.Random(13)
+    texts = []
+    for _ in range(20):
+        w = [f"t{rng.randint(0, 9999)}" for _ in range(300)]
+        texts += [" ".join(w * times) for times in (1, 3, 6, 10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == {i: i - i % 4 for i in range(80)}
+
+
 def test_candidates_are_all_pairs_of_a_bucket(spark):
     rng = np.random.default_rng(12)
     byte = rng.integers(0, 2, (2500, 12)).astype(np.int8)
