@@ -17,38 +17,86 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def propagate(state: DataFrame, quota: list[int], buckets: int, rounds: int) -> DataFrame:
+def _grants(asked: list[list[int]], room: list[int]) -> list[list[int]]:
+    """How many of the rows asked[s][t] may go from shard s to t: round in circles, so that no shard grows, then into room, also what these moves make."""
+    left, room, shards = [list(r) for r in asked], list(room), range(len(room))
+
+    def circle() -> list[int] | None:
+        seen: set[int] = set()
+        for start in shards:
+            path, tries = [start], [iter(shards)]
+            while path and path[-1] not in seen:
+                for t in tries[-1]:
+                    if left[path[-1]][t] and t not in seen:
+                        if t in path:
+                            return path[path.index(t) :]
+                        path.append(t)
+                        tries.append(iter(shards))
+                        break
+                else:
+                    seen.add(path.pop())
+                    tries.pop()
+        return None
+
+    while (found := circle()) is not None:
+        edges = list(zip(found, [*found[1:], found[0]]))
+        n = min(left[s][t] for s, t in edges)
+        for s, t in edges:
+            left[s][t] -= n
+    moved = True
+    while moved:
+        moved = False
+        for t in shards:
+            for s in shards:
+                n = min(left[s][t], room[t])
+                if n:
+                    left[s][t], room[t], room[s], moved = left[s][t] - n, room[t] - n, room[s] + n, True
+    return [[x - y for x, y in zip(*rows)] for rows in zip(asked, left)]
+
+
+def propagate(state: DataFrame, quota: list[int], buckets: int) -> DataFrame:
     """Move linked rows towards their neighbours' shards; state and result: h1, h2 (a group of equal texts), shard, n.
 
     In a group all rows are linked, so a row's neighbours in a shard are the group's count there; the group stands for its
-    links, and no pair is made. In each round rows ask for the shard with room where most of their neighbours are,
-    if more than in their own. Requests to a shard, whole groups together, are granted until its quota is full; the
-    last one in part. Rounds end when nothing moves.
+    links, and no pair is made. In each round rows ask for a shard that has more of their neighbours than their own: in
+    turn the one with most, the one with most among those with room, and any. A shard that the group fills is not
+    asked for. Rows that ask for each other's shards change places, also round a circle of shards, and room is filled; of
+    the requests from one shard to another whole groups come together, the last one in part. Every move adds links inside
+    shards, so rounds come to an end: when none of the three kinds moves a row.
     """
-    shards = len(quota)
-    for _ in range(rounds):
+    shards, turn, idle = len(quota), 0, 0
+    while idle < 3:
         room = [q - n for q, n in zip(quota, _loads(state, shards))]
         rank = F.struct("n", F.xxhash64("h1", "shard").alias("tie"), "shard")
-        best = F.max(F.when(_pick(room, F.col("shard")) > 0, rank)).over(Window.partitionBy("h1", "h2"))
-        wished = materialize(state.withColumn("_best", best).withColumn("to", F.when(F.col("_best") > rank, F.col("_best.shard"))).drop("_best"), "wishes")
-        asked = hash_prefix(wished.where("to IS NOT NULL"), ["to"], ["h1", "h2", "shard"], "n", "before", buckets, spread=["h1", "h2"])
-        granted = F.greatest(F.lit(0), F.least(F.col("n"), _pick(room, F.col("to")) - F.col("before")))
-        asked = materialize(asked.withColumn("granted", granted), "moves")
-        if not asked.agg(F.sum("granted")).first()[0]:
-            break
+        order = F.xxhash64(F.lit(turn), "h1", "shard") if turn % 3 == 2 else F.lit(0).cast("long")
+        open_ = _pick(room, F.col("shard")) > 0 if turn % 3 == 1 else F.col("n") < _pick(quota, F.col("shard"))
+        best = F.max(F.when(open_, F.struct(order.alias("order"), rank.alias("rank")))).over(Window.partitionBy("h1", "h2"))
+        wished = state.withColumn("_best", best["rank"]).withColumn("to", F.when(F.col("_best") > rank, F.col("_best.shard"))).drop("_best")
+        wished = materialize(wished, "wishes")
+        turn, idle = turn + 1, idle + 1
+        asked = [[0] * shards for _ in range(shards)]
+        for r in wished.where("to IS NOT NULL").groupBy("shard", "to").agg(F.sum("n").alias("n")).collect():
+            asked[r["shard"]][r["to"]] = r["n"]
+        grants = [n for row in _grants(asked, room) for n in row]
+        if not any(grants):
+            continue
+        idle = 0
+        moves = hash_prefix(wished.where("to IS NOT NULL"), ["shard", "to"], ["h1", "h2"], "n", "before", buckets)
+        granted = F.greatest(F.lit(0), F.least(F.col("n"), _pick(grants, F.col("shard") * shards + F.col("to")) - F.col("before")))
+        moves = materialize(moves.withColumn("granted", granted), "moves")
         rows = wished.where("to IS NULL").select("h1", "h2", "shard", "n")
-        rows = rows.unionByName(asked.select("h1", "h2", "shard", (F.col("n") - F.col("granted")).alias("n")))
-        rows = rows.unionByName(asked.select("h1", "h2", F.col("to").alias("shard"), F.col("granted").alias("n"))).where("n > 0")
+        rows = rows.unionByName(moves.select("h1", "h2", "shard", (F.col("n") - F.col("granted")).alias("n")))
+        rows = rows.unionByName(moves.select("h1", "h2", F.col("to").alias("shard"), F.col("granted").alias("n"))).where("n > 0")
         state = materialize(rows.groupBy("h1", "h2", "shard").agg(F.sum("n").alias("n")), "labels")
     return state
 
 
-def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 24, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of docs: row, doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Law `rows`: the row counts of any two shards differ by one at most. Rows start on shards in turn, in hash order; rows
     of equal texts then gather by propagate(), never above the quotas; rows without links fill what is left. A group
-    larger than a shard fills several. Texts are equal by two 64-bit hashes. Null text has size 8, the crc of an empty
+    as large as a shard or larger fills one or several from the start. Texts are equal by two 64-bit hashes. Null text has size 8, the crc of an empty
     text and no links. slot numbers a shard's rows from 0. grown_shard is null under this law. Repeated rows are linked
     rows. Other columns of docs are ignored. An empty table gives an empty result.
     """
@@ -66,10 +114,28 @@ def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 4, text: st
     rows = base.count()
     buckets = buckets_for(rows)
     quota = [rows // shards + (s < rows % shards) for s in range(shards)]
-    base = materialize(hash_prefix(base, [], ["row"], None, "_turn", buckets), "turns")
-    labels = base.groupBy("h1", "h2", F.pmod("_turn", F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    # groups as large as a shard, two for each shard at most, fill the last shards; what is left of them comes behind the other rows
+    large = base.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, quota[-1])).orderBy("h1", "h2").collect() if rows >= shards else []
+    seats, turn, open_ = [], rows - sum(r["n"] for r in large), shards
+    rest = [r["n"] for r in large]
+    for k, r in enumerate(large):
+        while open_ and rest[k] >= quota[open_ - 1]:
+            open_ -= 1
+            rest[k] -= quota[open_]
+            seats.append((r["h1"], r["h2"], open_, quota[open_]))
+    for r, left in zip(large, rest):
+        seats += [(r["h1"], r["h2"], s, len(range(turn + (s - turn) % open_, turn + left, open_))) for s in range(open_) if left]
+        turn += left
+    seats = base.sparkSession.createDataFrame([x for x in seats if x[3]], "h1 long, h2 long, shard int, n long")
+    is_large = F.lit(False)
+    for r in large:
+        is_large = is_large | ((F.col("h1") == r["h1"]) & F.col("h2").eqNullSafe(r["h2"]))
+    base = materialize(hash_prefix(base.withColumn("_large", is_large), ["_large"], ["row"], None, "_turn", buckets), "turns")
+    labels = base.where("NOT _large").groupBy("h1", "h2", F.pmod("_turn", F.lit(max(1, open_))).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    base = base.drop("_large")
     total = F.sum("n").over(Window.partitionBy("h1", "h2"))
-    state = propagate(materialize(labels.withColumn("_t", total).where("_t > 1").drop("_t"), "labels"), quota, buckets, rounds)
+    labels = labels.withColumn("_t", total).where("_t > 1").drop("_t").unionByName(seats)
+    state = propagate(materialize(labels, "labels"), quota, buckets)
 
     loads = _loads(state, shards)
     by_shard = Window.partitionBy("h1", "h2").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -189,6 +189,40 @@ def test_sharding(spark, none):
     assert sharding.balanced_shards(none).count() == 0
 
 
+def inside(spark, texts, shards):
+    """Share of the links that lie inside a shard, and each text's counts by shard."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = sharding.balanced_shards(df, shards=shards).collect()
+    n = Counter(r.shard for r in rows)
+    assert len(rows) == len(texts) and max(n.values()) - min(n.values()) <= 1
+    at = defaultdict(Counter)
+    for r in rows:
+        at[texts[r.doc_id]][r.shard] += 1
+    return sum(x * (x - 1) for c in at.values() for x in c.values()) / sum(c.total() * (c.total() - 1) for c in at.values()), at
+
+
+def test_sharding_where_every_row_has_a_copy(spark):
+    assert inside(spark, [f"g{i // 5}" for i in range(3000)], 6)[0] > 0.9
+
+
+def test_sharding_of_a_group_larger_than_shards(spark):
+    texts = ["hot" if i % 3 == 0 else f"g{i // 15}" if i % 3 == 1 else f"single {i}" for i in range(3600)]
+    found = sorted(inside(spark, texts, 12)[1]["hot"].values())
+    assert found == [300] * 4
+
+
+def test_grants_keep_the_quotas():
+    rng = random.Random(14)
+    assert sharding._grants([[0, 3, 0], [0, 0, 4], [5, 0, 0]], [0, 0, 0]) == [[0, 3, 0], [0, 0, 3], [3, 0, 0]]
+    assert sharding._grants([[0, 3, 0], [0, 0, 4], [0, 0, 0]], [0, 0, 2]) == [[0, 2, 0], [0, 0, 2], [0, 0, 0]]
+    for _ in range(50):
+        asked = [[rng.choice([0, 0, rng.randint(1, 9)]) * (s != t) for t in range(7)] for s in range(7)]
+        room = [rng.choice([0, 0, rng.randint(1, 9)]) for _ in range(7)]
+        got = sharding._grants(asked, room)
+        assert all(0 <= got[s][t] <= asked[s][t] for s in range(7) for t in range(7))
+        assert all(sum(r[t] for r in got) - sum(got[t]) <= room[t] for t in range(7))
+
+
 def brute_shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
