@@ -101,9 +101,14 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes its words, rounded; columns unchanged. Rows without words go."""
+    """docs with each row as often as the mix takes its words; columns unchanged. Rows without words go.
+
+    The fraction is rounded up with its own chance, by a hash of the row, so that words meet the target for texts of any length.
+    """
     docs = stable(docs)
-    taken = mix(docs, **options).where("size > 0").select(F.col("row").alias("_taken_row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
+    draw = F.pmod(F.xxhash64(F.lit("copies"), "row"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = F.floor(F.col("taken") / F.col("size") + draw).cast("int")
+    taken = mix(docs, **options).where("size > 0").select(F.col("row").alias("_taken_row"), times.alias("_times")).where("_times > 0")
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     out = rows.join(taken, F.col("_row") == F.col("_taken_row"))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -341,6 +341,18 @@ def test_mixing(spark, none):
     assert mixing.mixed_documents(df).columns == df.columns
 
 
+def test_mixed_documents_meet_the_targets_of_long_texts(spark):
+    text = " ".join(["w"] * 3000)
+    rows = [(i, text, f"s{min(i % 8, 2)}") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = {r.source_size: r.target for r in mixing.mix(df).collect()}
+    got = Counter(r.source for r in mixing.mixed_documents(df).select("source").collect())
+    size = Counter(r[2] for r in rows)
+    for s in size:
+        assert abs(3000 * got[s] / target[3000 * size[s]] - 1) < 0.1
+    assert any(0.6 < t / n < 0.9 or 1.1 < t / n < 1.4 for n, t in target.items())
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(8)
     texts = [*TEXTS, "x y\nx y\nz\n\n\n", *(" ".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(60))]
