@@ -19,9 +19,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only where none is configured and all run on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quadlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -80,6 +82,30 @@ def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "i
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{k}" for k in keys])
 
 
+def joined_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str, rows: int, share: int = 4096) -> DataFrame:
+    """Inner null-safe equi-join for hot keys; `right` has one row a key, with the number of its rows in `left` as `count`.
+
+    Keys with more than 1/share of the `rows` rows of left are fewer than `share`: they are broadcast, and their rows of left stay where they
+    are. All others are joined by a shuffle. Both frames should be written tables.
+    """
+    hot = F.col(count) > F.lit(max(1, rows // share))
+    few = F.broadcast(right.where(hot))
+    on_hot = joined(left, few, keys)
+    cold = joined(left, few.select(*keys), keys, "left_anti")
+    return on_hot.unionByName(joined(cold, right.where(~hot).hint("merge"), keys))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """_row (as `row` in the operators' results) and _all, a struct of the columns of docs, whatever their names. docs must be stable()."""
+    return docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The columns of the rows of numbered() whose number is no `row` of `dropped`."""
+    gone = dropped.select(F.col("row").alias("_gone")).hint("merge")
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select("_all.*")
+
+
 def hash_prefix(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str | None, out: str, buckets: int, extra: DataFrame | None = None, spread: Sequence[str] | None = None) -> DataFrame:
     """Exclusive running sum of `value` (rows if None) within `group`, as column `out`.
 

@@ -2,40 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined, materialize, stable
+from .common import joined, joined_hot, materialize, numbered, stable, without
+from .hashing import _P, mix64, span_hashes
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 20, 4, 0.8
-_P = 0x9E3779B97F4A7C15 | 1
 _PIECE = 1_000_000
-#: Members of a bucket that meet at a time, and how many of a node's pairs each turn checks; the last turn checks all that are left.
-_PART, _TURNS = 1024, (0, 4, 64, None)
-
-
-def _mix(x):
-    """A bijection of 64-bit integers whose output bits all depend on all input bits."""
-    import numpy as np
-
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-@lru_cache(maxsize=2)
-def _powers(size: int):
-    import numpy as np
-
-    up, down = np.full(size, _P, dtype=np.uint64), np.full(size, pow(_P, -1, 1 << 64), dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+#: Members of a bucket's part, which meet in one task, and centres that all parts of a bucket share.
+_PART, _CENTRES = 256, 8
 
 
 def word_hashes(texts: list[str]):
@@ -47,10 +28,7 @@ def word_hashes(texts: list[str]):
     space = (b == 32) | ((b >= 9) & (b <= 13))
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     start, end = edge[::2], edge[1::2]
-    up, down = _powers(1 << max(20, len(b).bit_length()))
-    total = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=total[1:])
-    h = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    h = span_hashes(b, start, end)
     first = np.cumsum([1] + [len(r) + 1 for r in raw])[:-1]
     return h, np.searchsorted(first, start, side="right") - 1
 
@@ -72,14 +50,12 @@ def shingle_sets(texts: list[str], size: int = SHINGLE) -> Iterator[tuple]:
             s = np.array([sum(int(x) * int(f) for x, f in zip(w, factor)) + len(w) & (1 << 64) - 1], dtype=np.uint64)
         else:
             s = w
-        yield np.unique(_mix(s), return_counts=True)
+        yield np.unique(mix64(s), return_counts=True)
 
 
 @lru_cache(maxsize=64)
 def _poisson(area: float):
     """Cumulative chances of 0, 1, 2, ... darts in a region."""
-    import math
-
     import numpy as np
 
     most = int(area + 12 * math.sqrt(area) + 30)
@@ -112,17 +88,17 @@ def dart_signatures(elements, weights, owner, documents: int, k: int):
                 if not inside.any():
                     break
                 e, w, o = e[inside], w[inside], o[inside]
-                seed = _mix(e + np.uint64((level * 64 + cell + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1))
+                seed = mix64(e + np.uint64((level * 64 + cell + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1))
                 count = np.searchsorted(_poisson((right - left) * (high - low)), (seed >> np.uint64(11)) * 2.0**-53)
                 at = np.flatnonzero(count)
                 many = count[at]
                 which = np.repeat(at, many)
                 number = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-                dart = _mix(seed[which] + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25))
-                x = left + (_mix(dart ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)) * 2.0**-53 * (right - left)
+                dart = mix64(seed[which] + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25))
+                x = left + (mix64(dart ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)) * 2.0**-53 * (right - left)
                 seen = x < w[which]
                 dart, own = dart[seen], o[which][seen]
-                r = low + (_mix(dart ^ np.uint64(0x14057B7EF767814F)) >> np.uint64(11)) * 2.0**-53 * (high - low)
+                r = low + (mix64(dart ^ np.uint64(0x14057B7EF767814F)) >> np.uint64(11)) * 2.0**-53 * (high - low)
                 place = own * k + ((dart >> np.uint64(7)) % np.uint64(k)).astype(np.int64)
                 order = np.argsort(-r, kind="stable")
                 place, r, dart = place[order], r[order], dart[order]
@@ -148,9 +124,9 @@ def sketch(texts: list[str], bands: int = BANDS, rows: int = ROWS, size: int = S
     with np.errstate(over="ignore"):
         band = np.zeros((len(texts), bands), dtype=np.uint64)
         for r in range(rows):
-            band = _mix(band * np.uint64(_P) + sig[:, r::rows])
+            band = mix64(band * np.uint64(_P) + sig[:, r::rows])
         one = [int(s.sum()) for s, _ in sets]
-        two = [int(np.bitwise_xor.reduce(_mix(s + np.uint64(99)))) if len(s) else 0 for s, _ in sets]
+        two = [int(np.bitwise_xor.reduce(mix64(s + np.uint64(99)))) if len(s) else 0 for s, _ in sets]
     return n, np.array(one, dtype=np.uint64), np.array(two, dtype=np.uint64), band, sig.astype(np.uint8).view(np.int8)
 
 
@@ -218,88 +194,186 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _blocks(now: DataFrame, part: int = _PART) -> DataFrame:
-    """key, _i, _j, _side, node, label, bytes: buckets dealt into parts of about `part` members, and every two parts of a bucket, or one with itself, put into one block."""
-    parts = F.ceil(F.col("n") / F.lit(part)).cast("int")
-    dealt = now.withColumn("_parts", parts).withColumn("_p", F.pmod(F.xxhash64(F.lit(-1), "node"), F.col("_parts")).cast("int"))
-    dealt = dealt.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    return dealt.select("key", F.least("_p", "_q").alias("_i"), F.greatest("_p", "_q").alias("_j"), (F.col("_p") > F.col("_q")).alias("_side"), "node", "label", "bytes")
+def _agreement(a, b, least: int):
+    """In how many coordinates each row of a agrees with each row of b; 0 where these are fewer than least."""
+    import numpy as np
 
+    agree = np.zeros((len(a), len(b)), dtype=np.int16)
+    for c in range(a.shape[1]):
+        agree += a[:, c, None] == b[None, :, c]
+    agree[agree < least] = 0
+    return agree
 
-def _block_pairs(label, byte, side, least: int, keep: int | None):
-    """(x, y, cut): pairs of a block's members of different labels whose signatures agree in `least` coordinates or more.
 
-    All of them if keep is None. Else those with the member that agrees most with all others, and of each member those
-    with the `keep` that agree most with it; cut says whether others are left.
-    """
+def _centre(block: dict, ids: tuple, least: int):
+    """Key, node and score of the member that agrees most with all others."""
     import numpy as np
 
-    one, two = (np.flatnonzero(~side), np.flatnonzero(side)) if side.any() else (np.arange(len(side)),) * 2
-    a, b = byte[one], byte[two]
-    if len(a) * len(b) <= 4096:
-        agree = np.count_nonzero(a[:, None, :] == b[None, :, :], axis=2)
-    else:
-        agree = np.zeros((len(a), len(b)), dtype=np.int16)
-        for c in range(a.shape[1]):
-            agree += a[:, c, None] == b[None, :, c]
-    agree[(agree < least) | (label[one][:, None] == label[two][None, :])] = 0
-    if keep is None or not agree.any():
-        x, y = np.nonzero(agree)
-        return one[x], two[y], False
-    use = np.zeros(agree.shape, dtype=bool)
-    use[agree.sum(axis=1).argmax()] = True
-    use[:, agree.sum(axis=0).argmax()] = True
-    for axis in (0, 1) if keep else ():
-        if keep >= agree.shape[axis]:
-            use[:] = True
-        else:
-            np.put_along_axis(use, np.argpartition(-agree, keep - 1, axis=axis).take(range(keep), axis=axis), True, axis=axis)
-    cut = bool(((agree > 0) & ~(use | use.T if one is two else use)).any())
-    x, y = np.nonzero(use & (agree > 0))
-    return one[x], two[y], cut
+    agree = _agreement(block["bytes"], block["bytes"], least)
+    np.fill_diagonal(agree, 0)
+    total = agree.sum(axis=1)
+    k = int(total.argmax())
+    return np.array([ids[0]], dtype=np.int64), block["node"][k : k + 1], np.array([total[k] / len(total)])
 
 
-def _candidates(now: DataFrame, least: int, keep: int | None) -> DataFrame:
-    """a < b: the pairs of _block_pairs in all buckets of now (key, n, node, label, bytes); a row without b for each block with more."""
+def _bucket_choice(block: dict, least: int):
+    """For each member that one of the bucket's centres or its own part's whose signature agrees most with it, in `least` coordinates or more: node, other, agree."""
+    import numpy as np
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    node, centre = block["node"], block["centre"].copy()
+    agree = _agreement(block["bytes"], block["bytes"], least)
+    agree[node[:, None] == node[None, :]] = 0
+    centre[agree.sum(axis=1).argmax()] = True
+    agree = agree[:, centre]
+    best = agree.argmax(axis=1)
+    value = agree[np.arange(len(node)), best]
+    found = value > 0
+    return node[found], node[centre][best[found]], value[found].astype(np.int32)
+
+
+def _open_members(block: dict, ids: tuple, least: int, rows: int):
+    """Members of a block that may link to one of another label: key, _i, _j, side, node, label. A pair counts in the first band that it shares."""
+    import numpy as np
+
+    side, node, label, byte, band = (block[c] for c in ("side", "node", "label", "bytes", "band"))
+    one, two = (np.flatnonzero(~side), np.flatnonzero(side)) if ids[1] != ids[2] else (np.arange(len(node)),) * 2
+    fits = label[one][:, None] != label[two][None, :]
+    if fits.any():
+        agree, shared = np.zeros(fits.shape, dtype=np.int16), np.zeros(fits.shape, dtype=bool)
+        for b in range(byte.shape[1] // rows):
+            whole = np.ones(fits.shape, dtype=bool)
+            for c in range(b * rows, (b + 1) * rows):
+                same = byte[one, c][:, None] == byte[two, c][None, :]
+                agree += same
+                whole &= same
+            if b < band[0]:
+                shared |= whole
+        fits &= (agree >= least) & ~shared
+    keep = np.zeros(len(node), dtype=bool)
+    keep[one[fits.any(axis=1)]] = True
+    keep[two[fits.any(axis=0)]] = True
+    k = int(keep.sum())
+    return (*(np.full(k, x) for x in ids), side[keep], node[keep], label[keep])
+
+
+def _linked_members(node, side, label, sets, one_part: bool, threshold: float):
+    """Edges that join members of a block whose sets are as similar as the threshold: all intersections at once, as products of 0/1 matrices."""
+    import numpy as np
+
+    n = np.array([len(x) for x in sets])
+    words, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    _, column, count = np.unique(words, return_inverse=True, return_counts=True)
+    use = count[column] > 1
+    column, owner = np.unique(column[use], return_inverse=True)[1], owner[use]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    one, two = (np.arange(len(sets)),) * 2 if one_part else (np.flatnonzero(~side), np.flatnonzero(side))
+    common, width, low = np.zeros((len(one), len(two)), dtype=np.float64), 4096, 0
+    while len(column) and low <= column[-1]:
+        a, z = np.searchsorted(column, (low, low + width))
+        has = np.zeros((len(sets), width), dtype=np.float32)
+        has[owner[a:z], column[a:z] - low] = 1
+        common += has[one] @ has[two].T
+        low += width
+    similar = (common >= threshold * (n[one][:, None] + n[two][None, :] - common)) & (label[one][:, None] != label[two][None, :])
+    x, y = np.nonzero(similar)
+    x, y = one[x], two[y]
+    least = np.arange(len(sets))  # each member's least known member of its component
+    while len(x):
+        low_of = np.minimum(least[x], least[y])
+        new = least.copy()
+        np.minimum.at(new, x, low_of)
+        np.minimum.at(new, y, low_of)
+        if (new == least).all():
+            break
+        least = new
+    moved = np.flatnonzero(least != np.arange(len(sets)))
+    a, b = node[moved], node[least[moved]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _in_blocks(rows: DataFrame, key: list[str], columns: list[str], run, schema: str) -> DataFrame:
+    """run(block, key) for each group of rows with equal key, a block being a dictionary of arrays; blocks must be of bounded size."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def array(t: pa.Table, c: str):
+        import numpy as np
+
+        x = t.column(c).combine_chunks()
+        if c == "shingles":
+            ends, flat = x.offsets.to_numpy(), x.values.to_numpy()
+            out = np.empty(len(x), dtype=object)
+            for k in range(len(x)):
+                out[k] = flat[ends[k] : ends[k + 1]]
+            return out
+        return x.flatten().to_numpy().reshape(t.num_rows, -1) if c == "bytes" else x.to_numpy(zero_copy_only=False)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         def found(t: pa.Table) -> pa.RecordBatch:
-            key, i, j, node, label = (t.column(c).to_numpy() for c in ("key", "_i", "_j", "node", "label"))
-            side = t.column("_side").to_numpy()
-            byte = t.column("bytes").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-            edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            first, second = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            more = 0
-            for f, e in zip([0, *edge.tolist()], [*edge.tolist(), len(node)]):
-                if i[f] != j[f] and (side[f:e].all() or not side[f:e].any()):
-                    continue  # one of the two parts has no member
-                x, y, cut = _block_pairs(label[f:e], byte[f:e], side[f:e], least, keep)
-                first.append(node[f:e][x])
-                second.append(node[f:e][y])
-                more += cut
-            x, y = np.concatenate(first), np.concatenate(second)
-            pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            a = pa.array(np.concatenate([pair[0], np.zeros(more, dtype=np.int64)]))
-            return pa.RecordBatch.from_arrays([a, pa.array([*pair[1].tolist(), *[None] * more], pa.int64())], names=["a", "b"])
-
-        kept: list[pa.RecordBatch] = []  # blocks that may go on in the next batch
+            arrays, ids = {c: array(t, c) for c in columns}, [t.column(c).to_numpy() for c in key]
+            edge = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in ids])) + 1
+            out = [run({c: v[f:e] for c, v in arrays.items()}, tuple(x[f] for x in ids)) for f, e in zip([0, *edge.tolist()], [*edge.tolist(), t.num_rows])]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=names)
+
+        kept: list[pa.RecordBatch] = []  # a block that may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([*kept, batch])
-            last = [t.column(c)[-1].as_py() for c in ("key", "_i", "_j")]
-            same = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(("key", "_i", "_j"), last)])
-            at = int(same.argmax())
+            last = [t.column(c)[-1].as_py() for c in key]
+            at = int(np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(key, last)]).argmax())
             if at:
                 yield found(t.slice(0, at))
             kept = t.slice(at).to_batches()
         if kept:
             yield found(pa.Table.from_batches(kept))
 
-    dealt = _blocks(now).repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.select(*key, *columns).repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(work, schema)
+
+
+def _parted(members: DataFrame) -> DataFrame:
+    """Buckets (key, n, node, ...) dealt into parts `_p` of about _PART members."""
+    return members.withColumn("_p", F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / F.lit(_PART))).cast("int"))
+
+
+def _parts_of(n: str = "n"):
+    return F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / F.lit(_PART)).cast("int") - 1))
+
+
+def _centre_pairs(members: DataFrame, least: int, most: int = 3) -> DataFrame:
+    """a < b: each node with the centres that agree most with it, one of each bucket (key, n, node, bytes), `most` in all. The members that agree most
+    in their parts compete for being centres of their bucket, and these are put into all of its parts."""
+    dealt = _parted(members).withColumn("centre", F.lit(False))
+    big = dealt.where(F.col("n") > _PART)
+    best = _in_blocks(big, ["key", "_p"], ["node", "bytes"], lambda b, ids: _centre(b, ids, least), "key long, node long, score double")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node"))
+    best = materialize(best.withColumn("_k", rank).where(F.col("_k") <= _CENTRES).select(F.col("key").alias("_key"), F.col("node").alias("_c")), "centres")
+    if not best.isEmpty():
+        copies = big.join(best.hint("merge"), (F.col("key") == F.col("_key")) & (F.col("node") == F.col("_c"))).drop("_key", "_c").withColumn("centre", F.lit(True))
+        dealt = dealt.unionByName(copies.withColumn("_p", _parts_of()))
+    found = _in_blocks(dealt, ["key", "_p"], ["node", "bytes", "centre"], lambda b, _: _bucket_choice(b, least), "node long, other long, agree int")
+    # a node has one choice in each of its buckets, a centre one more for each part, so that no window is large
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), "other"))
+    found = found.distinct().withColumn("_k", rank).where(F.col("_k") <= most)
+    return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _remaining_links(now: DataFrame, sets: DataFrame, least: int, rows: int, threshold: float) -> DataFrame:
+    """a < b: edges for all links between labels in the buckets of now (key, n, band, node, label, bytes), all of which hold several labels.
+
+    Parts of a bucket meet in blocks; signatures tell which members may link to another label, and only these bring their sets.
+    """
+    q = _parted(now).withColumn("_q", _parts_of())
+    met = q.withColumn("_i", F.least("_p", "_q")).withColumn("_j", F.greatest("_p", "_q")).withColumn("side", F.col("_p") > F.col("_q"))
+    members = "key long, _i int, _j int, side boolean, node long, label long"
+    open_ = _in_blocks(met, ["key", "_i", "_j"], ["side", "node", "label", "bytes", "band"], lambda b, ids: _open_members(b, ids, least, rows), members)
+    open_ = materialize(open_, "open")
+    own = sets.withColumnRenamed("row", "node").hint("merge")
+    run = lambda b, ids: _linked_members(b["node"], b["side"], b["label"], list(b["shingles"]), ids[1] == ids[2], threshold)
+    return _in_blocks(joined(open_, own, ["node"]), ["key", "_i", "_j"], ["side", "node", "label", "shingles"], run, "a long, b long").distinct()
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -315,57 +389,50 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Linked texts have five-word shingle sets of Jaccard similarity `threshold` or more; classes are the components of the links,
     class_id is the least doc_id in one, whose (first) row is kept. Texts of equal shingle sets are one node. Nodes meet
     in bands of DartMinHash signatures; a pair of similarity 0.8 misses all 20 bands of 4 with a chance of 3 in 100,000.
-    Every link comes from an exact check of both sets, and no two nodes of a bucket end in different classes unchecked, unless
-    their signatures agree in less than half of the coordinates: at similarity 0.8 that is over six standard deviations
-    off. The pairs likeliest to link come first, a few of each node; their links leave fewer buckets with several classes,
-    and in these more pairs are checked, turn by turn, until none is left.
+    Every link comes from an exact check of both sets. First each node is checked with up to three centres of its buckets. In
+    buckets that then hold several classes, all members of different classes whose signatures agree in `least` coordinates are checked, four
+    standard deviations below what a pair at the threshold agrees in (3 in 100,000 are lost): blocks of parts of a bucket
+    compare their sets by matrix products, and give edges of a spanning forest, never pairs.
     Null and wordless texts are never linked. A text of fewer than five words is one shingle. Null doc_id sorts last. Other
-    columns of docs are ignored. An empty table gives an empty result.
+    columns of docs are ignored. Repeated rows are copies of each other. An empty table gives an empty result.
     """
     docs = stable(docs)
     all_rows = materialize(signatures(docs, text, doc_id, bands, rows, size), "signatures")
     shingled = all_rows.where("n_shingles > 0")
-    nodes = shingled.groupBy("n_shingles", "s1", "s2").agg(F.min_by(F.struct("bands", "bytes"), "row").alias("_s"), F.min("row").alias("node"))
-    nodes = materialize(nodes.select("n_shingles", "s1", "s2", "node", "_s.bands", "_s.bytes"), "nodes")
-    members = nodes.select("node", F.posexplode("bands").alias("band", "key")).withColumn("key", F.xxhash64("key", "band")).drop("band")
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(joined(members, shared.hint("merge"), ["key"]), "buckets")
+    nodes = shingled.groupBy("n_shingles", "s1", "s2").agg(F.min_by(F.struct("bands", "bytes"), "row").alias("_s"), F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
+    nodes = materialize(nodes.select("n_shingles", "s1", "s2", "node", "copies", "_s.bands", "_s.bytes"), "nodes")
+    members = nodes.select("node", "bytes", F.posexplode("bands").alias("band", "key")).withColumn("key", F.xxhash64("key", "band"))
+    shared = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    members = materialize(joined_hot(members, shared, ["key"], "n", bands * nodes.count()), "buckets")
     sets = materialize(shingles_of(docs, members.select(F.col("node").alias("row")).distinct(), text, size), "sets")
-    spark = docs.sparkSession
-    links = labels = done = None
-    for keep in _TURNS:
-        if labels is None:
-            now = members.withColumn("label", F.col("node"))
-        else:
-            now = joined(members, labels.hint("merge"), ["node"], "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = now.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("key")
-            now = joined(now, mixed.hint("merge"), ["key"], "left_semi")
-        now = joined(now, nodes.select("node", "bytes").hint("merge"), ["node"])
-        # over six standard deviations below what pairs at the threshold agree in
-        found = materialize(_candidates(now, int(bands * rows * (threshold - 0.3)), keep), "candidates")
-        pairs = found.where("b IS NOT NULL")
-        if done is not None:
-            pairs = materialize(joined(pairs, done.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        new = materialize(_checked(pairs, sets, threshold), "links")
-        done = pairs if done is None else done.unionByName(pairs)
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
-        if found.where("b IS NULL").isEmpty():
-            break
+    least = int(bands * rows * threshold - 4 * math.sqrt(bands * rows * threshold * (1 - threshold)))
+    links = materialize(_checked(materialize(_centre_pairs(members, least), "candidates"), sets, threshold), "links")
+    labels = None if links.isEmpty() else components(links)
+    now = members.withColumn("label", F.col("node"))
+    if labels is not None:
+        now = joined(members, labels.hint("merge"), ["node"], "left").withColumn("label", F.coalesce("label", "node"))
+    now = materialize(_parted(now), "labelled")
+    mixed = now.groupBy("key", "_p").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.first("n").alias("n"))
+    mixed = mixed.groupBy("key").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.first("n").alias("n")).where("x <> y")
+    now = joined(now, mixed.select("key", _parts_of().alias("_p")).hint("merge"), ["key", "_p"], "left_semi").drop("_p")
+    more = materialize(_remaining_links(now, sets, least, rows, threshold), "links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     if labels is None:
-        labels = spark.createDataFrame([], "node long, label long")
-    of_set = joined(nodes.select("n_shingles", "s1", "s2", "node"), labels, ["node"], "left").select("n_shingles", "s1", "s2", F.coalesce("label", "node").alias("label"))
-    found = joined(all_rows.drop("bands", "bytes"), of_set, ["n_shingles", "s1", "s2"], "left").select("row", "doc_id", F.coalesce("label", "row").alias("label"))
-    found = materialize(found, "classes")
+        labels = docs.sparkSession.createDataFrame([], "node long, label long")
+    of_set = joined(nodes.select("n_shingles", "s1", "s2", "node", "copies"), labels, ["node"], "left").select("n_shingles", "s1", "s2", "copies", F.coalesce("label", "node").alias("label"))
+    found = joined_hot(shingled.drop("bands", "bytes"), materialize(of_set, "sets_labelled"), ["n_shingles", "s1", "s2"], "copies", all_rows.count()).select("row", "doc_id", "label")
+    found = materialize(found.unionByName(all_rows.where("n_shingles = 0").select("row", "doc_id", F.col("row").alias("label"))), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("class_id"), F.col("row").alias("keep"))).alias("first")
     classes = found.groupBy("label").agg(first, F.count(F.lit(1)).alias("class_size")).select("label", "first.class_id", "first.keep", "class_size")
-    return joined(found, classes, ["label"]).select("row", "doc_id", "class_id", "class_size", (F.col("row") == F.col("keep")).alias("kept"))
+    out = joined_hot(found, materialize(classes, "class_sizes"), ["label"], "class_size", all_rows.count())
+    return out.select("row", "doc_id", "class_id", "class_size", (F.col("row") == F.col("keep")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class of near_duplicates; columns unchanged."""
+    """docs with one row of each class of near_duplicates; columns unchanged, whatever their names.
+
+    Null, empty and wordless texts stay. Of repeated rows one stays. An empty table gives an empty result.
+    """
     docs = stable(docs)
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("row").alias("_kept_row"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").drop("_row")
+    return without(numbered(docs), near_duplicates(docs, **options).where("NOT kept"))
