@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterable
 from functools import lru_cache
 
-#: White space before a space: there the text can't be cut at the space.
-_UNSAFE = re.compile(r"[\s\x1c-\x1f\x85᠎​﻿] ")
-_SPACE = re.compile(r"\s|[\x1c-\x1f\x85᠎​﻿]")
-_TAIL = ".,!?;:|*#$%&"
-_MOST = 150_000
+from .hashing import span_hashes
+
+# White space beyond ASCII as UTF-8, with characters that some libraries count as such.
+_SPACES_2 = (0xC285, 0xC2A0)
+_SPACES_3 = (0xE19A80, 0xE1A08E, *range(0xE28080, 0xE2808C), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080, 0xEFBBBF)
+_MARKS = b".,!?;:|*#$%&"
+#: Longest part that is remembered, and characters encoded at a time.
+_LONGEST, _PIECE = 64, 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -20,108 +22,193 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _spans(starts, lengths):
+    """The indices of many spans, one after the other."""
+    import numpy as np
+
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def _white(b):
+    """Which bytes belong to white space."""
+    import numpy as np
+
+    table = np.zeros(256, dtype=bool)
+    table[[*range(9, 14), *range(28, 33)]] = True
+    white = table[b]
+    at = np.flatnonzero(b[:-1] == 0xC2)
+    at = at[np.isin(0xC200 + b[at + 1].astype(np.int64), _SPACES_2)]
+    white[at] = white[at + 1] = True
+    at = np.flatnonzero(np.isin(b[:-2], (0xE1, 0xE2, 0xE3, 0xEF)))
+    at = at[np.isin((b[at].astype(np.int64) << 16) + (b[at + 1].astype(np.int64) << 8) + b[at + 2], _SPACES_3)]
+    white[at] = white[at + 1] = white[at + 2] = True
+    return white
+
+
 class Encoder:
     """Ids of texts, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
-    The pre-tokenizer never joins characters on both sides of a space that follows a character other than white
-    space, nor a letter and a following mark of `_TAIL`, nor a line feed between two such characters. So texts are
-    cut there, and the library encodes each distinct part once; ids of recent parts are remembered, up to a fixed
-    number. Texts with other white space before a space are encoded whole.
+    The pre-tokenizer never joins characters on both sides of these places: before a space that follows another
+    character than white space, between a letter and one of `_MARKS`, and on both sides of a line feed that has no white
+    space beside it. Texts are cut there, and the library encodes each distinct part once; parts are compared
+    by content, their hash only finds them. `most` parts are remembered at most; beyond, those not seen since the last
+    clearing are forgotten. Texts that hold an added token of the tokenizer are encoded whole by the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import numpy as np
         from tokenizers import Tokenizer
 
-        self.np, self.tokenizer = np, Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.model._resize_cache(0)  # the library's own cache only costs time here
+        self.np, self.tokenizer, self.most = np, Tokenizer.from_file(path), most
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
         self.sizes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             self.sizes[i] = len(token)
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.atoms: dict[str, bytes] = {}
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letter, self.mark = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+        self.letter[[*range(65, 91), *range(97, 123)]] = True
+        self.mark[list(_MARKS)] = True
+        self._keep(None)
 
     def whole(self, text: str) -> bytes:
         return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _encode(self, parts: list[str], lead: str) -> list[bytes]:
-        """Ids of lead + part for each of many parts without white space, all encoded at once; a line feed as lead has no share in them."""
-        out: list[bytes] = []
+    def _keep(self, kept) -> None:
+        """Forget all parts but those whose slots are given."""
         np = self.np
-        for k in range(0, len(parts), 20_000):
-            some = parts[k : k + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            bytes_of = np.fromiter(map(len, map(str.encode, some)), dtype=np.int64, count=len(some)) + 1
-            ends = (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(bytes_of)) + 1) * 4
-            starts = np.concatenate([[0], ends[:-1]]) + 4 * (lead == "\n")
-            raw = ids.tobytes()
-            out += [raw[a:z] for a, z in zip(starts.tolist(), ends.tolist())]
-        return out
+        if kept is None:
+            self.keys, self.slot, self.seen = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+            self.text, self.text_at, self.text_n = np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            self.ids, self.ids_at, self.ids_n = np.zeros(0, dtype=self.kind), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            return
+        number = np.full(len(self.seen), -1)
+        number[kept] = np.arange(len(kept))
+        stay = number[self.slot] >= 0
+        self.keys, self.slot = self.keys[stay], number[self.slot[stay]]
+        self.text, self.text_n = self.text[_spans(self.text_at[kept], self.text_n[kept])], self.text_n[kept]
+        self.ids, self.ids_n = self.ids[_spans(self.ids_at[kept], self.ids_n[kept])], self.ids_n[kept]
+        self.text_at, self.ids_at = np.cumsum(self.text_n) - self.text_n, np.cumsum(self.ids_n) - self.ids_n
+        self.seen = np.zeros(len(kept), dtype=bool)
+
+    def _cuts(self, b, white, first):
+        """Starts of the parts of texts that begin at `first`."""
+        np = self.np
+        edge = np.zeros(len(b) + 1, dtype=bool)
+        edge[first] = edge[len(b)] = True
+        cut = edge.copy()
+        at = np.flatnonzero(b[1:] == 32) + 1
+        cut[at[~white[at - 1]]] = True
+        at = np.flatnonzero(self.mark[b[1:]]) + 1
+        after, before = b[at - 1], b[np.maximum(at - 2, 0)]
+        cut[at[self.letter[after] | ((before == 0xC3) & (after >= 0x80) & (after != 0x97) & (after != 0xB7))]] = True
+        at = np.flatnonzero(b == 10)
+        alone = (edge[at] | ~white[at - 1]) & (edge[at + 1] | ~white[np.minimum(at + 1, len(b) - 1)])
+        cut[at[alone]] = cut[at[alone] + 1] = True
+        return np.flatnonzero(cut[:-1])
+
+    def _ids(self, b, white, start, end):
+        """Ids of each b[start:end] by the library: ids of all, place and count for each. Many parts go to it in one string, with a line feed before those that begin without a space."""
+        np = self.np
+        many = (b[start] == 32) | ~white[start]
+        many &= ~white[end - 1]
+        at, count, found, size = np.zeros(len(start), dtype=np.int64), np.zeros(len(start), dtype=np.int64), [], 0
+        together = np.flatnonzero(many)
+        for k in range(0, len(together), 20_000):
+            some = together[k : k + 20_000]
+            n = end[some] - start[some]
+            feed = (b[start[some]] != 32).astype(np.int64)
+            stop = np.cumsum(n + feed)
+            joined = np.full(stop[-1], 10, dtype=np.uint8)
+            joined[_spans(stop - n, n)] = b[_spans(start[some], n)]
+            ids = np.array(self.tokenizer.encode_batch_fast([joined.tobytes().decode()], add_special_tokens=False)[0].ids, dtype=np.int64)
+            reached = np.cumsum(self.sizes[ids])
+            last = np.searchsorted(reached, stop) + 1
+            assert np.array_equal(reached[last - 1], stop), "a token goes across a cut"
+            at[some] = np.concatenate([[0], last[:-1]]) + feed + size
+            count[some] = last - (at[some] - size)
+            found.append(ids.astype(self.kind))
+            size += len(ids)
+        for k in np.flatnonzero(~many).tolist():
+            ids = np.array(self.tokenizer.encode(b[start[k] : end[k]].tobytes().decode(), add_special_tokens=False).ids, dtype=self.kind)
+            at[k], count[k] = size, len(ids)
+            found.append(ids)
+            size += len(ids)
+        return np.concatenate(found) if found else np.zeros(0, dtype=self.kind), at, count
+
+    def _slots(self, b, white, start, end):
+        """The slot of each short part, unknown ones being encoded first; -1 where another text has the same hash."""
+        np = self.np
+        n = end - start
+        hashes, one, which = np.unique(span_hashes(b, start, end), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, hashes)
+        known = np.zeros(len(hashes), dtype=bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == hashes[inside]
+        new = one[~known]
+        if len(new):
+            ids, at, count = self._ids(b, white, start[new], end[new])
+            slots = len(self.seen) + np.arange(len(new))
+            self.text_at, self.text_n = np.concatenate([self.text_at, len(self.text) + np.cumsum(n[new]) - n[new]]), np.concatenate([self.text_n, n[new]])
+            self.text = np.concatenate([self.text, b[_spans(start[new], n[new])]])
+            self.ids_at, self.ids_n = np.concatenate([self.ids_at, len(self.ids) + at]), np.concatenate([self.ids_n, count])
+            self.ids, self.seen = np.concatenate([self.ids, ids]), np.concatenate([self.seen, np.zeros(len(new), dtype=bool)])
+            self.keys, self.slot = np.insert(self.keys, place[~known], hashes[~known]), np.insert(self.slot, place[~known], slots)
+            place = np.searchsorted(self.keys, hashes)
+        slot = self.slot[place][which]
+        self.seen[self.slot[place[known]]] = True
+        same = n == self.text_n[slot]
+        some = np.flatnonzero(same)
+        if len(some):
+            equal = self.text[_spans(self.text_at[slot[some]], n[some])] == b[_spans(start[some], n[some])]
+            same[some] = np.logical_and.reduceat(equal, np.cumsum(n[some]) - n[some])
+        return np.where(same, slot, -1)
 
-    def _lines(self, word: str) -> list[list[str]] | None:
-        """The lines of a word, each cut before its closing marks; None if it holds other white space."""
-        out = []
-        for line in word.split("\n"):
-            if not line or _SPACE.search(line):
-                return None
-            core = line.rstrip(_TAIL)
-            out.append([core, line[len(core) :]] if core and core[-1].isalpha() and len(core) < len(line) else [line])
+    def encode(self, texts: list[str]) -> list[bytes]:
+        np = self.np
+        special = {k for k, t in enumerate(texts) if any(x in t for x in self.added)}
+        raw = [b"" if k in special else t.encode() for k, t in enumerate(texts)]
+        b = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        bounds = np.cumsum([0, *map(len, raw)])
+        out = [b""] * len(texts)
+        if len(b):
+            white = _white(b)
+            start = self._cuts(b, white, bounds[:-1])
+            end = np.concatenate([start[1:], [len(b)]])
+            at, count = np.zeros(len(start), dtype=np.int64), np.zeros(len(start), dtype=np.int64)
+            short = np.flatnonzero(end - start <= _LONGEST)
+            slot = self._slots(b, white, start[short], end[short])
+            at[short[slot >= 0]], count[short[slot >= 0]] = self.ids_at[slot[slot >= 0]], self.ids_n[slot[slot >= 0]]
+            rest = np.ones(len(start), dtype=bool)
+            rest[short[slot >= 0]] = False
+            rest = np.flatnonzero(rest)
+            own, own_at, own_n = self._ids(b, white, start[rest], end[rest])
+            at[rest], count[rest] = own_at + len(self.ids), own_n
+            ids = np.concatenate([self.ids, own])[_spans(at, count)].astype("<u4").tobytes()
+            stop = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, bounds)] * 4
+            out = [ids[a:z] for a, z in zip(stop[:-1].tolist(), stop[1:].tolist())]
+            if len(self.keys) > self.most:
+                kept = np.flatnonzero(self.seen)
+                self._keep(kept if len(kept) < self.most // 2 else None)
+        for k in special:
+            out[k] = self.whole(texts[k])
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        known, old = self.words, self.old
-        for w in words.intersection(old):
-            known[w] = old[w]
-        words = words.difference(old)
-        plain, marked, rest = [], [], {}
-        for w in words:
-            if w.isalpha():
-                plain.append(w)
-            elif (core := w.rstrip(_TAIL)).isalpha():
-                marked.append((w, core, w[len(core) :]))
-            else:
-                rest[w] = self._lines(w)
-        first = {core for _, core, _ in marked}
-        first.update(p[0][0] for p in rest.values() if p)
-        first.difference_update(known, plain)
-        plain += first
-        known.update(zip(plain, self._encode(plain, " ")))
-        later = {x for p in rest.values() if p for x in (*p[0][1:], *(y for line in p[1:] for y in line))}
-        later.update(tail for _, _, tail in marked)
-        later.difference_update(self.atoms)
-        self.atoms.update(zip(later, self._encode(list(later), "\n")))
-        atoms = self.atoms
-        for w, core, tail in marked:
-            known[w] = known[core] + atoms[tail]
-        if "\n" not in atoms:
-            atoms["\n"] = self.whole("\n")
-        feed, atom = atoms["\n"], atoms.__getitem__
-        for w, p in rest.items():
-            known[w] = b"".join([known[p[0][0]], *map(atom, p[0][1:]), *(x for line in p[1:] for x in (feed, *map(atom, line)))]) if p else self.whole(" " + w)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > _MOST:
-            self.old, self.words = self.words, {}
-        if len(self.atoms) > _MOST // 2:
-            self.atoms = {}
-        split: list[list[str] | None] = []
-        unknown: set[str] = set()
-        for t in texts:
-            if _UNSAFE.search(t) or t[:1] == " " or t[-1:] == " ":
-                split.append(None)
-            else:
-                words = t.split(" ")
-                split.append(words)
-                unknown.update(words[1:])
-        unknown.difference_update(self.words)
-        if unknown:
-            self._learn(unknown)
-        get = self.words.__getitem__
-        return [self.whole(t) if w is None else self.whole(w[0]) + b"".join(map(get, w[1:])) for t, w in zip(texts, split)]
+    def pieces(self, text: str, most: int = _PIECE) -> list[str]:
+        """The text in pieces of about `most` characters, cut before a space that follows a word; uncut where there is none, or if it holds an added token."""
+        out, at = [], 0
+        if len(text) > most and not any(x in text for x in self.added):
+            while len(text) - at > most:
+                k = at + most
+                while (k := text.find(" ", k)) > 0 and (text[k - 1].isspace() or text[k - 1] in "᠎​﻿"):
+                    k += 1
+                if k < 0:
+                    break
+                out.append(text[at:k])
+                at = k
+        return [*out, text[at:]]
 
 
 @lru_cache(maxsize=2)
@@ -129,12 +216,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(texts: list[str | None], path: str, chars: int = 2_000_000) -> Iterable[bytes]:
-    """Ids of each text (null: empty), a few million characters at a time."""
+def encoded(texts: list[str | None], path: str, chars: int = _PIECE) -> Iterable[bytes]:
+    """Ids of each text (null: empty), about a million characters at a time."""
     tool, some, size = encoder(path), [], 0
     for t in texts:
-        some.append(t or "")
-        size += len(some[-1])
+        t = t or ""
+        if len(t) > chars:
+            yield from tool.encode(some)
+            some, size = [], 0
+            yield b"".join(tool.encode([p])[0] for p in tool.pieces(t, chars))
+            continue
+        some.append(t)
+        size += len(t)
         if size >= chars:
             yield from tool.encode(some)
             some, size = [], 0
