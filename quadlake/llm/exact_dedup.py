@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, joined, materialize, stable
+from .common import SPACES, joined, joined_hot, materialize, numbered, stable, without
 
 
 def normalized(text: Column) -> Column:
@@ -77,16 +77,17 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **o
     Null and empty texts are equal to each other. Rows repeated in full count as separate rows of one group. Other
     columns of docs are ignored, whatever their names. An empty table gives an empty result.
     """
-    named = block_identity(docs, text, doc_id, **options)
+    named = materialize(block_identity(docs, text, doc_id, **options), "named")
     first = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"))).alias("first")
     groups = named.groupBy("level", "name").agg(first, F.count(F.lit(1)).alias("group_size")).select("level", "name", "first.keep_id", "first.keep_row", "group_size")
-    out = joined(named, groups, ["level", "name"])
+    out = joined_hot(named, materialize(groups, "groups"), ["level", "name"], "group_size", named.count())
     return out.select("row", "doc_id", "keep_id", "keep_row", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha256").alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that exact_dedup drops; columns unchanged."""
+    """docs without the rows that exact_dedup drops; columns unchanged, whatever their names.
+
+    Of null, empty and white texts together one row stays, and one of repeated rows. An empty table gives an empty result.
+    """
     docs = stable(docs)
-    kept = exact_dedup(docs, **options).where("kept").select(F.col("row").alias("_kept_row"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").drop("_row")
+    return without(numbered(docs), exact_dedup(docs, **options).where("NOT kept"))
