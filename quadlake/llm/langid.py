@@ -171,18 +171,22 @@ def train(rows: list[tuple[str, str]], code=None) -> Model:
     return Model(labels, code, weights.astype(np.float32), scale, bias, trust / trust.max())
 
 
-def learning_sample(docs: DataFrame, per_language: int = 400, languages: int = 200, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> list[tuple[str, str]]:
-    """At most about per_language labelled whole texts of each of the `languages` most frequent labels, taken by a hash of doc_id.
+def learning_sample(docs: DataFrame, per_language: int = 400, total: int = 40_000, longest: int = 50_000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> list[tuple[str, str]]:
+    """About per_language labelled whole texts of every label, fewer where all labels together would have more than about `total`; taken by a hash of doc_id.
 
-    Only rows with text, label and crc32(doc_id as text) mod 4 other than 2. Shares come from exact counts of labels.
+    Only rows with text, label and crc32(doc_id as text) mod 4 other than 2; texts above `longest` characters only for labels that have no other.
+    Shares come from exact counts of labels. Every label is learned, one text of it at least being likely.
     """
     rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t IS NOT NULL AND l IS NOT NULL AND coalesce(crc32(cast(cast(d AS string) AS binary)), 0) % 4 <> 2")
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(languages).collect()
+    short = F.length("t") <= longest
+    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("short")).collect()
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, per_language / r["count"]))])
-    some = rows.where(F.pmod(F.xxhash64("d", F.lit(3)), F.lit(1 << 30)) < share[F.col("l")] * (1 << 30))
-    return sorted((r["t"], r["l"]) for r in some.select("t", "l").limit(2 * per_language * len(counts)).collect())
+    each = max(8, min(per_language, total // len(counts)))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, each / (r["short"] or r["n"])))])
+    only_short = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], r["short"] > 0)])
+    some = rows.where((short | ~only_short[F.col("l")]) & (F.pmod(F.xxhash64("d", F.lit(3)), F.lit(1 << 40)) < share[F.col("l")] * (1 << 40)))
+    return sorted((r["t"], r["l"]) for r in some.select("t", "l").collect())
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -211,7 +215,11 @@ def is_held_out(doc_id: int | None) -> bool:
 
 
 def language_predictions(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, ambiguous for each row of docs, by a model learned from its labelled rows."""
+    """doc_id, held_out, lang_pred, score, ambiguous for each row of docs, by a model learned from its labelled rows.
+
+    Null texts and those without a letter are `und`, score 0 and ambiguous, and so are all if no row can be learned from. A null doc_id is not held out.
+    Repeated rows get equal predictions; other columns are ignored. An empty table gives an empty result.
+    """
     model = train(learning_sample(docs, **options))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     found = identify(docs.select("doc_id", "text"), model)
@@ -219,7 +227,10 @@ def language_predictions(docs: DataFrame, **options) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame, **options) -> DataFrame:
-    """docs without rows whose language is undetermined or ambiguous; columns unchanged."""
+    """docs without rows whose language is undetermined or ambiguous; columns unchanged, whatever their names.
+
+    Null texts and those without a letter go. Repeated rows stay or go together. An empty table gives an empty result.
+    """
     model = train(learning_sample(docs, **options))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col("text"))
     found = identify(rows, model).where("NOT ambiguous")

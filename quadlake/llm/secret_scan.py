@@ -43,10 +43,11 @@ OTHER_WORDS = ("commit", "sha", "md5", "checksum", "digest", "uuid", "guid", "re
 
 _VALUE = r"A-Za-z0-9+/=_\-.~"
 #: A value set to a name that speaks of secrets, or a long run with a digit.
-CANDIDATE = re.compile(
+_SET = re.compile(
     rf"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|auth(?:orization)?|credential|access[_-]?key|private[_-]?key|bearer)[\"']?\s{{0,3}}(?:[:=]|=>|\s)\s{{0,3}}[\"']?(?P<set>[{_VALUE}!@#%^&*]{{8,}})"
-    rf"|(?<![{_VALUE}])(?P<bare>(?=[A-Za-z+/=_\-]{{0,80}}[0-9])[A-Za-z0-9+/=_\-]{{16,}})"
 )
+_CANDIDATE = re.compile(_SET.pattern + rf"|(?<![{_VALUE}])(?P<bare>[A-Za-z0-9+/=_\-]{{16,}})")
+_DIGIT = re.compile("[0-9]")
 #: What every text with a candidate has, for a first look by Spark itself.
 FIRST_LOOK = r"(?i)token|secret|passw|pwd|api[_-]?key|auth|credential|access[_-]?key|private[_-]?key|bearer|[a-z0-9+/=_-]{16}"
 FEATURES = ("length", "digits", "capitals", "small", "marks", "transitions", "distinct", "entropy", "hex", "dictionary", "vowels", "path", "address", "secret_words", "other_words", "quoted", "assigned", "dots")
@@ -210,8 +211,17 @@ def default_forest(findings: list[tuple[str, int, int, int]] | None = None) -> F
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """Spans of candidates in a whole text, from the left, without overlap."""
-    for m in CANDIDATE.finditer(text):
-        yield m.span("set") if m.group("set") is not None else m.span("bare")
+    at = 0
+    while m := _CANDIDATE.search(text, at):
+        if m.lastgroup == "bare" and not _DIGIT.search(text, m.start(), m.end()):
+            # a run without a digit is none, but a name may be set within it
+            inner = _SET.search(text, m.start())
+            if inner is None or inner.start() >= m.end():
+                at = m.end()
+                continue
+            m = inner
+        yield m.span(m.lastgroup)
+        at = m.end()
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:

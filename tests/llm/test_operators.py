@@ -468,6 +468,19 @@ def test_codewords_are_apart():
         assert apart >= (1 if n == 2 else 2)
 
 
+def test_candidates_have_no_bounds():
+    late = "a" * 300 + "7" + "b" * 30
+    text = f"x {late} {'c' * 100}apikey=secretvalue {'d' * 50}"
+    assert [text[a:z] for a, z in secret_scan.candidates(text)] == [late, "secretvalue"]
+
+
+def test_every_label_is_learned(spark):
+    words = [f"{chr(97 + k // 20)}{chr(97 + k % 20)}qx" for k in range(250)]
+    rows = [(4 * i, " ".join([w, w[::-1], w] * 5), w) for i, w in enumerate(w for w in words for _ in range(12))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {x for _, x in langid.learning_sample(df)} == set(words)
+
+
 def test_secret_scan(spark):
     forest = secret_scan.default_forest()
     fresh = secret_scan.labelled_findings(800, 77)
