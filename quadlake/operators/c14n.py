@@ -67,18 +67,18 @@ def canonical_labels(quads: list[tuple], first: dict[str, str], algorithm: str =
     def neighbourhood(label: str, issuer: _Issuer, depth: int) -> tuple[str, _Issuer]:
         if depth > deepest:
             raise ToxicGraph("the neighbourhood of a blank node goes too deep")
-        near: dict[str, list[str]] = {}
+        near: dict[str, set[str]] = {}
         for q in of[label]:
             for place, t in (("s", q[1]), ("o", q[3]), ("g", q[0])):
                 if t is not None and t.kind == BNODE and t.value != label:
-                    near.setdefault(related(t.value, q, issuer, place), []).append(t.value)
+                    near.setdefault(related(t.value, q, issuer, place), set()).add(t.value)
         text = ""
         for h in sorted(near):
             text += h
             if len(near[h]) > most_permuted:
                 raise ToxicGraph("too many blank nodes are alike")
             best: tuple[str, _Issuer] | None = None
-            for order in permutations(near[h]):
+            for order in permutations(sorted(near[h])):
                 mine, path, todo = issuer.copy(), "", []
                 for x in order:
                     if x in issue.issued:

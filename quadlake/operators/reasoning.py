@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -196,11 +197,12 @@ def _shares(a: str, b: str) -> bool:
 def _check(df: DataFrame, keys: list[str], known: list[str]) -> None:
     types = _p(df, TYPE).where(F.col("o.v").isin(known))
     many = types.groupBy(*keys, "s").agg(F.collect_set("o.v").alias("d")).where(F.size("d") > 1).select("d").distinct()
-    for r in many.limit(10_000).collect():
-        for a in r["d"]:
-            for b in r["d"]:
-                if not _shares(a, b):
-                    raise Inconsistent(f"a resource of both {a} and {b}")
+    apart = [(a, b) for a in known for b in known if a < b and not _shares(a, b)]
+    both = lambda a, b: F.array_contains("d", a) & F.array_contains("d", b)
+    clash = many.where(reduce(lambda x, y: x | y, [both(a, b) for a, b in apart], F.lit(False))).first()
+    if clash:
+        a, b = next((a, b) for a, b in apart if a in clash["d"] and b in clash["d"])
+        raise Inconsistent(f"a resource of both {a} and {b}")
 
 
 def as_query(triples: list[tuple]) -> Query:

@@ -127,7 +127,13 @@ _sparql("fn_kinds", "SELECT ?k (COUNT(*) AS ?n) { <urn:x:orders/7> ?p ?o BIND(IF
         "SELECT unnest(['iri','number','other']) AS k, unnest([2,2,3])::BIGINT AS n FROM orders WHERE o_orderkey = 7")
 
 
-def _frame(name: str, sql: str) -> Callable:
+_sparql("minus_rows_left", "SELECT ?name { ?n n:n_name ?name ; n:n_regionkey ?r MINUS { ?r r:r_name 'ASIA' } }", "SELECT n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
+_sparql("minus_large_orders", "SELECT ?k { ?c c:c_custkey ?k MINUS { ?o o:o_custkey ?c ; o:o_totalprice ?t FILTER(?t > 350000) } }", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)")
+_sparql("fn_sha", "SELECT ?k ?a ?b { ?c c:c_custkey ?k ; c:c_name ?n BIND(SHA1(?n) AS ?a) BIND(STRLEN(SHA512(?n)) AS ?b) }", "SELECT c_custkey AS k, sha1(c_name) AS a, 128 AS b FROM customer")
+_sparql("fn_sample", "SELECT ?r (SAMPLE(?k) >= 0 AS ?ok) { ?n n:n_regionkey ?r ; n:n_nationkey ?k } GROUP BY ?r", "SELECT 'urn:x:region/' || n_regionkey AS r, true AS ok FROM nation GROUP BY n_regionkey")
+
+
+def frame_query(name: str, sql: str) -> Callable:
     def register(run: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[name], ORACLES[name] = run, sql
         return run
@@ -135,18 +141,21 @@ def _frame(name: str, sql: str) -> Callable:
     return register
 
 
-@_frame("ask_row", "SELECT EXISTS (SELECT 1 FROM region WHERE r_name = 'EUROPE') AS yes, EXISTS (SELECT 1 FROM region WHERE r_name = 'ATLANTIS') AS no")
+@frame_query("ask_row", "SELECT EXISTS (SELECT 1 FROM region WHERE r_name = 'EUROPE') AS yes, EXISTS (SELECT 1 FROM region WHERE r_name = 'ATLANTIS') AS no")
 def _ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(VirtualStore(spark, sf_dir), PREFIXES)
     return spark.createDataFrame([(e.query("ASK { ?r r:r_name 'EUROPE' }"), e.query("ASK { ?r r:r_name 'ATLANTIS' }"))], "yes boolean, no boolean")
 
 
-@_frame("construct_edges", "SELECT 'urn:x:nation/' || n_nationkey AS s, 'urn:x:in' AS p, r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey")
+@frame_query("construct_edges", "SELECT 'urn:x:nation/' || n_nationkey AS s, 'urn:x:in' AS p, r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey")
 def _construct(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Engine(VirtualStore(spark, sf_dir), PREFIXES).query("CONSTRUCT { ?n x:in ?name } WHERE { ?n n:n_regionkey/r:r_name ?name }")
     return t.selectExpr("s.v AS s", "p.v AS p", "o.v AS o")
 
 
-@_frame("describe_region", "SELECT 'urn:x:region/2' AS s, 'urn:x:region#r_name' AS p, r_name AS o FROM region WHERE r_regionkey = 2 UNION ALL SELECT 'urn:x:region/2', 'urn:x:region#r_regionkey', '2' UNION ALL SELECT 'urn:x:region/2', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'urn:x:region' UNION ALL SELECT 'urn:x:nation/' || n_nationkey, 'urn:x:nation#n_regionkey', 'urn:x:region/2' FROM nation WHERE n_regionkey = 2")
+@frame_query("describe_region", "SELECT 'urn:x:region/2' AS s, 'urn:x:region#r_name' AS p, r_name AS o FROM region WHERE r_regionkey = 2 UNION ALL SELECT 'urn:x:region/2', 'urn:x:region#r_regionkey', '2' UNION ALL SELECT 'urn:x:region/2', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'urn:x:region' UNION ALL SELECT 'urn:x:nation/' || n_nationkey, 'urn:x:nation#n_regionkey', 'urn:x:region/2' FROM nation WHERE n_regionkey = 2")
 def _describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(VirtualStore(spark, sf_dir), PREFIXES).query("DESCRIBE <urn:x:region/2>").selectExpr("s.v AS s", "p.v AS p", "o.v AS o")
+
+
+from . import graph_queries  # noqa: E402, F401  registers its queries here

@@ -142,7 +142,7 @@ _PY = re.compile(LINE, re.S)
 def parse_nquads(text: str, strict: bool = True) -> list[tuple]:
     """(g, s, p, o) terms of a small document, in Python; ParseError names the line."""
     out = []
-    for n, line in enumerate(text.splitlines()):
+    for n, line in enumerate(re.split("\r\n|\n|\r", text)):
         if re.match(r"^\s*(#.*)?$", line):
             continue
         m = _PY.match(line)

@@ -307,10 +307,10 @@ def read_documents(spark: SparkSession, path: str, parse) -> DataFrame:
 
 
 def scope_of(path: str) -> str:
-    """A suffix for the blank nodes of a file."""
-    import zlib
+    """A suffix for the blank nodes of a file: 96 bits, so that no two files share one."""
+    import hashlib
 
-    return f"f{zlib.crc32(path.encode()):08x}"
+    return f"f{hashlib.sha256(path.encode()).hexdigest()[:24]}"
 
 
 def read_turtle(spark: SparkSession, path: str, base: str | None = None, preserve_bnodes: bool = False, generalized: bool = False, trig: bool = False) -> DataFrame:

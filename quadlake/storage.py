@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write df once and read it back: lineage ends, and a lost executor costs nothing."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed at the end of the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
@@ -22,8 +21,14 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/quadlake/{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    return path
+
+
+def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write df once and read it back: lineage ends, and a lost executor costs nothing."""
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @atexit.register
