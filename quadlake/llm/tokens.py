@@ -13,7 +13,7 @@ _SPACES_2 = (0xC285, 0xC2A0)
 _SPACES_3 = (0xE19A80, 0xE1A08E, *range(0xE28080, 0xE2808C), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080, 0xEFBBBF)
 _MARKS = b".,!?;:|*#$%&"
 #: Longest part that is remembered, and characters encoded at a time.
-_LONGEST, _PIECE = 64, 1_000_000
+_LONGEST, _PIECE = 64, 400_000
 
 
 def default_tokenizer() -> str:
@@ -56,7 +56,7 @@ class Encoder:
     clearing are forgotten. Texts that hold an added token of the tokenizer are encoded whole by the library.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import numpy as np
         from tokenizers import Tokenizer
@@ -217,7 +217,7 @@ def encoder(path: str) -> Encoder:
 
 
 def encoded(texts: list[str | None], path: str, chars: int = _PIECE) -> Iterable[bytes]:
-    """Ids of each text (null: empty), about a million characters at a time."""
+    """Ids of each text (null: empty), about 400,000 characters at a time."""
     tool, some, size = encoder(path), [], 0
     for t in texts:
         t = t or ""
