@@ -159,16 +159,17 @@ def test_packing(docs, none, library):
 
 
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (1, 3, "ann", "bye"), (2, 0, None, "x"), (3, 0, "system", "alone"), (None, 1, "ann", "lost")]
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (1, 3, "ann", "bye"), (2, 0, None, "x"), (3, 0, "system", "alone"), (None, 1, "ann", "lost"), (4, None, "eve", "2"), (4, None, "eve", "1" * 3000), (4, None, "eve", "1")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, perspective string")
     out = defaultdict(list)
     for r in chat.perspectives(df).collect():
         out[(r.conv_id, r.perspective)].append(r)
-    assert set(out) == {(1, "ann"), (1, "bob"), (2, "unknown"), (None, "ann")}
+    assert set(out) == {(1, "ann"), (1, "bob"), (2, "unknown"), (None, "ann"), (4, "eve")}
     for found in out.values():
         found.sort(key=lambda r: r.start)
         text = "".join(r.segment for r in found)
         assert all(text[r.start : r.start + r.length] == r.segment for r in found)
+    assert [len(r.segment) - len(chat.START + "assistant\n" + chat.END) for r in out[(4, "eve")]] == [1, 3000, 1]
     ann = out[(1, "ann")]
     text = "".join(r.segment for r in ann)
     assert [text[r.mask_start : r.mask_end] for r in ann if r.mask] == ["hi<|im_end|>", "bye<|im_end|>", "bye<|im_end|>"]
