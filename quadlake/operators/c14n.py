@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import permutations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.nquads import from_frame, line_column
-from ..terms import BNODE, IRI, TRIPLE, VARIABLE, Term, bnode, canonical_column, iri, triple_term
+from ..storage import materialize
+from ..terms import BNODE, IRI, TERM_DDL, TRIPLE, VARIABLE, Term, bnode, canonical_column, iri, triple_term
 
 #: The namespace of graphs that stand for triple terms in the extension.
 TRIPLE_GRAPH = "urn:quadlake:triple-term:"
@@ -33,19 +35,26 @@ def _hash(text: str, algorithm: str) -> str:
 
 
 class _Issuer:
-    def __init__(self, prefix: str, issued: dict[str, str] | None = None):
+    def __init__(self, prefix: str, issued: dict[str, str] | None = None, count: int | None = None):
         self.prefix, self.issued = prefix, dict(issued or {})
+        self.count = len(self.issued) if count is None else count
 
     def __call__(self, label: str) -> str:
-        return self.issued.setdefault(label, f"{self.prefix}{len(self.issued)}")
+        if label not in self.issued:
+            self.issued[label] = f"{self.prefix}{self.count}"
+            self.count += 1
+        return self.issued[label]
 
     def copy(self) -> _Issuer:
-        return _Issuer(self.prefix, self.issued)
+        return _Issuer(self.prefix, self.issued, self.count)
 
 
-def canonical_labels(quads: list[tuple], first: dict[str, str], algorithm: str = "sha256", depth_factor: float = 1.0, most_permuted: int = 6) -> dict[str, str]:
+def canonical_labels(quads: list[tuple], first: dict[str, str], algorithm: str = "sha256", depth_factor: float = 1.0, most_permuted: int = 6, named: dict[str, str] | None = None, count: int = 0) -> dict[str, str]:
     """Label -> c14nN, after the first-degree hashes are known. Nodes of a hash of their own are named at once, in the order of
-    hashes; only the others are told apart by the hashes of their neighbourhoods, within the limits."""
+    hashes; only the others are told apart by the hashes of their neighbourhoods, within the limits.
+
+    Where `count` nodes of hashes of their own have names already, `first` and `quads` need only tell of the other nodes,
+    and `named` the names of those that occur in these quads."""
     of: dict[str, list[tuple]] = {}
     for q in quads:
         for label in {t.value for t in q if t is not None and t.kind == BNODE}:
@@ -53,11 +62,11 @@ def canonical_labels(quads: list[tuple], first: dict[str, str], algorithm: str =
     by_hash: dict[str, list[str]] = {}
     for label, h in first.items():
         by_hash.setdefault(h, []).append(label)
-    issue = _Issuer("c14n")
+    issue = _Issuer("c14n", named, count)
     for h in sorted(by_hash):
         if len(by_hash[h]) == 1:
             issue(by_hash[h][0])
-    deepest = max(1, int(depth_factor * len(first)))
+    deepest = max(1, int(depth_factor * (len(first) + count)))
 
     def related(label: str, q: tuple, issuer: _Issuer, place: str) -> str:
         name = issue.issued.get(label) or issuer.issued.get(label)
@@ -133,26 +142,45 @@ def _relabel(quads: DataFrame, labels: DataFrame) -> DataFrame:
     return quads
 
 
+def _labels(quads: DataFrame, algorithm: str = "sha256", depth_factor: float = 1.0, most_permuted: int = 6) -> DataFrame:
+    """node, label for each blank node of the quads."""
+    spark = quads.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashes = materialize(first_degree_hashes(quads, algorithm), "hashes")
+    alike = materialize(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "alike")
+    # names by the order of hashes: each range of them counts from where those before it end
+    ranges = hashes.join(alike, "hash", "left_anti").repartitionByRange(n, "hash").sortWithinPartitions("hash")
+    ranges = materialize(ranges.select("node", F.monotonically_increasing_id().alias("_i")), "ranges").withColumn("_p", F.shiftright("_i", 33))
+    counts, starts, total = ranges.groupBy("_p").count().orderBy("_p").collect(), [], 0
+    for r in counts:
+        starts.append((r["_p"], total))
+        total += r["count"]
+    place = F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start") if starts else F.lit(0)
+    own = ranges.join(F.broadcast(spark.createDataFrame(starts, "_p long, _start long")), "_p")
+    own = own.select("node", F.concat(F.lit("c14n"), place.cast("string")).alias("label")) if starts else hashes.select("node", F.lit("").alias("label")).where("false")
+    if alike.isEmpty():
+        return own
+    own = materialize(own, "names")
+    rest = hashes.join(alike, "hash", "left_semi")
+    first = {r["node"]: r["hash"] for r in rest.collect()}
+    keyed = materialize(quads.withColumn("_q", F.struct("g", "s", "p", "o")), "quads")
+    nodes = F.filter(F.array("g", "s", "o"), lambda t: t.isNotNull() & (t["k"] == BNODE))
+    at = keyed.select("_q", F.explode(F.array_distinct(F.transform(nodes, lambda t: t["v"]))).alias("node"))
+    open_ = materialize(at.join(rest.select("node"), "node", "left_semi").select("_q").distinct().select("_q.*"), "open")
+    near = open_.select(F.explode(F.transform(nodes, lambda t: t["v"])).alias("node")).distinct()
+    known = {r["node"]: r["label"] for r in own.join(near, "node", "left_semi").collect()}
+    names = canonical_labels(from_frame(open_), first, algorithm, depth_factor, most_permuted, known, total)
+    return own.unionByName(spark.createDataFrame([(x, names[x]) for x in first], "node string, label string"))
+
+
 def relabeled(quads: DataFrame, algorithm: str = "sha256", depth_factor: float = 1.0, most_permuted: int = 6) -> DataFrame:
     """The dataset with canonical labels.
 
-    First-degree hashes, and names of all blank nodes whose hash is unique, never leave the executors; quads of blank nodes
-    that share a hash with another go to the driver, since their names depend on each other.
+    First-degree hashes, and names of all blank nodes whose hash is unique, never leave the executors. Blank nodes that
+    share a hash with another go to the driver with their own quads, since their names depend on each other.
     """
-    from pyspark.sql import Window
-
     quads = _prepared(quads, False)
-    hashes = first_degree_hashes(quads, algorithm)
-    counted = hashes.withColumn("_c", F.count("hash").over(Window.partitionBy("hash")))
-    if counted.where("_c > 1").limit(1).isEmpty():
-        labels = counted.select("node", F.concat(F.lit("c14n"), F.row_number().over(Window.orderBy("hash")) - 1).alias("label"))
-    else:
-        spark = quads.sparkSession
-        first = {r["node"]: r["hash"] for r in hashes.collect()}
-        blank = quads.where(F.coalesce(F.col("g.k") == BNODE, F.lit(False)) | (F.col("s.k") == BNODE) | (F.col("o.k") == BNODE))
-        names = canonical_labels(from_frame(blank), first, algorithm, depth_factor, most_permuted)
-        labels = spark.createDataFrame(list(names.items()), "node string, label string")
-    return _relabel(quads, labels)
+    return _relabel(quads, _labels(quads, algorithm, depth_factor, most_permuted))
 
 
 def normalized(quads: DataFrame, **options) -> DataFrame:
@@ -194,21 +222,21 @@ def dataset_hash(quads: list[tuple], algorithm: str = "sha256", **limits) -> str
     from ..sources.nquads import quad_line
 
     plain = _as_quads([q if len(q) == 4 else (None, *q) for q in quads])
-    first = {}
-    for label in {t.value for q in plain for t in q if t is not None and t.kind == BNODE}:
-        lines = []
-        for q in plain:
-            if any(t is not None and t.kind == BNODE and t.value == label for t in q):
-                swap = tuple(t if t is None or t.kind != BNODE else bnode("a" if t.value == label else "z") for t in q)
-                lines.append(quad_line(swap) + "\n")
-        first[label] = _hash("".join(sorted(lines)), algorithm)
+    of: dict[str, list[str]] = {}
+    for q in plain:
+        for label in {t.value for t in q if t is not None and t.kind == BNODE}:
+            swap = tuple(t if t is None or t.kind != BNODE else bnode("a" if t.value == label else "z") for t in q)
+            of.setdefault(label, []).append(quad_line(swap) + "\n")
+    first = {label: _hash("".join(sorted(lines)), algorithm) for label, lines in of.items()}
     names = canonical_labels(plain, first, algorithm, **limits)
     lines = sorted({quad_line(tuple(t if t is None or t.kind != BNODE else bnode(names[t.value]) for t in q)) for q in plain})
     return _hash("\n".join(lines), algorithm)
 
 
-def isomorphic(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two datasets are equal but for the labels of blank nodes. Sizes and ground quads are compared by Spark; what has blank nodes goes on."""
+def isomorphic(a: DataFrame, b: DataFrame, few: int = 10_000) -> bool:
+    """Whether two datasets are equal but for the labels of blank nodes. Sizes and ground quads are compared by Spark, and so are
+    the canonical forms of what has blank nodes. The driver does it, with the same result, where that is `few` quads at most, and where
+    blank nodes are inside of triple terms or predicates."""
     a, b = (x.select(*([c for c in ("g",) if c in x.columns]), "s", "p", "o").distinct() for x in (a, b))
     if a.count() != b.count():
         return False
@@ -223,7 +251,16 @@ def isomorphic(a: DataFrame, b: DataFrame) -> bool:
     ga, gb = a.where(~blank(a)), b.where(~blank(b))
     if not ga.exceptAll(gb).limit(1).isEmpty() or not gb.exceptAll(ga).limit(1).isEmpty():
         return False
-    return dataset_hash(from_frame(a.where(blank(a)))) == dataset_hash(from_frame(b.where(blank(b))))
+    a, b = a.where(blank(a)), b.where(blank(b))
+    # blank nodes inside of triple terms, or as predicates, are compared by the driver
+    inner = [F.coalesce((F.col(f"{c}.k") == TRIPLE) & F.col(f"{c}.v").contains("_:"), F.lit(False)) for c in a.columns]
+    hard = reduce(lambda x, y: x | y, inner) | (F.col("p.k") == BNODE)
+    if a.limit(few + 1).count() <= few or not a.where(hard).isEmpty() or not b.where(hard).isEmpty():
+        return dataset_hash(from_frame(a)) == dataset_hash(from_frame(b))
+    none = F.lit(None).cast(TERM_DDL)
+    a, b = (x.select("g" if "g" in x.columns else none.alias("g"), "s", "p", "o") for x in (a, b))
+    a, b = (materialize(_relabel(x, _labels(x)), "relabeled") for x in (a, b))
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
 __all__ = ["ToxicGraph", "canonical_labels", "dataset_hash", "first_degree_hashes", "isomorphic", "normalized", "relabeled", "triple_term"]

@@ -80,14 +80,13 @@ class Resource:
         return typed(self.get_term(p), python_type)
 
     def get_list(self, p) -> list[Term]:
-        heads = list_items(self.graph)
         head = self.get_term(p)
         if head == iri(RDF + "nil"):
             return []
-        rows = heads.where(F.col("head").eqNullSafe(head.column())).select("items").collect()
+        rows = list_members(self.graph, head).orderBy("position").select("item").collect()
         if not rows:
             raise ValueError("not a list, or one with a branch or a loop")
-        return [from_row(x) for x in rows[0]["items"]]
+        return [from_row(r["item"]) for r in rows]
 
 
 def typed(t: Term, python_type: type):
@@ -100,27 +99,34 @@ def typed(t: Term, python_type: type):
     return python_type(t.value)
 
 
-def list_items(graph: DataFrame) -> DataFrame:
-    """head, items for every well-formed list of a graph: each cell with one rdf:first and one rdf:rest, ending in rdf:nil.
+def list_members(graph: DataFrame, head: Term | None = None) -> DataFrame:
+    """head, position (from 0), item for each cell of every well-formed list of a graph, or of the list at `head`: each cell with
+    one rdf:first and one rdf:rest, ending in rdf:nil.
 
-    How far a cell is from the end is known after a number of rounds that grows with the logarithm of the longest list:
-    each round every cell takes over what the cell it points at knows. Loops never reach an end and are left out.
+    Rounds grow with the logarithm of the longest list: each round every cell takes over what the cell it points at knows,
+    so that it points twice as far. Then members are found by these pointers, the shortest first: what is known of a list
+    doubles each round, and each member is made once. Loops never reach an end and are left out.
     """
     one = lambda p: graph.where(F.col("p.v") == RDF + p).groupBy("s").agg(F.min("o").alias("o"), F.count("o").alias("n")).where("n = 1").drop("n")
-    cells = one("first").withColumnRenamed("o", "item").join(one("rest").withColumnRenamed("o", "next"), "s")
-    heads = cells.select(F.col("s").alias("head")).join(cells.select(F.col("next").alias("head")), "head", "left_anti")
-    nil = F.col("target.v") == RDF + "nil"
-    # (cell, distance, target): from a cell to a later one; doubled until all reach the end
-    hops = materialize(cells.select("s", F.col("next").alias("target"), F.lit(1).cast("long").alias("n")), "hops")
-    total, rounds = hops.count(), 0
-    while not hops.where(~nil).limit(1).isEmpty() and (1 << rounds) <= total:
-        far = hops.select(F.col("s").alias("target"), F.col("target").alias("t2"), F.col("n").alias("n2"))
-        hops = hops.join(far, "target", "left").select("s", F.coalesce("t2", "target").alias("target"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
-        hops, rounds = materialize(hops, "hops"), rounds + 1
-    left = hops.where(nil).select("s", F.col("n").alias("left"))
-    from .paths import reachable
-
-    # without a start: walks double in length each round, so that long lists take few rounds
-    reach = reachable(cells.select("s", F.col("next").alias("o"))).join(heads.select(F.col("head").alias("s")), "s", "left_semi").where(F.col("o.v") != RDF + "nil").select(F.col("s").alias("head"), F.col("o").alias("s"))
-    members = reach.unionByName(heads.select("head", F.col("head").alias("s"))).join(left, "s").join(cells.select("s", "item"), "s")
-    return members.groupBy("head").agg(F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("at"), F.col("item").alias("item")))).alias("x")).select("head", F.transform("x", lambda e: e["item"]).alias("items"))
+    cells = materialize(one("first").withColumnRenamed("o", "item").join(one("rest").withColumnRenamed("o", "next"), "s"), "cells")
+    nil = (F.col("target.k") == IRI) & (F.col("target.v") == RDF + "nil")
+    # (cell, target): 2 ** level cells on, or the end if that is nearer
+    levels = [cells.select("s", F.col("next").alias("target"))]
+    total = cells.count()
+    while (1 << len(levels) - 1) <= total and not levels[-1].where(~nil).isEmpty():
+        hops = levels[-1]
+        far = hops.select(F.col("s").alias("target"), F.col("target").alias("t2"))
+        levels.append(materialize(hops.join(far, "target", "left").select("s", F.coalesce("t2", "target").alias("target")), "hops"))
+    starts = levels[-1].where(nil).select("s")
+    starts = starts.where(F.col("s").eqNullSafe(head.column())) if head is not None else starts.join(cells.select(F.col("next").alias("s")), "s", "left_anti")
+    members = materialize(starts.select(F.col("s").alias("head"), "s", F.lit(0).cast("long").alias("position")), "members")
+    for level, hops in enumerate(levels[:-1]):
+        found = members.join(hops.where(~nil), "s").select("head", F.col("target").alias("s"), (F.col("position") + F.lit(1 << level)).alias("position"))
+        members = members.unionByName(materialize(found, "members"))
+    return members.join(cells.select("s", "item"), "s").select("head", "position", "item")
+
+
+def list_items(graph: DataFrame) -> DataFrame:
+    """head, items for every list of list_members, one row a list; a list too long for a row stays with list_members."""
+    members = list_members(graph).groupBy("head").agg(F.sort_array(F.collect_list(F.struct("position", "item"))).alias("x"))
+    return members.select("head", F.transform("x", lambda e: e["item"]).alias("items"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +130,63 @@ class Store:
         return self.quads.where(F.col("g").isNotNull()).select(F.col("g").alias(GRAPH)).distinct()
 
 
+def _patterns(names: list[str], maybe: set[str]) -> list[int]:
+    """The sets of names, as bits, that can be bound at once."""
+    free = [1 << i for i, v in enumerate(names) if v in maybe]
+    return [(1 << len(names)) - 1 - sum(x) for n in range(len(free) + 1) for x in combinations(free, n)]
+
+
+def _meeting(left: DataFrame, right: DataFrame, names: list[str], mine: list[int], theirs: list[int]) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides and an equi-join condition under which rows that agree on the names bound in both meet, once.
+
+    A row of the left comes once for each set of names that a row of the right (columns r:name) can have bound, and the
+    other way round; the keys are both sets and the values of the names in both. mine and theirs: the sets of either side.
+    """
+    bits = lambda prefix: sum((F.when(F.col(f"`{prefix}{enc(v)}`").isNotNull(), 1 << i).otherwise(0) for i, v in enumerate(names)), F.lit(0))
+    each = lambda sets: F.explode(F.array(*map(F.lit, sets))) if len(sets) > 1 else F.lit(sets[0])
+    left = left.select("*", bits("").alias("k:l")).select("*", each(theirs).alias("k:r"))
+    right = right.select("*", bits("r:").alias("r:k:r")).select("*", each(mine).alias("r:k:l"))
+    if len(theirs) == 1:
+        right = right.where(F.col("`r:k:r`") == theirs[0])
+    on = (F.col("`k:l`") == F.col("`r:k:l`")) & (F.col("`k:r`") == F.col("`r:k:r`"))
+    for i, v in enumerate(names):
+        shown = lambda p: F.when(F.col(f"`{p}k:l`").bitwiseAND(F.col(f"`{p}k:r`")).bitwiseAND(F.lit(1 << i)) != 0, F.col(f"`{p}{enc(v)}`")).alias(f"{p}k:{i}")  # noqa: B023, E731
+        left, right = left.select("*", shown("")), right.select("*", shown("r:"))
+        on = on & F.col(f"`k:{i}`").eqNullSafe(F.col(f"`r:k:{i}`"))
+    return left, right, on
+
+
+def _joined(left: Solutions, renamed: DataFrame, right_maybe: set[str], shared: list[str], on: Column, how: str) -> DataFrame:
+    """left.df joined to the right's renamed columns on `on`.
+
+    Where each shared variable can be unbound on a side, `on` alone has no key, and any plan of it compares all with all;
+    then up to three of the variables become keys by _meeting. Rows that share no bound variable still meet all.
+    """
+    loose = [v for v in shared if v in left.maybe or v in right_maybe]
+    if not loose or any(v not in loose and v != GRAPH for v in shared):
+        return left.df.join(renamed, on, how)
+    names = loose[:3]
+    mine, theirs, columns = _patterns(names, left.maybe), _patterns(names, right_maybe), left.df.columns
+
+    def part(df: DataFrame, sets: list[int], how: str) -> DataFrame:
+        a, b, keys = _meeting(df, renamed, names, mine, sets)
+        out = a.join(b, on & keys, how)
+        return out.select(*[F.col(f"`{c}`") for c in (columns if how in ("left_semi", "left_anti") else [*columns, *renamed.columns])])
+
+    if how == "inner" or len(theirs) == 1:
+        return part(left.df, theirs, how)
+    if how == "left":
+        return part(left.df, theirs, "inner").unionByName(_joined(left, renamed, right_maybe, shared, on, "left_anti"), allowMissingColumns=True)
+    rest, found = left.df, None
+    for i, one in enumerate(theirs):
+        if how == "left_semi":
+            hit = part(rest, [one], "left_semi")
+            found = hit if found is None else found.unionByName(hit)
+        if how == "left_anti" or i + 1 < len(theirs):
+            rest = part(rest, [one], "left_anti")
+    return rest if found is None else found
+
+
 def _open(t: Term) -> bool:
     return t.kind in (VARIABLE, BNODE) or any(_open(x) for x in t.parts)
 
@@ -215,7 +273,7 @@ class Compiler:
         if on is None:
             df = left.df.crossJoin(renamed) if how == "inner" else left.df.join(renamed, F.lit(True), how)
         else:
-            df = left.df.join(renamed, on, how)
+            df = _joined(left, renamed, right.maybe, shared, on, how)
         columns = {v: Typed(left.kinds[v], F.coalesce(col(v), F.col(f"`r:{enc(v)}`")) if v in loose else col(v)) for v in left.kinds}
         columns.update({v: Typed(right.kinds[v], col(v)) for v in right.kinds if v not in shared})
         if how == "inner":
@@ -257,11 +315,12 @@ class Compiler:
     def _flags(self, s: Solutions, e, active) -> tuple[Solutions, object]:
         if isinstance(e, A.Exists):
             self.count += 1
-            row, flag = f".r{self.count}", f".x{self.count}"
-            numbered = Solutions(s.df.withColumn(enc(row), F.monotonically_increasing_id()), {**s.kinds, row: "int"}, s.maybe)
-            found = self.exists(numbered, e.pattern, False, active).df.select(col(row).alias("r:id")).withColumn("r:yes", F.lit(True))
-            df = numbered.df.join(found, col(row) == F.col("`r:id`"), "left").withColumn(enc(flag), F.col("`r:yes`").isNotNull() != F.lit(e.negated)).drop("r:id", "r:yes")
-            return Solutions(df, {**numbered.kinds, flag: "bool"}, s.maybe), Term(VARIABLE, flag)
+            flag = f".x{self.count}"
+            right, conditions = self._inside(e.pattern, active)
+            # each row is in one of both, so that no row has to be told from another
+            yes, no = (self._semi(s, right, how, conditions) for how in ("left_semi", "left_anti"))
+            df = yes.df.withColumn(enc(flag), F.lit(not e.negated)).unionByName(no.df.withColumn(enc(flag), F.lit(e.negated)))
+            return Solutions(df, {**yes.kinds, flag: "bool"}, yes.maybe), Term(VARIABLE, flag)
         if isinstance(e, A.Call) and any(_has_exists(a) for a in e.args):
             args = []
             for a in e.args:
@@ -271,13 +330,17 @@ class Compiler:
         return s, e
 
     def exists(self, s: Solutions, pattern, negated: bool, active) -> Solutions:
-        inner, conditions = pattern, []
-        while isinstance(inner, A.Filter) and not _has_exists(inner.expr):
-            conditions.append(inner.expr)
-            inner = inner.inner
-        right = self.pattern(inner, active)
+        right, conditions = self._inside(pattern, active)
         return self._semi(s, right, "left_anti" if negated else "left_semi", conditions)
 
+    def _inside(self, pattern, active) -> tuple[Solutions, list]:
+        """A pattern without the filters around it, and these."""
+        conditions = []
+        while isinstance(pattern, A.Filter) and not _has_exists(pattern.expr):
+            conditions.append(pattern.expr)
+            pattern = pattern.inner
+        return self.pattern(pattern, active), conditions
+
     def _semi(self, s: Solutions, right: Solutions, how: str, conditions: list, need_shared: bool = False) -> Solutions:
         shared = [v for v in s.kinds if v in right.kinds and not v.startswith("_:")]
         kinds = {v: unified(s.typed(v), right.typed(v))[0].kind for v in shared}
@@ -299,7 +362,7 @@ class Compiler:
             scope = {v: Typed(right.kinds[v], F.col(f"`r:{enc(v)}`")) for v in right.kinds if v in wanted}
             scope.update({v: left.typed(v) for v in left.kinds})
             on = on & F.coalesce(ebv(self.expr(c, scope)), F.lit(False))
-        return Solutions(left.df.join(renamed, on, how), left.kinds, left.maybe)
+        return Solutions(_joined(left, renamed, right.maybe, shared, on, how), left.kinds, left.maybe)
 
     def on_minus(self, n: A.Minus, active) -> Solutions:
         s, right = self.pattern(n.left, active), self.pattern(n.right, active)

@@ -26,10 +26,36 @@ def _nested(depth: int) -> str:
     return out
 
 
-_TERM = _nested(3)
+_TERM = _nested(1)
+#: Lines with triple terms of depth 1 at most; _deep_terms takes others apart.
 LINE = rf"^\s*({_TERM})\s*({_TERM})\s*({_TERM})\s*({_IRI}|{_BNODE}|{_TERM})?\s*\.\s*(?:#.*)?$"
 
 
+_PIECE = re.compile(rf"\s*(?:(<<\()|(\)>>)|({_IRI}|_:[\w:](?:[\w:.\-·]*[\w:\-·])?|{_LIT}|{_VAR}))")
+_END = re.compile(r"\s*\.\s*(#.*)?")
+
+
+def _deep_terms(line: str) -> list[str] | None:
+    """The texts of the three or four terms of a line, nested at any depth; None if it is no quad."""
+    out: list[str] = []
+    inside: list[int] = []
+    start = at = 0
+    while m := _PIECE.match(line, at):
+        at = m.end()
+        if not inside:
+            start = m.start(m.lastindex)
+        if m[1]:
+            inside.append(0)
+            continue
+        if m[2] and (not inside or inside.pop() != 3):
+            return None
+        if inside:
+            inside[-1] += 1
+        else:
+            out.append(line[start:at])
+    return out if not inside and len(out) in (3, 4) and _END.fullmatch(line, at) else None
+
+
 class ParseError(ValueError):
     """Text that is not in the format; line and column count from 0."""
 
@@ -88,6 +114,12 @@ def _retext(s, scope):
     return s.combine(scope, one)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _deep(lines):
+    """The terms of lines with deep triple terms."""
+    return lines.map(lambda v: None if v is None else _deep_terms(v))
+
+
 def read_nquads(spark: SparkSession, path: str, preserve_bnodes: bool = False, strict: bool = True) -> DataFrame:
     """Quads of N-Triples or N-Quads files, one line a row, any number of tasks a file.
 
@@ -105,8 +137,11 @@ def parse_lines(lines: DataFrame, preserve_bnodes: bool = False, strict: bool =
     if not preserve_bnodes:
         scope = F.concat(F.lit("f"), F.lower(F.hex(F.xxhash64("_file")))) if "_file" in lines.columns else F.lit("f0")
     rows = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    part = lambda i: F.regexp_extract("value", LINE, i)
-    good = F.col("value").rlike(LINE)
+    flat = F.col("value").rlike(LINE)
+    # only lines that nest triple terms in triple terms go through Python
+    rows = rows.withColumn("_deep", _deep(F.when(~flat & F.col("value").rlike(r"<<\(.*<<\("), F.col("value"))))
+    part = lambda i: F.when(flat, F.regexp_extract("value", LINE, i)).otherwise(F.coalesce(F.get("_deep", F.lit(i - 1)), F.lit("")))
+    good = flat | F.col("_deep").isNotNull()
     # every column fails on a bad line: whichever of them is asked for
     bad = lambda: F.raise_error(F.concat(F.lit("not N-Quads: "), F.col("value"))).cast(TERM_DDL)
     terms = {n: F.when(good, term_column(F.when(part(i) != "", part(i)), scope)).otherwise(bad()) for n, i in (("s", 1), ("p", 2), ("o", 3), ("g", 4))}
@@ -146,11 +181,12 @@ def parse_nquads(text: str, strict: bool = True) -> list[tuple]:
         if re.match(r"^\s*(#.*)?$", line):
             continue
         m = _PY.match(line)
-        if not m:
+        texts = m.groups() if m else _deep_terms(line)
+        if not texts:
             raise ParseError("not N-Quads", n)
         try:
-            s, p, o = (parse_term(m[i]) for i in (1, 2, 3))
-            g = parse_term(m[4]) if m[4] else None
+            s, p, o = (parse_term(x) for x in texts[:3])
+            g = parse_term(texts[3]) if len(texts) > 3 and texts[3] else None
         except (ValueError, KeyError) as e:
             raise ParseError(str(e), n) from e
         if strict and (s.kind not in (IRI, BNODE) or p.kind != IRI or o.kind == VARIABLE or (g is not None and g.kind not in (IRI, BNODE)) or any(t is not None and t.kind == IRI and not is_absolute(t.value) for t in (s, p, o, g))):

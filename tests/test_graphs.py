@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from quadlake import iri as iris
 from quadlake.operators import c14n, quads, reasoning
 from quadlake.operators.mapping import VirtualStore
-from quadlake.operators.resource import Cardinality, Resource, list_items
+from quadlake.operators.resource import Cardinality, Resource, list_items, list_members
 from quadlake.plans.compiler import Engine
 from quadlake.sources import results
 from quadlake.sources.jsonld import file_loader, parse_jsonld, static_loader, to_jsonld
 from quadlake.sources.loader import LocalLoader
-from quadlake.sources.nquads import ParseError, from_frame, line_column, parse_nquads, quad_line, read_nquads, to_frame, write_nquads
+from quadlake.sources.nquads import ParseError, from_frame, line_column, parse_lines, parse_nquads, quad_line, read_nquads, to_frame, write_nquads
 from quadlake.sources.rdfxml import parse_rdfxml, to_rdfxml
 from quadlake.sources.turtle import parse_trig, parse_turtle, read_turtle
 from quadlake.sources.writers import pretty, write_turtle
@@ -206,6 +206,49 @@ def test_resources(spark, tmp_path):
     assert list_items(loop).count() == 0
 
 
+def test_lists(spark):
+    """Of any length, sharing tails, ending badly; each cell of a list is made once."""
+    first, rest, nil = iri(RDF + "first"), iri(RDF + "rest"), iri(RDF + "nil")
+    chain = lambda tag, n, end: [q for i in range(n) for q in ((None, bnode(f"{tag}{i}"), first, literal(i)), (None, bnode(f"{tag}{i}"), rest, bnode(f"{tag}{i + 1}") if i + 1 < n else end))]
+    quads = chain("a", 1, nil) + chain("b", 9, nil) + chain("c", 2, bnode("b7")) + chain("d", 4, bnode("d1")) + chain("e", 3, iri("http://x/end"))
+    found = {r["head"]["v"]: [x["v"] for x in r["items"]] for r in list_items(to_frame(spark, quads)).collect()}
+    assert found == {"a0": ["0"], "b0": [str(i) for i in range(9)], "c0": ["0", "1", "7", "8"]}
+    assert list_members(to_frame(spark, quads)).count() == 1 + 9 + 4
+    middle = Resource(iri("http://x/r"), to_frame(spark, [*quads, (None, iri("http://x/r"), iri(X + "l"), bnode("b5"))]))
+    assert [t.value for t in middle.get_list(X + "l")] == [str(i) for i in range(5, 9)]
+
+
+def test_deep_triple_terms(spark):
+    deep = iri(X + "o")
+    for i in range(7):
+        deep = triple_term(bnode(f"b{i}") if i % 2 else iri(X + "s"), iri(X + "p"), deep if i else literal('a <<( b )>> " c', lang="en"))
+    quads = [(iri(X + "g"), iri(X + "s"), iri(X + "p"), deep), (None, iri(X + "s"), iri(X + "p"), triple_term(bnode("b"), iri(X + "p"), iri(X + "o")))]
+    lines = [quad_line(q) for q in quads]
+    assert parse_nquads("\n".join(lines)) == quads
+    frame = lambda x: spark.createDataFrame([(v,) for v in x], "value string")
+    assert from_frame(parse_lines(frame(lines), preserve_bnodes=True)) == quads
+    for bad in (lines[0].replace(")>> )>>", ")>>", 1), lines[0].replace("<<( <", "<<( <http://x/z> <", 1), lines[0][:-1]):
+        with pytest.raises(ParseError):
+            parse_nquads(bad)
+        with pytest.raises(Exception, match="not N-Quads"):
+            parse_lines(frame([bad])).collect()
+
+
+def test_labels_of_few_alike(spark):
+    """Nodes of one hash are named after all others, whose names come from Spark; both ways of naming agree."""
+    own = [(None, bnode(f"o{i}"), iri(X + "n"), literal(i)) for i in range(40)]
+    alike = [q for k in "xy" for q in ((None, bnode(k), iri(X + "p"), bnode(f"o{'xy'.index(k)}")), (None, bnode(k), iri(X + "q"), iri(X + "z")))]
+    quads = own + alike + cycle(3, "c")
+    df = to_frame(spark, quads)
+    first = {r["node"]: r["hash"] for r in c14n.first_degree_hashes(df).collect()}
+    assert len(set(first.values())) < len(first)
+    names = c14n.canonical_labels(quads, first)
+    assert {r["node"]: r["label"] for r in c14n._labels(df).collect()} == names and sorted(names.values()) == sorted(f"c14n{i}" for i in range(len(first)))
+    renamed = to_frame(spark, [tuple(t if t is None or t.kind else bnode("r" + t.value[::-1]) for t in q) for q in quads])
+    other = to_frame(spark, own + alike[:2] + [(None, bnode("y"), iri(X + "p"), bnode("o2")), alike[3]] + cycle(3, "c"))
+    assert c14n.isomorphic(df, renamed, few=0) and not c14n.isomorphic(df, other)
+
+
 def test_iris():
     base = "http://a/b/c/d;p?q"
     # the examples of RFC 3986

@@ -1,5 +1,7 @@
 """Queries over small graphs, with the solutions they must have."""
 
+import itertools
+
 import pytest
 
 from quadlake.plans.compiler import Engine
@@ -130,3 +132,36 @@ def test_errors():
 def test_canonical_text_round_trip():
     for text in ('"a\\nb\\"c\\\\"', '"x"@en--rtl', '<<( <http://a> <http://b> <<( _:x <http://c> "1"^^<http://d> )>> )>>'):
         assert canonical(parse_term(text)) == text
+
+
+OPEN = "VALUES (?a ?b) { (1 1) (1 UNDEF) (UNDEF 2) (UNDEF UNDEF) (2 2) (1 1) (3 UNDEF) }"
+LEFT = [{"a": 1, "b": 1}, {"a": 1}, {"b": 2}, {}, {"a": 2, "b": 2}, {"a": 1, "b": 1}, {"a": 3}]
+RIGHT = [{"b": 1, "a": 1, "c": 5}, {"a": 1, "c": 6}, {"b": 2, "c": 7}, {"c": 8}, {"b": 1, "a": 2, "c": 9}]
+
+
+def _plain(kind, right):
+    agree = lambda x, y: all(x[k] == y[k] for k in x.keys() & y.keys())
+    if kind == "join":
+        return [{**x, **y} for x, y in itertools.product(LEFT, right) if agree(x, y)]
+    if kind == "optional":
+        return _plain("join", right) + [x for x in LEFT if not any(agree(x, y) for y in right)]
+    if kind == "minus":
+        return [x for x in LEFT if not any(agree(x, y) and x.keys() & y.keys() for y in right)]
+    return [x for x in LEFT if any(agree(x, y) for y in right) == (kind == "exists")]
+
+
+@pytest.mark.parametrize("right", [RIGHT, RIGHT[:3], RIGHT[:1] + RIGHT[4:]])
+@pytest.mark.parametrize("kind,words", [("join", ""), ("optional", "OPTIONAL"), ("minus", "MINUS"), ("exists", "FILTER EXISTS"), ("not exists", "FILTER NOT EXISTS")])
+def test_joins_of_unbound_variables(engine, kind, words, right):
+    """Against all pairs, and by a plan that doesn't make them."""
+    values = "VALUES (?b ?a ?c) { " + " ".join(f"({x.get('b', 'UNDEF')} {x.get('a', 'UNDEF')} {x['c']})" for x in right) + " }"
+    r = engine.query(f"SELECT ?a ?b ?c {{ {OPEN} {words} {{ {values} }} }}")
+    found = sorted(str(sorted((k, int(t.value)) for k, t in x.items() if t is not None)) for x in r.rows())
+    assert found == sorted(str(sorted(x.items())) for x in _plain(kind, right))
+    assert "NestedLoop" not in r.df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exists_as_a_value(engine):
+    query = "SELECT ?o ?x ?y { ?s :p ?o BIND(EXISTS { ?o :name ?n } AS ?x) BIND(NOT EXISTS { ?o :q ?n } || EXISTS { ?o :age 25.5 } AS ?y) }"
+    true, false = ('"%s"^^<xsd:boolean>' % x for x in ("true", "false"))
+    assert rows(engine, query) == [("<b>", true, true), ("<b>", true, true), ("<c>", false, true)]
