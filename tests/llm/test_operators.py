@@ -131,6 +131,35 @@ def test_two_pieces_for_the_smallest():
     assert sorted(packing.plan({6: 1, 3: 1, 2: 2}, 10)[0][0], reverse=True) == [6, 2, 2]
 
 
+def test_plan_is_best_two_fit():
+    """Bin by bin against a plain version that tries all pairs."""
+    rng = random.Random(8)
+    replaced = 0
+    for _ in range(100):
+        cap = rng.choice([10, 40, 100])
+        left = Counter({x: rng.randint(1, 6) for x in rng.sample(range(1, cap + 1), rng.randint(1, min(cap, 14)))})
+        for items, times in packing.plan(dict(left), cap):
+            for _ in range(times):
+                greedy, gap = [], cap
+                for x in sorted(left.elements(), reverse=True):
+                    if x <= gap:
+                        greedy.append(x)
+                        gap -= x
+                small, free = greedy[-1], sorted((left - Counter(greedy)).elements())
+                sums = {a + b for a, b in itertools.combinations(free, 2) if small < a + b <= gap + small} if len(greedy) > 1 else set()
+                if sums:
+                    kept = Counter(greedy[:-1])
+                    assert not kept - Counter(items)
+                    pair = list((Counter(items) - kept).elements())
+                    assert len(pair) == 2 and sum(pair) == max(sums)
+                    replaced += 1
+                else:
+                    assert sorted(items) == sorted(greedy)
+                left -= Counter(items)
+        assert not left
+    assert replaced > 20
+
+
 def test_packing(docs, none, library):
     rows = packing.packed_documents(docs, 512).collect()
     pieces = defaultdict(list)
