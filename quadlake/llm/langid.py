@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
+#: Characters of texts, and n-grams, that are worked on at a time: two Python workers share an executor's memory with its heap.
+PIECE, BLOCK = 1 << 17, 1 << 16
 #: Learning texts held as n-grams at a time.
 STEP = 50
 #: Odd multipliers of the n-gram hash.
@@ -37,36 +39,56 @@ def codewords(classes: int):
     return best[1]
 
 
-def grams(texts: list[str]):
-    """n-gram buckets (1 to 3 characters) of lower-cased texts and, for each, the number of its text; white space runs count as one space.
+def _letters(texts: list[str]):
+    """Lower-cased letters and single spaces of the texts, and for each the number of its text; each text ends with a space, whatever follows it. Read in pieces, so that long texts need about 20 bytes a character."""
+    import numpy as np
+
+    table = _folded()
+    joined = "".join(t + "\x00" for t in texts)
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    some, owners, last = [], [], (0, -1)
+    for a in range(0, len(joined), PIECE):
+        z = min(a + PIECE, len(joined))
+        raw = np.frombuffer(joined[a:z].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        low, high = np.searchsorted(ends, (a, z - 1), side="right")
+        owner = np.repeat(np.arange(low, high + 1, dtype=np.int32), np.diff(np.minimum(ends[low : high + 1], z), prepend=a))
+        c = np.where(raw < len(table), table[np.minimum(raw, len(table) - 1)], raw)
+        keep = np.ones(len(c), dtype=bool)
+        keep[1:] = ~((c[1:] == 32) & (c[:-1] == 32) & (owner[1:] == owner[:-1]))
+        keep[0] = (c[0], owner[0]) != last or c[0] != 32
+        last = (c[-1], owner[-1])
+        some.append(c[keep])
+        owners.append(owner[keep])
+    return np.concatenate(some or [np.zeros(0, dtype=np.uint32)]), np.concatenate(owners or [np.zeros(0, dtype=np.int32)])
+
+
+def gram_blocks(texts: list[str]) -> Iterator[tuple]:
+    """n-gram buckets (1 to 3 characters) of lower-cased texts and, for each, the number of its text, at most BLOCK at a time: first all of one character, then of two, then of three. White space runs count as one space.
 
     Digits and marks count as white space, so that a text is judged by its letters alone.
     """
     import numpy as np
 
-    table = _folded()
-    raw = np.frombuffer("\x00".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    lengths = np.array([len(t) for t in texts], dtype=np.int64) + 1
-    owner = np.repeat(np.arange(len(texts)), lengths)[: len(raw)]
-    c = np.where(raw < len(table), table[np.minimum(raw, len(table) - 1)], raw)
-    keep = np.ones(len(c), dtype=bool)
-    keep[1:] = ~((c[1:] == 32) & (c[:-1] == 32) & (owner[1:] == owner[:-1]))
-    c, owner = c[keep].astype(np.uint64), owner[keep]
-    out = []
+    letters, owner = _letters(texts)
     for n in (1, 2, 3):
-        if len(c) < n:
-            continue
-        h = np.zeros(len(c) - n + 1, dtype=np.uint64)
-        for k in range(n):
-            h = (h + c[k : len(c) - n + 1 + k]) * np.uint64(_MULTIPLIERS[k])
-            h ^= h >> np.uint64(15)
-        own = owner[: len(h)] == owner[n - 1 :] if n > 1 else np.ones(len(h), dtype=bool)
-        if n == 1:
-            own = c != 32
-        out.append((((h + np.uint64(n)) & np.uint64(BUCKETS - 1))[own].astype(np.int64), owner[: len(h)][own]))
-    if not out:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+        for a in range(0, len(letters) - n + 1, BLOCK):
+            z = min(a + BLOCK, len(letters) - n + 1)
+            c, first = letters[a : z + n - 1].astype(np.uint64), owner[a:z]
+            h = np.zeros(z - a, dtype=np.uint64)
+            for k in range(n):
+                h = (h + c[k : z - a + k]) * np.uint64(_MULTIPLIERS[k])
+                h ^= h >> np.uint64(15)
+            own = first == owner[a + n - 1 : z + n - 1] if n > 1 else c != 32
+            if own.any():
+                yield ((h + np.uint64(n)) & np.uint64(BUCKETS - 1))[own].astype(np.int64), first[own].astype(np.int64)
+
+
+def grams(texts: list[str]):
+    """All of gram_blocks() at once."""
+    import numpy as np
+
+    out = list(gram_blocks(texts))
+    return tuple(np.concatenate([x[k] for x in out] or [np.zeros(0, dtype=np.int64)]) for k in range(2))
 
 
 _TABLE = None
@@ -94,22 +116,28 @@ class Model:
     trust: object
 
     def margins(self, texts: list[str]):
+        """Blocks of n-grams go on adding to what the blocks before have, so that their size changes no sum, not even its last bit."""
         import numpy as np
 
-        bucket, owner = grams(texts)
-        count = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
-        total = np.stack([np.bincount(owner, weights=w, minlength=len(texts)) for w in self.weights.T[:, bucket]], axis=1) if len(self.labels) else np.zeros((len(texts), 1))
-        return total / count[:, None] * self.scale + self.bias
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
-        """Label, score and whether the choice is ambiguous, for each text; whole texts, a few million characters at a time."""
+        weights = np.ascontiguousarray(self.weights.T)
+        count, total = np.zeros(len(texts), dtype=np.int64), np.zeros((len(weights), len(texts)))
+        for bucket, owner in gram_blocks(texts):
+            here = slice(owner[0], owner[-1] + 1)
+            own = np.concatenate([np.arange(owner[-1] + 1 - owner[0]), owner - owner[0]])
+            count[here] += np.bincount(own) - 1
+            for w, t in zip(weights, total):
+                t[here] = np.bincount(own, weights=np.concatenate([t[here], w[bucket]]))
+        return np.ascontiguousarray(total.T) / np.maximum(count, 1)[:, None] * self.scale + self.bias
+
+    def predict(self, texts: Iterable[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Label, score and whether the choice is ambiguous, for each text; whole texts, about PIECE characters at a time."""
         labels, scores, doubts = [], [], []
         some: list[str] = []
         size = 0
         for t in texts:
             some.append(t or "")
             size += len(some[-1])
-            if size > 1_000_000:
+            if size > PIECE:
                 for out, new in zip((labels, scores, doubts), self._predict(some)):
                     out += new
                 some, size = [], 0
@@ -203,7 +231,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            labels, scores, doubts = shared.value.predict(b.column(at).to_pylist())
+            labels, scores, doubts = shared.value.predict(t.as_py() for t in b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(doubts, pa.bool_())], names=[*kept, *new])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
@@ -232,6 +260,6 @@ def drop_unidentified(docs: DataFrame, **options) -> DataFrame:
     Null texts and those without a letter go. Repeated rows stay or go together. An empty table gives an empty result.
     """
     model = train(learning_sample(docs, **options))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col("text"))
-    found = identify(rows, model).where("NOT ambiguous")
-    return found.select(*[F.col(f"_all.`{c}`") for c in docs.columns])
+    text = min(range(len(docs.columns)), key=lambda k: (docs.columns[k] != "text", docs.columns[k].lower() != "text"))
+    found = identify(docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)]), model, f"_{text}")
+    return found.where("NOT ambiguous").select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -491,6 +491,35 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.language_predictions(df.where("lang IS NULL")).collect()} == {"und"}
 
 
+@pytest.fixture(scope="module")
+def language_model():
+    rng = random.Random(4)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(60))
+    return langid.train([(text(a), a) for a in ("abcdeit", "mnoprste", "cäöüßxyze", "日本語 a") for _ in range(30)])
+
+
+def test_language_id_needs_little_memory(language_model):
+    """Two workers share 3000 MB with a heap of 1800."""
+    import tracemalloc
+
+    for texts in (["word, other " * 80] * 2000, ["word, other " * 160_000]):
+        tracemalloc.start()
+        labels = language_model.predict(texts)[0]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(labels) == len(texts) and peak < 50_000_000
+
+
+def test_language_scores_do_not_depend_on_pieces(language_model, monkeypatch):
+    texts = ["abc  de\n1it", "", None, "a", "日本 語 9", "\ud800 x", "  mno  ", "prste" * 50, "äöü ß. xyze", "no end mark"]
+    alone = [language_model.predict([t]) for t in texts]
+    for piece, block in ((1 << 17, 1 << 16), (1, 1), (7, 5), (64, 33)):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        monkeypatch.setattr(langid, "BLOCK", block)
+        for some in (texts, texts[::-1]):
+            assert list(zip(*language_model.predict(some))) == [(x[0], y[0], z[0]) for x, y, z in (alone if some is texts else alone[::-1])]
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 6, 9, 40):
         code = langid.codewords(n)
