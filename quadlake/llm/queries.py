@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .mixing import mix_sql
+from .vector_codes import codes_sql
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +82,27 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_output_codes, op2_perspectives, op3_best_two_fit, op4_label_propagation, op5_dart_minhash, op6_block_naming, op7_block_mixing, op8_rule_cascade, op9_bit_planes, op10_secret_forest)}
+def op11_vantage_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+def op12_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_records, write_archives
+
+    found = read_records(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_output_codes, op2_perspectives, op3_best_two_fit, op4_label_propagation, op5_dart_minhash, op6_block_naming, op7_block_mixing, op8_rule_cascade, op9_bit_planes, op10_secret_forest, op11_vantage_negatives, op12_seekable_warc, op13_annular_codes)}
 
 ORACLES: dict[str, str] = {
     "op2_perspectives": r"""
@@ -115,4 +137,18 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_replace(coalesce(text,
 g AS (SELECT doc_id, sha256(n) AS text_sha256, row_number() OVER w AS k, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY n) AS group_size
       FROM t WINDOW w AS (PARTITION BY n ORDER BY length(x) DESC, doc_id))
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM g""",
+    "op11_vantage_negatives": r"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM a WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+      FROM p JOIN a USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
+    "op12_seekable_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+f AS (SELECT page_id, x, strlen(x) AS payload_bytes, min(page_id) OVER (PARTITION BY x) AS first FROM p)
+SELECT page_id, payload_bytes, sha256(x) AS payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
+    "op13_annular_codes": codes_sql(),
 }
