@@ -43,10 +43,13 @@ OTHER_WORDS = ("commit", "sha", "md5", "checksum", "digest", "uuid", "guid", "re
 
 _VALUE = r"A-Za-z0-9+/=_\-.~"
 #: A value set to a name that speaks of secrets, or a long run with a digit.
+_NAMES = r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|auth(?:orization)?|credential|access[_-]?key|private[_-]?key|bearer)"
 _SET = re.compile(
-    rf"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|auth(?:orization)?|credential|access[_-]?key|private[_-]?key|bearer)[\"']?\s{{0,3}}(?:[:=]|=>|\s)\s{{0,3}}[\"']?(?P<set>[{_VALUE}!@#%^&*]{{8,}})"
+    rf"{_NAMES}[\"']?\s{{0,3}}(?:[:=]|=>|\s)\s{{0,3}}[\"']?(?P<set>[{_VALUE}!@#%^&*]{{8,}})"
 )
 _CANDIDATE = re.compile(_SET.pattern + rf"|(?<![{_VALUE}])(?P<bare>[A-Za-z0-9+/=_\-]{{16,}})")
+#: Where a name begins; names have 13 characters at most.
+_NAME, _LONGEST_NAME = re.compile(f"(?={_NAMES})"), 13
 _DIGIT = re.compile("[0-9]")
 #: What every text with a candidate has, for a first look by Spark itself.
 FIRST_LOOK = r"(?i)token|secret|passw|pwd|api[_-]?key|auth|credential|access[_-]?key|private[_-]?key|bearer|[a-z0-9+/=_-]{16}"
@@ -210,13 +213,14 @@ def default_forest(findings: list[tuple[str, int, int, int]] | None = None) -> F
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of candidates in a whole text, from the left, without overlap."""
+    """Spans of candidates in a whole text, from the left, without overlap, in time proportional to its length."""
     at = 0
     while m := _CANDIDATE.search(text, at):
         if m.lastgroup == "bare" and not _DIGIT.search(text, m.start(), m.end()):
             # a run without a digit is none, but a name may be set within it
-            inner = _SET.search(text, m.start())
-            if inner is None or inner.start() >= m.end():
+            names = (k.start() for k in _NAME.finditer(text, m.start(), m.end() + _LONGEST_NAME) if k.start() < m.end())
+            inner = next(filter(None, (_SET.match(text, k) for k in names)), None)
+            if inner is None:
                 at = m.end()
                 continue
             m = inner
