@@ -8,7 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Deletes every ASCII white-space character.
@@ -43,13 +44,33 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """df if it only reads, filters and projects files or local rows, else what it holds, written once.
-
-    monotonically_increasing_id() numbers the rows of such a frame alike in every plan; behind a shuffle it would not.
-    """
+    """df if it only reads, filters and projects Parquet files, else what it holds, written once: rows of such a frame have a lasting place."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     nodes = {re.match(r"[\s:+\-|]*(\w+)", line)[1] for line in plan.splitlines() if re.match(r"[\s:+\-|]*\w", line)}
-    return df if nodes <= {"Relation", "Project", "Filter", "LocalRelation"} else materialize(df, "stable")
+    if not nodes <= {"Relation", "Project", "Filter"}:
+        return materialize(df, "stable")
+    try:
+        df.select(df.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:  # files of another format
+        return materialize(df, "stable")
+    return df
+
+
+def placed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns of docs, which must be stable(), with `row`: the number of a row's file, in the order of paths, and its place in that file.
+
+    Jobs that read docs again number its rows alike, however the files are split among tasks then: on a machine more or less, after a lost one, or in
+    another plan. Paths are read from the rows themselves; as many as there are files come to the driver, which lists them anyway.
+    """
+    at = docs.metadataColumn("_metadata")
+    paths = sorted(r[0] for r in docs.select(at["file_path"]).distinct().collect())
+    out = docs.select(*columns, at["file_path"].alias("_path"), at["row_index"].alias("_index"))
+    names = out.columns[:-2]
+    if len(paths) > 1:
+        files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "_file long, _name string")
+        out = out.join(F.broadcast(files), F.col("_path") == F.col("_name"))
+    file = F.col("_file") if len(paths) > 1 else F.lit(0).cast("long")
+    return out.select(*names, (F.shiftleft(file, 40) + F.col("_index")).alias("row"))
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -97,7 +118,7 @@ def joined_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], count: st
 
 def numbered(docs: DataFrame) -> DataFrame:
     """_row (as `row` in the operators' results) and _all, a struct of the columns of docs, whatever their names. docs must be stable()."""
-    return docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
+    return placed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")).select(F.col("row").alias("_row"), "_all")
 
 
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, joined, joined_hot, materialize, numbered, stable, without
+from .common import SPACES, joined, joined_hot, materialize, numbered, placed, stable, without
 
 
 def normalized(text: Column) -> Column:
@@ -26,7 +26,7 @@ def block_identity(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     cut into fixed-size blocks. Blocks are grouped by a 64-bit key; the least and greatest content of a group tell
     whether it holds one content, and groups with several are named by content, so a clash of keys never merges
     texts. Sorted contents get integer names; then adjacent names are paired and named again until one name is
-    left of each document. `row` is monotonically_increasing_id() of the given frame. A null text counts as empty,
+    left of each document. `row` is that of placed(). A null text counts as empty,
     which is one empty block. `hash_bits` below 64 forces clashes, for tests.
     """
     docs = stable(docs)
@@ -35,7 +35,7 @@ def block_identity(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     block = lambda i: F.substring(F.col("_n").cast("binary"), i * block_bytes + 1, F.lit(block_bytes))
     mask = -1 if hash_bits >= 64 else (1 << hash_bits) - 1
     key = lambda b: F.xxhash64(b).bitwiseAND(F.lit(mask))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.length(text), F.lit(0)).alias("chars"), normalized(F.col(text)).alias("_n"))
+    base = placed(docs, F.col(doc_id).alias("doc_id"), F.coalesce(F.length(text), F.lit(0)).alias("chars"), normalized(F.col(text)).alias("_n"))
     cut = base.withColumn("_blocks", F.transform(F.sequence(F.lit(0), count - 1), block))
     digests = materialize(cut.select("row", "doc_id", "chars", F.sha2("_n", 256).alias("sha256"), F.transform("_blocks", key).alias("keys")), "digests")
 

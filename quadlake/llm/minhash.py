@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined, joined_hot, materialize, numbered, stable, without
+from .common import joined, joined_hot, materialize, numbered, placed, stable, without
 from .hashing import _P, mix64, span_hashes
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 20, 4, 0.8
@@ -113,7 +113,7 @@ def dart_signatures(elements, weights, owner, documents: int, k: int):
 
 
 def sketch(texts: list[str], bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE):
-    """For each text: shingles, two 64-bit hashes of the shingle set, a hash for each band, and a byte for each coordinate. Every shingle has weight 1, as links are defined on sets."""
+    """For each text: shingles, two 64-bit hashes of the shingle set, a hash for each band, and a byte for each coordinate, of bits that do not tell the coordinate. Every shingle has weight 1, as links are defined on sets."""
     import numpy as np
 
     sets = list(shingle_sets(texts, size))
@@ -127,7 +127,7 @@ def sketch(texts: list[str], bands: int = BANDS, rows: int = ROWS, size: int = S
             band = mix64(band * np.uint64(_P) + sig[:, r::rows])
         one = [int(s.sum()) for s, _ in sets]
         two = [int(np.bitwise_xor.reduce(mix64(s + np.uint64(99)))) if len(s) else 0 for s, _ in sets]
-    return n, np.array(one, dtype=np.uint64), np.array(two, dtype=np.uint64), band, sig.astype(np.uint8).view(np.int8)
+    return n, np.array(one, dtype=np.uint64), np.array(two, dtype=np.uint64), band, (sig >> np.uint64(48)).astype(np.uint8).view(np.int8)
 
 
 def _batches(texts: list[str | None]) -> Iterator[list[str]]:
@@ -155,12 +155,12 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", band
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (band.astype(np.int64), byte)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64)), *lists], names=["row", "doc_id", "n_shingles", "s1", "s2", "bands", "bytes"])
 
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t"))
+    source = placed(stable(docs), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t")).select("row", "doc_id", "_t")
     return source.mapInArrow(run, "row long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, bytes array<tinyint>")
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """row and sorted shingles of the rows of docs that `wanted` (row) lists."""
+    """row and sorted shingles of the rows of docs, which must be stable(), that `wanted` (row) lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -174,7 +174,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, text: str = "text", size: in
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), lists], names=["row", "shingles"])
                 at += len(texts)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("_t"))
+    rows = placed(docs, F.col(text).alias("_t")).select("row", "_t")
     # merge: what is wanted grows with the corpus and is not broadcast, however small Spark takes it for
     return rows.join(wanted.select(F.col("row").alias("_w")).hint("merge"), F.col("row") == F.col("_w"), "left_semi").mapInArrow(run, "row long, shingles array<long>")
 
@@ -232,22 +232,20 @@ def _bucket_choice(block: dict, least: int):
 
 
 def _open_members(block: dict, ids: tuple, least: int, rows: int):
-    """Members of a block that may link to one of another label: key, _i, _j, side, node, label. A pair counts in the first band that it shares."""
+    """Members of a block that may link to one of another label: key, _i, _j, side, node, label. A pair counts in the first band that it shares, by the
+    bands' own hashes: it has met there."""
     import numpy as np
 
-    side, node, label, byte, band = (block[c] for c in ("side", "node", "label", "bytes", "band"))
+    side, node, label, byte, band, bands = (block[c] for c in ("side", "node", "label", "bytes", "band", "bands"))
     one, two = (np.flatnonzero(~side), np.flatnonzero(side)) if ids[1] != ids[2] else (np.arange(len(node)),) * 2
     fits = label[one][:, None] != label[two][None, :]
     if fits.any():
         agree, shared = np.zeros(fits.shape, dtype=np.int16), np.zeros(fits.shape, dtype=bool)
         for b in range(byte.shape[1] // rows):
-            whole = np.ones(fits.shape, dtype=bool)
             for c in range(b * rows, (b + 1) * rows):
-                same = byte[one, c][:, None] == byte[two, c][None, :]
-                agree += same
-                whole &= same
+                agree += byte[one, c][:, None] == byte[two, c][None, :]
             if b < band[0]:
-                shared |= whole
+                shared |= bands[one, b][:, None] == bands[two, b][None, :]
         fits &= (agree >= least) & ~shared
     keep = np.zeros(len(node), dtype=bool)
     keep[one[fits.any(axis=1)]] = True
@@ -306,7 +304,7 @@ def _in_blocks(rows: DataFrame, key: list[str], columns: list[str], run, schema:
             for k in range(len(x)):
                 out[k] = flat[ends[k] : ends[k + 1]]
             return out
-        return x.flatten().to_numpy().reshape(t.num_rows, -1) if c == "bytes" else x.to_numpy(zero_copy_only=False)
+        return x.flatten().to_numpy().reshape(t.num_rows, -1) if c in ("bytes", "bands") else x.to_numpy(zero_copy_only=False)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -362,14 +360,14 @@ def _centre_pairs(members: DataFrame, least: int, most: int = 3) -> DataFrame:
 
 
 def _remaining_links(now: DataFrame, sets: DataFrame, least: int, rows: int, threshold: float) -> DataFrame:
-    """a < b: edges for all links between labels in the buckets of now (key, n, band, node, label, bytes), all of which hold several labels.
+    """a < b: edges for all links between labels in the buckets of now (key, n, band, node, label, bytes, bands), all of which hold several labels.
 
     Parts of a bucket meet in blocks; signatures tell which members may link to another label, and only these bring their sets.
     """
     q = _parted(now).withColumn("_q", _parts_of())
     met = q.withColumn("_i", F.least("_p", "_q")).withColumn("_j", F.greatest("_p", "_q")).withColumn("side", F.col("_p") > F.col("_q"))
     members = "key long, _i int, _j int, side boolean, node long, label long"
-    open_ = _in_blocks(met, ["key", "_i", "_j"], ["side", "node", "label", "bytes", "band"], lambda b, ids: _open_members(b, ids, least, rows), members)
+    open_ = _in_blocks(met, ["key", "_i", "_j"], ["side", "node", "label", "bytes", "band", "bands"], lambda b, ids: _open_members(b, ids, least, rows), members)
     open_ = materialize(open_, "open")
     own = sets.withColumnRenamed("row", "node").hint("merge")
     run = lambda b, ids: _linked_members(b["node"], b["side"], b["label"], list(b["shingles"]), ids[1] == ids[2], threshold)
@@ -415,6 +413,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     mixed = now.groupBy("key", "_p").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.first("n").alias("n"))
     mixed = mixed.groupBy("key").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.first("n").alias("n")).where("x <> y")
     now = joined(now, mixed.select("key", _parts_of().alias("_p")).hint("merge"), ["key", "_p"], "left_semi").drop("_p")
+    now = joined(now, nodes.select("node", "bands").hint("merge"), ["node"])
     more = materialize(_remaining_links(now, sets, least, rows, threshold), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))

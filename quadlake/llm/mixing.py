@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, joined, materialize, numbered, range_prefix, stable
+from .common import WORD, joined, materialize, numbered, placed, range_prefix, stable
 
 #: Words in a block (fewer in sources of fewer than LEAST_BLOCKS blocks) and blocks in an output shard.
 BLOCK_WORDS, SHARD_BLOCKS, LEAST_BLOCKS = 256, 1024, 64
@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), total
 
 def sized(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(text).alias("_hash"))
+    return placed(stable(docs), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(text).alias("_hash"))
 
 
 def block_amounts(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -112,7 +112,7 @@ def draws(amounts: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: str = "mix
 
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", block_words: int = BLOCK_WORDS, **options) -> DataFrame:
-    """One row for each row of docs: row, doc_id, size, source_size, target, taken, first_shard, first_position.
+    """One row for each row of docs: row, doc_id, size, source_size, target, taken, first_shard, first_position, source_index, start (words of its source before it).
 
     A source's texts, in the order of doc_id (null first), are one run of words, cut into blocks; `taken` are the
     words of a document in the drawn blocks, repeats counted: twice its size at most. first_shard and first_position say where the first of these
@@ -133,19 +133,20 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     # Spark takes exploded rows for as small as the table before; the draws grow with the corpus and must not be broadcast.
     found = joined(spans, taken.hint("merge"), ["source_index", "block"], "left")
     sums = F.sum(F.col("words") * F.coalesce(F.col("times"), F.lit(0))).cast("long").alias("taken")
-    out = found.groupBy("row", "doc_id", "size", "source_index").agg(sums, F.min("_place").alias("_place"))
+    out = found.groupBy("row", "doc_id", "size", "source_index", "start").agg(sums, F.min("_place").alias("_place"))
     out = joined(out, sources.select("source_index", "source_size", "target"), ["source_index"])
-    return out.select("row", "doc_id", "size", "source_size", "target", "taken", F.col("_place.shard").alias("first_shard"), F.col("_place.position").alias("first_position"))
+    return out.select("row", "doc_id", "size", "source_size", "target", "taken", F.col("_place.shard").alias("first_shard"), F.col("_place.position").alias("first_position"), "source_index", "start")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes its words; columns unchanged, whatever their names. Rows without words go.
 
-    The fraction is rounded up with its own chance, by a hash of the row, so that words meet the target for texts of any length.
+    The fraction is rounded up with its own chance, by a hash of the row's place among its source's words, so that words meet the target for texts of
+    any length; neither the files nor the tasks that rows come in matter.
     Null and empty texts go. Repeated rows are drawn each. An empty table gives an empty result.
     """
     docs = stable(docs)
-    draw = F.pmod(F.xxhash64(F.lit("copies"), "row"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit("copies"), "source_index", "start"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = F.floor(F.col("taken") / F.col("size") + draw).cast("int")
     taken = mix(docs, **options).where("size > 0").select(F.col("row").alias("_taken"), times.alias("_times")).where("_times > 0")
     out = numbered(docs).join(taken.hint("merge"), F.col("_row") == F.col("_taken"))

@@ -44,7 +44,7 @@ def op4_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(_documents(spark, sf_dir)).drop("row")
+    return mix(_documents(spark, sf_dir)).drop("row", "source_index", "start")
 
 
 def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
