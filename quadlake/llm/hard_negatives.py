@@ -23,7 +23,7 @@ from .vector_codes import SCALE, _matrix, scaled, usable
 #: Rows that the upper tree is fitted on, its leaves at most, and rows it aims at in a leaf.
 SAMPLE, LEAVES, LEAF_ROWS = 4096, 256, 1024
 #: Rows of a block, anchors that meet a block at once, and rows in a leaf of a block's tree.
-BLOCK_ROWS, ANCHORS, BUCKET = 4096, 1024, 64
+BLOCK_ROWS, ANCHORS, BUCKET = 4096, 1024, 256
 _LOW, _HIGH = -(1 << 62), 1 << 62
 
 
@@ -31,12 +31,11 @@ def _norms(v):
     return (v.astype("float64") ** 2).sum(axis=1)
 
 
-def _scores(q, v):
-    """Exact inner products of the rows of q and v."""
+def _exact_as_floats(q, v) -> bool:
+    """Whether inner products of the rows of q and v are exact in 64-bit floating point."""
     import numpy as np
 
-    top = (int(np.abs(q).max(initial=0)) + 1) * (int(np.abs(v).max(initial=0)) + 1) * max(1, v.shape[1])
-    return np.rint(q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64) if top < 1 << 53 else q @ v.T
+    return (int(np.abs(q).max(initial=0)) + 1) * (int(np.abs(v).max(initial=0)) + 1) * max(1, v.shape[1]) < 1 << 53
 
 
 def _distances(v, at, largest: float):
@@ -155,19 +154,36 @@ def _bounded(tree: Node, q, largest: float) -> list[tuple[Node, object, object]]
 
 
 class BlockSearch:
-    """The rows of a block, searched for one anchor at a time, nearest first."""
+    """The rows of a block, searched for one anchor at a time, nearest first. Rows are kept in the tree's order, so that a leaf is a slice."""
 
     def __init__(self, v, ids, rows, labels, q, largest: float):
-        self.v, self.ids, self.rows, self.labels, self.q = v, ids, rows, labels, q
+        import numpy as np
+
         self.tree, _ = block_tree(v, largest)
         bounded = _bounded(self.tree, q, largest)
         self.bounds = {id(n): (best.tolist(), least.tolist()) for n, best, least in bounded}
-
-    def nearest(self, anchor: int, low: int, high: int, wanted, cache: dict) -> Iterator[tuple[int, int, int, int]]:
-        """(-score, id, row, place) of rows with scores in the window and a `wanted` label, one after the other: the annulus is entered at its inner edge, and
-        a node is opened only when it may hold the next row. `cache` keeps the anchor's scores of opened leaves for its other windows."""
+        leaves = [n for n, _, _ in bounded if n.at is None]
+        self.place = np.concatenate([n.rows for n in leaves])
+        ends = np.cumsum([0] + [len(n.rows) for n in leaves]).tolist()
+        for n, a, z in zip(leaves, ends, ends[1:]):
+            n.rows = slice(a, z)
+        self.v, self.ids, self.rows, self.labels = v[self.place], ids[self.place], rows[self.place], labels[self.place]
+        self.q = q
+        if _exact_as_floats(q, v):
+            self.v, self.q = self.v.astype(np.float64), q.astype(np.float64)
+
+    def opened(self, anchor: int, leaf: slice, wanted):
+        """-score, id and row of the leaf's wanted rows, nearest first."""
         import numpy as np
 
+        keep = np.flatnonzero(wanted(leaf))
+        s, ids, rows = -(self.v[leaf] @ self.q[anchor])[keep], self.ids[leaf][keep], self.rows[leaf][keep]
+        order = np.lexsort((rows, ids, s))
+        return s[order], ids[order], rows[order]
+
+    def nearest(self, anchor: int, low: int, high: int, wanted, cache: dict) -> Iterator[tuple[int, int, int]]:
+        """(-score, id, row) of rows with scores in the window and a `wanted` label, one after the other: the annulus is entered at its inner edge, and
+        a node is opened only when it may hold the next row. `cache` keeps the anchor's opened leaves for its other windows, which want the same labels."""
         heap: list = []
         order = 0
 
@@ -176,31 +192,26 @@ class BlockSearch:
             best, least = (x[anchor] for x in self.bounds[id(node)])
             if best >= low and least <= high:
                 order += 1
-                heapq.heappush(heap, (-min(best, high), _LOW, _LOW, order, node))
+                heapq.heappush(heap, (-min(best, high), _LOW, _LOW, order, node, 0))
 
         push(self.tree)
         while heap:
-            key, number, row, _, what = heapq.heappop(heap)
+            key, number, row, _, what, at = heapq.heappop(heap)
             if isinstance(what, Node):
                 if what.at is not None:
                     for child in what.children:
                         push(child)
                     continue
                 if what.leaf not in cache:
-                    cache[what.leaf] = _scores(self.q[anchor : anchor + 1], self.v[what.rows])[0]
-                s = cache[what.leaf]
-                keep = np.flatnonzero((s >= low) & (s <= high) & wanted(what.rows))
-                if not len(keep):
-                    continue
-                at = what.rows[keep]
-                sort = np.lexsort((self.rows[at], self.ids[at], -s[keep]))
-                what = iter(zip((-s[keep][sort]).tolist(), self.ids[at][sort].tolist(), self.rows[at][sort].tolist(), at[sort].tolist()))
+                    cache[what.leaf] = self.opened(anchor, what.rows, wanted)
+                what = cache[what.leaf]
+                at = int(what[0].searchsorted(-high))
             else:
-                yield key, number, row, what[0]
-                what = what[1]
-            if (first := next(what, None)) is not None:
+                yield key, number, row
+                at += 1
+            if at < len(what[0]) and what[0][at] <= -low:
                 order += 1
-                heapq.heappush(heap, (*first[:3], order, (first[3], what)))
+                heapq.heappush(heap, (int(what[0][at]), int(what[1][at]), int(what[2][at]), order, what, at))
 
 
 _QUERY = "q long, q_id long, label long, v array<long>, low array<long>, high array<long>"
@@ -219,11 +230,11 @@ def _searched(cells: pa.Table, queries: pa.Table, width: int, largest: float, sa
         for k, (lows, highs) in enumerate(windows):
             cache: dict = {}
             if same:
-                wanted = lambda at, k=k: (labels[at] == q_labels[k]) & (rows[at] != names[k])
+                wanted = lambda at, k=k: (search.labels[at] == q_labels[k]) & (search.rows[at] != names[k])
             else:
-                wanted = lambda at, k=k: labels[at] != q_labels[k]
+                wanted = lambda at, k=k: search.labels[at] != q_labels[k]
             for slot, (low, high) in enumerate(zip(lows, highs)):
-                for n, (key, number, row, _) in enumerate(search.nearest(k, low, high, wanted, cache) if low <= high else (), 1):
+                for n, (key, number, row) in enumerate(search.nearest(k, low, high, wanted, cache) if low <= high else (), 1):
                     out.append((int(names[k]), slot, -key, number, row))
                     if n == most:
                         break

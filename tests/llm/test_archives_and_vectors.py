@@ -1,0 +1,313 @@
+"""WARC bundles, hard negatives and vector codes against plain versions."""
+
+import hashlib
+import io
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from quadlake.llm import hard_negatives as hn
+from quadlake.llm import minhash, mixing, secret_scan, vector_codes, warc
+from quadlake.llm.common import materialize, placed, stable
+from quadlake.llm.exact_dedup import drop_exact_copies, exact_dedup
+from quadlake.llm.planes import _fs
+
+PAGES = "page_id long, url string, html string, uri string, row long"
+
+
+def pages(spark):
+    long = "<p>" + "ein länger Absatz " * 20
+    rows = [(5, "http://a/x y\n", long), (3, None, long), (3, None, long), (None, "http://b/", long), (7, "http://c/", None), (8, "http://c/", ""), (9, "http://d/", "x" * 99), (10, "http://d/", "x" * 99), (11, "http://d/", "x" * 100), (12, "http://d/", "x" * 100), (13, "http://e/", "WARC/1.1\r\n\r\n" * 30), (14, "http://f/", "語" * 700_000)]
+    return spark.createDataFrame([(*r, "clash", 1) for r in rows], PAGES)
+
+
+@pytest.mark.parametrize("frame, bundle", [(1 << 20, 1 << 28), (400, 1), (1, 1 << 28)])
+def test_archives_round_trip(spark, frame, bundle):
+    df = pages(spark)
+    index = warc.write_archives(df, frame=frame, bundle=bundle)
+    found = warc.read_records(index).collect()
+    rows = [(r.page_id, r.html or "") for r in df.collect()]
+    by_id = {r.record_id: r for r in found}
+    assert len(found) == len(by_id) == len(rows)
+    payload = lambda r: bytes((by_id[r.refers_to_record] if r.record_type == "revisit" else r).payload)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r.page_id, payload(r).decode()) for r in found), key=key) == sorted(rows, key=key)
+    for r in found:
+        assert r.payload_bytes == len(payload(r)) and r.payload_digest == hashlib.sha256(payload(r)).hexdigest()
+        same = [i for i, x in rows if x.encode() == payload(r)]
+        if r.payload_bytes < 100:
+            assert r.record_type == "response"
+        if r.record_type == "revisit":
+            assert r.refers_to == min(i for i in same if i is not None) and by_id[r.refers_to_record].record_type == "response"
+        else:
+            assert r.payload_bytes < 100 or r.page_id == min(i for i in same if i is not None)
+    assert sum(r.record_type == "revisit" for r in found) == 4
+    assert {r.url for r in found} == {"http://a/x%20y%0A", None, *(f"http://{x}/" for x in "bcdef")}
+    folder = index.first().folder
+    whole = warc.scan_archives(index, folder).collect()
+    assert sorted(r.record_id for r in whole) == sorted(by_id)
+    # without the footer, a bundle is a plain sequence of frames, and their records follow each other
+    import zstandard
+
+    fs, _ = _fs(folder)
+    path = index.first().bundle
+    data = fs.open_input_file(path).read()
+    text = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
+    at, names = 0, []
+    while at < len(text):
+        row, at = warc.parse_record(text, at)
+        names.append(row["record_id"])
+    assert set(names) == {r.record_id for r in index.where(index.bundle == path).collect()}
+
+
+def test_one_record_costs_one_frame(spark):
+    index = materialize(warc.write_archives(spark.range(300).selectExpr("id AS page_id", "concat('http://p/', id) AS url", "repeat(concat('page ', id, ' '), 50) AS html"), frame=2000))
+    one = warc.read_records(index.where("page_id = 211")).collect()
+    assert [(r.page_id, bytes(r.payload)) for r in one] == [(211, b"page 211 " * 50)]
+    row = index.where("page_id = 211").first()
+    fs, _ = _fs(row.folder)
+    with fs.open_input_file(row.bundle) as source:
+        table = warc.seek_table(source)
+        assert len(table) > 20 and all(size <= 2000 for _, _, size in table)
+        assert warc.parse_record(warc.read_frame(source, table[row.frame]), row.offset)[0]["page_id"] == 211
+    with pytest.raises(Exception, match="index is wrong|no record|broken"):
+        warc.read_records(index.where("page_id < 3").withColumn("offset", index["offset"] + 1)).collect()
+
+
+def test_no_pages(spark):
+    index = warc.write_archives(spark.createDataFrame([], PAGES))
+    assert index.count() == 0 and warc.read_records(index).count() == 0
+
+
+def rows_of(spark, count=400, labels=4, seed=1, dims=8):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, dims)) * rng.uniform(0.2, 2, size=(6, 1))
+    v = centres[rng.integers(0, 6, count)] + rng.normal(size=(count, dims)) * 0.3
+    rows = [(k, int(rng.integers(0, labels)), [float(x) for x in v[k]]) for k in range(count)]
+    rows += [(50, 1, rows[50][2]), (150, 2, rows[150][2]), (7, rows[7][1], rows[7][2])]  # repeated rows, one a copy in full
+    rows += [(500 + k, 1, rows[100][2]) for k in range(60)]  # ties
+    rows += [(1000, 1, None), (1050, None, rows[0][2]), (1100, 1, [float("nan")] * dims), (1150, 1, [float("inf")] * dims), (1200, 2, [None] * dims), (None, 1, rows[0][2]), (1250, 3, []), (1300, 0, [1.0, 2.0])]
+    return rows
+
+
+EMBEDDINGS = "vec_id long, label int, embedding array<double>, row long, q string"
+
+
+def brute_negatives(rows, every=50, k=5, m=3, low=50, high=95):
+    kept = [(i, lab, [int(np.floor(256 * x)) for x in v]) for i, lab, v in rows if None not in (i, lab, v) and all(x is not None and np.isfinite(x) for x in v)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    out = []
+    for a, (i, lab, v) in enumerate(kept):
+        if i % every == 0:
+            order = sorted(((-dot(v, w), j, b) for b, (j, _, w) in enumerate(kept) if b != a))
+            for s, p, _ in [x for x in order if kept[x[2]][1] == lab][:k]:
+                fits = [x for x in order if kept[x[2]][1] != lab and low * -s <= 100 * -x[0] <= high * -s][:m]
+                out += [(i, p, n, j, -s, -t) for n, (t, j, _) in enumerate(fits, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limits", [(4096, 64, 4096), (1, 4, 8), (40, 16, 64)])
+def test_hard_negatives(spark, monkeypatch, limits):
+    """Exact for any shape of the tree and any cut into leaves and blocks."""
+    monkeypatch.setattr(hn, "LEAF_ROWS", limits[1])
+    monkeypatch.setattr(hn, "BUCKET", limits[1])
+    monkeypatch.setattr(hn, "BLOCK_ROWS", limits[2])
+    monkeypatch.setattr(hn, "ANCHORS", limits[1])
+    rows = rows_of(spark)
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], EMBEDDINGS)
+    found = sorted(map(tuple, hn.hard_negatives(df, sample=max(16, limits[0])).collect()))
+    assert found == brute_negatives(rows) and len(found) > 50
+    if limits[0] == 4096:
+        named = df.withColumn("label", df.label.cast("string"))
+        assert sorted(map(tuple, hn.hard_negatives(named).collect())) == found
+        assert hn.hard_negatives(df.where("vec_id < 0")).count() == 0 and hn.hard_negatives(df.where("vec_id = 50")).count() == 0
+
+
+def test_traversal_opens_few_leaves():
+    """Rows come nearest first, and rows of leaves outside of the annulus are not looked at."""
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.integers(-9, 9, (500, 6)) + 200 * c for c in np.eye(6, dtype=np.int64)])
+    q = np.array([[200, 3, 1, 0, 2, 1]])
+    largest = float((v**2).sum(axis=1).max())
+    labels = np.zeros(len(v), dtype=np.int64)
+    search = hn.BlockSearch(v, np.arange(len(v)), np.arange(len(v)), labels, q, largest)
+    scores = v @ q[0]
+    for low, high in ((hn._LOW, hn._HIGH), (39000, 40500), (-50, 120)):
+        cache: dict = {}
+        order = sorted(np.flatnonzero((scores >= low) & (scores <= high)).tolist(), key=lambda k: (-scores[k], k))
+        walk = search.nearest(0, low, high, lambda at: labels[at] == 0, cache)
+        assert [next(walk)[2] for _ in range(5)] == order[:5]
+        first = len(cache)
+        assert [x[2] for x in walk] == order[5:] and len(cache) >= first
+    cache = {}
+    next(search.nearest(0, hn._LOW, hn._HIGH, lambda at: labels[at] == 0, cache))
+    assert sum(len(x[0]) for x in cache.values()) < len(v) / 2
+
+
+def brute_codes(rows, parts=16, entries=64, rounds=2):
+    kept = sorted(((i is None, i or 0, v, lab) for i, lab, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)), key=lambda x: x[:3])
+    width = -(-max([1, *(len(v) for _, _, v, _ in kept)]) // parts) * parts
+    ints = [[int(np.floor(256 * x)) for x in v] + [0] * (width - len(v)) for _, _, v, _ in kept]
+    step = width // parts
+    cut = lambda v, p: v[p * step : (p + 1) * step]
+    books = [[cut(v, p) for v in ints[:entries]] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    near = lambda v, p: min(range(len(books[p])), key=lambda e: (far(cut(v, p), books[p][e]), e))
+    for _ in range(rounds):
+        new = []
+        for p in range(parts):
+            of: dict = {}
+            for v in ints:
+                of.setdefault(near(v, p), []).append(cut(v, p))
+            new.append([[sum(c) // len(of[e]) for c in zip(*of[e])] if e in of else b for e, b in enumerate(books[p])])
+        books = new
+    out, errors = [], {}
+    for (none, i, _, lab), v in zip(kept, ints):
+        code = [near(v, p) for p in range(parts)]
+        error = sum(far(cut(v, p), books[p][e]) for p, e in enumerate(code))
+        errors[lab] = errors.get(lab, 0) + error
+        out.append((None if none else i, "".join(f"{e:02x}" for e in code), error, lab))
+    digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    return [(i, c, e, errors[lab], digest) for i, c, e, lab in out]
+
+
+@pytest.mark.parametrize("count, dims", [(150, 32), (20, 16), (3, 5)])
+def test_vector_codes(spark, count, dims):
+    rows = rows_of(spark, 160, dims=dims)
+    rows = rows[: max(1, count)] + rows[160:][: count // 2] + rows[-8:]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], EMBEDDINGS)
+    order = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    found = sorted(map(tuple, vector_codes.vector_codes(df).collect()), key=order)
+    assert found == sorted(brute_codes(rows), key=order)
+    assert vector_codes.vector_codes(df.where("vec_id < 0")).count() == 0
+
+
+def test_annular_pruning_is_exact():
+    rng = np.random.default_rng(5)
+    for size, k, d in ((60, 64, 4), (3, 40, 2), (10**6, 64, 3)):
+        x, e = rng.integers(-size, size, (3000, d)), rng.integers(-size, size, (k, d))
+        e[k // 2 :] = e[: k - k // 2]  # ties
+        all_ = ((x[:, None] - e[None]) ** 2).sum(axis=2)
+        index, best = vector_codes.nearest_entries(x, e)
+        assert (index == all_.argmin(axis=1)).all() and (best == all_.min(axis=1)).all()
+
+
+def test_too_large_components(spark):
+    with pytest.raises(Exception, match="too large"):
+        vector_codes.vector_codes(spark.createDataFrame([(1, 1, [1e9])], "vec_id long, label int, embedding array<double>")).collect()
+
+
+# rows keep their numbers
+
+
+def several_splits(spark, tmp_path):
+    """Documents with copies and near copies in one file of many row groups and another one."""
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(600):
+        t = " ".join(r.choice(words) for _ in range(60))
+        rows += [(k, t, "a" if k % 3 else "b")] * (1 + k % 2) + ([(k + 5000, t + " one more", "a")] if k % 5 == 0 else [])
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(1)
+    df.write.option("parquet.block.size", 4096).option("parquet.page.row.count.limit", 20).parquet(str(tmp_path / "d"))
+    df.limit(300).repartition(1).write.mode("append").parquet(str(tmp_path / "d"))
+    return spark.read.parquet(str(tmp_path / "d"))
+
+
+def test_results_do_not_depend_on_splits(spark, tmp_path, monkeypatch):
+    """Every job of a function may split the files in another way, as after the loss of an executor."""
+    docs = several_splits(spark, tmp_path)
+    run = {
+        "rows": lambda: sorted((r.row, r.doc_id, r.text) for r in placed(stable(docs), "doc_id", "text").collect()),
+        "exact": lambda: sorted(r.doc_id for r in drop_exact_copies(docs).collect()),
+        "clashes": lambda: sorted(map(tuple, exact_dedup(docs, hash_bits=4, block_bytes=64).drop("row", "keep_row").collect())),
+        "near": lambda: sorted(map(tuple, minhash.near_duplicates(docs).collect())),
+        "one_each": lambda: sorted(map(tuple, minhash.drop_near_copies(docs).collect())),
+        "mixed": lambda: sorted(map(tuple, mixing.mixed_documents(docs).collect())),
+    }
+    plain = {name: f() for name, f in run.items()}
+    assert len({r[0] for r in plain["rows"]}) == docs.count() and len(set(plain["exact"])) == len(plain["exact"]) == 720
+    jobs = [0]
+
+    def other_splits(df, label="table", write=materialize):
+        jobs[0] += 1
+        spark.conf.set("spark.sql.files.maxPartitionBytes", ("16k", "3k", "128m")[jobs[0] % 3])
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", (2, 7, 1)[jobs[0] % 3])
+        return write(df, label)
+
+    from quadlake.llm import common
+    from quadlake.llm import exact_dedup as exact_module
+
+    for module in (common, exact_module, minhash, mixing):
+        monkeypatch.setattr(module, "materialize", other_splits)
+    try:
+        for name, f in run.items():
+            assert f() == plain[name], name
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_files_of_other_kinds_are_written_first(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, _metadata string").write.json(str(tmp_path / "j"))
+    docs = stable(spark.read.json(str(tmp_path / "j")))
+    assert sorted(r._metadata for r in placed(docs, "_metadata").collect()) == ["a", "b"] and placed(docs, "doc_id").select("row").distinct().count() == 2
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.82 that no centre finds for all: each is a class of two on a template shared by all."""
+    r = random.Random(8)
+    base = [f"t{k}" for k in range(600)]
+    rows, wanted = [], 0
+    for k in range(120):
+        # every pair changes the same share of the template at places of its own; both members share most changes
+        own = sorted(r.sample(range(600), 26))
+        one, two = list(base), list(base)
+        for j, p in enumerate(own):
+            one[p] = two[p] = f"x{k}.{j}"
+        for j, p in enumerate(r.sample(sorted(set(range(600)) - set(own)), 12)):
+            two[p] = f"y{k}.{j}"
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(596)} for _, t in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                wanted += 1
+    labels = list(range(len(rows)))
+
+    def root(x):
+        while labels[x] != x:
+            x = labels[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                labels[root(a)] = root(b)
+    classes = len({root(x) for x in labels})
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert wanted > 60 and found.select("class_id").distinct().count() == classes
+
+
+# secrets
+
+
+def test_candidates_take_linear_time():
+    import time
+
+    for text in ("-" * 20 + "\n", "thisisalongidentifier = x;\n", "tokentokentokentoken", "password", "token=", "a"):
+        big = text * (4_000_000 // len(text))
+        began = time.perf_counter()
+        found = list(secret_scan.candidates(big))
+        assert time.perf_counter() - began < 20, text
+        assert all(0 <= a < z <= len(big) for a, z in found[:1000])
+    assert zlib.crc32(b"") == 0
+
+
+def test_names_within_runs():
+    plain = lambda t: [t[a:z] for a, z in secret_scan.candidates(t)]
+    assert plain("abcdefghijklmnoppassword: hunter2hunter2 x") == ["hunter2hunter2"]
+    assert plain("abcdefghijklmnopqrstuvwxyz-authorization: abcdefghij") == ["abcdefghij"]
+    assert plain("abcdefghijklmnopqrstuvwxyz-auth") == []
