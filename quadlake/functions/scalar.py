@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import iri as iris
-from ..terms import BNODE, IRI, LITERAL, RDF, TERM_DDL, TRIPLE, XSD, canonical_column, from_row, term
+from ..terms import BNODE, IRI, LITERAL, RDF, TRIPLE, XSD, canonical_column, parts_column, term
+from .iris import is_relative, resolve
 from .values import DATETIME_FORM, Typed, box, class_of, compare, decimal_text, moment, number, numeric_term, rank_of, same_term, text_of_iri
 
 
@@ -82,11 +83,7 @@ def iri_of(base: str | None) -> Callable[[Typed], Typed]:
         if base is None:
             return Typed("iri", good)
 
-        @F.pandas_udf("string")
-        def resolved(s):
-            return s.map(lambda v: None if v is None or not iris.is_relative(v) else iris.resolve(base, v))
-
-        return Typed("iri", F.coalesce(good, resolved(text)))
+        return Typed("iri", F.coalesce(good, F.when(is_relative(text), resolve(F.lit(base), text))))
 
     return make
 
@@ -295,15 +292,8 @@ def triple(s: Typed, p: Typed, o: Typed) -> Typed:
 
 
 def part_of(t: Column, i: int) -> Column:
-    """Subject, predicate or object of a triple term, read from its canonical text."""
-
-    @F.udf(TERM_DDL)
-    def part(text):
-        if text is None:
-            return None
-        return from_row((TRIPLE, text, None, None, None)).parts[i].row()
-
-    return part(F.when(t["k"] == TRIPLE, t["v"]))
+    """Subject, predicate or object of a triple term."""
+    return F.get(parts_column(t), F.lit(i))
 
 
 def to_boolean(x: Typed) -> Typed:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,11 +212,11 @@ def _isomorphic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @frame_query("list_items_of_orders", f"""SELECT '{X}order/' || l_orderkey AS head, string_agg(l_partkey::VARCHAR, ' ' ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS items
-    FROM lineitem WHERE l_orderkey <= 60 GROUP BY l_orderkey""")
+    FROM lineitem GROUP BY l_orderkey""")
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey <= 60")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     rows = rows.withColumn("_k", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")))
     cell = lambda k: _iri(X, "order/", F.concat(F.col("l_orderkey").cast("string"), F.when(k == 1, "").otherwise(F.concat(F.lit("#"), k.cast("string")))))
@@ -230,10 +229,6 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frame_query("iri_relative", "SELECT page_id AS id, regexp_replace(url, '^(https?://[^/]*)/.*$', '\\1') || '/up?x#y' AS up FROM pages")
 def _iris(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .iri import resolve
+    from .functions.iris import resolve
 
-    @F.pandas_udf("string")
-    def up(url: pd.Series) -> pd.Series:
-        return url.map(lambda u: resolve(u, "/a/../up?x#y"))
-
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), up("url").alias("up"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), resolve(F.col("url"), F.lit("/a/../up?x#y")).alias("up"))

@@ -12,8 +12,10 @@ _SEG_NC = rf"(?:[A-Za-z0-9\-._~!$&'()*+,;=@{_UCS}]|{_PCT})+"
 _HOST = rf"(?:\[(?:[0-9A-Fa-f:.]+|v[0-9A-Fa-f]+\.[A-Za-z0-9\-._~!$&'()*+,;=:]+)\]|(?:[A-Za-z0-9\-._~!$&'()*+,;={_UCS}]|{_PCT})*)"
 _AUTH = rf"(?:(?:[A-Za-z0-9\-._~!$&'()*+,;=:{_UCS}]|{_PCT})*@)?{_HOST}(?::[0-9]*)?"
 _TAIL = rf"(?:\?(?:{_PCHAR}|[/?-])*)?(?:#(?:{_PCHAR}|[/?])*)?"
-_ABS = re.compile(rf"^[A-Za-z][A-Za-z0-9+\-.]*:(?://{_AUTH}(?:/{_PCHAR}*)*|/(?:{_PCHAR}+(?:/{_PCHAR}*)*)?|{_PCHAR}+(?:/{_PCHAR}*)*|){_TAIL}$")
-_REL = re.compile(rf"^(?://{_AUTH}(?:/{_PCHAR}*)*|/(?:{_PCHAR}+(?:/{_PCHAR}*)*)?|{_SEG_NC}(?:/{_PCHAR}*)*|){_TAIL}$")
+#: For Spark's rlike as well.
+ABSOLUTE_IRI = rf"^[A-Za-z][A-Za-z0-9+\-.]*:(?://{_AUTH}(?:/{_PCHAR}*)*|/(?:{_PCHAR}+(?:/{_PCHAR}*)*)?|{_PCHAR}+(?:/{_PCHAR}*)*|){_TAIL}$"
+RELATIVE_IRI = rf"^(?://{_AUTH}(?:/{_PCHAR}*)*|/(?:{_PCHAR}+(?:/{_PCHAR}*)*)?|{_SEG_NC}(?:/{_PCHAR}*)*|){_TAIL}$"
+_ABS, _REL = re.compile(ABSOLUTE_IRI), re.compile(RELATIVE_IRI)
 #: Without look-around, for Spark's rlike as well.
 LANG_TAG = r"(?i)^((([a-z]{2,3}(-[a-z]{3}){0,3})|[a-z]{4}|[a-z]{5,8})(-[a-z]{4})?(-([a-z]{2}|[0-9]{3}))?(-([a-z0-9]{5,8}|[0-9][a-z0-9]{3}))*(-[a-wy-z0-9](-[a-z0-9]{2,8})+)*(-x(-[a-z0-9]{1,8})+)?|x(-[a-z0-9]{1,8})+|i-[a-z]+|en-gb-oed|sgn-be-fr|sgn-be-nl|sgn-ch-de|art-lojban|cel-gaulish|no-bok|no-nyn|zh-guoyu|zh-hakka|zh-min|zh-min-nan|zh-xiang)$"
 ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+\-.]*:[^\x00-\x20<>\"{}|\\^`]*$"

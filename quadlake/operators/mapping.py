@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import Typed, box, compare, constant, unified
 from ..plans.compiler import GRAPH, Solutions, Store, enc
-from ..terms import BNODE, IRI, RDF, VARIABLE, Term, literal, term
+from ..terms import BNODE, IRI, LITERAL, RDF, VARIABLE, Term, literal, term
 
 PREFIX = "urn:x:"
 
@@ -143,6 +143,7 @@ class VirtualStore(Store):
         return q.where(((F.col("s.k") == IRI) & F.col("s.v").isin(names)) | ((F.col("o.k") == IRI) & F.col("o.v").isin(names))).select("s", "p", "o")
 
     has_triple_terms = False
+    reads_files = True
 
     def _rows_with(self, t: Table, df: DataFrame, only: list[Term]) -> DataFrame | None:
         """The rows that can have one of the resources as subject or object, found by key; None if there can be none."""
@@ -189,5 +190,20 @@ class VirtualStore(Store):
             out = rows if out is None else out.unionByName(rows)
         return out if out is not None else self.spark.createDataFrame([], "g struct<k:tinyint,v:string,d:string,l:string,r:string>, s struct<k:tinyint,v:string,d:string,l:string,r:string>, p struct<k:tinyint,v:string,d:string,l:string,r:string>, o struct<k:tinyint,v:string,d:string,l:string,r:string>")
 
+    def nodes_among(self, terms: DataFrame, active) -> DataFrame:
+        """As in Store. Where no literal is looked for, the keys of tables and what refers to them will do: no row is unfolded."""
+        if not terms.where(F.col("n.k") == LITERAL).isEmpty():
+            return super().nodes_among(terms, active)
+        out = None
+        for name, t in self.tables.items():
+            graph = f"{PREFIX}graph/{name}"
+            if (isinstance(active, str) and active not in (GRAPH, graph)) or (isinstance(active, list) and graph not in active):
+                continue
+            df = self.frame(name)
+            for x in (self.subject(t), *[self.object(t, c) for c in t.foreign], Typed("iri", F.lit(PREFIX + name))):
+                nodes = df.select(*([term(IRI, F.lit(graph)).alias(GRAPH)] if active == GRAPH else []), box(x).alias("n")).where(F.col("n").isNotNull())
+                out = nodes if out is None else out.unionByName(nodes)
+        return terms.select("n").distinct().limit(0) if out is None else out.join(terms.select("n").distinct(), ["n"], "left_semi").distinct()
+
     def graphs(self) -> DataFrame:
         return self.spark.createDataFrame([((IRI, f"{PREFIX}graph/{n}", None, None, None),) for n in self.tables], f"{GRAPH} struct<k:tinyint,v:string,d:string,l:string,r:string>")

@@ -20,20 +20,20 @@ def _step(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(r, on).select(*keys, "s", F.col("r_o").alias("o"))
 
 
-def reachable(edges: DataFrame, start: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame | None = None, keys: list[str] | None = None, written: bool = False) -> DataFrame:
     """Distinct pairs (keys, s, o) with a walk of one edge or more from s to o.
 
-    With `start` (keys, s) only walks from there, one edge farther a round. Else walks double in length each
+    With `start` (s, and any of the keys) only walks from there, one edge farther a round. Else walks double in length each
     round, so that rounds grow with the logarithm of the longest walk. Only new pairs are joined again; cycles end
-    the loop since they bring none.
+    the loop since they bring none. `written`: edges are read from files as they are, and need not be kept.
     """
     keys = keys or []
-    edges = edges.select(*keys, "s", "o").distinct()
-    if start is not None:
-        edges = materialize(edges, "edges")
-        first = edges.join(start.select(*keys, F.col("s")).distinct(), [*keys, "s"], "left_semi")
+    edges = edges.select(*keys, "s", "o")
+    if start is None:
+        first = edges.distinct()
     else:
-        first = edges
+        edges = edges if written else materialize(edges.distinct(), "edges")
+        first = edges.join(start.distinct(), start.columns, "left_semi").select(*keys, "s", "o").distinct()
     seen = delta = materialize(first, "closure")
     while not delta.isEmpty():
         found = _step(delta, edges, keys) if start is not None else _step(delta, seen, keys).unionByName(_step(seen, delta, keys))
@@ -42,12 +42,23 @@ def reachable(edges: DataFrame, start: DataFrame | None = None, keys: list[str]
     return seen
 
 
-def pairs(compiler, path, active, subject: Term, target: Term) -> DataFrame:
-    """(s, o, and __g in GRAPH ?g) of a path; ends that are constants narrow closures."""
+def walks(path) -> bool:
+    """Whether a path has parts of any length."""
+    return not isinstance(path, Term) and (path.op in ("star", "plus") or (path.op != "neg" and any(walks(x) for x in path.args)))
+
+
+def pairs(compiler, path, active, subject: Term, target: Term, starts: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """(s, o, and __g in GRAPH ?g) of a path, at least those that begin at `starts` and end at `ends` (frames with a column n).
+
+    An end is open (None), one term, or a frame of terms. Closures walk from an end that is known: from the subject if it is, else backwards from the
+    object; in a sequence what one part has reached is where the next begins. A path of no edges joins each node of the graph to itself, and a
+    constant end to itself wherever it is.
+    """
+    from ..plans.algebra import PathOp
     from ..plans.compiler import GRAPH
 
     store, keys = compiler.store, [GRAPH] if active == GRAPH else []
-    fixed = lambda t: t is not None and t.kind not in (VARIABLE, BNODE)
+    known = lambda t, frame: frame if t.kind in (VARIABLE, BNODE) else t
 
     def edges(triple: tuple) -> DataFrame:
         from ..functions.values import box
@@ -55,7 +66,7 @@ def pairs(compiler, path, active, subject: Term, target: Term) -> DataFrame:
         found = store.pattern(triple, active)
         return found.df.select(*[box(found.typed(k)).alias(k) for k in (*keys, "s", "p", "o") if k in found.kinds])
 
-    def walk(p, s: Term | None, o: Term | None) -> DataFrame:
+    def walk(p, s, o) -> DataFrame:
         if isinstance(p, Term):
             return edges((_S, p, _O)).select(*keys, "s", "o")
         if p.op == "inv":
@@ -66,10 +77,7 @@ def pairs(compiler, path, active, subject: Term, target: Term) -> DataFrame:
                 out = out.unionByName(walk(q, s, o))
             return out
         if p.op == "seq":
-            out = walk(p.args[0], s, None)
-            for k, q in enumerate(p.args[1:], 1):
-                out = _step(out, walk(q, None, o if k == len(p.args) - 1 else None), keys)
-            return out
+            return sequence(p.args, s, o)
         if p.op == "neg":
             forward, back = p.args
             out = None
@@ -81,27 +89,41 @@ def pairs(compiler, path, active, subject: Term, target: Term) -> DataFrame:
                     out = e if out is None else out.unionByName(e)
             return out
         inner = p.args[0]
-        if fixed(o) and not fixed(s):
-            from ..plans.algebra import PathOp
-
-            if p.op != "opt":
-                back = _swap(walk(PathOp("plus", (PathOp("inv", (inner,)),)), o, None))
-                return back if p.op == "plus" else back.unionByName(identity(None)).distinct()
+        if s is None and o is not None:
+            return _swap(walk(PathOp(p.op, (PathOp("inv", (inner,)),)), o, None))
         if p.op == "opt":
             return walk(inner, s, o).unionByName(identity(s)).distinct()
-        start = None
-        if fixed(s):
-            start = compiler.spark.range(1).select(s.column().alias("s")) if not keys else store.graphs().withColumn("s", s.column())
-        out = reachable(walk(inner, None, None), start, keys)
+        start = None if s is None else from_(s).select(F.col("n").alias("s"))
+        out = reachable(walk(inner, None, None), start, keys, store.reads_files)
         return out if p.op == "plus" else out.unionByName(identity(s)).distinct()
 
+    def sequence(parts: tuple, s, o) -> DataFrame:
+        reached = lambda df, c, q: df.select(F.col(c).alias("n")).distinct() if walks(q) else None
+        if s is None and o is not None:
+            out = walk(parts[-1], None, o)
+            for q in reversed(parts[:-1]):
+                out = _step(walk(q, None, reached(out, "s", q)), out, keys)
+            return out
+        out = walk(parts[0], s, None)
+        for k, q in enumerate(parts[1:], 1):
+            at = None if s is None else reached(narrow(out, s), "o", q)
+            out = _step(out, walk(q, at, o if k == len(parts) - 1 else None), keys)
+        return out
+
+    def narrow(df: DataFrame, s) -> DataFrame:
+        return df.join(from_(s).select(F.col("n").alias("s")).distinct(), ["s"], "left_semi")
+
+    def from_(end) -> DataFrame:
+        return compiler.spark.range(1).select(end.column().alias("n")) if isinstance(end, Term) else end
+
     def _swap(df: DataFrame) -> DataFrame:
         return df.select(*keys, F.col("o").alias("s"), F.col("s").alias("o"))
 
-    def identity(s: Term | None) -> DataFrame:
-        if fixed(s):
+    def identity(s) -> DataFrame:
+        if isinstance(s, Term):
             one = store.graphs() if keys else compiler.spark.range(1)
             return one.select(*keys, s.column().alias("s"), s.column().alias("o"))
-        return store.nodes(active).select(*keys, F.col("n").alias("s"), F.col("n").alias("o"))
+        nodes = store.nodes(active) if s is None else store.nodes_among(s, active)
+        return nodes.select(*keys, F.col("n").alias("s"), F.col("n").alias("o"))
 
-    return walk(path, subject, target)
+    return walk(path, known(subject, starts), known(target, ends))

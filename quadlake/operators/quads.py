@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..terms import BNODE, IRI, LITERAL, TERM_DDL, TRIPLE, VARIABLE, Term, from_row
+from ..storage import materialize
+from ..terms import BNODE, IRI, LITERAL, TERM_DDL, TRIPLE, VARIABLE, Term, parts_column
 
 Matcher = Callable[[Column], Column]
 
@@ -84,24 +85,14 @@ def column_terms(df: DataFrame, column: str, m: Matcher = anything) -> DataFrame
 
 
 def atoms(df: DataFrame, k: int) -> DataFrame:
-    """Distinct terms of a kind (`t`), those inside of triple terms included; with TRIPLE the triple terms, nested ones too."""
+    """Distinct terms of a kind (`t`), those inside of triple terms included; with TRIPLE the triple terms, nested ones too. Each level is opened once, for all its terms."""
     columns = [c for c in ("g", "s", "p", "o") if c in df.columns]
     terms = df.select(F.explode(F.array(*columns)).alias("t")).where("t IS NOT NULL").distinct()
-
-    @F.udf(f"array<{TERM_DDL}>")
-    def inside(text):
-        out: list = []
-
-        def walk(t: Term) -> None:
-            for x in t.parts:
-                out.append(x.row())
-                walk(x)
-
-        walk(from_row((TRIPLE, text, None, None, None)))
-        return out
-
-    deep = terms.where(F.col("t.k") == TRIPLE).select(F.explode(inside("t.v")).alias("t"))
-    return terms.union(deep).where(F.col("t.k") == k).distinct()
+    level = terms.where(F.col("t.k") == TRIPLE)
+    while not (level := materialize(level, "triple_terms")).isEmpty():
+        level = level.select(F.explode(parts_column(F.col("t"))).alias("t")).distinct()
+        terms, level = terms.union(level), level.where(F.col("t.k") == TRIPLE)
+    return terms.where(F.col("t.k") == k).distinct()
 
 
 def iris(df: DataFrame) -> DataFrame:

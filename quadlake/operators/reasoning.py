@@ -13,7 +13,7 @@ from ..functions.values import class_of, rank_of
 from ..plans.algebra import Bgp, Query
 from ..plans.compiler import Engine, Store
 from ..storage import materialize
-from ..terms import BNODE, INTEGER_RANGES, IRI, LITERAL, RDF, RDFS, TERM_DDL, TRIPLE, XSD, Term, bnode, iri, literal, term, variable
+from ..terms import BNODE, INTEGER_RANGES, IRI, LITERAL, RDF, RDFS, TERM_DDL, TRIPLE, XSD, Term, bnode, iri, literal, term, triple_term, variable
 from .paths import reachable
 
 TYPE, SUBCLASS, SUBPROPERTY, DOMAIN, RANGE = RDF + "type", RDFS + "subClassOf", RDFS + "subPropertyOf", RDFS + "domain", RDFS + "range"
@@ -30,6 +30,7 @@ _full = lambda x: x if ":" in x else RDFS + x
 RDFS_AXIOMS = (
     [(p, DOMAIN, _full(c)) for p, c in _DOMAINS.items()] + [(p, RANGE, _full(c)) for p, c in _RANGES.items()]
     + [(RDF + x, SUBCLASS, RDFS + "Container") for x in ("Alt", "Bag", "Seq")] + [(RDFS + "ContainerMembershipProperty", SUBCLASS, RDF + "Property")]
+    + [(triple_term(iri(TYPE), iri(TYPE), iri(RDF + "Property")), TYPE, RDFS + "Proposition")]
     + [(RDFS + "isDefinedBy", SUBPROPERTY, RDFS + "seeAlso"), (RDFS + "Datatype", SUBCLASS, RDFS + "Class"), (RDF + "_1", TYPE, RDFS + "ContainerMembershipProperty"), (RDF + "_1", DOMAIN, RDFS + "Resource"), (RDF + "_1", RANGE, RDFS + "Resource")]
 )
 
@@ -77,30 +78,80 @@ def saturate(triples: DataFrame, rules: str = "rdfs", recognised: Iterable[str]
     Rules on schema triples (few) are closed by themselves first; then each round joins only the triples that are new. A
     frame with g is closed graph by graph: g is a key of every join. Raises Inconsistent unless check is off.
     """
+    return _closed(None, triples, rules, recognised, resources, check)
+
+
+def additions(closed: DataFrame, more: DataFrame, rules: str = "rdfs", recognised: Iterable[str] = NOTHING, resources: bool = True, check: bool = True) -> DataFrame:
+    """What a closed graph lacks when `more` comes to it: of more, and of all that follows from both, the triples that closed has not.
+
+    `closed` must come from saturate() with the same options, or from it and earlier additions. New triples join the schema; old ones join new
+    schema triples only, if there are any. The old graph is read to tell what it has, but neither shuffled where the new triples are few nor written again.
+    """
+    return _closed(closed, more, rules, recognised, resources, check)
+
+
+def saturate_stream(quads: DataFrame, folder: str, checkpoint: str, **options):
+    """Close a stream of triples or quads: each batch's additions go to a Parquet folder of their own under `folder`, batch after batch; all of them are the closed graph.
+    A batch that is repeated writes its folder anew. Returns the running query; options are those of additions()."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = [f"{folder}/batch={n}" for n in range(number)]
+        batch = materialize(batch, "batch")
+        closed = spark.read.schema(batch.schema).parquet(*old) if old else None
+        _closed(closed, batch, **{"rules": "rdfs", "recognised": NOTHING, "resources": True, "check": True, **options}).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return quads.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+
+
+def _without(df: DataFrame, old: DataFrame) -> DataFrame:
+    """Rows of df that old has not, df being few: old is looked through for them first."""
+    names = df.columns
+
+    def same(other: DataFrame) -> tuple[DataFrame, Column]:
+        renamed = other.select(*[F.col(c).alias(f"x_{c}") for c in names])
+        return renamed, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"x_{c}")) for c in names])
+
+    wanted, test = same(df)
+    there = old.select(*names).join(wanted, test, "left_semi")
+    there, test = same(there)
+    return df.join(there, test, "left_anti")
+
+
+def _closed(closed: DataFrame | None, triples: DataFrame, rules: str, recognised: Iterable[str], resources: bool, check: bool) -> DataFrame:
+    """The closure of triples; or, beside a closed graph, what is to be added to that."""
     keys = ["g"] if "g" in triples.columns else []
+    columns = [*keys, "s", "p", "o"]
     spark, known = triples.sparkSession, list(recognised)
     data = triples.select(*keys, *[normalized(F.col(c), known).alias(c) for c in ("s", "p", "o")]).distinct()
     if check and known:
         ill = data.where((F.col("o.k") == LITERAL) & F.col("o.d").isin(known) & class_of(F.col("o")).isNull())
         if not ill.limit(1).isEmpty():
             raise Inconsistent("an ill-typed literal")
+    if rules != "simple":
+        axioms = list(RDF_AXIOMS) + (list(RDFS_AXIOMS) if rules == "rdfs" else [])
+        for d in known:
+            axioms += [(bnode(f"w{known.index(d)}"), iri(TYPE), iri(d))]
+            axioms += [(d, TYPE, RDFS + "Datatype")] if rules == "rdfs" else []
+        fixed = _consts(spark, axioms)
+        if keys:
+            fixed = data.select("g").distinct().crossJoin(F.broadcast(fixed))
+        data = data.unionByName(fixed).distinct()
+    delta = materialize(data, "graph")
+    if closed is not None:
+        closed = closed.select(*columns)
+        delta = materialize(_without(delta, closed), "new")
     if rules == "simple":
-        return data
-    axioms = list(RDF_AXIOMS) + (list(RDFS_AXIOMS) if rules == "rdfs" else [])
-    for d in known:
-        axioms += [(bnode(f"w{known.index(d)}"), iri(TYPE), iri(d))]
-        axioms += [(d, TYPE, RDFS + "Datatype")] if rules == "rdfs" else []
-    fixed = _consts(spark, axioms)
-    if keys:
-        fixed = data.select("g").distinct().crossJoin(F.broadcast(fixed))
-    all_ = materialize(data.unionByName(fixed).distinct(), "graph")
-    delta = all_
-    columns = [*keys, "s", "p", "o"]
+        return delta
+    added = [delta]
+    # what the schema says so far, of all but the triples of this round
+    pairs_of = lambda df, p: _p(df, p).select(*keys, "s", "o")
+    classes, properties = (None, None) if closed is None else (pairs_of(closed, SUBCLASS), pairs_of(closed, SUBPROPERTY))
 
     def new_type(df: DataFrame, subject: Column, cls: Column) -> DataFrame:
         return df.select(*keys, subject.alias("s"), _is(TYPE).alias("p"), cls.alias("o"))
 
-    def pair(left: DataFrame, right: DataFrame, on: str, names: dict[str, str]) -> DataFrame:
+    def pair(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
         """left joined to the schema pairs (right.s, right.o) where left[on] is right.s."""
         r = right.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("s").alias("r_s"), F.col("o").alias("r_o"))
         test = F.col(on) == F.col("r_s")
@@ -108,7 +159,10 @@ def saturate(triples: DataFrame, rules: str = "rdfs", recognised: Iterable[str]
             test = test & F.col(k).eqNullSafe(F.col(f"r_{k}"))
         return left.join(r, test)
 
-    while True:
+    while not delta.isEmpty():
+        old = ([closed] if closed is not None else []) + added[:-1]
+        before = reduce(DataFrame.unionByName, old) if old else None
+        now = delta if before is None else before.unionByName(delta)
         found: list[DataFrame] = []
         inner = delta.where(F.col("o.k") == TRIPLE)
         predicates = delta.select(*keys, F.col("p").alias("t"))
@@ -126,41 +180,46 @@ def saturate(triples: DataFrame, rules: str = "rdfs", recognised: Iterable[str]
             if resources:
                 found.append(new_type(terms, F.col("t"), _is(RDFS + "Resource")))
             found.append(new_type(inner.select(*keys, "o"), F.col("o"), _is(RDFS + "Proposition")))
-            schema_new = not delta.where(F.col("p.v").isin(SUBCLASS, SUBPROPERTY, DOMAIN, RANGE)).limit(1).isEmpty()
-            fresh = all_ if schema_new else delta
-            classes = materialize(reachable(_p(all_, SUBCLASS).select(*keys, "s", "o"), keys=keys), "classes")
-            properties = materialize(reachable(_p(all_, SUBPROPERTY).select(*keys, "s", "o"), keys=keys), "properties")
-            found.append(classes.select(*keys, "s", _is(SUBCLASS).alias("p"), "o"))
-            found.append(properties.select(*keys, "s", _is(SUBPROPERTY).alias("p"), "o"))
-            dom = pair(fresh, _p(all_, DOMAIN), "p", {})
-            found.append(new_type(dom, F.col("s"), F.col("r_o")))
-            ran = pair(fresh, _p(all_, RANGE), "p", {})
-            found.append(new_type(ran, F.col("o"), F.col("r_o")))
-            up = pair(fresh, properties.where(F.col("s") != F.col("o")), "p", {})
-            found.append(up.select(*keys, "s", F.col("r_o").alias("p"), "o"))
-            types = _p(fresh, TYPE)
-            more = pair(types, classes.where(F.col("s") != F.col("o")), "o", {})
-            found.append(new_type(more, F.col("s"), F.col("r_o")))
-            of = lambda c: _p(delta, TYPE).where((F.col("o.v") == c) & (F.col("o.k") == IRI))
+            schema_new = {r[0] for r in delta.where(F.col("p.v").isin(SUBCLASS, SUBPROPERTY, DOMAIN, RANGE)).select("p.v").distinct().collect()}
+            more_classes = more_properties = None
+            if SUBCLASS in schema_new or classes is None:
+                all_classes = materialize(reachable(pairs_of(now, SUBCLASS), keys=keys), "classes")
+                more_classes = all_classes if classes is None else materialize(_without(all_classes, classes), "classes")
+                classes = all_classes
+                found.append(more_classes.select(*keys, "s", _is(SUBCLASS).alias("p"), "o"))
+            if SUBPROPERTY in schema_new or properties is None:
+                all_properties = materialize(reachable(pairs_of(now, SUBPROPERTY), keys=keys), "properties")
+                more_properties = all_properties if properties is None else materialize(_without(all_properties, properties), "properties")
+                properties = all_properties
+                found.append(more_properties.select(*keys, "s", _is(SUBPROPERTY).alias("p"), "o"))
+            proper = lambda df: df.where(F.col("s") != F.col("o"))
+            # new triples meet the whole schema, old ones what is new of it
+            meetings = [(delta, pairs_of(now, DOMAIN), pairs_of(now, RANGE), proper(properties), proper(classes))]
+            if before is not None and (schema_new or more_classes is not None or more_properties is not None):
+                meetings.append((before, *[pairs_of(delta, x) if x in schema_new else None for x in (DOMAIN, RANGE)], *[None if x is None else proper(x) for x in (more_properties, more_classes)]))
+            for rows, domains, ranges, above, wider in meetings:
+                if domains is not None:
+                    found.append(new_type(pair(rows, domains, "p"), F.col("s"), F.col("r_o")))
+                if ranges is not None:
+                    found.append(new_type(pair(rows, ranges, "p"), F.col("o"), F.col("r_o")))
+                if above is not None:
+                    found.append(pair(rows, above, "p").select(*keys, "s", F.col("r_o").alias("p"), "o"))
+                if wider is not None:
+                    found.append(new_type(pair(_p(rows, TYPE), wider, "o"), F.col("s"), F.col("r_o")))
+            of = lambda c: _p(delta, TYPE).where((F.col("o.v") == c) & (F.col("o.k") == IRI))  # noqa: B023, E731
             found.append(of(RDF + "Property").select(*keys, "s", _is(SUBPROPERTY).alias("p"), F.col("s").alias("o")))
             found.append(of(RDFS + "Class").select(*keys, "s", _is(SUBCLASS).alias("p"), F.col("s").alias("o")))
             found.append(of(RDFS + "Class").select(*keys, "s", _is(SUBCLASS).alias("p"), _is(RDFS + "Resource").alias("o")))
             found.append(of(RDFS + "ContainerMembershipProperty").select(*keys, "s", _is(SUBPROPERTY).alias("p"), _is(RDFS + "member").alias("o")))
             found.append(of(RDFS + "Datatype").select(*keys, "s", _is(SUBCLASS).alias("p"), _is(RDFS + "Literal").alias("o")))
-        made = found[0].select(*columns)
-        for f in found[1:]:
-            made = made.unionByName(f.select(*columns))
-        old = all_.select(*[F.col(c).alias(f"x_{c}") for c in columns])
-        same = F.lit(True)
-        for c in columns:
-            same = same & F.col(c).eqNullSafe(F.col(f"x_{c}"))
-        delta = materialize(made.distinct().join(old, same, "left_anti"), "inferred")
-        if delta.isEmpty():
-            break
-        all_ = materialize(all_.unionByName(delta), "graph")
+        made = materialize(reduce(DataFrame.unionByName, [f.select(*columns) for f in found]).distinct(), "made")
+        delta = materialize(_without(made, now), "inferred")
+        added.append(delta)
+    out = reduce(DataFrame.unionByName, added)
     if check and known:
-        _check(all_, keys, known)
-    return all_
+        touched = out if closed is None else out.unionByName(closed.join(out.select(*[F.col(c).alias(f"x_{c}") for c in (*keys, "s")]).distinct(), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"x_{c}")) for c in (*keys, "s")]), "left_semi"))
+        _check(touched, keys, known)
+    return out
 
 
 def _also(t: Column, known: list[str]) -> list[Column]:
@@ -227,4 +286,4 @@ def entails(premise: DataFrame, conclusion: list[tuple], rules: str = "rdfs", re
     return bool(Engine(store).query(as_query(goal)))
 
 
-__all__ = ["NOTHING", "SPARQL", "WITNESSES", "Inconsistent", "as_query", "entails", "literal", "normalized", "saturate"]
+__all__ = ["NOTHING", "SPARQL", "WITNESSES", "Inconsistent", "additions", "as_query", "entails", "literal", "normalized", "saturate", "saturate_stream"]

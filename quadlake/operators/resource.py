@@ -100,7 +100,7 @@ def typed(t: Term, python_type: type):
 
 
 def list_members(graph: DataFrame, head: Term | None = None) -> DataFrame:
-    """head, position (from 0), item for each cell of every well-formed list of a graph, or of the list at `head`: each cell with
+    """head, position (from 0), item and cell for each cell of every well-formed list of a graph, or of the list at `head`: each cell with
     one rdf:first and one rdf:rest, ending in rdf:nil.
 
     Rounds grow with the logarithm of the longest list: each round every cell takes over what the cell it points at knows,
@@ -123,7 +123,7 @@ def list_members(graph: DataFrame, head: Term | None = None) -> DataFrame:
     for level, hops in enumerate(levels[:-1]):
         found = members.join(hops.where(~nil), "s").select("head", F.col("target").alias("s"), (F.col("position") + F.lit(1 << level)).alias("position"))
         members = members.unionByName(materialize(found, "members"))
-    return members.join(cells.select("s", "item"), "s").select("head", "position", "item")
+    return members.join(cells.select("s", "item"), "s").select("head", "position", "item", F.col("s").alias("cell"))
 
 
 def list_items(graph: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import FUNCTIONS, iri_of, part_of
 from ..functions.values import Typed, arithmetic, box, compare, condition, constant, ebv, negate, number, numeric_term, order_key, unbox, unified
-from ..operators.paths import reachable
+from ..operators.paths import pairs, reachable, walks
 from ..terms import BNODE, IRI, LITERAL, TRIPLE, VARIABLE, XSD, Term, from_row, term
 from . import algebra as A
 from .parser import SparqlError, parse
@@ -111,7 +111,13 @@ class Store:
         g = ["__g"] if active == GRAPH else []
         return p.select(*g, F.col("s").alias("n")).union(p.select(*g, F.col("o").alias("n"))).distinct()
 
+    def nodes_among(self, terms: DataFrame, active) -> DataFrame:
+        """Those of terms (n) that are nodes of the active graph (n, and __g)."""
+        return self.nodes(active).join(terms.select("n").distinct(), ["n"], "left_semi")
+
     has_triple_terms = True
+    #: Whether patterns are read from files as they are, so that reading them again costs no more than reading a copy.
+    reads_files = False
 
     def about(self, terms: list[Term], active) -> DataFrame:
         """Triples (s, p, o) with one of the terms as subject or object."""
@@ -198,11 +204,33 @@ class Compiler:
         self.store, self.spark, self.named = store, store.spark, named
         self.functions = {**FUNCTIONS, "iri": iri_of(base), **(functions or {})}
         self.count = 0
+        self.given: dict[str, Solutions] = {}
 
     # patterns
 
-    def pattern(self, n: object, active) -> Solutions:
-        return getattr(self, "on_" + type(n).__name__.lower())(n, active)
+    def pattern(self, n: object, active, beside: Solutions | None = None, alone: bool = False) -> Solutions:
+        """The solutions of n; of those that join with `beside`, and with what is given around n, all, of others perhaps not all.
+
+        Closures in n walk from the terms that a variable has there only. What is given is the solutions that bind a variable for sure; it ends at
+        nodes whose rows depend on all rows below (groups, slices), where variables have other scopes (projections), and, `alone`, on the right of
+        what keeps rows that find nothing there: only what the left binds can narrow that side.
+        """
+        held = self.given
+        if isinstance(n, (A.Project, A.Group, A.Slice)):
+            self.given = {}
+        elif beside is not None:
+            self.given = {**({} if alone else held), **{v: beside for v in beside.kinds if v not in beside.maybe and v != GRAPH}}
+        try:
+            return getattr(self, "on_" + type(n).__name__.lower())(n, active)
+        finally:
+            self.given = held
+
+    def _given_terms(self, t: Term) -> DataFrame | None:
+        """The terms (n) that a variable of a path can have, if something tells."""
+        name = t.value if t.kind == VARIABLE else f"_:{t.value}"
+        if t.kind not in (VARIABLE, BNODE) or name not in self.given:
+            return None
+        return self.given[name].df.select(box(self.given[name].typed(name)).alias("n"))
 
     def unit(self, active) -> Solutions:
         """One solution without bindings; in GRAPH ?g one for each named graph."""
@@ -235,10 +263,9 @@ class Compiler:
         return out
 
     def on_path(self, n: A.Path, active) -> Solutions:
-        from ..operators.paths import pairs
-
         ends = []
-        df = pairs(self, n.path, active, n.subject, n.object)
+        starts, stops = (self._given_terms(t) if walks(n.path) else None for t in (n.subject, n.object))
+        df = pairs(self, n.path, active, n.subject, n.object, starts, stops)
         tests = []
         for c, t in (("s", n.subject), ("o", n.object)):
             if t.kind in (VARIABLE, BNODE):
@@ -283,10 +310,19 @@ class Compiler:
         return Solutions(df, left.kinds, left.maybe).select(columns, maybe)
 
     def on_join(self, n: A.Join, active) -> Solutions:
-        return self.join(self.pattern(n.left, active), self.pattern(n.right, active))
+        """Closures come last, those first that have an end in what is there, and each part sees what the parts before it bind."""
+        parts = sorted(_joined_parts(n), key=lambda p: isinstance(p, A.Path) and walks(p.path))
+        out = self.pattern(parts.pop(0), active)
+        while parts:
+            free = [p for p in parts if not (isinstance(p, A.Path) and walks(p.path)) or set(A.variables(p)) & set(out.kinds)]
+            part = (free or parts)[0]
+            parts = [p for p in parts if p is not part]
+            out = self.join(out, self.pattern(part, active, out))
+        return out
 
     def on_leftjoin(self, n: A.LeftJoin, active) -> Solutions:
-        return self.join(self.pattern(n.left, active), self.pattern(n.right, active), "left", n.condition)
+        left = self.pattern(n.left, active)
+        return self.join(left, self.pattern(n.right, active, left, True), "left", n.condition)
 
     def on_filter(self, n: A.Filter, active) -> Solutions:
         s = self.pattern(n.inner, active)
@@ -316,7 +352,7 @@ class Compiler:
         if isinstance(e, A.Exists):
             self.count += 1
             flag = f".x{self.count}"
-            right, conditions = self._inside(e.pattern, active)
+            right, conditions = self._inside(e.pattern, active, s)
             # each row is in one of both, so that no row has to be told from another
             yes, no = (self._semi(s, right, how, conditions) for how in ("left_semi", "left_anti"))
             df = yes.df.withColumn(enc(flag), F.lit(not e.negated)).unionByName(no.df.withColumn(enc(flag), F.lit(e.negated)))
@@ -330,16 +366,16 @@ class Compiler:
         return s, e
 
     def exists(self, s: Solutions, pattern, negated: bool, active) -> Solutions:
-        right, conditions = self._inside(pattern, active)
+        right, conditions = self._inside(pattern, active, s)
         return self._semi(s, right, "left_anti" if negated else "left_semi", conditions)
 
-    def _inside(self, pattern, active) -> tuple[Solutions, list]:
+    def _inside(self, pattern, active, beside: Solutions) -> tuple[Solutions, list]:
         """A pattern without the filters around it, and these."""
         conditions = []
         while isinstance(pattern, A.Filter) and not _has_exists(pattern.expr):
             conditions.append(pattern.expr)
             pattern = pattern.inner
-        return self.pattern(pattern, active), conditions
+        return self.pattern(pattern, active, beside, True), conditions
 
     def _semi(self, s: Solutions, right: Solutions, how: str, conditions: list, need_shared: bool = False) -> Solutions:
         shared = [v for v in s.kinds if v in right.kinds and not v.startswith("_:")]
@@ -365,7 +401,8 @@ class Compiler:
         return Solutions(_joined(left, renamed, right.maybe, shared, on, how), left.kinds, left.maybe)
 
     def on_minus(self, n: A.Minus, active) -> Solutions:
-        s, right = self.pattern(n.left, active), self.pattern(n.right, active)
+        s = self.pattern(n.left, active)
+        right = self.pattern(n.right, active, s, True)
         if not [v for v in s.kinds if v in right.kinds and v != GRAPH and not v.startswith("_:")]:
             return s
         return self._semi(s, right, "left_anti", [], need_shared=True)
@@ -583,6 +620,10 @@ def _term_type() -> str:
     return TERM_DDL
 
 
+def _joined_parts(n) -> list:
+    return [*_joined_parts(n.left), *_joined_parts(n.right)] if isinstance(n, A.Join) else [n]
+
+
 def _conjuncts(e) -> list:
     return _conjuncts(e.args[0]) + _conjuncts(e.args[1]) if isinstance(e, A.Call) and e.name == "&&" else [e]
 

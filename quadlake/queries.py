@@ -158,4 +158,4 @@ def _describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(VirtualStore(spark, sf_dir), PREFIXES).query("DESCRIBE <urn:x:region/2>").selectExpr("s.v AS s", "p.v AS p", "o.v AS o")
 
 
-from . import graph_queries  # noqa: E402, F401  registers its queries here
+from . import graph_queries, table_queries  # noqa: E402, F401  register their queries here
