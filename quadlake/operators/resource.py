@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,39 @@ class Resource:
         return [from_row(r["item"]) for r in rows]
 
 
+class WrongLiteral(ValueError):
+    """A value that is no literal (`problem` is kind), or one of another datatype (datatype) or text (value)."""
+
+    def __init__(self, problem: str, found: Term):
+        super().__init__(f"a wrong {problem}: {found}")
+        self.problem, self.found = problem, found
+
+
+def datatype_of(t: Term) -> str | None:
+    if t.kind != LITERAL:
+        return None
+    return RDF + ("dirLangString" if t.direction else "langString") if t.lang else t.datatype
+
+
+def check_literal(t: Term, datatype: str, forms: Sequence[str] = ()) -> str:
+    """The text of a literal of this datatype, and one of these texts if there are any."""
+    problem = "kind" if t.kind != LITERAL else "datatype" if datatype_of(t) != datatype else "value" if forms and t.value not in forms else None
+    if problem:
+        raise WrongLiteral(problem, t)
+    return t.value
+
+
+def checked_literals(graph: DataFrame, p: str, datatype: str, forms: Sequence[str] = ()) -> DataFrame:
+    """check_literal for each triple with predicate p: s, o, value (null where it is wrong), problem (null where it is right)."""
+    o = F.col("o")
+    own = F.when(o["r"].isNotNull(), RDF + "dirLangString").when(o["l"].isNotNull(), RDF + "langString").otherwise(o["d"])
+    problem = F.when(o["k"] != LITERAL, "kind").when(~own.eqNullSafe(F.lit(datatype)), "datatype")
+    if forms:
+        problem = problem.when(~o["v"].isin(list(forms)), "value")
+    rows = graph.where((F.col("p.v") == p) & (F.col("p.k") == IRI)).select("s", "o", problem.alias("problem"))
+    return rows.select("s", "o", F.when(F.col("problem").isNull(), F.col("o.v")).alias("value"), "problem")
+
+
 def typed(t: Term, python_type: type):
     if t.kind != LITERAL:
         raise ValueError("not a literal")

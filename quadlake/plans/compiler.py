@@ -658,9 +658,13 @@ class Engine:
         self.store = Store(store) if isinstance(store, DataFrame) else store
         self.prefixes, self.functions = prefixes, functions
 
+    def prepare(self, text: str, base: str | None = None) -> A.Query:
+        """A query read once, for query() to run any number of times, on any engine."""
+        return parse(text, base, self.prefixes)
+
     def query(self, text: str | A.Query, base: str | None = None):
         """SELECT gives a Result, ASK a bool, CONSTRUCT and DESCRIBE a DataFrame (s, p, o) of term structs."""
-        q = parse(text, base, self.prefixes) if isinstance(text, str) else text
+        q = self.prepare(text, base) if isinstance(text, str) else text
         c = Compiler(self.store, q.base, q.from_named, self.functions)
         active = q.from_default
         if q.form == "select":

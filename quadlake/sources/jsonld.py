@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import iri as iris
 from ..terms import BNODE, IRI, LITERAL, RDF, XSD, Term, bnode, double_text, iri, literal
-from .turtle import read_documents, scope_of
+from .turtle import new_scopes, read_documents
 
 Loader = Callable[[str], str]
 
@@ -258,7 +258,8 @@ def parse_jsonld(text: str, base: str | None = None, loader: Loader = no_loader,
 
 
 def read_jsonld(spark: SparkSession, path: str, base: str | None = None, preserve_bnodes: bool = False, **options) -> DataFrame:
-    return read_documents(spark, path, lambda text, name: parse_jsonld(text, base or name, bnode_scope="" if preserve_bnodes else scope_of(name), **options))
+    scope = new_scopes(preserve_bnodes)
+    return read_documents(spark, path, lambda text, name: parse_jsonld(text, base or name, bnode_scope=scope(name), **options))
 
 
 def to_jsonld(quads: list[tuple], native_types: bool = False, use_rdf_type: bool = False, rdf_direction: str | None = None, indent: int | None = None) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,20 +124,22 @@ def _deep(lines):
 def read_nquads(spark: SparkSession, path: str, preserve_bnodes: bool = False, strict: bool = True) -> DataFrame:
     """Quads of N-Triples or N-Quads files, one line a row, any number of tasks a file.
 
-    Blank nodes get a suffix that is the same within a file and different between files, unless preserve_bnodes. With
+    Blank nodes get a suffix that is the same within a file and different between files, and between calls, unless preserve_bnodes. With
     strict, a line that is neither a quad nor blank nor a comment, or a term in a position that RDF does not allow, raises when
     the rows are used; else (generalised RDF) any kind of term may stand anywhere.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
-    return parse_lines(lines, preserve_bnodes, strict)
+    return parse_lines(lines, preserve_bnodes, strict, uuid.uuid4().hex)
 
 
-def parse_lines(lines: DataFrame, preserve_bnodes: bool = False, strict: bool = True) -> DataFrame:
-    """As read_nquads, of a frame with `value` and, if it has one, `_file`; also of a streaming one."""
+def parse_lines(lines: DataFrame, preserve_bnodes: bool = False, strict: bool = True, call: str = "") -> DataFrame:
+    """As read_nquads, of a frame with `value` and, if it has one, `_file`; also of a streaming one. `call` sets blank nodes apart from those of other calls."""
     scope = None
     if not preserve_bnodes:
-        scope = F.concat(F.lit("f"), F.lower(F.hex(F.xxhash64("_file")))) if "_file" in lines.columns else F.lit("f0")
+        scope = F.concat(F.lit("f"), F.substring(F.sha2(F.concat(F.col("_file"), F.lit("\n" + call)), 256), 1, 24)) if "_file" in lines.columns else F.lit(f"f0{call}")
     rows = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    if scope is not None:
+        rows, scope = rows.withColumn("_scope", scope), F.col("_scope")
     flat = F.col("value").rlike(LINE)
     # only lines that nest triple terms in triple terms go through Python
     rows = rows.withColumn("_deep", _deep(F.when(~flat & F.col("value").rlike(r"<<\(.*<<\("), F.col("value"))))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import iri as iris
 from ..terms import BNODE, IRI, LITERAL, RDF, XML, XSD, Term, bnode, iri, literal
-from .turtle import read_documents, scope_of
+from .turtle import new_scopes, read_documents
 
 _R = f"{{{RDF}}}"
 # Names that mean syntax, not properties.
@@ -128,7 +128,8 @@ def parse_rdfxml(text: str, base: str | None = None, bnode_scope: str = "") -> l
 
 
 def read_rdfxml(spark: SparkSession, path: str, base: str | None = None, preserve_bnodes: bool = False) -> DataFrame:
-    return read_documents(spark, path, lambda text, name: parse_rdfxml(text, base or name, "" if preserve_bnodes else scope_of(name)))
+    scope = new_scopes(preserve_bnodes)
+    return read_documents(spark, path, lambda text, name: parse_rdfxml(text, base or name, scope(name)))
 
 
 def to_rdfxml(triples: list[tuple]) -> str:

@@ -306,20 +306,23 @@ def read_documents(spark: SparkSession, path: str, parse) -> DataFrame:
     return files.mapInPandas(run, ", ".join(f"{c} {TERM_DDL}" for c in "gspo"))
 
 
-def scope_of(path: str) -> str:
-    """A suffix for the blank nodes of a file: 96 bits, so that no two files share one."""
+def new_scopes(preserve_bnodes: bool):
+    """A function of a file's path to the suffix of its blank nodes: 96 bits, another one in each call, so that no two reads share a node; none to preserve labels."""
     import hashlib
+    import uuid
 
-    return f"f{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+    call = uuid.uuid4().hex
+    return lambda path: "" if preserve_bnodes else f"f{hashlib.sha256(f'{path} {call}'.encode()).hexdigest()[:24]}"
 
 
 def read_turtle(spark: SparkSession, path: str, base: str | None = None, preserve_bnodes: bool = False, generalized: bool = False, trig: bool = False) -> DataFrame:
     """Quads of Turtle (or TriG) files; relative IRIs are resolved against base, or else against the file's own place."""
-    return read_documents(spark, path, lambda text, name: TurtleParser(text, base or name, trig, generalized, None, "" if preserve_bnodes else scope_of(name)).quads())
+    scope = new_scopes(preserve_bnodes)
+    return read_documents(spark, path, lambda text, name: TurtleParser(text, base or name, trig, generalized, None, scope(name)).quads())
 
 
 def read_trig(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_turtle(spark, path, trig=True, **options)
 
 
-__all__ = ["TRIPLE", "TurtleParser", "parse_trig", "parse_turtle", "read_documents", "read_trig", "read_turtle", "scope_of"]
+__all__ = ["TRIPLE", "TurtleParser", "parse_trig", "parse_turtle", "read_documents", "read_trig", "read_turtle", "new_scopes"]

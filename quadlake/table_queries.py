@@ -11,6 +11,7 @@ from .functions.scalar import FUNCTIONS
 from .functions.values import Typed
 from .operators import c14n, quads, reasoning
 from .operators.mapping import TABLES, VirtualStore
+from .operators.resource import checked_literals
 from .operators.store import QuadStore
 from .plans.compiler import GRAPH, Engine
 from .queries import PREFIXES, _sparql, frame_query
@@ -154,6 +155,23 @@ def _jsonld_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.join(list_items(back), "head").select(F.col("s.v").alias("s"), items.alias("items"), F.lit(nodes).alias("folded"))
 
 
+@frame_query("check_literals", f"""SELECT '{X}customer/' || c_custkey AS s, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment END AS value, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'value' END AS problem FROM customer
+    UNION ALL SELECT '{X}customer/' || c_custkey, NULL, 'datatype' FROM customer UNION ALL SELECT '{X}customer/' || c_custkey, NULL, 'kind' FROM customer""")
+def _check_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three columns checked for two segments as strings: names of segments, balances, and nations, which are no literals."""
+    df = table_quads(spark, sf_dir, "customer")
+    found = [checked_literals(df, f"{X}customer#{c}", XSD + "string", ("BUILDING", "MACHINERY")) for c in ("c_mktsegment", "c_acctbal", "c_nationkey")]
+    return reduce(DataFrame.unionByName, found).select(F.col("s.v").alias("s"), "value", "problem")
+
+
+@frame_query("prepared_query", "SELECT r_name AS region, n_name AS nation FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query read once and run on the tables and on their stored quads."""
+    first, second = Engine(VirtualStore(spark, sf_dir), PREFIXES), Engine(quads.to_quads(table_quads(spark, sf_dir, "region", "nation").select("s", "p", "o")))
+    q = first.prepare("SELECT ?region ?nation { ?n n:n_name ?nation ; n:n_regionkey/r:r_name ?region }")
+    return first.query(q).df.unionByName(second.query(q).df)
+
+
 # additions to a closed graph
 
 

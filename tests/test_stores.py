@@ -295,3 +295,68 @@ def test_isomorphic_with_triple_terms(spark):
     assert c14n.isomorphic(odd("a", "b"), odd("k", "a")) and not c14n.isomorphic(odd("a", "b"), odd("k", "k"))
     plain = c14n.relabeled(to_frame(spark, parse_turtle("_:x <http://x/p> <<( _:x <http://x/q> _:y )>> .")), extended=True)
     assert plain.count() == 4 and plain.where(F.col("o.k") == 3).isEmpty()
+
+
+# small ones
+
+
+def test_additions_equal_closing_anew(spark, tmp_path):
+    from quadlake.operators import reasoning
+    from quadlake.terms import RDF, RDFS
+
+    data = lambda text: to_frame(spark, parse_turtle(f"PREFIX : <{X}> PREFIX rdf: <{RDF}> PREFIX rdfs: <{RDFS}> {text}")).select("s", "p", "o")
+    first = data(":C rdfs:subClassOf :D . :a a :C . :x :q :y . :p rdfs:domain :F .")
+    for more in (":b a :C ; :r :a .", ":D rdfs:subClassOf :E . :q rdfs:subPropertyOf :p ; rdfs:range :C . :E rdfs:subClassOf :C ."):
+        closed = reasoning.saturate(first)
+        new = reasoning.additions(closed, data(more))
+        whole = reasoning.saturate(first.unionByName(data(more)))
+        assert set(from_frame(closed)) | set(from_frame(new)) == set(from_frame(whole)) and not set(from_frame(closed)) & set(from_frame(new))
+    assert reasoning.additions(whole, first).count() == 0
+
+
+def test_frame_writers(spark, tmp_path):
+    from quadlake.sources.frames import write_jsonld, write_rdfxml
+    from quadlake.sources.jsonld import read_jsonld
+    from quadlake.sources.rdfxml import read_rdfxml
+
+    text = """PREFIX : <http://x/> :a :p "t\\n<&> \\"q\\"", "en"@en, 5, :b, _:n ; :l ( 1 ( 2 "x"@fr ) _:n ), () ; a :T . _:n :p :a . _:m :l2 ( 7 ) . _:k :also _:c . _:j :also _:c . _:c <http://www.w3.org/1999/02/22-rdf-syntax-ns#first> 1 ; <http://www.w3.org/1999/02/22-rdf-syntax-ns#rest> () ."""
+    triples = to_frame(spark, parse_turtle(text))
+    quads_ = triples.unionByName(to_frame(spark, parse_trig("PREFIX : <http://x/> :g { :a :p _:n ; :l ( 3 4 ) . _:n :p 1 } _:h { :a :p :a }")))
+    write_jsonld(quads_, str(tmp_path / "j"))
+    assert c14n.isomorphic(read_jsonld(spark, str(tmp_path / "j")), quads_)
+    assert spark.read.text(str(tmp_path / "j")).where(F.col("value").contains("@list")).count() >= 2
+    write_rdfxml(triples, str(tmp_path / "x"), {X: "x"})
+    back = read_rdfxml(spark, str(tmp_path / "x"), preserve_bnodes=True)
+    assert set(from_frame(back)) == set(from_frame(triples))
+    with pytest.raises(Exception, match="can't hold"):
+        write_rdfxml(to_frame(spark, [(None, iri(X), iri(X + "p"), literal("\x01"))]), str(tmp_path / "y"))
+    both = [{q[1].value for q in from_frame(read_rdfxml(spark, str(tmp_path / "x"))) if q[1].kind == BNODE} for _ in range(2)]
+    assert both[0] and not both[0] & both[1]
+
+
+def test_iris_by_columns(spark):
+    from quadlake import iri as iris
+    from quadlake.functions.iris import relativize, resolve
+
+    refs = ["g:h", "g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", "g?y#s", ";x", "g;x", "g;x?y#s", "", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", ".g", "./../g", "./g/.", "g/./h", "g;x=1/./y", "g;x=1/../y", "g?y/./x", "g#s/../x", "http:g", "//h/a/../b?#", "a:b:c", "?#"]
+    bases = ["http://a/b/c/d;p?q", "http://a", "http://a?x", "urn:x:y", "file:///x/y/", "http://a/b/c/d/../e"]
+    df = spark.createDataFrame([(b, r) for b in bases for r in refs], "b string, r string").select("b", "r", resolve(F.col("b"), F.col("r")).alias("x"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        assert r.x == iris.resolve(r.b, r.r), r
+    targets = [*bases, "http://a/b/c/x", "http://a/b/y#f", "http://other/x", "http://a/b/c/d;p?z", "http://a/b/c/", "http://a/q:r", "https://a/b/c/d"]
+    df = spark.createDataFrame([(b, t) for b in bases for t in targets], "b string, t string")
+    for up in (0, 1, 3):
+        for r in df.select("b", "t", relativize(F.col("b"), F.col("t"), up).alias("x")).collect():
+            assert r.x == iris.relativize(r.b, r.t, up), (r, up)
+
+
+def test_checked_literals():
+    from quadlake.operators.resource import WrongLiteral, check_literal
+    from quadlake.terms import RDF
+
+    assert check_literal(literal("a"), XSD + "string") == "a" and check_literal(literal("a", lang="en"), RDF + "langString", ["a", "b"]) == "a"
+    for t, forms, problem in ((iri(X), (), "kind"), (literal(1), (), "datatype"), (literal("z"), ("a",), "value")):
+        with pytest.raises(WrongLiteral) as e:
+            check_literal(t, XSD + "string", forms)
+        assert e.value.problem == problem
