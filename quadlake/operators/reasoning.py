@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import part_of
 from ..functions.values import class_of, rank_of
-from ..plans.algebra import Bgp, Query
 from ..plans.compiler import Engine, Store
+from ..plans.from_graph import query_of
 from ..storage import materialize
-from ..terms import BNODE, INTEGER_RANGES, IRI, LITERAL, RDF, RDFS, TERM_DDL, TRIPLE, XSD, Term, bnode, iri, literal, term, triple_term, variable
+from ..terms import BNODE, INTEGER_RANGES, IRI, LITERAL, RDF, RDFS, TERM_DDL, TRIPLE, XSD, Term, bnode, iri, literal, term, triple_term
 from .paths import reachable
 
 TYPE, SUBCLASS, SUBPROPERTY, DOMAIN, RANGE = RDF + "type", RDFS + "subClassOf", RDFS + "subPropertyOf", RDFS + "domain", RDFS + "range"
@@ -262,12 +262,6 @@ def _check(df: DataFrame, keys: list[str], known: list[str]) -> None:
         raise Inconsistent(f"a resource of both {a} and {b}")
 
 
-def as_query(triples: list[tuple]) -> Query:
-    """ASK for a graph, its blank nodes standing for anything."""
-    swap = lambda t: variable(f"b_{t.value}") if t.kind == BNODE else t
-    return Query("ask", Bgp([tuple(map(swap, t[-3:])) for t in triples]))
-
-
 def entails(premise: DataFrame, conclusion: list[tuple], rules: str = "rdfs", recognised: Iterable[str] = NOTHING) -> bool:
     """Whether the conclusion (triples of terms) follows from the premise (s, p, o); an inconsistent premise entails everything."""
     known = list(recognised)
@@ -283,7 +277,7 @@ def entails(premise: DataFrame, conclusion: list[tuple], rules: str = "rdfs", re
 
     goal = from_frame(goal.select(*[normalized(F.col(c), known).alias(c) for c in ("s", "p", "o")]))
     store = Store(closed.select(F.lit(None).cast(TERM_DDL).alias("g"), "s", "p", "o"))
-    return bool(Engine(store).query(as_query(goal)))
+    return bool(Engine(store).query(query_of(goal)))
 
 
-__all__ = ["NOTHING", "SPARQL", "WITNESSES", "Inconsistent", "additions", "as_query", "entails", "literal", "normalized", "saturate", "saturate_stream"]
+__all__ = ["NOTHING", "SPARQL", "WITNESSES", "Inconsistent", "additions", "entails", "literal", "normalized", "saturate", "saturate_stream"]

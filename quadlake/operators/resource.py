@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from ..terms import IRI, LITERAL, RDF, Term, from_row, iri
+from ..terms import INTEGER_RANGES, IRI, LITERAL, RDF, XSD, Term, from_row, iri
 
 
 class Cardinality(ValueError):
@@ -78,8 +80,16 @@ class Resource:
         return [self.follow(t) for t in self.get_all_terms(p)]
 
     def get_typed(self, p, python_type: type):
-        """The one value as bool, int, float or str."""
-        return typed(self.get_term(p), python_type)
+        """The one value as bool, int, float, Decimal, date, datetime, bytes or str, or as what a callable makes of this resource's neighbour."""
+        if python_type in _TYPES:
+            return typed(self.get_term(p), python_type)
+        return python_type(self.get_resource(p))
+
+    def get_all_typed(self, p, python_type: type) -> list:
+        """All values, as get_typed gives one."""
+        if python_type in _TYPES:
+            return [typed(t, python_type) for t in self.get_all_terms(p)]
+        return [python_type(r) for r in self.get_all_resources(p)]
 
     def get_list(self, p) -> list[Term]:
         head = self.get_term(p)
@@ -124,14 +134,49 @@ def checked_literals(graph: DataFrame, p: str, datatype: str, forms: Sequence[st
     return rows.select("s", "o", F.when(F.col("problem").isNull(), F.col("o.v")).alias("value"), "problem")
 
 
+def _boolean(text: str) -> bool:
+    if text not in ("true", "false", "0", "1"):
+        raise ValueError(f"not a boolean: {text}")
+    return text in ("true", "1")
+
+
+_TYPES: dict[type, Callable[[str], object]] = {bool: _boolean, int: int, float: lambda x: float(x.replace("INF", "inf")), str: str, Decimal: Decimal, date: lambda x: date.fromisoformat(x.removesuffix("Z")), datetime: datetime.fromisoformat, bytes: bytes.fromhex}
+
+
 def typed(t: Term, python_type: type):
+    """The value of a literal's text; ValueError for other terms and texts."""
     if t.kind != LITERAL:
         raise ValueError("not a literal")
-    if python_type is bool:
-        if t.value not in ("true", "false", "0", "1"):
-            raise ValueError(f"not a boolean: {t.value}")
-        return t.value in ("true", "1")
-    return python_type(t.value)
+    try:
+        return _TYPES[python_type](t.value)
+    except ArithmeticError as e:
+        raise ValueError(f"not a number: {t.value}") from e
+
+
+#: Spark types by datatype, and the texts that each allows.
+_FRAMES = {
+    "string": ("string", None), "boolean": ("boolean", "^(true|false|0|1)$"), "integer": ("decimal(38,0)", r"^[+-]?[0-9]+$"), "decimal": ("decimal(38,18)", r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"),
+    "double": ("double", r"^([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?INF|NaN)$"), "date": ("date", "^[0-9]{4}-[0-9]{2}-[0-9]{2}Z?$"), "dateTime": ("timestamp", "^[0-9]{4}-[0-9]{2}-[0-9]{2}T"), "hexBinary": ("binary", "^([0-9a-fA-F]{2})*$"),
+}
+
+
+def typed_values(graph: DataFrame, p: str, name: str) -> DataFrame:
+    """For each triple with predicate p: s, o, value as Spark's type for the XSD datatype `name`, problem.
+
+    `problem` is null where value is there, else kind (no literal), datatype (of another one; integers count as decimals, both as doubles), or value (a text
+    that the datatype doesn't allow, or beyond Spark's type).
+    """
+    if name not in _FRAMES:
+        raise ValueError(f"unknown datatype: {name}")
+    o, (to, form) = F.col("o"), _FRAMES[name]
+    wider = {"decimal": ["integer", *INTEGER_RANGES], "double": ["float", "decimal", "integer", *INTEGER_RANGES], "integer": list(INTEGER_RANGES)}.get(name, [])
+    text = F.regexp_replace(o["v"], "^([+-]?)INF$", "$1Infinity") if name == "double" else F.regexp_replace(o["v"], "Z$", "") if name == "date" else o["v"]
+    value = F.unhex(text) if to == "binary" else text.try_cast(to)
+    right = (o["v"].rlike(form) if form else F.lit(True)) & value.isNotNull()
+    own = o["d"].isin([XSD + x for x in (name, *wider)]) & o["l"].isNull()
+    problem = F.when(o["k"] != LITERAL, "kind").when(~F.coalesce(own, F.lit(False)), "datatype").when(~F.coalesce(right, F.lit(False)), "value")
+    rows = graph.where((F.col("p.v") == p) & (F.col("p.k") == IRI)).select("s", "o", value.alias("value"), problem.alias("problem"))
+    return rows.select("s", "o", F.when(F.col("problem").isNull(), F.col("value")).alias("value"), "problem")
 
 
 def list_members(graph: DataFrame, head: Term | None = None) -> DataFrame:

@@ -198,10 +198,10 @@ def _open(t: Term) -> bool:
 
 
 class Compiler:
-    """One query over one store. `functions` maps IRIs to callables on typed columns, for extensions."""
+    """One query over one store. `functions` maps IRIs to callables on typed columns, for extensions; `aggregates` to callables on a typed column and whether DISTINCT."""
 
-    def __init__(self, store: Store, base: str | None = None, named: list[str] | None = None, functions: dict | None = None):
-        self.store, self.spark, self.named = store, store.spark, named
+    def __init__(self, store: Store, base: str | None = None, named: list[str] | None = None, functions: dict | None = None, aggregates: dict | None = None):
+        self.store, self.spark, self.named, self.aggregates = store, store.spark, named, aggregates or {}
         self.functions = {**FUNCTIONS, "iri": iri_of(base), **(functions or {})}
         self.count = 0
         self.given: dict[str, Solutions] = {}
@@ -507,6 +507,8 @@ class Compiler:
             every = F.struct(*[col(v) for v in s.kinds if v != GRAPH and not v.startswith("_:")])
             return Typed("int", F.count_distinct(every) if a.distinct else F.count(F.lit(1)))
         x = self.expr(a.arg, s)
+        if a.name in self.aggregates:
+            return self.aggregates[a.name](x, a.distinct)
         exact = x.col if x.kind != "term" else box(x)
         if a.name == "count":
             return Typed("int", F.count_distinct(exact) if a.distinct else F.count(exact))
@@ -654,18 +656,18 @@ class Result:
 class Engine:
     """Queries over a store."""
 
-    def __init__(self, store: Store | DataFrame, prefixes: dict[str, str] | None = None, functions: dict | None = None):
+    def __init__(self, store: Store | DataFrame, prefixes: dict[str, str] | None = None, functions: dict | None = None, aggregates: dict | None = None):
         self.store = Store(store) if isinstance(store, DataFrame) else store
-        self.prefixes, self.functions = prefixes, functions
+        self.prefixes, self.functions, self.aggregates = prefixes, functions, aggregates or {}
 
     def prepare(self, text: str, base: str | None = None) -> A.Query:
         """A query read once, for query() to run any number of times, on any engine."""
-        return parse(text, base, self.prefixes)
+        return parse(text, base, self.prefixes, self.aggregates)
 
     def query(self, text: str | A.Query, base: str | None = None):
         """SELECT gives a Result, ASK a bool, CONSTRUCT and DESCRIBE a DataFrame (s, p, o) of term structs."""
         q = self.prepare(text, base) if isinstance(text, str) else text
-        c = Compiler(self.store, q.base, q.from_named, self.functions)
+        c = Compiler(self.store, q.base, q.from_named, self.functions, self.aggregates)
         active = q.from_default
         if q.form == "select":
             s = c.pattern(q.pattern, active)

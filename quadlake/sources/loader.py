@@ -40,8 +40,9 @@ class LocalLoader:
         iri = iri.partition("#")[0]
         for prefix, folder in self.folders.items():
             if iri.startswith(prefix):
-                path = os.path.normpath(os.path.join(folder, iri[len(prefix) :]))
-                if not path.startswith(os.path.normpath(folder)):
+                root = os.path.abspath(folder)
+                path = os.path.abspath(os.path.join(root, iri[len(prefix) :]))
+                if os.path.commonpath([root, path]) != root:
                     break
                 if os.path.isfile(path):
                     return path

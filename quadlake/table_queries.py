@@ -11,12 +11,17 @@ from .functions.scalar import FUNCTIONS
 from .functions.values import Typed
 from .operators import c14n, quads, reasoning
 from .operators.mapping import TABLES, VirtualStore
-from .operators.resource import checked_literals
+from .operators.resource import checked_literals, typed_values
 from .operators.store import QuadStore
+from .plans import algebra as A
+from .plans.aggregates import statistics
 from .plans.compiler import GRAPH, Engine
+from .plans.from_graph import query_of
 from .queries import PREFIXES, _sparql, frame_query
+from .sources.links import follow_links
+from .sources.nquads import line_column
 from .storage import materialize, new_path
-from .terms import BNODE, IRI, LITERAL, XSD, iri, literal, parts_column, term
+from .terms import BNODE, IRI, LITERAL, XSD, bnode, iri, literal, parts_column, term, variable
 
 X = "urn:x:"
 TYPE = PREFIXES["rdf"] + "type"
@@ -369,3 +374,67 @@ _sparql("group_mixed_values", "SELECT ?s (SUM(?v) AS ?sum) { ?c c:c_mktsegment ?
         "SELECT c_mktsegment AS s, CASE WHEN count(*) FILTER (c_acctbal >= 9000) = 0 THEN sum(CASE WHEN c_acctbal < 0 THEN c_custkey ELSE 0.5 END)::DECIMAL(18, 1)::VARCHAR END AS sum FROM customer GROUP BY 1")
 _sparql("minus_maybe_unbound_rows", "SELECT ?k ?w { ?c c:c_custkey ?k OPTIONAL { ?c c:c_acctbal ?w FILTER(?w > 5000) } MINUS { ?d c:c_custkey ?k ; c:c_mktsegment 'BUILDING' OPTIONAL { ?d c:c_acctbal ?w FILTER(?w > 8000) } } }",
         "SELECT k, w FROM (SELECT c_custkey AS k, CASE WHEN c_acctbal > 5000 THEN c_acctbal END AS w, CASE WHEN c_acctbal > 8000 THEN c_acctbal END AS v, c_mktsegment AS s FROM customer) WHERE NOT (s = 'BUILDING' AND (w IS NULL OR v IS NULL OR w = v))")
+
+
+# documents that lead to one another, queries made of graphs, aggregates beside SPARQL's own, values by datatype
+
+
+def row_documents(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """A document in N-Triples for each row of some tables: document, format, text."""
+    df = table_quads(spark, sf_dir, *names)
+    lines = df.select(F.col("s.v").alias("document"), line_column(df.select("s", "p", "o")).alias("line"))
+    return lines.groupBy("document").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text")).withColumn("format", F.lit("nt"))
+
+
+@frame_query("links_followed", f"""WITH c AS (SELECT DISTINCT c_custkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000)
+    SELECT '{X}customer/' || c_custkey AS document, 1 AS round, '{X}nation/' || c_nationkey AS leads_to FROM c
+    UNION ALL SELECT DISTINCT '{X}nation/' || n_nationkey, 2, '{X}region/' || n_regionkey FROM c JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT DISTINCT '{X}region/' || n_regionkey, 3, NULL FROM c JOIN nation ON c_nationkey = n_nationkey""")
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From large orders to their customers' documents, and on to nations and regions."""
+    to = [X + p for p in ("orders#o_custkey", "customer#c_nationkey", "nation#n_regionkey")]
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice > 300000")
+    first = orders.select(term(IRI, F.concat(F.lit(X + "orders/"), F.col("o_orderkey").cast("string"))).alias("s"), iri(to[0]).column().alias("p"), term(IRI, F.concat(F.lit(X + "customer/"), F.col("o_custkey").cast("string"))).alias("o"))
+    followed = follow_links(first, to, materialize(row_documents(spark, sf_dir, "customer", "nation", "region"), "documents"))
+    links = followed.triples.where(F.col("p.v").isin(to) & F.col("document").isNotNull()).select("document", F.col("o.v").alias("leads_to"))
+    return followed.documents.where("problem IS NULL AND triples > 0").select("document", "round").join(links, "document", "left")
+
+
+@frame_query("graph_select", "SELECT '" + X + "customer/' || c_custkey AS c, o_totalprice AS t FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY'")
+def _graph_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SELECT made of three triples; the order is a blank node."""
+    p = lambda name: iri(X + name)
+    pattern = [(variable("c"), p("customer#c_mktsegment"), literal("MACHINERY")), (bnode("o"), p("orders#o_custkey"), variable("c")), (bnode("o"), p("orders#o_totalprice"), variable("t"))]
+    return Engine(VirtualStore(spark, sf_dir)).query(query_of(pattern, "select")).df
+
+
+@frame_query("graph_construct", "SELECT '" + X + "customer/' || c_custkey AS s, '" + X + "customer#c_nationkey' AS p, '" + X + "nation/' || c_nationkey AS o FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE s_acctbal < 0")
+def _graph_construct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CONSTRUCT made of a graph: customers' nations, once for each indebted supplier there; of each solution's triples one is looked at."""
+    home = (variable("c"), iri(X + "customer#c_nationkey"), variable("n"))
+    quads_ = VirtualStore(spark, sf_dir)
+    query = query_of([home, (variable("s"), iri(X + "supplier#s_nationkey"), variable("n")), (variable("s"), iri(X + "supplier#s_acctbal"), variable("b"))], "construct")
+    query.pattern = A.Filter(A.Call("<", (variable("b"), literal(0))), query.pattern)
+    made = Engine(quads_).query(query)
+    return made.where(F.col("p.v") == home[1].value).select(*[F.col(f"{c}.v").alias(c) for c in "spo"])
+
+
+@frame_query("group_statistics", "SELECT l_returnflag AS f, l_linestatus AS st, median(l_quantity) AS middle, round(stddev_samp(l_extendedprice), 4) AS spread, round(var_samp(l_discount), 8) AS variance FROM lineitem GROUP BY ALL")
+def _group_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(VirtualStore(spark, sf_dir), {**PREFIXES, "agg": "urn:agg:"}, aggregates=statistics("urn:agg:"))
+    df = engine.query("SELECT ?f ?st (agg:median(?q) AS ?middle) (agg:deviation(?p) AS ?spread) (agg:variance(?d) AS ?variance) { ?l l:l_returnflag ?f ; l:l_linestatus ?st ; l:l_quantity ?q ; l:l_extendedprice ?p ; l:l_discount ?d } GROUP BY ?f ?st").df
+    return df.withColumn("spread", F.round("spread", 4)).withColumn("variance", F.round("variance", 8))
+
+
+@frame_query("group_mode", "SELECT n, m, k FROM (SELECT '" + X + "nation/' || c_nationkey AS n, c_mktsegment AS m, sum(count(*)) OVER (PARTITION BY c_nationkey)::BIGINT AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, c_mktsegment) AS r FROM customer GROUP BY c_nationkey, c_mktsegment) WHERE r = 1")
+def _group_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(VirtualStore(spark, sf_dir), {**PREFIXES, "agg": "urn:agg:"}, aggregates=statistics("urn:agg:"))
+    return engine.query("SELECT ?n (agg:mode(?s) AS ?m) (COUNT(*) AS ?k) { ?c c:c_nationkey ?n ; c:c_mktsegment ?s } GROUP BY ?n").df
+
+
+@frame_query("typed_balances", "SELECT '" + X + "customer/' || c_custkey AS s, c_acctbal AS value, NULL::VARCHAR AS problem FROM customer UNION ALL SELECT '" + X + "customer/' || c_custkey, NULL, 'datatype' FROM customer")
+def _typed_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances as numbers; segments, which are texts, by the same datatype."""
+    df = table_quads(spark, sf_dir, "customer")
+    both = typed_values(df, X + "customer#c_acctbal", "double").unionByName(typed_values(df, X + "customer#c_mktsegment", "double"))
+    return both.select(F.col("s.v").alias("s"), "value", "problem")
