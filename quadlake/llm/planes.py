@@ -23,6 +23,8 @@ from .tokens import default_tokenizer, encoded
 
 MAGIC = b"QLPLANE1"
 BLOCK = 65_536
+#: Bytes of text, and 16 a document, for a file: what bounds the file and its index at every input size.
+FILE_BYTES = 256 << 20
 
 
 def to_planes(ids: bytes, kind: str) -> list[bytes]:
@@ -116,13 +118,14 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def write_token_files(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, end_id: int = 2, kind: str = "byte", block: int = BLOCK, folder: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, end_id: int = 2, kind: str = "byte", block: int = BLOCK, folder: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the ids of all docs in ascending doc_id order (null first); return the manifest: file_no, path, first_id, n_docs, n_tokens.
 
-    Each file holds one range of doc_id; files follow each other in the order of file_no. A task that is repeated
+    Each file holds one range of documents; files follow each other in the order of file_no. There are as many as keep a file at
+    about `file_bytes`, and one a shuffle partition at least. A task that is repeated
     writes a file of another name; the manifest is written once and names only files of finished tasks. Null
-    text is empty: the end id alone. Equal doc_ids stay together, in the order of their texts. Other columns of docs
-    are ignored. An empty table gives an empty manifest.
+    text is empty: the end id alone. Equal (or null) doc_ids follow each other in the order of their texts' first 32 characters, then of a hash of the
+    texts; however many they are, they may lie in many files. Other columns of docs are ignored. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     folder, tokenizer = folder or new_path(spark, "planes"), tokenizer or default_tokenizer()
@@ -148,14 +151,23 @@ def write_token_files(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
             out.close()
             yield pa.RecordBatch.from_pylist([{"file_no": number, "path": name, "first_id": first, "n_docs": docs_n, "n_tokens": tokens}], schema=pa.schema([("file_no", pa.int32()), ("path", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("_d"), F.col(text).alias("_t")).repartitionByRange(parts, "_d").sortWithinPartitions("_d", "_t")
+    rows = docs.select(F.col(doc_id).cast("long").alias("_d"), F.col(text).alias("_t"))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("_t"), F.lit(0)) + F.lit(16).cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
+    order = ["_d", "_a", "_h", "_n"]
+    rows = rows.select("_d", "_t", F.substring("_t", 1, 32).alias("_a"), F.xxhash64("_t").alias("_h"), F.monotonically_increasing_id().alias("_n"))
+    # the last key tells rows apart that are equal in all else, so that any number of them spreads over files
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions("_d", "_a", "_h", "_t")
     rows = rows.select("_d", "_t", F.spark_partition_id().alias("_p"))
     return materialize(rows.mapInArrow(write, "file_no int, path string, first_id long, n_docs long, n_tokens long"), "manifest").withColumn("folder", F.lit(folder))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, start (ids before it in all files), n_tokens, ids (little-endian 32-bit integers)."""
+    """One row for each document: doc_id, start (ids before it in all files), n_tokens, ids (little-endian 32-bit integers).
+
+    Null and equal doc_ids come back as they were written, each with its own row. An empty manifest gives an empty result. Other columns of the
+    manifest than those of write_token_files are ignored.
+    """
     spark = manifest.sparkSession
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -178,8 +190,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    # One file a task: the files are few, so that Spark would read many of them in one.
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # About one file a task: their rows are few, so that Spark would read many of them in one.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), manifest.count())
     return files.repartition(parts, "file_no").select("path", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
