@@ -42,17 +42,21 @@ SECRET_WORDS = ("token", "secret", "passw", "pwd", "apikey", "api_key", "api-key
 OTHER_WORDS = ("commit", "sha", "md5", "checksum", "digest", "uuid", "guid", "revision", "etag", "order", "invoice", "phone", "card", "isbn", "tracking", "version", "hash", "id")
 
 _VALUE = r"A-Za-z0-9+/=_\-.~"
-#: A value set to a name that speaks of secrets, or a long run with a digit.
+#: A value set to a name that speaks of secrets, or a long run with a digit, whose parts dots may join, as in signed web tokens.
 _NAMES = r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|auth(?:orization)?|credential|access[_-]?key|private[_-]?key|bearer)"
 _SET = re.compile(
     rf"{_NAMES}[\"']?\s{{0,3}}(?:[:=]|=>|\s)\s{{0,3}}[\"']?(?P<set>[{_VALUE}!@#%^&*]{{8,}})"
 )
-_CANDIDATE = re.compile(_SET.pattern + rf"|(?<![{_VALUE}])(?P<bare>[A-Za-z0-9+/=_\-]{{16,}})")
+_RUN = r"A-Za-z0-9+/=_\-"
+#: The body of a private key in its armour, as a whole, and the password of an address.
+_KEY = r"-----BEGIN (?:(?!PRIVATE KEY)[A-Z0-9]++ )*+PRIVATE KEY(?: BLOCK)?-----(?P<key>[^-]++(?:-(?!----)[^-]*+)*+)-----END "
+_PASSWORD = r"://[^\s/:@]++:(?P<password>[^\s/@]{6,}+)@"
+_CANDIDATE = re.compile(rf"{_KEY}|{_PASSWORD}|{_SET.pattern}|(?<![{_RUN}~])(?P<bare>[{_RUN}]{{16,}}(?:\.[{_RUN}]{{6,}})*)")
 #: Where a name begins; names have 13 characters at most.
 _NAME, _LONGEST_NAME = re.compile(f"(?={_NAMES})"), 13
 _DIGIT = re.compile("[0-9]")
 #: What every text with a candidate has, for a first look by Spark itself.
-FIRST_LOOK = r"(?i)token|secret|passw|pwd|api[_-]?key|auth|credential|access[_-]?key|private[_-]?key|bearer|[a-z0-9+/=_-]{16}"
+FIRST_LOOK = r"(?i)token|secret|passw|pwd|api[_-]?key|auth|credential|access[_-]?key|private[_-]?key|bearer|[a-z0-9+/=_-]{16}|-BEGIN |://[^\s/:@]+:[^\s/@]{6}"
 FEATURES = ("length", "digits", "capitals", "small", "marks", "transitions", "distinct", "entropy", "hex", "dictionary", "vowels", "path", "address", "secret_words", "other_words", "quoted", "assigned", "dots")
 
 _BY_LENGTH = {n: frozenset(w for w in DICTIONARY if len(w) == n) for n in range(4, 14)}
@@ -137,6 +141,21 @@ def labelled_findings(count: int = 3000, seed: int = 7) -> list[tuple[str, int,
         start = len(text) - len(value)
         quote = '"' if '"' in lead[-2:] else "'" if "'" in lead[-2:] else ""
         out.append((text + quote + r.choice(("", " ", "\n")) + " ".join(word() for _ in range(r.randint(0, 4))), start, start + len(value), label))
+    url = string.ascii_letters + string.digits + "-_"
+    for _ in range(count // 8):
+        before, after, label = r.choice(("", word() + " ")), r.choice((" ", "\n", "")), 1
+        lead, value, tail = r.choice((
+            lambda: (r.choice(("", "Cookie: ", word() + "=", "jwt: ", "session ")), "eyJ" + pick(url, r.randint(14, 40)) + ".eyJ" + pick(url, r.randint(30, 120)) + "." + pick(url, 43), ""),
+            lambda: ("-----BEGIN " + r.choice(("", "RSA ", "EC ")) + "PRIVATE KEY-----", "\n" + "\n".join(pick(b64, 64) for _ in range(r.randint(2, 20))) + "\n", "-----END PRIVATE KEY-----"),
+            lambda: (r.choice(("postgres", "mysql", "amqp", "https")) + "://" + word() + ":", pick(string.ascii_letters + string.digits + "!#%^&*-_", r.randint(8, 24)), "@" + word() + ".example.com:5432/" + word()),
+        ))()
+        if r.random() < 0.4:
+            lead, value, tail, label = *r.choice((
+                lambda: ("", ".".join(word() + "_" + word() + pick(string.digits, 2) + word() for _ in range(r.randint(2, 3))), ""),
+                lambda: ("https://" + word() + ":", r.choice(("password", "changeme", "<password>", "xxxxxxxx", "${" + word().upper() + "}", word() + word())), "@" + word() + ".example.com/"),
+                lambda: ("", word() + "-" + word() + "-" + pick(string.digits, 8) + "." + word() + word(), ""),
+            ))(), 0
+        out.append((before + lead + value + tail + after + word(), len(before + lead), len(before + lead + value), label))
     return out
 
 
@@ -231,6 +250,9 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
     """One row for each candidate in docs: doc_id, start, end (code points), value_sha256, score, is_secret.
 
+    A candidate is a value set to a name, a long run with a digit (with the parts that dots join to it), the password of an address, or all between the
+    first and last line of a private key.
+
     Candidates whose score is below the threshold are false positives (is_secret false). Values are given as hashes, so that a
     report does not spread secrets. Null and empty texts have none; repeated rows are reported each. Texts go through
     whole. Other columns of docs are ignored. An empty table gives an empty result.
