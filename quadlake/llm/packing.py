@@ -169,6 +169,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, length: str = "length", key: t
 
 
 def packed_documents(docs: DataFrame, capacity: int = 2048, **options) -> DataFrame:
-    """Tokenise and pack docs: one row for each piece, without the ids themselves (tokenized_pieces has them)."""
+    """Tokenise and pack docs: one row for each piece, without the ids themselves (tokenized_pieces has them).
+
+    A null text is empty: the end id alone. Texts above the capacity are cut, none is dropped. Repeated rows and null doc_ids are packed each. Other
+    columns of docs are ignored, whatever their names. An empty table gives an empty result.
+    """
     pieces = materialize(tokenized_pieces(docs, max_len=capacity, with_ids=False, **options), "pieces")
     return pack(pieces, capacity)
