@@ -1,4 +1,8 @@
-"""Corpus pipeline: language ID, exact and near deduplication, mixing and packing of the documents table."""
+"""Corpus pipeline: language ID, exact and near deduplication, mixing and packing of the documents table.
+
+All stages but the last keep the columns of their documents, whatever further columns there are and how they are named. Null ids, labels and sources
+are values of their own; null texts go at the first stage. Repeated rows count each until exact deduplication leaves one. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +17,27 @@ from quadlake.llm.packing import packed_documents
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language is ambiguous, go."""
+    """Documents without a letter (null and empty ones too), or whose language is ambiguous, go. Learned from the labelled rows of docs; without any, all go."""
     return drop_unidentified(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts stays: the one with the most characters, then the smallest doc_id; null texts are equal to empty ones."""
     return drop_exact_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays; a text of fewer than five words is one shingle, one without words is no copy of any."""
     return drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes its words."""
+    """Each document comes as often as the mix takes its words, twice at most; documents without words go. Null is a source of its own."""
     return mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens, each with its sequence and place there."""
+    """Pieces of at most 2048 tokens, each with its sequence and place there; a null text is empty. Long texts are cut, none is dropped."""
     return packed_documents(docs)
 
 
@@ -44,6 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all stages applied to the documents of sf_dir, each stage's result being written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
