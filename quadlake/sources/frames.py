@@ -13,6 +13,8 @@ from ..terms import BNODE, IRI, LITERAL, RDF, TERM_DDL, XSD, term
 
 #: Triples of a subject that go into one node; a subject with more is written in several.
 NODE = 1000
+#: Characters of a file, but for a longer line: these formats are read a file at a time.
+FILE = 4 << 20
 #: Splits a predicate into a namespace and a name that XML allows.
 LOCAL_NAME = r"^(?s)(.*?)([A-Za-z_][\w.\-]*)$"
 #: Characters that XML has no way to write.
@@ -38,22 +40,25 @@ def _parted(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _files(lines: DataFrame, path: str, head: str, between: str, foot: str, mode: str) -> None:
-    """Text files, each partition's lines between a first and a last one."""
+    """Text files of about FILE characters at most, each with a first and a last line. A file is one record, so that what reads it whole holds a bounded text, whatever the partitions."""
 
     def wrap(batches):
         import pyarrow as pa
 
-        started = False
+        document = lambda some: pa.RecordBatch.from_pydict({"value": ["\n".join([head, some[0], *(between + x for x in some[1:]), foot])]})
+        some, size = [], 0
         for b in batches:
-            if b.num_rows:
-                lines = b.column(0).to_pylist()
-                first = [head, *lines[:1]] if not started else [between + lines[0]]
-                yield pa.RecordBatch.from_pydict({"value": [*first, *(between + x for x in lines[1:])]})
-                started = True
-        if started:
-            yield pa.RecordBatch.from_pydict({"value": [foot]})
+            for x in b.column(0):
+                line = x.as_py()
+                if some and size + len(line) > FILE:
+                    yield document(some)
+                    some, size = [], 0
+                some.append(line)
+                size += len(line)
+        if some:
+            yield document(some)
 
-    lines.select("value").mapInArrow(wrap, "value string").write.mode(mode).text(path)
+    lines.select("value").mapInArrow(wrap, "value string").write.mode(mode).option("maxRecordsPerFile", 1).text(path)
 
 
 def _folded(quads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +129,7 @@ def write_jsonld(quads: DataFrame, path: str, lists: bool = True, mode: str = "e
 def write_rdfxml(triples: DataFrame, path: str, prefixes: dict[str, str] | None = None, strict: bool = True, mode: str = "error") -> None:
     """RDF/XML files of triples of any number, an element with a subject's properties a line; a subject of many triples has several.
 
-    The predicates' namespaces, as many as a vocabulary has, are gathered first and declared in each file; `prefixes` names some. Blank node labels are kept: all files
+    The predicates' namespaces, as many as a vocabulary has, are gathered first and declared in each file; `prefixes` names some, name to namespace or the other way round. Blank node labels are kept: all files
     are one document. What RDF/XML can't hold (triple terms, predicates without a local name, control characters) is an error, or left out if not strict.
     """
     space, local = F.regexp_extract("p.v", LOCAL_NAME, 1), F.regexp_extract("p.v", LOCAL_NAME, 2)
@@ -133,7 +138,7 @@ def write_rdfxml(triples: DataFrame, path: str, prefixes: dict[str, str] | None
         fits = F.when(fits, True).otherwise(F.raise_error(F.concat(F.lit("RDF/XML can't hold "), F.to_json(F.struct("s", "p", "o")))).cast("boolean"))
     df = triples.select("s", "p", "o").where(fits).distinct().select("s", "p", "o", space.alias("_space"), local.alias("_local"))
     df = materialize(df, "triples")
-    spaces = {RDF: "rdf", **{v: k for k, v in (prefixes or {}).items()}}
+    spaces = {RDF: "rdf", **dict((k, v) if ":" in k else (v, k) for k, v in (prefixes or {}).items())}
     for i, r in enumerate(df.select("_space").distinct().orderBy("_space").collect()):
         spaces.setdefault(r[0], f"n{i}")
 

@@ -333,6 +333,23 @@ def test_frame_writers(spark, tmp_path):
     assert both[0] and not both[0] & both[1]
 
 
+def test_files_of_frames_are_bounded(spark, tmp_path, monkeypatch):
+    from quadlake.sources import frames
+    from quadlake.sources.jsonld import read_jsonld
+    from quadlake.sources.rdfxml import read_rdfxml
+
+    monkeypatch.setattr(frames, "FILE", 2000)
+    rows = [(None, iri(f"{X}{i}"), iri(X + p), o) for i in range(300) for p, o in (("p", literal(f"line\n{i}")), ("q", iri(X + "o")), ("r", literal("x", lang="en")))]
+    quads_ = to_frame(spark, rows).coalesce(1)
+    frames.write_jsonld(quads_, str(tmp_path / "j"))
+    frames.write_rdfxml(quads_.select("s", "p", "o"), str(tmp_path / "x"), {"x": X})
+    for folder, read in (("j", read_jsonld), ("x", read_rdfxml)):
+        sizes = [x.stat().st_size for x in (tmp_path / folder).glob("part-*") if x.stat().st_size]
+        assert len(sizes) > 20 and max(sizes) < 3000
+        back = from_frame(read(spark, str(tmp_path / folder)))
+        assert len(back) == len(rows) and set(back) == set(rows)
+
+
 def test_iris_by_columns(spark):
     from quadlake import iri as iris
     from quadlake.functions.iris import relativize, resolve
