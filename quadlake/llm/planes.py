@@ -25,6 +25,8 @@ MAGIC = b"QLPLANE1"
 BLOCK = 65_536
 #: Bytes of text, and 16 a document, for a file: what bounds the file and its index at every input size.
 FILE_BYTES = 256 << 20
+#: Documents that a Python worker is handed at a time: a whole partition's texts would else be there three times over.
+BATCH = 500
 
 
 def to_planes(ids: bytes, kind: str) -> list[bytes]:
@@ -159,7 +161,14 @@ def write_token_files(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     # the last key tells rows apart that are equal in all else, so that any number of them spreads over files
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions("_d", "_a", "_h", "_t")
     rows = rows.select("_d", "_t", F.spark_partition_id().alias("_p"))
-    return materialize(rows.mapInArrow(write, "file_no int, path string, first_id long, n_docs long, n_tokens long"), "manifest").withColumn("folder", F.lit(folder))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, BATCH)
+    try:
+        manifest = materialize(rows.mapInArrow(write, "file_no int, path string, first_id long, n_docs long, n_tokens long"), "manifest")
+    finally:
+        spark.conf.set(setting, before)
+    return manifest.withColumn("folder", F.lit(folder))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -184,7 +193,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     for d, ids in read_documents(source):
                         rows.append({"doc_id": d, "start": start, "n_tokens": len(ids) // 4, "ids": ids})
                         start, size = start + len(ids) // 4, size + len(ids)
-                        if size > 8_000_000:
+                        if size > 2_000_000:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows, size = [], 0
                 if rows:

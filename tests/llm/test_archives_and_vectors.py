@@ -447,3 +447,23 @@ def test_token_files_of_equal_ids(spark):
     for r in back:
         assert r.start == at
         at += r.n_tokens
+
+
+def test_plane_files_take_documents_in_small_batches(spark, monkeypatch):
+    from quadlake.llm import planes
+
+    sizes = spark.sparkContext.accumulator(0)
+    encoded = planes.encoded
+
+    def counted(texts, path):
+        sizes.add(len(texts) > 7)
+        return encoded(texts, path)
+
+    monkeypatch.setattr(planes, "encoded", counted)
+    monkeypatch.setattr(planes, "BATCH", 7, raising=False)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    docs = spark.range(100).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    back = planes.read_token_files(planes.write_token_files(docs))
+    assert [r.doc_id for r in back.orderBy("start").collect()] == list(range(100))
+    assert spark.conf.get(setting) == before and sizes.value == 0
