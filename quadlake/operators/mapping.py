@@ -14,9 +14,12 @@ from pyspark.sql import types as T
 
 from ..functions.values import Typed, box, compare, constant, unified
 from ..plans.compiler import GRAPH, Solutions, Store, enc
+from ..storage import spread
 from ..terms import BNODE, IRI, LITERAL, RDF, VARIABLE, Term, literal, term
 
 PREFIX = "urn:x:"
+#: Rows that a task unfolds.
+ROWS = 100_000
 
 
 @dataclass
@@ -179,6 +182,8 @@ class VirtualStore(Store):
                 df = self._rows_with(t, df, only)
                 if df is None:
                     continue
+            else:
+                df = spread(df, t.key or ["__row"], ROWS)
             subject = box(self.subject(t))
             items = [F.struct(term(IRI, F.lit(RDF + "type")).alias("p"), term(IRI, F.lit(PREFIX + name)).alias("o"))]
             for c in df.columns:
@@ -200,8 +205,9 @@ class VirtualStore(Store):
             if (isinstance(active, str) and active not in (GRAPH, graph)) or (isinstance(active, list) and graph not in active):
                 continue
             df = self.frame(name)
-            for x in (self.subject(t), *[self.object(t, c) for c in t.foreign], Typed("iri", F.lit(PREFIX + name))):
-                nodes = df.select(*([term(IRI, F.lit(graph)).alias(GRAPH)] if active == GRAPH else []), box(x).alias("n")).where(F.col("n").isNotNull())
+            # each key that is referred to, and the class, is there once: they would meet their term in one task
+            for rows, x in ((df, self.subject(t)), *[(df.select(c).distinct(), self.object(t, c)) for c in t.foreign], (df.limit(1), Typed("iri", F.lit(PREFIX + name)))):
+                nodes = rows.select(*([term(IRI, F.lit(graph)).alias(GRAPH)] if active == GRAPH else []), box(x).alias("n")).where(F.col("n").isNotNull())
                 out = nodes if out is None else out.unionByName(nodes)
         return terms.select("n").distinct().limit(0) if out is None else out.join(terms.select("n").distinct(), ["n"], "left_semi").distinct()
 

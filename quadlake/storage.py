@@ -31,6 +31,12 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, keys: list[str], rows: int, least: int = 0) -> DataFrame:
+    """df dealt out again by keys to tasks of about `rows` rows, if it has more than `least`: a small file of many rows is read by one task, which would also make all that follows from them."""
+    count = df.count()
+    return df.repartition(-(-count // rows), *keys) if count > max(rows, least) else df
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

@@ -350,6 +350,27 @@ def test_files_of_frames_are_bounded(spark, tmp_path, monkeypatch):
         assert len(back) == len(rows) and set(back) == set(rows)
 
 
+def test_tables_are_spread_before_they_are_unfolded(spark, tmp_path, monkeypatch):
+    from quadlake.operators import mapping
+
+    spark.range(1000).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).cast("int").alias("c_nationkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    table = [t for t in mapping.TABLES if t.name == "customer"]
+    unfolded = lambda: mapping.VirtualStore(spark, str(tmp_path), table).quads()
+    one = unfolded()
+    monkeypatch.setattr(mapping, "ROWS", 100)
+    many = unfolded()
+    assert one.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() == 10
+    assert one.exceptAll(many).isEmpty() and one.count() == many.count() == 3000
+
+
+def test_class_nodes_are_looked_for_once(spark):
+    nation = VirtualStore(spark, SF, [t for t in VirtualStore(spark, SF).tables.values() if t.name == "nation"])
+    wanted = spark.createDataFrame([(iri(x).row(),) for x in ("urn:x:nation", "urn:x:nation/3", "urn:x:region/1", "urn:x:no")], f"n {TERM_DDL}")
+    found = nation.nodes_among(wanted, None)
+    assert sorted(r.n.v for r in found.collect()) == ["urn:x:nation", "urn:x:nation/3", "urn:x:region/1"]
+    assert "Limit" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_iris_by_columns(spark):
     from quadlake import iri as iris
     from quadlake.functions.iris import relativize, resolve
