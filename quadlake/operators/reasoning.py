@@ -123,7 +123,7 @@ def _closed(closed: DataFrame | None, triples: DataFrame, rules: str, recognised
     keys = ["g"] if "g" in triples.columns else []
     columns = [*keys, "s", "p", "o"]
     spark, known = triples.sparkSession, list(recognised)
-    data = triples.select(*keys, *[normalized(F.col(c), known).alias(c) for c in ("s", "p", "o")]).distinct()
+    data = triples.select(*keys, *[normalized(F.col(c), known).alias(c) for c in ("s", "p", "o")]).repartition(*columns).distinct()
     if check and known:
         ill = data.where((F.col("o.k") == LITERAL) & F.col("o.d").isin(known) & class_of(F.col("o")).isNull())
         if not ill.limit(1).isEmpty():
@@ -148,6 +148,8 @@ def _closed(closed: DataFrame | None, triples: DataFrame, rules: str, recognised
     pairs_of = lambda df, p: _p(df, p).select(*keys, "s", "o")
     classes, properties = (None, None) if closed is None else (pairs_of(closed, SUBCLASS), pairs_of(closed, SUBPROPERTY))
 
+    ends = None
+
     def new_type(df: DataFrame, subject: Column, cls: Column) -> DataFrame:
         return df.select(*keys, subject.alias("s"), _is(TYPE).alias("p"), cls.alias("o"))
 
@@ -192,9 +194,12 @@ def _closed(closed: DataFrame | None, triples: DataFrame, rules: str, recognised
                 more_properties = all_properties if properties is None else materialize(_without(all_properties, properties), "properties")
                 properties = all_properties
                 found.append(more_properties.select(*keys, "s", _is(SUBPROPERTY).alias("p"), "o"))
+            if ends is None or schema_new & {DOMAIN, RANGE}:
+                # written by themselves: few rows with few keys, which must not deal out all triples by their predicates
+                ends = materialize(now.where(F.col("p.v").isin(DOMAIN, RANGE) & (F.col("p.k") == IRI)), "ends")
             proper = lambda df: df.where(F.col("s") != F.col("o"))
             # new triples meet the whole schema, old ones what is new of it
-            meetings = [(delta, pairs_of(now, DOMAIN), pairs_of(now, RANGE), proper(properties), proper(classes))]
+            meetings = [(delta, pairs_of(ends, DOMAIN), pairs_of(ends, RANGE), proper(properties), proper(classes))]
             if before is not None and (schema_new or more_classes is not None or more_properties is not None):
                 meetings.append((before, *[pairs_of(delta, x) if x in schema_new else None for x in (DOMAIN, RANGE)], *[None if x is None else proper(x) for x in (more_properties, more_classes)]))
             for rows, domains, ranges, above, wider in meetings:
@@ -212,7 +217,7 @@ def _closed(closed: DataFrame | None, triples: DataFrame, rules: str, recognised
             found.append(of(RDFS + "Class").select(*keys, "s", _is(SUBCLASS).alias("p"), _is(RDFS + "Resource").alias("o")))
             found.append(of(RDFS + "ContainerMembershipProperty").select(*keys, "s", _is(SUBPROPERTY).alias("p"), _is(RDFS + "member").alias("o")))
             found.append(of(RDFS + "Datatype").select(*keys, "s", _is(SUBCLASS).alias("p"), _is(RDFS + "Literal").alias("o")))
-        made = materialize(reduce(DataFrame.unionByName, [f.select(*columns) for f in found]).distinct(), "made")
+        made = materialize(reduce(DataFrame.unionByName, [f.select(*columns) for f in found]).repartition(*columns).distinct(), "made")
         delta = materialize(_without(made, now), "inferred")
         added.append(delta)
     out = reduce(DataFrame.unionByName, added)
