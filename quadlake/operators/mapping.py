@@ -43,10 +43,13 @@ TABLES = [
 
 
 class VirtualStore(Store):
-    """The tables of a folder of Parquet files as a graph; each table is also the named graph urn:x:graph/<table>."""
+    """The tables of a folder of Parquet files as a graph; each table is also the named graph urn:x:graph/<table>.
 
-    def __init__(self, spark: SparkSession, folder: str, tables: list[Table] | None = None):
-        self.spark, self.folder = spark, folder
+    `rows`: larger tables are dealt out to tasks of so many rows before stars are joined, for queries that make many solutions or much text of a row.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, tables: list[Table] | None = None, rows: int | None = None):
+        self.spark, self.folder, self.rows = spark, folder, rows
         self.tables = {t.name: t for t in tables or TABLES}
         self.frames: dict[str, DataFrame] = {}
 
@@ -97,6 +100,8 @@ class VirtualStore(Store):
     def star(self, s: Term, name: str, triples: list, active) -> Solutions:
         t = self.tables[name]
         df = self.frame(name)
+        if self.rows:
+            df = spread(df, t.key or ["__row"], self.rows)
         graph = f"{PREFIX}graph/{name}"
         if (isinstance(active, str) and active not in (GRAPH, graph)) or (isinstance(active, list) and graph not in active):
             df = df.where(F.lit(False))

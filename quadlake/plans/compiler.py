@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -698,9 +699,22 @@ def construct(s: Solutions, template: list) -> DataFrame:
             return FUNCTIONS["triple"](*[Typed("term", of(x)) for x in t.parts]).col
         return t.column()
 
-    made = F.array(*[F.struct(of(a).alias("s"), of(b).alias("p"), of(c).alias("o")) for a, b, c in template])
-    out = df.select(F.explode(made).alias("t")).select("t.s", "t.p", "t.o")
-    return out.where(F.col("s.k").isin(IRI, BNODE) & (F.col("p.k") == IRI) & F.col("o.k").isin(IRI, BNODE, LITERAL, TRIPLE))
+    def kind(t: Term) -> Column:
+        """The kind of t's term, null if it is unbound; without the term where it is told by the column's kind."""
+        x = s.typed(t.value) if t.kind == VARIABLE and t.value in s.kinds else None
+        if x is None or x.kind == "term":
+            return F.lit(t.kind) if t.kind in (IRI, BNODE, LITERAL) else of(t)["k"]
+        return F.when(x.col.isNotNull(), IRI if x.kind == "iri" or x.kind.startswith("ref:") else LITERAL)
+
+    def chosen(parts: list[Column]) -> Column:
+        return parts[0] if len(parts) == 1 else reduce(lambda c, i: c.when(F.col("__i") == i, parts[i]), range(1, len(parts)), F.when(F.col("__i") == 0, parts[0]))
+
+    # the number of a triple is unfolded, not its terms: those of triples that are not asked for are never made
+    fits = [kind(a).isin(IRI, BNODE) & (kind(b) == IRI) & kind(c).isin(IRI, BNODE, LITERAL, TRIPLE) for a, b, c in template]
+    if len(template) > 1:
+        df = df.withColumn("__i", F.explode(F.array(*[F.lit(i) for i in range(len(template))])))
+    df = df.where(chosen(fits))
+    return df.select(*[chosen([of(t[k]) for t in template]).alias(c) for k, c in enumerate("spo")])
 
 
 def engine(spark: SparkSession, quads: DataFrame, **options) -> Engine:

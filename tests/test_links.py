@@ -151,3 +151,17 @@ def test_typed_values(spark):
     r = Resource(iri(X + "a"), graph)
     assert r.get_typed(X + "d", date) == date(2020, 1, 2)
     assert sorted(r.get_all_typed(X + "n", lambda x: x.get_typed(X + "name", str))) == ["B", "C"]
+
+
+def test_constructed_triples_of_large_tables(spark, tmp_path):
+    """Tables are dealt out before they are joined; triples with unbound or misplaced terms go, and so does no other."""
+    from quadlake.operators.mapping import VirtualStore
+    from quadlake.plans.compiler import Engine
+
+    spark.range(1000).selectExpr("id AS c_custkey", "IF(id % 10 = 0, NULL, CAST(id % 25 AS int)) AS c_nationkey", "CAST(id AS double) AS c_acctbal").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    store = VirtualStore(spark, str(tmp_path), rows=100)
+    text = "CONSTRUCT { ?c <urn:x:in> ?n . ?b <urn:x:of> ?c . ?c <urn:x:has> ?b . ?c ?n _:x . _:x <urn:x:one> ?c } { ?c <urn:x:customer#c_acctbal> ?b OPTIONAL { ?c <urn:x:customer#c_nationkey> ?n } }"
+    made = Engine(store).query(text)
+    assert store.star(variable("c"), "customer", [(variable("c"), iri("urn:x:customer#c_acctbal"), variable("b"))], None).df.rdd.getNumPartitions() == 10
+    found = {r["v"]: r["count"] for r in made.groupBy("p.v").count().collect()}
+    assert found == {"urn:x:in": 900, "urn:x:has": 1000, "urn:x:one": 1000, **{f"urn:x:nation/{k}": n for k, n in {r["k"]: r["n"] for r in spark.sql("SELECT id % 25 AS k, count(*) AS n FROM range(1000) WHERE id % 10 > 0 GROUP BY 1").collect()}.items()}}
