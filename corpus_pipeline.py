@@ -2,6 +2,7 @@
 
 All stages but the last keep the columns of their documents, whatever further columns there are and how they are named. Null ids, labels and sources
 are values of their own; null texts go at the first stage. Repeated rows count each until exact deduplication leaves one. An empty table stays empty.
+Stages with Python workers set the session's Arrow batches to BATCH rows at most, as their results are computed when they are read.
 """
 
 from __future__ import annotations
@@ -16,8 +17,19 @@ from quadlake.llm.mixing import mixed_documents
 from quadlake.llm.packing import packed_documents
 
 
+#: Documents that a Python worker is handed at a time: a partition's texts would else be there several times over, in its memory and in the executor's.
+BATCH = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH:
+        spark.conf.set(setting, BATCH)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter (null and empty ones too), or whose language is ambiguous, go. Learned from the labelled rows of docs; without any, all go."""
+    small_batches(spark)
     return drop_unidentified(docs)
 
 
@@ -28,6 +40,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays; a text of fewer than five words is one shingle, one without words is no copy of any."""
+    small_batches(spark)
     return drop_near_copies(docs)
 
 
@@ -38,6 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, each with its sequence and place there; a null text is empty. Long texts are cut, none is dropped."""
+    small_batches(spark)
     return packed_documents(docs)
 
 

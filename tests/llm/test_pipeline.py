@@ -1,3 +1,5 @@
+import pyarrow as pa
+
 import corpus_pipeline
 from quadlake.llm import langid, minhash
 
@@ -79,3 +81,20 @@ def test_stages_on_nothing(spark):
     blank = corpus_pipeline.materialize(docs.where("text IS NULL"), "blank")
     assert corpus_pipeline.STAGES[0][1](spark, blank, "").isEmpty()
     assert corpus_pipeline.STAGES[1][1](spark, blank, "").count() == 1
+
+
+def test_python_workers_take_documents_in_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('some words of text ', id) AS text", "'en' AS lang", "'s' AS source", "20 AS n_chars").coalesce(1)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    try:
+        for stage in (corpus_pipeline.identify_language, corpus_pipeline.near_copies, corpus_pipeline.pack_sequences):
+            spark.conf.set(setting, before)
+            stage(spark, docs, "")
+            assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) <= 500
+        spark.conf.set(setting, 70)
+        corpus_pipeline.identify_language(spark, docs, "")
+        assert int(spark.conf.get(setting)) == 70
+    finally:
+        spark.conf.set(setting, before)
