@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
-from itertools import permutations
+from itertools import groupby, permutations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +22,8 @@ TRIPLE_GRAPH = "urn:quadlake:triple-term:"
 
 #: Blank nodes whose orders are tried, and neighbourhoods that are looked at, before a component is refused as toxic.
 MOST_PERMUTED, MOST_CALLS = 6, 2_000_000
+#: Nodes without a hash of their own for a task.
+NODES = 20_000
 
 
 class ToxicGraph(ValueError):
@@ -190,15 +192,15 @@ def _name(place: Column) -> Column:
     return F.concat(F.lit("c14n"), place.cast("string"))
 
 
-def _labels(quads: DataFrame, algorithm: str = "sha256", depth_factor: float = 1.0, most_permuted: int = MOST_PERMUTED, most_calls: int = MOST_CALLS) -> DataFrame:
-    """node, label for each blank node of the quads.
+def _labels(quads: DataFrame, algorithm: str = "sha256", depth_factor: float = 1.0, most_permuted: int = MOST_PERMUTED, most_calls: int = MOST_CALLS, hashes: DataFrame | None = None) -> DataFrame:
+    """node, label for each blank node of the quads; `hashes`: their first-degree hashes, if these are known.
 
     Names of nodes with a first-degree hash of their own go by the order of hashes. The others, joined where they share a quad, fall into components.
     Naming one node of a component by its neighbourhood names them all, and names of other components play no part in that; so each component is
     solved by itself, and then they follow each other by the first-degree hash that comes first in them and by its least N-degree hash.
     A component that takes more than `most_calls` neighbourhoods, one for each of its nodes and each start at least, is toxic.
     """
-    hashes = materialize(first_degree_hashes(quads, algorithm), "hashes")
+    hashes = materialize(first_degree_hashes(quads, algorithm), "hashes") if hashes is None else hashes
     counts = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
     alike = materialize(counts.where("n > 1").select("hash"), "alike")
     own, total = _counted(hashes.join(alike, "hash", "left_anti"), ["hash"], None, 0)
@@ -206,7 +208,8 @@ def _labels(quads: DataFrame, algorithm: str = "sha256", depth_factor: float = 1
     if alike.isEmpty():
         return own
     rest = materialize(hashes.join(alike, "hash", "left_semi"), "rest")
-    everything = total + rest.count()
+    alone = rest.count()
+    everything = total + alone
     keyed = materialize(quads.select(F.struct("g", "s", "p", "o").alias("q")), "quads")
     nodes = F.array_distinct(F.transform(F.filter(F.array("q.g", "q.s", "q.o"), lambda t: t.isNotNull() & (t["k"] == BNODE)), lambda t: t["v"]))
     at = keyed.select("q", F.explode(nodes).alias("node"))
@@ -223,7 +226,10 @@ def _labels(quads: DataFrame, algorithm: str = "sha256", depth_factor: float = 1
     if not heavy.isEmpty():
         raise ToxicGraph("a component has too many blank nodes that are alike")
     deepest = max(1, int(depth_factor * everything))
-    solved = work.select("label", "nodes", "q.g", "q.s", "q.p", "q.o").groupBy("label").applyInArrow(_solver(algorithm, deepest, most_permuted, most_calls), "hash string, degree string, nodes array<string>")
+    # by number, so that Spark doesn't put many small components into few tasks
+    parts = max(int(quads.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-alone // NODES))
+    dealt = work.select("label", "nodes", "q.g", "q.s", "q.p", "q.o").repartition(parts, "label").sortWithinPartitions("label")
+    solved = dealt.mapInArrow(_solver(algorithm, deepest, most_permuted, most_calls), "hash string, degree string, nodes array<string>")
     solved = materialize(solved, "solved")
     toxic = solved.where("hash IS NULL").select("degree").first()
     if toxic:
@@ -234,11 +240,11 @@ def _labels(quads: DataFrame, algorithm: str = "sha256", depth_factor: float = 1
 
 
 def _solver(algorithm: str, deepest: int, most_permuted: int, most_calls: int):
-    """The names' order in one component, from its quads: the first of its first-degree hashes, the least N-degree hash of that, and its nodes; a null hash and a reason if it is toxic."""
+    """For each component, whose quads follow each other, the names' order in it: the first of its first-degree hashes, the least N-degree hash of that, and its nodes; a null hash and a reason if it is toxic."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def solve(rows: list[dict]) -> tuple:
         first, named, quads = {}, {}, []
-        for row in t.to_pylist():
+        for row in rows:
             for x in row["nodes"]:
                 if x["hash"] is None:
                     named[x["node"]] = x["name"]
@@ -248,10 +254,22 @@ def _solver(algorithm: str, deepest: int, most_permuted: int, most_calls: int):
         least = min(first.values())
         namer = _Namer(quads, first, named, algorithm, deepest, most_permuted, most_calls)
         try:
-            degree, order = min((namer(x) for x in sorted(first) if first[x] == least), key=lambda r: r[0])
+            return (least, *min((namer(x) for x in sorted(first) if first[x] == least), key=lambda r: r[0]))
         except ToxicGraph as e:
-            least, degree, order = None, str(e), []
-        return pa.table({"hash": pa.array([least], pa.string()), "degree": pa.array([degree], pa.string()), "nodes": pa.array([order], pa.list_(pa.string()))})
+            return None, str(e), []
+
+    def table(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.string(), pa.list_(pa.string())))], names=["hash", "degree", "nodes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        for _, rows in groupby((row for b in batches for row in b.to_pylist()), key=lambda row: row["label"]):
+            found.append(solve(list(rows)))
+            if len(found) == 10_000:
+                yield table(found)
+                found = []
+        if found:
+            yield table(found)
 
     return run
 
@@ -341,7 +359,8 @@ def as_quads(quads: DataFrame) -> DataFrame:
 def isomorphic(a: DataFrame, b: DataFrame, **limits) -> bool:
     """Whether two datasets, or graphs, are equal but for the labels of blank nodes, wherever these are: in triple terms and predicates, too.
 
-    Sizes and ground quads are compared first, then the canonical forms of what has blank nodes, all by Spark and alike at every size.
+    Sizes and ground quads are compared first, then how often each first-degree hash occurs, then the canonical forms of what has blank nodes, all by Spark and
+    alike at every size.
     """
     a, b = (x.select(*([c for c in ("g",) if c in x.columns]), "s", "p", "o").distinct() for x in (a, b))
     if a.columns != b.columns or a.count() != b.count():
@@ -356,7 +375,11 @@ def isomorphic(a: DataFrame, b: DataFrame, **limits) -> bool:
     a, b = (materialize(as_quads(materialize(x, "blank")), "plain") for x in (a, b))
     if a.count() != b.count():
         return False
-    a, b = (materialize(_relabel(x, _labels(x, **limits)), "relabeled") for x in (a, b))
+    hashes = [materialize(first_degree_hashes(x, limits.get("algorithm", "sha256")), "hashes") for x in (a, b)]
+    ha, hb = (x.groupBy("hash").agg(F.count(F.lit(1)).alias("n")) for x in hashes)
+    if not ha.exceptAll(hb).isEmpty() or not hb.exceptAll(ha).isEmpty():
+        return False
+    a, b = (materialize(_relabel(x, _labels(x, **limits, hashes=h)), "relabeled") for x, h in zip((a, b), hashes))
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
