@@ -84,15 +84,20 @@ def column_terms(df: DataFrame, column: str, m: Matcher = anything) -> DataFrame
     return df.select(F.col(column).alias("t")).where(F.col("t").isNotNull() & m(F.col("t"))).distinct()
 
 
-def atoms(df: DataFrame, k: int) -> DataFrame:
-    """Distinct terms of a kind (`t`), those inside of triple terms included; with TRIPLE the triple terms, nested ones too. Each level is opened once, for all its terms."""
+def every_atom(df: DataFrame) -> DataFrame:
+    """Distinct terms of all kinds (`t`), triple terms and those inside of them included. Each level is opened once, for all its terms."""
     columns = [c for c in ("g", "s", "p", "o") if c in df.columns]
     terms = df.select(F.explode(F.array(*columns)).alias("t")).where("t IS NOT NULL").distinct()
     level = terms.where(F.col("t.k") == TRIPLE)
     while not (level := materialize(level, "triple_terms")).isEmpty():
-        level = level.select(F.explode(parts_column(F.col("t"))).alias("t")).distinct()
+        level = materialize(level.select(F.explode(parts_column(F.col("t"))).alias("t")).distinct(), "parts")
         terms, level = terms.union(level), level.where(F.col("t.k") == TRIPLE)
-    return terms.where(F.col("t.k") == k).distinct()
+    return terms.distinct()
+
+
+def atoms(df: DataFrame, k: int) -> DataFrame:
+    """Those of every_atom() of a kind; with TRIPLE the triple terms, nested ones too."""
+    return every_atom(df).where(F.col("t.k") == k)
 
 
 def iris(df: DataFrame) -> DataFrame:
