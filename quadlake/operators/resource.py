@@ -194,9 +194,10 @@ def list_members(graph: DataFrame, head: Term | None = None) -> DataFrame:
     levels = [cells.select("s", F.col("next").alias("target"))]
     total = cells.count()
     while (1 << len(levels) - 1) <= total and not levels[-1].where(~nil).isEmpty():
-        hops = levels[-1]
-        far = hops.select(F.col("s").alias("target"), F.col("target").alias("t2"))
-        levels.append(materialize(hops.join(far, "target", "left").select("s", F.coalesce("t2", "target").alias("target")), "hops"))
+        # cells that have reached the end stay as they are: they would all meet at it, in one task
+        hops, done = levels[-1].where(~nil), levels[-1].where(nil)
+        far = levels[-1].select(F.col("s").alias("target"), F.col("target").alias("t2"))
+        levels.append(materialize(hops.join(far, "target", "left").select("s", F.coalesce("t2", "target").alias("target")).unionByName(done), "hops"))
     starts = levels[-1].where(nil).select("s")
     starts = starts.where(F.col("s").eqNullSafe(head.column())) if head is not None else starts.join(cells.select(F.col("next").alias("s")), "s", "left_anti")
     members = materialize(starts.select(F.col("s").alias("head"), "s", F.lit(0).cast("long").alias("position")), "members")

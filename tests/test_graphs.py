@@ -317,3 +317,24 @@ def test_many_small_components(spark, monkeypatch):
     one = rings.withColumn("o", F.when(F.col("s.v") == "n5", F.col("s")).otherwise(F.col("o")))
     monkeypatch.setattr(c14n, "_labels", None)
     assert not c14n.isomorphic(rings, one)
+
+
+def test_finished_cells_of_lists_are_not_joined_again(spark, monkeypatch):
+    """Only cells that have not reached the end take part in a round's join."""
+    from quadlake.operators import resource
+
+    plans = []
+    monkeypatch.setattr(resource, "materialize", lambda df, label="table": (plans.append(df._jdf.queryExecution().optimizedPlan().toString()) if label == "hops" else None, df.localCheckpoint())[1])
+    text = " ".join(f"_:h{k} <urn:x:at> ( " + " ".join(str(i) for i in range(k)) + " ) ." for k in range(1, 6))
+    found = {len(r["items"]): [x["v"] for x in r["items"]] for r in list_items(to_frame(spark, parse_turtle(text)).select("s", "p", "o")).collect()}
+    assert found == {k: [str(i) for i in range(k)] for k in range(1, 6)}
+    assert plans and all("Union" in p for p in plans)
+
+
+def test_every_atom(spark):
+    """Terms of all kinds at once, as one kind at a time gives them."""
+    inner = triple_term(iri("urn:x:a"), iri("urn:x:b"), literal("c"))
+    df = to_frame(spark, [(None, bnode("n"), iri("urn:x:b"), triple_term(bnode("m"), iri("urn:x:d"), inner)), (None, iri("urn:x:a"), iri("urn:x:b"), inner)])
+    found = {r["v"]: r["k"] for r in quads.every_atom(df).select("t.v", "t.k").collect()}
+    assert sorted(found.values()) == [0, 0, 1, 1, 1, 2, 3, 3] and found["c"] == 2 and quads.every_atom(df).count() == 8
+    assert {r[0] for r in quads.iris(df).select("t.v").collect()} == {"urn:x:a", "urn:x:b", "urn:x:d"}
