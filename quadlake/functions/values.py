@@ -65,25 +65,27 @@ def decimal_text(d: Column) -> Column:
 
 def double_text(x: Column) -> Column:
     """The form 1.5e0; INF, -INF and NaN."""
-    text = x.cast("string")
-    plain, minus = F.regexp_replace(text, "^-", ""), F.when(text.startswith("-"), "-").otherwise("")
-    whole, part = F.substring_index(plain, ".", 1), F.regexp_extract(plain, r"\.([0-9]*)", 1)
-    zeros = F.length(part) - F.length(F.regexp_replace(part, "^0+", ""))
-    small = whole == "0"
-    exp = F.when(small, -zeros - 1).otherwise(F.length(whole) - 1)
-    digits = F.when(small, F.regexp_replace(part, "^0+", "")).otherwise(F.concat(whole, part))
-    rest = F.regexp_replace(digits.substr(F.lit(2), F.length(digits)), "0+$", "")
-    made = F.concat(minus, digits.substr(1, 1), F.lit("."), F.when(rest == "", "0").otherwise(rest), F.lit("e"), exp.cast("string"))
+    size = F.abs(x)
+    plain, minus = size.cast("string"), F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    large = F.rtrim(F.replace(plain, F.lit("."), F.lit("")), F.lit("0"))
+    small = F.rtrim(F.ltrim(F.replace(plain, F.lit("."), F.lit("")), F.lit("0")), F.lit("0"))
+    made = lambda digits, exp: F.concat(minus, F.substring(digits, 1, 1), F.lit("."), F.when(F.length(digits) == 1, "0").otherwise(F.substring(digits, 2, 400)), F.lit("e"), exp.cast("string"))
+    # Spark writes numbers from 0.001 to 10,000,000 without an exponent
+    exp = F.when(size < 10, 0).when(size < 100, 1).when(size < 1e3, 2).when(size < 1e4, 3).when(size < 1e5, 4).when(size < 1e6, 5).otherwise(6)
+    zeros = F.length(plain) - F.length(F.ltrim(F.replace(plain, F.lit("."), F.lit("")), F.lit("0"))) - 1
     return (
-        F.when(F.isnan(x), "NaN").when(x.cast("double") == float("inf"), "INF").when(x.cast("double") == float("-inf"), "-INF")
-        .when(x == 0, F.concat(minus, F.lit("0.0e0"))).when(text.contains("E"), F.replace(text, F.lit("E"), F.lit("e"))).otherwise(made)
+        F.when(F.isnan(x), "NaN").when(size.cast("double") == float("inf"), F.concat(minus, F.lit("INF")))
+        .when(x == 0, F.concat(minus, F.lit("0.0e0"))).when((size >= 1e7) | (size < 1e-3) | plain.contains("E"), F.concat(minus, F.replace(plain, F.lit("E"), F.lit("e"))))
+        .when(size >= 1, made(large, exp)).otherwise(made(small, -zeros))
     )
 
 
 def datetime_text(ts: Column) -> Column:
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.regexp_replace(F.date_format(ts, "SSSSSS"), "0+$", "")
-    return F.when(micros == "", whole).otherwise(F.concat(whole, F.lit("."), micros))
+    # years of four digits are written alike by a cast, which takes a tenth of the time
+    usual = (F.year(ts) >= 1) & (F.year(ts) <= 9999)
+    return F.when(usual, F.replace(ts.cast("timestamp_ntz").cast("string"), F.lit(" "), F.lit("T"))).otherwise(F.when(micros == "", whole).otherwise(F.concat(whole, F.lit("."), micros)))
 
 
 def text_of_iri(x: Typed) -> Column:
@@ -97,10 +99,13 @@ def box(x: Typed) -> Column:
     if x.const is not None:
         return x.const.column()
     if x.kind == "iri" or x.kind.startswith("ref:"):
-        return term(IRI, text_of_iri(x))
+        return F.when(x.col.isNotNull(), term(IRI, text_of_iri(x), given=True))
     texts = {"str": lambda: x.col, "int": lambda: x.col.cast(_BIG).cast("string"), "dec": lambda: decimal_text(x.col), "flt": lambda: double_text(x.col), "dbl": lambda: double_text(x.col), "bool": lambda: x.col.cast("string"), "dt": lambda: datetime_text(x.col)}
     types = {"str": "string", "int": "integer", "dec": "decimal", "flt": "float", "dbl": "double", "bool": "boolean", "dt": "dateTime"}
-    return term(LITERAL, texts[x.kind](), XSD + types[x.kind])
+    if x.kind == "dec":
+        return term(LITERAL, texts[x.kind](), XSD + types[x.kind])
+    # the text is null where the value is, so that it is made once only
+    return F.when(x.col.isNotNull(), term(LITERAL, texts[x.kind](), XSD + types[x.kind], given=True))
 
 
 def unbox(x: Typed) -> Column:

@@ -12,6 +12,7 @@ import json
 import re
 import uuid
 import zlib
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,29 +21,41 @@ from pyspark.sql import types as T
 
 from ..plans.compiler import GRAPH, Store, _open
 from ..storage import materialize
-from ..terms import LITERAL, QUADS, Term, iri
+from ..terms import LITERAL, QUADS, Term, iri, term
 from .quads import _absent
 
 #: The places in each order, by which a store sorts its copies.
 ORDERS = ("spog", "posg", "ospg", "gspo")
 
 
-def order_for(bound: str) -> str:
-    """The order with the longest front of bound positions; of equal ones the first."""
+def order_for(bound: str, held: Iterable[str] = ORDERS) -> str:
+    """Of the orders that are held, the one with the longest front of bound positions; of equal ones the first."""
 
     def front(order: str) -> int:
         return next((i for i, c in enumerate(order) if c not in bound), len(order))
 
-    return max(ORDERS, key=front)
+    return max(held, key=front)
 
 
 def _bucket(t: Term | None, buckets: int) -> int:
     return 0 if t is None else zlib.crc32(f"{t.kind}{t.value}".encode("utf-8", "surrogatepass")) % buckets
 
 
-def _bucket_column(c: Column, buckets: int) -> Column:
-    text = F.concat(c["k"].cast("string"), c["v"])
-    return F.when(c.isNull(), 0).otherwise(F.crc32(text.cast("binary")) % F.lit(buckets)).cast("int")
+def _bucket_column(kind: Column, value: Column, buckets: int) -> Column:
+    text = F.concat(kind.cast("string"), value)
+    return F.when(kind.isNull(), 0).otherwise(F.crc32(text.cast("binary")) % F.lit(buckets)).cast("int")
+
+
+_FIELDS = ("v", "k", "d", "l", "r")
+
+
+def _flat(quads: DataFrame) -> DataFrame:
+    """A column for each field of each place: half the bytes of structs to deal out, compare and sort."""
+    return quads.select(*[F.col(c)[f].alias(f"{c}{f}") for f in _FIELDS for c in "gspo"])
+
+
+def _whole(c: str) -> Column:
+    return F.when(F.col(f"{c}k").isNotNull(), term(F.col(f"{c}k"), F.col(f"{c}v"), *[F.col(f"{c}{f}") for f in "dlr"], given=True)).alias(c)
 
 
 class _Files:
@@ -89,18 +102,26 @@ class QuadStore(Store):
         self.state = json.loads(self.files.read(f"{self.folder}/versions/{self.version:08d}.json"))
 
     @classmethod
-    def create(cls, quads: DataFrame, folder: str, buckets: int = 64) -> QuadStore:
-        """Write quads (g null for the default graph) as a set. A bucket should come to some hundred MB: `buckets` grows with the data."""
+    def create(cls, quads: DataFrame, folder: str, buckets: int = 64, orders: Iterable[str] = ORDERS) -> QuadStore:
+        """Write quads (g null for the default graph) as a set. A bucket should come to some hundred MB: `buckets` grows with the data.
+
+        A light store holds fewer orders, each with all quads: it is written sooner and answers everything, but reads more for patterns that none of them suits.
+        """
         spark, folder = quads.sparkSession, folder.rstrip("/")
-        rows = materialize(quads.select("g", "s", "p", "o").distinct(), "quads")
+        rows = materialize(_flat(quads).distinct(), "quads")
         state = {"buckets": buckets, "orders": {}, "deltas": [], "delta_rows": 0}
-        for order in ORDERS:
+        for order in orders:
             state["orders"][order] = _written(rows, order, f"{folder}/base", buckets)
         _Files(spark).create(f"{folder}/versions/{0:08d}.json", json.dumps(state))
         return cls(spark, folder)
 
     # reading
 
+    @property
+    def first(self) -> str:
+        """The order that is read as a whole."""
+        return next(iter(self.state["orders"]))
+
     def _base(self, order: str, buckets: list[int] | None = None) -> DataFrame:
         paths = self.state["orders"][order]
         wanted = [p for b, p in paths.items() if buckets is None or int(b) in buckets]
@@ -127,11 +148,11 @@ class QuadStore(Store):
     @property
     def quads(self) -> DataFrame:
         """All quads of the version."""
-        return self._merged(self._base("spog"), [])
+        return self._merged(self._base(self.first), [])
 
     def rows(self, bound: dict[str, Term | None]) -> DataFrame:
         """The quads with these terms at these places (g: None is the default graph), from the order that suits."""
-        order = order_for("".join(bound))
+        order = order_for("".join(bound), self.state["orders"])
         lead = order[0]
         base = self._base(order, [_bucket(bound[lead], self.state["buckets"])] if lead in bound else None)
         tests = []
@@ -165,13 +186,13 @@ class QuadStore(Store):
     def contains(self, quad: tuple) -> bool:
         return not self.rows(dict(zip("gspo" if len(quad) == 4 else "spo", quad))).limit(1).isEmpty()
 
-    def touched(self, quads: DataFrame, order: str = "spog") -> list[int]:
+    def touched(self, quads: DataFrame, order: str) -> list[int]:
         """The buckets that quads are in."""
-        return [r[0] for r in quads.select(_bucket_column(F.col(order[0]), self.state["buckets"]).alias("b")).distinct().collect()]
+        return [r[0] for r in quads.select(_bucket_column(F.col(f"{order[0]}.k"), F.col(f"{order[0]}.v"), self.state["buckets"]).alias("b")).distinct().collect()]
 
     def _current(self, quads: DataFrame) -> DataFrame:
         """The version's rows of the buckets that quads are in."""
-        base = self._base("spog", self.touched(quads))
+        base = self._base(self.first, self.touched(quads, self.first))
         return self._merged(base, [])
 
     # changes
@@ -223,19 +244,19 @@ class QuadStore(Store):
             touched = self.touched(changes, order)
             rows = _absent(self._base(order, touched), changes.drop("add")).unionByName(changes.where("add").drop("add"))
             kept = {b: p for b, p in paths.items() if int(b) not in touched}
-            orders[order] = {**kept, **_written(rows, order, f"{self.folder}/base", self.state["buckets"])}
+            orders[order] = {**kept, **_written(_flat(rows), order, f"{self.folder}/base", self.state["buckets"])}
         return self._next({**self.state, "orders": orders, "deltas": [], "delta_rows": 0})
 
 
 def _written(rows: DataFrame, order: str, folder: str, buckets: int) -> dict[str, str]:
-    """Write rows in an order; gives the folder of each bucket that has rows.
+    """Write flat rows in an order; gives the folder of each bucket that has rows.
 
     Files are cut from the sorted whole, so that a leading term with many rows lies in many files, each with a range of the next term.
     """
     path = f"{folder}/{order}-{uuid.uuid4().hex}"
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["_b", *[f"{c}.{f}" for c in order for f in ("v", "k")]]
-    placed = rows.withColumn("_b", _bucket_column(F.col(order[0]), buckets))
-    placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.partitionBy("_b").parquet(path)
+    keys = ["_b", *[f"{c}v" for c in order]]
+    placed = rows.withColumn("_b", _bucket_column(F.col(f"{order[0]}k"), F.col(f"{order[0]}v"), buckets))
+    placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(*[_whole(c) for c in "gspo"], "_b").write.partitionBy("_b").parquet(path)
     found = [x.removeprefix("_b=") for x in _Files(rows.sparkSession).names(path) if x.startswith("_b=")]
     return {b: f"{path}/_b={b}" for b in found}

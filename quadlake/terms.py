@@ -168,12 +168,13 @@ def _term_at(text: str, at: int) -> tuple[Term, int]:
 # Columns
 
 
-def term(kind: int | Column, value: Column, datatype: str | Column | None = None, lang: str | Column | None = None, direction: str | Column | None = None) -> Column:
-    """The struct, or null if the value is null."""
+def term(kind: int | Column, value: Column, datatype: str | Column | None = None, lang: str | Column | None = None, direction: str | Column | None = None, given: bool = False) -> Column:
+    """The struct, or null if the value is null. given: the value is known not to be, and isn't asked."""
     s = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
     k = kind if isinstance(kind, Column) else F.lit(kind)
     fields = {"k": k.cast("tinyint"), "v": value.cast("string"), "d": s(datatype), "l": s(lang), "r": s(direction)}
-    return F.when(value.isNotNull(), F.named_struct(*[x for name, c in fields.items() for x in (F.lit(name), c)]))
+    made = F.named_struct(*[x for name, c in fields.items() for x in (F.lit(name), c)])
+    return made if given else F.when(value.isNotNull(), made)
 
 
 def canonical_column(t: Column) -> Column:
