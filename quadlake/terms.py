@@ -184,6 +184,8 @@ def canonical_column(t: Column) -> Column:
         text = F.replace(text, F.lit(a), F.lit(b))
     for code in [*range(8), 11, *range(14, 32), 127]:
         text = F.replace(text, F.lit(chr(code)), F.lit(f"\\u{code:04X}")) if code else text
+    # few texts have anything to escape: the others are looked through once
+    text = F.when(t["v"].rlike(r'[\x01-\x1f\x7f"\\]'), text).otherwise(t["v"])
     tail = F.when(t["l"].isNotNull(), F.concat(F.lit("@"), t["l"], F.coalesce(F.concat(F.lit("--"), t["r"]), F.lit("")))).when(t["d"] == XSD + "string", "").otherwise(F.concat(F.lit("^^<"), t["d"], F.lit(">")))
     quoted = F.concat(F.lit('"'), text, F.lit('"'), tail)
     return F.when(t["k"] == IRI, F.concat(F.lit("<"), t["v"], F.lit(">"))).when(t["k"] == BNODE, F.concat(F.lit("_:"), t["v"])).when(t["k"] == VARIABLE, F.concat(F.lit("?"), t["v"])).when(t["k"] == TRIPLE, t["v"]).otherwise(quoted)
@@ -192,12 +194,13 @@ def canonical_column(t: Column) -> Column:
 #: Canonical text has no control characters, so two of them can stand for an escaped backslash and an escaped quote while it is cut up.
 _BACKSLASH, _QUOTE = "\x01", "\x02"
 _TOKENS = r'<<\(|\)>>|<[^<>]*>|_:[^\s"]+|\?[^\s"]+|"[^"]*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?'
+_HEAD = r'^<<\( (<[^<>]*>|_:[^\s"]+|\?[^\s"]+) (<[^<>]*>) '
 
 
 def _read_term(x: Column) -> Column:
     """The struct of one term of canonical text with the two stand-ins."""
     back = lambda c: F.replace(F.replace(c, F.lit(_BACKSLASH), F.lit("\\\\")), F.lit(_QUOTE), F.lit('\\"'))
-    text = F.regexp_extract(x, '^"([^"]*)"', 1)
+    bare = text = F.regexp_extract(x, '^"([^"]*)"', 1)
     for a, b in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"), *((chr(c), f"\\u{c:04X}") for c in (*range(1, 8), 11, *range(14, 32), 127))):
         text = F.replace(text, F.lit(b), F.lit(a)) if a not in (_BACKSLASH, _QUOTE) else text
     # these two come last, each with what stands for it in plain text
@@ -205,9 +208,11 @@ def _read_term(x: Column) -> Column:
         text = F.replace(text, F.lit(f"\\u{ord(c):04X}"), F.lit("\\" + ("1" if c == _BACKSLASH else "2")))
     text = F.replace(F.replace(text, F.lit(_BACKSLASH), F.lit("\\0")), F.lit(_QUOTE), F.lit('"'))
     text = F.replace(F.replace(F.replace(text, F.lit("\\1"), F.lit(_BACKSLASH)), F.lit("\\2"), F.lit(_QUOTE)), F.lit("\\0"), F.lit("\\"))
+    text = F.when(x.rlike(r"[\x01\x02\\]"), text).otherwise(bare)
     some = lambda pattern, group=1: F.nullif(F.regexp_extract(x, pattern, group), F.lit(""))
-    lang, way = some('"@([A-Za-z0-9-]+?)(?:--(?:ltr|rtl))?$'), some('"@[A-Za-z0-9-]+?--(ltr|rtl)$')
-    kind = some(r'"\^\^<([^>]*)>$')
+    tagged = ~F.substring(x, -1, 1).isin('"', ">")
+    lang, way = (F.when(tagged, some(form)) for form in ('"@([A-Za-z0-9-]+?)(?:--(?:ltr|rtl))?$', '"@[A-Za-z0-9-]+?--(ltr|rtl)$'))
+    kind = F.when(x.endswith(">"), some(r'"\^\^<([^>]*)>$'))
     rest = lambda n, less=0: x.substr(F.lit(n), F.length(x) - F.lit(n - 1 + less))
     plain = term(LITERAL, text, F.when(lang.isNull(), F.coalesce(kind, F.lit(XSD + "string"))), lang, way)
     return F.when(x.startswith("<<("), term(TRIPLE, back(x))).when(x.startswith("<"), term(IRI, rest(2, 1))).when(x.startswith("_:"), term(BNODE, rest(3))).when(x.startswith("?"), term(VARIABLE, rest(2))).otherwise(plain)
@@ -224,10 +229,15 @@ def parts_column(t: Column) -> Column:
         return F.struct(depth.alias("depth"), F.when(a["depth"] == 0, F.concat(a["parts"], F.array(x))).otherwise(more).alias("parts"))
 
     def parts(v: Column) -> Column:
-        text = F.replace(F.replace(v, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
-        tokens = F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))
+        """What comes after a subject and a predicate that are plain is the object as it stands: only other triple terms are cut into tokens."""
+        head = F.regexp_extract(v, _HEAD, 0)
+        rest = F.substring(v, F.length(head) + 1, F.length(v) - F.length(head) - 4)
+        plain = F.array(F.regexp_extract(v, _HEAD, 1), F.regexp_extract(v, _HEAD, 2), rest)
+        tokens = F.regexp_extract_all(v, F.lit(_TOKENS), F.lit(0))
         tokens = F.slice(tokens, F.lit(2), F.greatest(F.lit(0), F.size(tokens) - 2))
-        return F.transform(F.aggregate(tokens, start, step, lambda a: a["parts"]), _read_term)
+        return F.when(v.endswith(" )>>") & (head != ""), plain).otherwise(F.aggregate(tokens, start, step, lambda a: a["parts"]))
 
+    stand = lambda v: F.replace(F.replace(v, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    read = lambda v: F.get(F.transform(F.array(stand(v)), lambda x: F.transform(parts(x), _read_term)), F.lit(0))
     # bound to a lambda, so that the parts of parts of parts don't multiply in the plan
-    return F.get(F.transform(F.array(t), lambda x: F.when(x["k"] == TRIPLE, parts(x["v"]))), F.lit(0))
+    return F.get(F.transform(F.array(t), lambda x: F.when(x["k"] == TRIPLE, read(x["v"]))), F.lit(0))
