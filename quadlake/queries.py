@@ -16,9 +16,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _sparql(name: str, query: str, sql: str, casts: dict[str, str] | None = None) -> None:
+def _sparql(name: str, query: str, sql: str, casts: dict[str, str] | None = None, rows: int | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = Engine(VirtualStore(spark, sf_dir), PREFIXES).query(query).df
+        df = Engine(VirtualStore(spark, sf_dir, rows=rows), PREFIXES).query(query).df
         return df.withColumns({c: df[c].cast(t) for c, t in (casts or {}).items()})
 
     QUERIES[name], ORACLES[name] = run, sql
