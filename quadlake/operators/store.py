@@ -1,7 +1,7 @@
 """A written store of quads in several sort orders, with versions.
 
-Each order is a copy of the quads in Parquet files, one folder for each bucket of its leading term and sorted within by all four. A pattern is
-answered from the order that has most of its bound terms in front: the bucket of the leading one is a folder, row groups tell about the others.
+Each order is a copy of the quads in Parquet files, one folder for each bucket of its leading term, with row groups sorted by all four. A pattern is
+answered from the order that has most of its bound terms in front: the bucket of the leading one is a folder, pages of row groups tell about the others.
 Changes are written as small tables of additions and removals; a version is a short list of what it is made of, written last and never changed, so that older
 versions stay readable and a change that fails leaves nothing behind. Reading merges a version's changes with one join; compacting rewrites the buckets that they touch.
 """
@@ -12,20 +12,27 @@ import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.compiler import GRAPH, Store, _open
-from ..storage import materialize
+from ..storage import file_system, materialize
 from ..terms import LITERAL, QUADS, Term, iri, term
 from .quads import _absent
 
 #: The places in each order, by which a store sorts its copies.
 ORDERS = ("spog", "posg", "ospg", "gspo")
+#: Rows, and bytes, that a task sorts at a time: the largest row group.
+ROWS, BYTES = 1_000_000, 1 << 28
+#: Files that a task writes at a time.
+FILES = 256
 
 
 def order_for(bound: str, held: Iterable[str] = ORDERS) -> str:
@@ -50,12 +57,13 @@ _FIELDS = ("v", "k", "d", "l", "r")
 
 
 def _flat(quads: DataFrame) -> DataFrame:
-    """A column for each field of each place: half the bytes of structs to deal out, compare and sort."""
+    """A column for each field of each place: half the bytes of structs to write and compare."""
     return quads.select(*[F.col(c)[f].alias(f"{c}{f}") for f in _FIELDS for c in "gspo"])
 
 
-def _whole(c: str) -> Column:
-    return F.when(F.col(f"{c}k").isNotNull(), term(F.col(f"{c}k"), F.col(f"{c}v"), *[F.col(f"{c}{f}") for f in "dlr"], given=True)).alias(c)
+def _files(flat: DataFrame) -> DataFrame:
+    """Flat rows, written to files that a task sorts at a time."""
+    return materialize(flat, "quads", ROWS)
 
 
 class _Files:
@@ -108,10 +116,13 @@ class QuadStore(Store):
         A light store holds fewer orders, each with all quads: it is written sooner and answers everything, but reads more for patterns that none of them suits.
         """
         spark, folder = quads.sparkSession, folder.rstrip("/")
-        rows = materialize(_flat(quads).distinct(), "quads")
-        state = {"buckets": buckets, "orders": {}, "deltas": [], "delta_rows": 0}
-        for order in orders:
-            state["orders"][order] = _written(rows, order, f"{folder}/base", buckets)
+        flat = _flat(quads)
+        rows = _files(flat.withColumn("_h", F.xxhash64(*flat.columns)))
+        # quads that are there twice have one hash: where no two rows share one, whole quads need not be dealt out and compared
+        twice = not rows.groupBy("_h").count().where("count > 1").isEmpty()
+        rows = rows.drop("_h")
+        rows = _files(rows.distinct()) if twice else rows
+        state = {"buckets": buckets, "orders": _written(rows, orders, f"{folder}/base", buckets), "deltas": [], "delta_rows": 0}
         _Files(spark).create(f"{folder}/versions/{0:08d}.json", json.dumps(state))
         return cls(spark, folder)
 
@@ -244,19 +255,123 @@ class QuadStore(Store):
             touched = self.touched(changes, order)
             rows = _absent(self._base(order, touched), changes.drop("add")).unionByName(changes.where("add").drop("add"))
             kept = {b: p for b, p in paths.items() if int(b) not in touched}
-            orders[order] = {**kept, **_written(_flat(rows), order, f"{self.folder}/base", self.state["buckets"])}
+            orders[order] = {**kept, **_written(_files(_flat(rows)), [order], f"{self.folder}/base", self.state["buckets"])[order]}
         return self._next({**self.state, "orders": orders, "deltas": [], "delta_rows": 0})
 
 
-def _written(rows: DataFrame, order: str, folder: str, buckets: int) -> dict[str, str]:
-    """Write flat rows in an order; gives the folder of each bucket that has rows.
-
-    Files are cut from the sorted whole, so that a leading term with many rows lies in many files, each with a range of the next term.
+def _blocks(path: str) -> Iterator[pa.Table]:
+    """The rows of a file of flat rows in tables of at most ROWS rows and, but for single rows, about BYTES; texts are coded by dictionaries."""
+    import pyarrow.parquet as pq
+
+    fs, name = file_system(path)
+    with fs.open_input_file(name) as source:
+        file = pq.ParquetFile(source, read_dictionary=[f"{c}{f}" for c in "gspo" for f in "vdlr"])
+        for i in range(file.num_row_groups):
+            group = file.metadata.row_group(i)
+            step = max(1, min(ROWS, group.num_rows * BYTES // max(1, group.total_byte_size)))
+            for batch in file.iter_batches(step, row_groups=[i]):
+                block = pa.Table.from_batches([batch]).unify_dictionaries().combine_chunks()
+                # equal texts are one in a dictionary, not in the rows that are written
+                size = sum(pc.sum(pc.binary_length(x.dictionary).take(x.indices)).as_py() or 0 for x in (_array(block, f"{c}v") for c in "gspo"))
+                n = -(-block.num_rows // max(1, -(-size // BYTES)))
+                yield from (block.slice(k, n) for k in range(0, block.num_rows, n))
+
+
+def _array(block: pa.Table, name: str) -> pa.Array:
+    column = block.column(name)
+    return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+
+
+def _ranks(block: pa.Table, c: str, buckets: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """For the rows of a block the rank of a place's value, 0 where there is none; the number of ranks; and the bucket. Each value is looked at once."""
+    coded = _array(block, f"{c}v")
+    values, at = coded.dictionary, pc.fill_null(coded.indices, len(coded.dictionary)).to_numpy(zero_copy_only=False)
+    rank = np.zeros(len(values) + 1, np.int64)
+    rank[pc.sort_indices(values).to_numpy()] = np.arange(1, len(values) + 1)
+    kinds = pc.fill_null(_array(block, f"{c}k"), -1).to_numpy(zero_copy_only=False)
+    bucket, texts = np.zeros(len(at), np.int64), values.cast(pa.binary()).to_pylist()
+    for k in np.unique(kinds[kinds >= 0]).tolist():
+        rows, start, of_value, of_kind = kinds == k, zlib.crc32(str(k).encode()), np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+        of_kind[at[rows]] = True
+        for i in np.flatnonzero(of_kind).tolist():
+            of_value[i] = zlib.crc32(texts[i], start) % buckets
+        bucket[rows] = of_value[at[rows]]
+    return rank[at], len(values) + 1, bucket
+
+
+def _sorted(columns: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Row numbers in the order of columns of numbers below their bounds, by one number for each row where that holds them all."""
+    key, size = np.zeros(len(columns[0][0]), np.int64), 1
+    for values, bound in columns:
+        size *= bound
+        if size >= 1 << 63:
+            return np.lexsort([v for v, _ in reversed(columns)])
+        key = key * bound + values
+    return np.argsort(key)
+
+
+def _place(block: pa.Table, c: str, at: pa.Array) -> pa.StructArray:
+    """The terms of a place in these rows."""
+    kind, fields = _array(block, f"{c}k").take(at), []
+    for f in "vdlr":
+        x = _array(block, f"{c}{f}")
+        fields.append(pa.nulls(len(at), pa.string()) if x.null_count == len(x) else x.dictionary.take(x.indices.take(at)))
+    return pa.StructArray.from_arrays([kind, *fields], list("kvdlr"), mask=kind.is_null())
+
+
+def _sorter(files: list[list[str]], paths: dict[str, str], buckets: int):
+    """For mapInArrow over the numbers of lists of files: sorts their rows, block by block, in each order and writes a file for each order and bucket; gives the files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        made: list[tuple[str, int, str]] = []
+        writers: dict[tuple[str, int], pq.ParquetWriter] = {}
+        for block in (x for b in batches for n in b.column(0).to_pylist() for f in files[n] for x in _blocks(f)):
+            ranks = {c: _ranks(block, c, buckets) for c in "gspo"}
+            for order, path in paths.items():
+                bucket = ranks[order[0]][2]
+                at = _sorted([(bucket, buckets), *[ranks[c][:2] for c in order]])
+                bucket, numbers = bucket[at], pa.array(at)
+                rows = pa.table({c: _place(block, c, numbers) for c in "gspo"})
+                starts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(at)]
+                for start, end in zip(starts, starts[1:]):
+                    key = order, int(bucket[start])
+                    if key not in writers:
+                        if len(writers) >= FILES:
+                            writers.pop(next(iter(writers))).close()
+                        # a name that no other attempt of the task takes
+                        made.append((*key, f"{uuid.uuid4().hex}.parquet"))
+                        fs, root = file_system(f"{path}/_parts")
+                        writers[key] = pq.ParquetWriter(f"{root}/{made[-1][2]}", rows.schema, filesystem=fs, write_page_index=True)
+                    writers[key].write_table(rows.slice(start, end - start), row_group_size=end - start)
+        for w in writers.values():
+            w.close()
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), (pa.string(), pa.int32(), pa.string()))], ["order", "bucket", "file"])
+
+    return run
+
+
+def _written(rows: DataFrame, orders: Iterable[str], folder: str, buckets: int) -> dict[str, dict[str, str]]:
+    """Write flat rows in each of the orders; gives for each the folder of each bucket that has rows.
+
+    rows: of files that were written. A task writes its share of them in all orders, without dealing them out: a leading term with many rows lies in many files, one of each task
+    that has any. Files come into the folders that are read when all are there, only those of attempts that ended well.
     """
-    path = f"{folder}/{order}-{uuid.uuid4().hex}"
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["_b", *[f"{c}v" for c in order]]
-    placed = rows.withColumn("_b", _bucket_column(F.col(f"{order[0]}k"), F.col(f"{order[0]}v"), buckets))
-    placed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(*[_whole(c) for c in "gspo"], "_b").write.partitionBy("_b").parquet(path)
-    found = [x.removeprefix("_b=") for x in _Files(rows.sparkSession).names(path) if x.startswith("_b=")]
-    return {b: f"{path}/_b={b}" for b in found}
+    paths = {order: f"{folder}/{order}-{uuid.uuid4().hex}" for order in orders}
+    for path in paths.values():
+        fs, root = file_system(f"{path}/_parts")
+        fs.create_dir(root, recursive=True)
+    found: dict[str, dict[str, str]] = {order: {} for order in paths}
+    spark, files = rows.sparkSession, sorted(rows.inputFiles())
+    tasks = min(len(files), max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(files) // 8))
+    shares = [files[i::tasks] for i in range(tasks)]
+    made = spark.range(0, tasks, 1, max(1, tasks)).mapInArrow(_sorter(shares, paths, buckets), "order string, bucket int, file string").collect()
+    for order, bucket, name in made:
+        fs, root = file_system(paths[order])
+        if str(bucket) not in found[order]:
+            fs.create_dir(f"{root}/_b={bucket}", recursive=True)
+            found[order][str(bucket)] = f"{paths[order]}/_b={bucket}"
+        fs.move(f"{root}/_parts/{name}", f"{root}/_b={bucket}/{name}")
+    return found

@@ -24,13 +24,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write df once and read it back: lineage ends, and a lost executor costs nothing."""
+def materialize(df: DataFrame, label: str = "table", most: int = 0) -> DataFrame:
+    """Write df once, to files of at most `most` rows where given, and read it back: lineage ends, and a lost executor costs nothing."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", most).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_system(path: str):
+    """Arrow's file system of a path, and the path there; in tasks and in the driver."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 def spread(df: DataFrame, keys: list[str], rows: int, least: int = 0) -> DataFrame:
     """df dealt out again by keys to tasks of about `rows` rows, if it has more than `least`: a small file of many rows is read by one task, which would also make all that follows from them."""
     count = df.count()
