@@ -12,7 +12,7 @@ from ..functions.scalar import part_of
 from ..functions.values import class_of, rank_of
 from ..plans.compiler import Engine, Store
 from ..plans.from_graph import query_of
-from ..storage import materialize
+from ..storage import dealt, materialize
 from ..terms import BNODE, INTEGER_RANGES, IRI, LITERAL, RDF, RDFS, TERM_DDL, TRIPLE, XSD, Term, bnode, iri, literal, term, triple_term
 from .paths import reachable
 
@@ -123,7 +123,8 @@ def _closed(closed: DataFrame | None, triples: DataFrame, rules: str, recognised
     keys = ["g"] if "g" in triples.columns else []
     columns = [*keys, "s", "p", "o"]
     spark, known = triples.sparkSession, list(recognised)
-    data = triples.select(*keys, *[normalized(F.col(c), known).alias(c) for c in ("s", "p", "o")]).repartition(*columns).distinct()
+    data = materialize(triples.select(*keys, *[normalized(F.col(c), known).alias(c) for c in ("s", "p", "o")]), "triples")
+    size = data.count()
     if check and known:
         ill = data.where((F.col("o.k") == LITERAL) & F.col("o.d").isin(known) & class_of(F.col("o")).isNull())
         if not ill.limit(1).isEmpty():
@@ -136,11 +137,13 @@ def _closed(closed: DataFrame | None, triples: DataFrame, rules: str, recognised
         fixed = _consts(spark, axioms)
         if keys:
             fixed = data.select("g").distinct().crossJoin(F.broadcast(fixed))
-        data = data.unionByName(fixed).distinct()
-    delta = materialize(data, "graph")
+        data = data.unionByName(fixed)
+    with dealt(spark, size):
+        delta = materialize(data.repartition(*columns).distinct(), "graph")
     if closed is not None:
         closed = closed.select(*columns)
-        delta = materialize(_without(delta, closed), "new")
+        with dealt(spark, size + closed.count()):
+            delta = materialize(_without(delta, closed), "new")
     if rules == "simple":
         return delta
     added = [delta]
@@ -165,6 +168,7 @@ def _closed(closed: DataFrame | None, triples: DataFrame, rules: str, recognised
         old = ([closed] if closed is not None else []) + added[:-1]
         before = reduce(DataFrame.unionByName, old) if old else None
         now = delta if before is None else before.unionByName(delta)
+        size = now.count()
         found: list[DataFrame] = []
         inner = delta.where(F.col("o.k") == TRIPLE)
         predicates = delta.select(*keys, F.col("p").alias("t"))
@@ -217,8 +221,11 @@ def _closed(closed: DataFrame | None, triples: DataFrame, rules: str, recognised
             found.append(of(RDFS + "Class").select(*keys, "s", _is(SUBCLASS).alias("p"), _is(RDFS + "Resource").alias("o")))
             found.append(of(RDFS + "ContainerMembershipProperty").select(*keys, "s", _is(SUBPROPERTY).alias("p"), _is(RDFS + "member").alias("o")))
             found.append(of(RDFS + "Datatype").select(*keys, "s", _is(SUBCLASS).alias("p"), _is(RDFS + "Literal").alias("o")))
-        made = materialize(reduce(DataFrame.unionByName, [f.select(*columns) for f in found]).repartition(*columns).distinct(), "made")
-        delta = materialize(_without(made, now), "inferred")
+        # each triple has three terms to speak of
+        with dealt(spark, 3 * size):
+            made = materialize(reduce(DataFrame.unionByName, [f.select(*columns) for f in found]).repartition(*columns).distinct(), "made")
+        with dealt(spark, made.count() + size):
+            delta = materialize(_without(made, now), "inferred")
         added.append(delta)
     out = reduce(DataFrame.unionByName, added)
     if check and known:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,21 @@ def spread(df: DataFrame, keys: list[str], rows: int, least: int = 0) -> DataFra
     return df.repartition(-(-count // rows), *keys) if count > max(rows, least) else df
 
 
+@contextmanager
+def dealt(spark: SparkSession, rows: int, each: int = 200_000):
+    """Within it, shuffles of so many rows go to tasks of about `each`: Spark counts packed bytes, of which repeated texts take a thirtieth of their memory, and would put millions of rows into a task."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    parts, old = -(-rows // each), [spark.conf.get(x) for x in names]
+    if parts > min(int(old[0]), spark.sparkContext.defaultParallelism):
+        for name, value in zip(names, (max(parts, int(old[0])), False)):
+            spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in zip(names, old):
+            spark.conf.set(name, value)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
