@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,9 @@ def _scoped(t: Term | None, scope: str) -> Term | None:
 
 
 def _lines(text: str, base: str, scope: str) -> list[tuple]:
-    return [tuple(_scoped(t, scope) for t in q) for q in parse_nquads(text)]
+    quads = parse_nquads(text)
+    # texts without either have no blank nodes
+    return [tuple(_scoped(t, scope) for t in q) for q in quads] if "_:" in text or "<<" in text else quads
 
 
 #: Text and format of the document of an IRI; raises where there is none. Called in tasks.
@@ -103,18 +106,14 @@ def _texts(wanted: DataFrame, source: DataFrame | Fetch) -> DataFrame:
 def _parsed(texts: DataFrame, call: str) -> DataFrame:
     """Triples of the default graphs of documents, and for each document one row without a triple, which holds its problem, if any."""
 
-    def run(batches: Iterator):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        import pandas as pd
-
-        columns = ["document", "s", "p", "o", "problem"]
         for b in batches:
             rows: list[tuple] = []
-            for d, text, form, problem in zip(b["document"], b["text"], b["format"], b["problem"]):
+            for d, text, form, problem in zip(*(b.column(c).to_pylist() for c in ("document", "text", "format", "problem"))):
                 quads: list[tuple] = []
-                if not isinstance(problem, str):
-                    problem = None
+                if problem is None:
                     scope = f"f{hashlib.sha256(f'{d} {call}'.encode()).hexdigest()[:24]}"
                     try:
                         quads = PARSERS[form](text, d, scope)
@@ -124,15 +123,28 @@ def _parsed(texts: DataFrame, call: str) -> DataFrame:
                         problem = f"not read: {e}"
                 for q in dict.fromkeys(quads):
                     if q[0] is None:
-                        rows.append((d, *(dict(zip("kvdlr", t.row())) for t in q[1:]), None))
+                        rows.append((d, *q[1:], None))
                     if len(rows) >= 10_000:
-                        yield pd.DataFrame(rows, columns=columns)
+                        yield _batch(rows)
                         rows = []
                 rows.append((d, None, None, None, problem))
             if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                yield _batch(rows)
+
+    return texts.mapInArrow(run, _ROWS)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of document, three terms and problem, made field by field: a mapping for each term takes longer than to parse it."""
+    document, *places, problem = zip(*rows)
+    none = Term(BNODE, "")
+
+    def column(terms: tuple) -> pa.StructArray:
+        there = [none if t is None else t for t in terms]
+        fields = [pa.array([t.kind for t in there], pa.int8()), *(pa.array([getattr(t, x) for t in there], pa.string()) for x in ("value", "datatype", "lang", "direction"))]
+        return pa.StructArray.from_arrays(fields, list("kvdlr"), mask=pa.array([t is None for t in terms]))
 
-    return texts.mapInPandas(run, _ROWS)
+    return pa.RecordBatch.from_arrays([pa.array(document, pa.string()), *map(column, places), pa.array(problem, pa.string())], ["document", "s", "p", "o", "problem"])
 
 
 def follow_links(graph: DataFrame, predicates: Sequence[str | Term], source: DataFrame | Fetch, rounds: int | None = None, parts: int | None = None) -> Followed:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,6 +178,20 @@ def write_ntriples(df: DataFrame, path: str, canonical_form: bool = False, mode:
 _PY = re.compile(LINE, re.S)
 
 
+#: Terms that come again, as predicates do, are parsed and tested once.
+_known, _is_absolute = lru_cache(1 << 14)(parse_term), lru_cache(1 << 14)(is_absolute)
+#: Longer ones are not kept.
+_SHORT = 200
+
+
+def _parsed(text: str) -> Term:
+    return _known(text) if len(text) <= _SHORT else parse_term(text)
+
+
+def _absolute(text: str) -> bool:
+    return _is_absolute(text) if len(text) <= _SHORT else is_absolute(text)
+
+
 def parse_nquads(text: str, strict: bool = True) -> list[tuple]:
     """(g, s, p, o) terms of a small document, in Python; ParseError names the line."""
     out = []
@@ -188,11 +203,11 @@ def parse_nquads(text: str, strict: bool = True) -> list[tuple]:
         if not texts:
             raise ParseError("not N-Quads", n)
         try:
-            s, p, o = (parse_term(x) for x in texts[:3])
-            g = parse_term(texts[3]) if len(texts) > 3 and texts[3] else None
+            s, p, o = (_parsed(x) for x in texts[:3])
+            g = _parsed(texts[3]) if len(texts) > 3 and texts[3] else None
         except (ValueError, KeyError) as e:
             raise ParseError(str(e), n) from e
-        if strict and (s.kind not in (IRI, BNODE) or p.kind != IRI or o.kind == VARIABLE or (g is not None and g.kind not in (IRI, BNODE)) or any(t is not None and t.kind == IRI and not is_absolute(t.value) for t in (s, p, o, g))):
+        if strict and (s.kind not in (IRI, BNODE) or p.kind != IRI or o.kind == VARIABLE or (g is not None and g.kind not in (IRI, BNODE)) or any(t is not None and t.kind == IRI and not _absolute(t.value) for t in (s, p, o, g))):
             raise ParseError("a term in a wrong place", n)
         out.append((g, s, p, o))
     return out
