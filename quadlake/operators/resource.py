@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from ..terms import INTEGER_RANGES, IRI, LITERAL, RDF, XSD, Term, from_row, iri
+from ..terms import BNODE, INTEGER_RANGES, IRI, LITERAL, RDF, TERM_DDL, XSD, Term, from_row, iri, term
 
 
 class Cardinality(ValueError):
@@ -207,7 +207,144 @@ def list_members(graph: DataFrame, head: Term | None = None) -> DataFrame:
     return members.join(cells.select("s", "item"), "s").select("head", "position", "item", F.col("s").alias("cell"))
 
 
+#: Rows of cells among which lists are looked for at once.
+NEAR = 100_000
+
+
+def near_lists(cells: DataFrame, others: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lists whose cells stand near each other, found without a join; and the triples of all others.
+
+    `cells`: g, s, p, o, distinct triples with rdf:first or rdf:rest alone. The first frame has g, head and cells (labels) and items of lists of blank cells
+    whose labels nothing else in `cells` has; with `others` (the remaining quads), whose labels these have not either, but for the head, once, as an object.
+    """
+    blank = lambda c: F.col(f"{c}.k") == BNODE
+    nil = (F.col("o.k") == IRI) & (F.col("o.v") == RDF + "nil")
+    name = lambda c: F.xxhash64("g", f"{c}.v")
+    first, to = F.col("p.v") == RDF + "first", ~F.col("first") & blank("o")
+    rows = cells.withColumn("first", first).select("g", F.col("s.v").alias("label"), F.col("s.k").alias("kind"), "first", (~F.col("first") & nil).alias("nil"), F.when(to, F.col("o.v")).alias("to"),
+                                                   F.when(F.col("first") | ~(nil | blank("o")), F.col("o")).alias("o"), F.when(blank("s"), name("s")).alias("hs"), F.when(to, name("o")).alias("ho"))
+    schema = f"g {TERM_DDL}, label string, kind tinyint, first boolean, nil boolean, to string, o {TERM_DDL}, items array<{TERM_DDL}>, cells array<string>"
+    found = materialize(rows.mapInArrow(_near, schema), "near")
+    lists = found.where("cells IS NOT NULL").select("g", F.col("cells")[0].alias("head"), "items", "cells")
+    target = F.when(F.col("nil"), iri(RDF + "nil").column()).otherwise(F.coalesce(term(BNODE, F.col("to")), F.col("o")))
+    rest = found.where("cells IS NULL").select("g", term(F.col("kind"), F.col("label")).alias("s"), F.when(F.col("first"), iri(RDF + "first").column()).otherwise(iri(RDF + "rest").column()).alias("p"), target.alias("o"))
+    # each label adds up to 11 if it is the head of a list and used once, or a further cell, and nothing else
+    weights = lists.select(F.posexplode("cells").alias("i", "v")).select(F.xxhash64("v").alias("h"), F.when(F.col("i") == 0, 11 if others is None else 10).otherwise(11).alias("w"))
+    used = [(rest, "s", 100), (rest, "o", 100)]
+    if others is not None:
+        used += [(lists, "g", 100), (rest, "g", 100), (lists.select(F.explode("items").alias("o")), "o", 100), (others, "g", 100), (others, "s", 100), (others, "o", 1)]
+    for df, c, w in used:
+        weights = weights.unionByName(df.where(blank(c) if c != "s" or df is not rest else F.lit(True)).select(F.xxhash64(f"{c}.v").alias("h"), F.lit(w).alias("w")))
+    sums = weights.groupBy("h").agg(F.sum("w").alias("n"), F.max(F.col("w").isin(10, 11)).alias("cell"))
+    wrong = materialize(sums.where("cell AND n <> 11").select("h"), "wrong")
+    if not wrong.isEmpty():
+        of = F.struct("g", "head")
+        bad = materialize(lists.select("g", "head", F.explode("cells").alias("v")).withColumn("h", F.xxhash64("v")).join(wrong, "h", "left_semi").select(of.alias("x")).distinct(), "bad")
+        lists = lists.withColumn("x", of)
+        back = lists.join(bad, "x", "left_semi").select("g", "cells", F.posexplode("items").alias("i", "item"))
+        cell = lambda i: term(BNODE, F.get("cells", i))
+        link = F.coalesce(cell(F.col("i") + 1), iri(RDF + "nil").column())
+        both = F.array(*[F.struct(iri(RDF + p).column().alias("p"), o.alias("o")) for p, o in (("first", F.col("item")), ("rest", link))])
+        rest = rest.unionByName(back.select("g", cell(F.col("i")).alias("s"), F.explode(both).alias("t")).select("g", "s", "t.p", "t.o"))
+        lists = lists.join(bad, "x", "left_anti").drop("x")
+    return lists, rest
+
+
+def _near(batches):
+    """Rows of near_lists to lists that are whole among NEAR rows or so, and triples of the others."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def whole(t: pa.Table) -> tuple:
+        """Rows with the items of whole lists, one after the other, the lists' offsets in them, and the rows that no list has."""
+        first, end, hs, ho = (x.fill_null(pa.scalar(0).cast(x.type)).to_numpy(zero_copy_only=False) for x in (t.column(c).combine_chunks() for c in ("first", "nil", "hs", "ho")))
+        labels, targets = (t.column(c).combine_chunks() for c in ("label", "to"))
+        graphs = t.column("g").combine_chunks()
+        graphs = [graphs.is_valid().cast("int8"), *[pc.fill_null(pc.cast(x, "string"), "") for x in graphs.flatten()]]
+        blank, to_blank = (t.column(c).is_valid().combine_chunks().to_numpy(zero_copy_only=False) for c in ("hs", "ho"))
+        same = lambda x, a, y, b: np.logical_and.reduce([pc.equal(u.take(pa.array(a)), v.take(pa.array(b))).to_numpy(zero_copy_only=False) for u, v in ((x, y), *zip(graphs, graphs))])
+        order = np.argsort(hs, kind="stable")
+        order = order[blank[order]]
+        sorted_ = hs[order]
+        start = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(order) else np.zeros(0, dtype="i8")
+        two = start[np.diff(np.append(start, len(order))) == 2]
+        a, b = order[two], order[two + 1]
+        good = first[a] != first[b]
+        a, b = a[good], b[good]
+        item, rest = np.where(first[a], a, b), np.where(first[a], b, a)
+        good = same(labels, item, labels, rest) if len(item) else np.zeros(0, dtype=bool)
+        item, rest = item[good], rest[good]
+        m = len(item)
+        # m stands for the end, m + 1 for a cell that is not here
+        names = hs[item]
+        at = np.minimum(np.searchsorted(names, ho[rest]), max(m - 1, 0))
+        there = to_blank[rest] & (names[at] == ho[rest]) if m else np.zeros(0, dtype=bool)
+        there[there] = same(targets, rest[there], labels, item[at[there]])
+        links = np.bincount(at[there], minlength=m)
+        there &= links[at] == 1 if m else there
+        step = np.append(np.where(there, at, np.where(end[rest], m, m + 1)), [m, m + 1])
+        left, jump = np.append(np.ones(m, dtype="i8"), [0, 0]), step
+        back = np.arange(m + 2)
+        back[step[:m][there]] = np.flatnonzero(there)
+        for _ in range(max(m, 1).bit_length()):
+            if (jump[:m] >= m).all():
+                break
+            left, jump, back = left + left[jump], jump[jump], back[back]
+        # a head comes back to itself; in a loop, which has none, no cell reaches the end
+        ends = np.flatnonzero(jump[:m] == m)
+        for _ in range(max(m, 1).bit_length()):
+            if (back[back[ends]] == back[ends]).all():
+                break
+            back = back[back]
+        ends = ends[np.lexsort((-left[ends], back[ends]))]
+        heads = back[ends]
+        offsets = np.append(np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]])) if len(heads) else np.zeros(0, dtype="i8"), len(heads))
+        free = np.ones(len(t), dtype=bool)
+        free[item[ends]] = free[rest[ends]] = False
+        return item[ends], offsets, np.flatnonzero(free)
+
+    names = ["g", "label", "kind", "first", "nil", "to", "o", "items", "cells"]
+
+    def lists(t: pa.Table, rows, offsets) -> pa.RecordBatch:
+        at, n, rows = pa.array(offsets, pa.int32()), len(offsets) - 1, pa.array(rows)
+        o, labels, g = (t.column(c).combine_chunks() for c in ("o", "label", "g"))
+        nothing = [pa.nulls(n, t.column(c).type) for c in names[1:7]]
+        return pa.RecordBatch.from_arrays([g.take(rows.take(at[:-1])), *nothing, pa.ListArray.from_arrays(at, o.take(rows)), pa.ListArray.from_arrays(at, labels.take(rows))], names=names)
+
+    def others(t: pa.Table) -> list[pa.RecordBatch]:
+        n, made = len(t), [t.column(c).combine_chunks() for c in names[:7]]
+        return [pa.RecordBatch.from_arrays([*made, pa.nulls(n, pa.list_(made[6].type)), pa.nulls(n, pa.list_(pa.string()))], names=names)] if n else []
+
+    waiting, size, kept = [], 0, None
+    for b in batches:
+        waiting.append(b)
+        size += b.num_rows + b.nbytes // 1000
+        if size < NEAR:
+            continue
+        t = pa.Table.from_batches(waiting)
+        rows, offsets, free = whole(t)
+        if len(rows):
+            yield lists(t, rows, offsets)
+        kept = t.take(pa.array(free)).combine_chunks()
+        if len(kept) + kept.nbytes // 1000 > NEAR:
+            yield from others(kept)
+            kept = kept.slice(0, 0)
+        waiting, size = kept.to_batches(), 0
+    if waiting:
+        t = pa.Table.from_batches(waiting)
+        rows, offsets, free = whole(t)
+        if len(rows):
+            yield lists(t, rows, offsets)
+        yield from others(t.take(pa.array(free)))
+
+
 def list_items(graph: DataFrame) -> DataFrame:
     """head, items for every list of list_members, one row a list; a list too long for a row stays with list_members."""
-    members = list_members(graph).groupBy("head").agg(F.sort_array(F.collect_list(F.struct("position", "item"))).alias("x"))
-    return members.select("head", F.transform("x", lambda e: e["item"]).alias("items"))
+    cells = graph.where(F.col("p.v").isin(RDF + "first", RDF + "rest")).select(F.lit(None).cast(TERM_DDL).alias("g"), "s", "p", "o")
+    lists, rest = near_lists(cells)
+    lists = lists.select(term(BNODE, F.col("head")).alias("head"), "items")
+    if rest.isEmpty():
+        return lists
+    members = list_members(materialize(rest.select("s", "p", "o"), "cells")).groupBy("head").agg(F.sort_array(F.collect_list(F.struct("position", "item"))).alias("x"))
+    return lists.unionByName(members.select("head", F.transform("x", lambda e: e["item"]).alias("items")))

@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.resource import list_members
-from ..storage import materialize
-from ..terms import BNODE, IRI, LITERAL, RDF, TERM_DDL, XSD, term
+from ..operators.resource import list_members, near_lists
+from ..storage import distinct_runs, materialize
+from ..terms import BNODE, IRI, LITERAL, RDF, TERM_DDL, XSD, iri, term
 
 #: Triples of a subject that go into one node; a subject with more is written in several.
 NODE = 1000
+#: Quads that one task writes, so that what is small comes into one file.
+SMALL = 50_000
 #: Characters of a file, but for a longer line: these formats are read a file at a time.
 FILE = 4 << 20
 #: Splits a predicate into a namespace and a name that XML allows.
@@ -28,7 +30,8 @@ def _name(t: Column) -> Column:
 def _quoted(c: Column) -> Column:
     """A string in JSON."""
     text = F.to_json(F.array(c))
-    return F.substr(text, F.lit(2), F.length(text) - 2)
+    # few texts have anything to escape
+    return F.when(c.rlike(r'[\x00-\x1f\x7f"\\]'), F.substr(text, F.lit(2), F.length(text) - 2)).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
 
 
 def _parted(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,29 +42,53 @@ def _parted(df: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("_c", F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("p", "o"), F.ceil(F.col("_n") / NODE).cast("long"))).cast("int")).drop("_n")
 
 
-def _files(lines: DataFrame, path: str, head: str, between: str, foot: str, mode: str) -> None:
-    """Text files of about FILE characters at most, each with a first and a last line. A file is one record, so that what reads it whole holds a bounded text, whatever the partitions."""
+def _gathered(df: DataFrame, keys: list[str]) -> tuple[DataFrame, bool]:
+    """df without duplicate rows, with the rows of a subject together: first as they came, then others dealt out by subjects; and whether it is small."""
+    df = materialize(df, "quads")
+    whole, other = distinct_runs(df, keys, NODE)
+    if other is not None:
+        whole = whole.unionByName(materialize(_parted(materialize(other, "quads"), keys).repartition(*keys, "_c").sortWithinPartitions(*[F.xxhash64(k) for k in keys], "_c").drop("_c"), "quads"))
+    return whole, df.count() <= SMALL
+
+
+def _files(rows: DataFrame, path: str, head: str, between: str, foot: str, node, mode: str, compression: str | None) -> None:
+    """Text files of about FILE characters at most, each with a first and a last line. A file is one record, so that what reads it whole holds a bounded text, whatever the partitions.
+
+    Rows have the text of their subject (two columns), a name and a text each; those of a subject that stand together, NODE at most, are one line, `node(subject, names, texts)`.
+    """
+
+    def lines(batches):
+        now, names, texts = None, [], []
+        for b in batches:
+            for *subject, name, text in zip(*[c.to_pylist() for c in b.columns]):
+                if subject != now or len(texts) == NODE:
+                    if texts:
+                        yield node(now, names, texts)
+                    now, names, texts = subject, [], []
+                names.append(name)
+                texts.append(text)
+        if texts:
+            yield node(now, names, texts)
 
     def wrap(batches):
         import pyarrow as pa
 
         document = lambda some: pa.RecordBatch.from_pydict({"value": ["\n".join([head, some[0], *(between + x for x in some[1:]), foot])]})
         some, size = [], 0
-        for b in batches:
-            for x in b.column(0):
-                line = x.as_py()
-                if some and size + len(line) > FILE:
-                    yield document(some)
-                    some, size = [], 0
-                some.append(line)
-                size += len(line)
+        for line in lines(batches):
+            if some and size + len(line) > FILE:
+                yield document(some)
+                some, size = [], 0
+            some.append(line)
+            size += len(line)
         if some:
             yield document(some)
 
-    lines.select("value").mapInArrow(wrap, "value string").write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+    out = rows.mapInArrow(wrap, "value string").write.mode(mode).option("maxRecordsPerFile", 1)
+    (out.option("compression", compression).option("zlib.compress.level", "BEST_SPEED") if compression else out).text(path)
 
 
-def _folded(quads: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _far_folded(quads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lists that nothing else needs to know the cells of: head (with its graph in the label) and items; and the cells.
 
     Such a list hangs on one triple, not on another list's cell; its cells are blank nodes with an item and a rest alone, named in one graph only.
@@ -84,60 +111,85 @@ def _folded(quads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lists, members.join(lists.select("head"), "head", "left_semi").select("cell")
 
 
-def write_jsonld(quads: DataFrame, path: str, lists: bool = True, mode: str = "error") -> None:
+def _folded(quads: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """Lists as _far_folded takes them (head, with its graph in the label, as text, and items), if there are any, and the quads of no such list. Lists whose cells stand together are found as they stand."""
+    blank = lambda c: F.col(f"{c}.k") == BNODE
+    scoped = lambda c: F.concat(F.coalesce(F.to_json("g"), F.lit("")), F.lit("\n"), c)
+    of_cell = blank("s") & F.col("p.v").isin(RDF + "first", RDF + "rest")
+    cells, others = quads.where(of_cell), quads.where(~of_cell)
+    if cells.isEmpty():
+        return None, quads
+    near, rest = near_lists(cells, others)
+    found = near.select(scoped(F.col("head")).alias("_h"), "items")
+    if not rest.isEmpty():
+        rest = materialize(rest.select("g", "s", "p", "o"), "rest")
+        # what else may use a cell: quads with blank nodes, and the items of lists
+        held = near.select("g", iri(RDF + "List").column().alias("s"), iri(RDF + "first").column().alias("p"), F.explode("items").alias("o"))
+        lists, gone = _far_folded(rest.unionByName(others.where(F.coalesce(blank("g"), F.lit(False)) | blank("s") | blank("o"))).unionByName(held.where(blank("o"))))
+        found = found.unionByName(lists.select(F.col("head.v").alias("_h"), "items"))
+        others = others.unionByName(rest.join(gone.select(F.col("cell.v").alias("_v")), scoped(F.col("s.v")) == F.col("_v"), "left_anti"))
+    return found, others
+
+
+def write_jsonld(quads: DataFrame, path: str, lists: bool = True, mode: str = "error", compression: str | None = None) -> None:
     """Expanded JSON-LD files of quads, or triples: each file is an array with a node object a line; nodes of named graphs stand in a node of their graph.
 
-    Nodes are made by subject, in the tasks that write them; a subject of many triples has several node objects, which mean the same.
+    Nodes are made by subject, in the tasks that write them; a subject of many triples, or one with blank objects where there are lists, has several node objects, which mean the same.
     With `lists`, well-formed lists that hang on one triple become @list; such a list comes into one line. Blank node labels are kept: all files are one document.
-    Triple terms, and predicates that are no IRIs, have no JSON-LD and are left out.
+    Triple terms, and predicates that are no IRIs, have no JSON-LD and are left out. `compression`: a codec of Spark's text files, which read_jsonld knows by the files' names.
     """
     none = F.lit(None).cast(TERM_DDL)
-    df = quads.select("g" if "g" in quads.columns else none.alias("g"), "s", "p", "o").where(F.col("s.k").isin(IRI, BNODE) & (F.col("p.k") == IRI) & F.col("o.k").isin(IRI, BNODE, LITERAL)).distinct()
-    scoped = lambda c: F.concat(F.coalesce(F.to_json("g"), F.lit("")), F.lit("\n"), F.col(f"{c}.v"))
+    df = quads.select("g" if "g" in quads.columns else none.alias("g"), "s", "p", "o").where(F.col("s.k").isin(IRI, BNODE) & (F.col("p.k") == IRI) & F.col("o.k").isin(IRI, BNODE, LITERAL))
+    df, small = _gathered(df, ["g", "s"])
+    no_items = F.lit(None).cast(f"array<{TERM_DDL}>")
+    found, df = _folded(df) if lists else (None, df)
+    if found is not None:
+        blank = F.col("o.k") == BNODE
+        head = F.concat(F.coalesce(F.to_json("g"), F.lit("")), F.lit("\n"), F.col("o.v"))
+        of_list = df.where(blank).join(found, head == F.col("_h"), "left").select("g", "s", "p", "o", "items")
+        df = df.where(~blank).withColumn("items", no_items).unionByName(of_list)
+    else:
+        df = df.withColumn("items", no_items)
     if lists:
-        df = materialize(df, "quads")
-        found, cells = _folded(df)
-        gone = cells.select(F.col("cell.v").alias("_v"))
-        df = df.join(gone, (F.col("s.k") == BNODE) & (scoped("s") == F.col("_v")), "left_anti")
-        found = found.select(F.col("head.v").alias("_h"), "items")
-        df = df.join(found, (F.col("o.k") == BNODE) & (scoped("o") == F.col("_h")), "left").drop("_h")
         nil = (F.col("o.k") == IRI) & (F.col("o.v") == RDF + "nil") & ~F.col("p.v").isin(RDF + "first", RDF + "rest")
         df = df.withColumn("items", F.when(nil, F.array().cast(f"array<{TERM_DDL}>")).otherwise(F.col("items")))
-    else:
-        df = df.withColumn("items", F.lit(None).cast(f"array<{TERM_DDL}>"))
 
-    def value(t: Column) -> list[Column]:
-        resource = t["k"] != LITERAL
-        plain = (t["d"] == XSD + "string") | t["l"].isNotNull()
-        # items got their graph into their labels
+    def value(t: Column) -> Column:
+        # items may have got their graph into their labels
         name = F.when(t["k"] == BNODE, F.concat(F.lit("_:"), F.substring_index(t["v"], "\n", -1))).otherwise(t["v"])
-        return [F.when(resource, name).alias("@id"), F.when(~resource, t["v"]).alias("@value"), F.when(~resource & ~plain, t["d"]).alias("@type"), F.when(~resource, t["l"]).alias("@language"), F.when(~resource, t["r"]).alias("@direction")]
+        member = lambda key, c: F.coalesce(F.concat(F.lit(f',"{key}":'), _quoted(c)), F.lit(""))
+        kind = F.when((t["d"] != XSD + "string") & t["l"].isNull(), t["d"])
+        literal = F.concat(F.lit('{"@value":'), _quoted(t["v"]), member("@type", kind), member("@language", t["l"]), member("@direction", t["r"]), F.lit("}"))
+        return F.when(t["k"] == LITERAL, literal).otherwise(F.concat(F.lit('{"@id":'), _quoted(name), F.lit("}")))
 
-    of = value(F.col("o"))
-    whole = F.struct(*[F.when(F.col("items").isNull(), c).alias(n) for c, n in zip(of, ("@id", "@value", "@type", "@language", "@direction"))], F.transform("items", lambda x: F.struct(*value(x))).alias("@list"))
-    df = _parted(df, ["g", "s"]).withColumn("_value", whole)
     is_type = (F.col("p.v") == RDF + "type") & (F.col("o.k") != LITERAL) & F.col("items").isNull()
-    by_predicate = df.groupBy("g", "s", "_c", F.when(is_type, "@type").otherwise(F.col("p.v")).alias("_p")).agg(F.collect_list("_value").alias("_values"))
-    nodes = by_predicate.groupBy("g", "s", "_c").agg(F.map_from_entries(F.collect_list(F.struct("_p", "_values"))).alias("_m"))
-    types = F.transform(F.try_element_at("_m", F.lit("@type")), lambda x: x["@id"])
-    rest = F.to_json(F.map_filter("_m", lambda k, v: k != "@type"))
-    node = F.concat(F.lit('{"@id":'), _quoted(_name(F.col("s"))), F.coalesce(F.concat(F.lit(',"@type":'), F.to_json(types)), F.lit("")), F.when(rest == "{}", "}").otherwise(F.concat(F.lit(","), F.substr(rest, F.lit(2)))))
-    line = F.when(F.col("g").isNull(), node).otherwise(F.concat(F.lit('{"@id":'), _quoted(_name(F.col("g"))), F.lit(',"@graph":['), node, F.lit("]}")))
-    _files(nodes.select(line.alias("value")), path, "[", ",", "]", mode)
+    listed = F.concat(F.lit('{"@list":['), F.array_join(F.transform("items", value), ","), F.lit("]}"))
+    text = F.when(is_type, _quoted(_name(F.col("o")))).when(F.col("items").isNotNull(), listed).otherwise(value(F.col("o")))
+    rows = df.select(_quoted(_name(F.col("g"))).alias("g"), _quoted(_name(F.col("s"))).alias("s"), F.when(is_type, '"@type"').otherwise(_quoted(F.col("p.v"))).alias("p"), text.alias("o"))
+
+    def node(subject, names, texts) -> str:
+        graph, name = subject
+        members: dict[str, list] = {}
+        for p, x in zip(names, texts):
+            members.setdefault(p, []).append(x)
+        made = ",".join([f'{{"@id":{name}', *(f"{p}:[{','.join(some)}]" for p, some in members.items())]) + "}"
+        return made if graph is None else f'{{"@id":{graph},"@graph":[{made}]}}'
+
+    _files(rows.coalesce(1) if small else rows, path, "[", ",", "]", node, mode, compression)
 
 
-def write_rdfxml(triples: DataFrame, path: str, prefixes: dict[str, str] | None = None, strict: bool = True, mode: str = "error") -> None:
+def write_rdfxml(triples: DataFrame, path: str, prefixes: dict[str, str] | None = None, strict: bool = True, mode: str = "error", compression: str | None = None) -> None:
     """RDF/XML files of triples of any number, an element with a subject's properties a line; a subject of many triples has several.
 
     The predicates' namespaces, as many as a vocabulary has, are gathered first and declared in each file; `prefixes` names some, name to namespace or the other way round. Blank node labels are kept: all files
-    are one document. What RDF/XML can't hold (triple terms, predicates without a local name, control characters) is an error, or left out if not strict.
+    are one document. What RDF/XML can't hold (triple terms, predicates without a local name, control characters) is an error, or left out if not strict. `compression`: as in write_jsonld.
     """
     space, local = F.regexp_extract("p.v", LOCAL_NAME, 1), F.regexp_extract("p.v", LOCAL_NAME, 2)
     fits = F.col("s.k").isin(IRI, BNODE) & (F.col("p.k") == IRI) & (local != "") & F.col("o.k").isin(IRI, BNODE, LITERAL) & ~F.col("o.v").rlike(NOT_XML)
     if strict:
         fits = F.when(fits, True).otherwise(F.raise_error(F.concat(F.lit("RDF/XML can't hold "), F.to_json(F.struct("s", "p", "o")))).cast("boolean"))
-    df = triples.select("s", "p", "o").where(fits).distinct().select("s", "p", "o", space.alias("_space"), local.alias("_local"))
-    df = materialize(df, "triples")
+    df, small = _gathered(triples.select("s", "p", "o").where(fits), ["s"])
+    df = df.select("s", "p", "o", space.alias("_space"), local.alias("_local"))
     spaces = {RDF: "rdf", **dict((k, v) if ":" in k else (v, k) for k, v in (prefixes or {}).items())}
     for i, r in enumerate(df.select("_space").distinct().orderBy("_space").collect()):
         spaces.setdefault(r[0], f"n{i}")
@@ -155,10 +207,10 @@ def write_rdfxml(triples: DataFrame, path: str, prefixes: dict[str, str] | None
     kind = F.when(o["l"].isNotNull(), F.concat(attribute("xml:lang", o["l"]), direction)).when(o["d"] == XSD + "string", "").otherwise(attribute("rdf:datatype", o["d"]))
     to = F.when(o["k"] == IRI, attribute("rdf:resource", o["v"])).otherwise(attribute("rdf:nodeID", o["v"]))
     element = F.when(o["k"] == LITERAL, F.concat(F.lit("<"), name, kind, F.lit(">"), escaped(o["v"]), F.lit("</"), name, F.lit(">"))).otherwise(F.concat(F.lit("<"), name, to, F.lit("/>")))
-    nodes = _parted(df, ["s"]).groupBy("s", "_c").agg(F.array_join(F.sort_array(F.collect_list(element)), "").alias("_body"))
     about = F.when(F.col("s.k") == IRI, attribute("rdf:about", F.col("s.v"))).otherwise(attribute("rdf:nodeID", F.col("s.v")))
-    line = F.concat(F.lit("<rdf:Description"), about, F.lit(">"), F.col("_body"), F.lit("</rdf:Description>"))
+    rows = df.select(about.alias("s"), F.lit("").alias("e"), F.lit("").alias("p"), element.alias("o"))
     from xml.sax.saxutils import quoteattr
 
     names = "".join(f" xmlns:{v}={quoteattr(k)}" for k, v in spaces.items()) + ' xmlns:its="http://www.w3.org/2005/11/its"'
-    _files(nodes.select(line.alias("value")), path, f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF{names}>', "", "</rdf:RDF>", mode)
+    node = lambda subject, _, texts: f"<rdf:Description{subject[0]}>{''.join(texts)}</rdf:Description>"
+    _files(rows.coalesce(1) if small else rows, path, f'<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF{names}>', "", "</rdf:RDF>", node, mode, compression)

@@ -8,6 +8,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -45,6 +46,46 @@ def spread(df: DataFrame, keys: list[str], rows: int, least: int = 0) -> DataFra
     return df.repartition(-(-count // rows), *keys) if count > max(rows, least) else df
 
 
+def distinct_runs(df: DataFrame, keys: list[str], longest: int = 1000) -> tuple[DataFrame, DataFrame | None]:
+    """The two parts of df.distinct(), of a frame read from files: keys whose rows stand together and differ, taken as they stand, and other keys, if there are any. Only a hash of each run is dealt out, and whole rows of the other keys alone.
+
+    A run of more than `longest` rows, and keys or rows that share a hash, count as others.
+    """
+
+    def runs(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def ended(h, x, whole: bool):
+            """The hashes of the runs that end here, those in doubt twice; and what may go on."""
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype="i8")
+            end = len(h) if whole or not len(start) else start[-1]
+            start = start if whole else start[:-1]
+            sizes = np.diff(np.append(start, end))
+            run = np.repeat(np.arange(len(start)), sizes)
+            order = np.lexsort((x[:end], run))
+            same = (run[order][1:] == run[order][:-1]) & (x[order][1:] == x[order][:-1])
+            doubt = sizes > longest
+            doubt[run[order][1:][same]] = True
+            out = np.concatenate([h[start], h[start[doubt]]])
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["h"]), h[end:][: longest + 1], x[end:][: longest + 1]
+
+        h = x = np.zeros(0, dtype="i8")
+        for b in batches:
+            h, x = (np.concatenate([old, b.column(k).to_numpy(zero_copy_only=False)]) for k, old in enumerate((h, x)))
+            out, h, x = ended(h, x, False)
+            yield out
+        yield ended(h, x, True)[0]
+
+    key = F.xxhash64(*keys)
+    found = df.select(key.alias("h"), F.xxhash64(*[c for c in df.columns if c not in keys]).alias("x")).mapInArrow(runs, "h long")
+    again = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("_h")), "again")
+    if again.isEmpty():
+        return df, None
+    rows = df.withColumn("_h", key)
+    return rows.join(again, "_h", "left_anti").drop("_h"), rows.join(again, "_h", "left_semi").drop("_h").distinct()
+
+
 @contextmanager
 def dealt(spark: SparkSession, rows: int, each: int = 200_000):
     """Within it, shuffles of so many rows go to tasks of about `each`: Spark counts packed bytes, of which repeated texts take a thirtieth of their memory, and would put millions of rows into a task."""

@@ -351,6 +351,39 @@ def test_files_of_frames_are_bounded(spark, tmp_path, monkeypatch):
         assert len(back) == len(rows) and set(back) == set(rows)
 
 
+def test_lists_that_stand_together_need_no_joins(spark, tmp_path, monkeypatch):
+    from quadlake.operators import resource
+    from quadlake.sources import frames
+    from quadlake.sources.jsonld import read_jsonld
+
+    first, rest, nil = (iri("http://www.w3.org/1999/02/22-rdf-syntax-ns#" + x) for x in ("first", "rest", "nil"))
+    b = lambda i, k: bnode(f"l{i}x{k}")
+    rows = []
+    for i in range(200):
+        rows.append((None, iri(f"{X}{i}"), iri(X + "l"), b(i, 0)))
+        rows += [(None, b(i, k), p, o) for k in range(i % 9 + 1) for p, o in ((first, literal(k)), (rest, b(i, k + 1) if k < i % 9 else nil))]
+    # a cell used twice, a head that nothing uses, one used twice, a loop, two that share a tail, a list of a list, one in two graphs, one that names a graph
+    odd = [(None, iri(X + "a"), iri(X + "l"), b(20, 1)), (None, b(900, 0), first, literal(1)), (None, b(900, 0), rest, nil), (None, iri(X + "b"), iri(X + "l"), b(30, 0)), (None, b(901, 0), first, literal(1)), (None, b(901, 0), rest, b(901, 0)),
+           (None, b(902, 0), first, literal(1)), (None, b(902, 0), rest, b(44, 3)), (None, iri(X + "c"), iri(X + "l"), b(902, 0)), (None, b(903, 0), first, b(50, 0)), (None, b(903, 0), rest, nil), (None, iri(X + "d"), iri(X + "l"), b(903, 0)),
+           (iri(X + "g"), b(60, 0), iri(X + "p"), literal(1)), (b(70, 0), iri(X + "e"), iri(X + "p"), literal(1))]
+    whole = lambda df: {(r["head"]["v"], tuple(x["v"] for x in r["items"])) for r in df.collect()}
+    far = lambda df: whole(resource.list_members(df).groupBy("head").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "item"))), lambda x: x["item"]).alias("items")))
+    plain, all_ = to_frame(spark, rows).coalesce(2), to_frame(spark, rows + odd).coalesce(2)
+    assert whole(resource.list_items(all_.select("s", "p", "o"))) == far(all_.select("s", "p", "o"))
+    expected = whole(resource.list_items(plain))
+    monkeypatch.setattr(resource, "list_members", lambda *_: pytest.fail("lists were joined"))
+    monkeypatch.setattr(frames, "list_members", lambda *_: pytest.fail("lists were joined"))
+    assert whole(resource.list_items(plain)) == expected and len(expected) == 200
+    frames.write_jsonld(plain, str(tmp_path / "j"), compression="gzip")
+    back = read_jsonld(spark, str(tmp_path / "j"))
+    assert sorted(x[1] for x in whole(resource.list_items(back))) == sorted(x[1] for x in expected) and back.count() == len(rows)
+    monkeypatch.undo()
+    frames.write_jsonld(all_, str(tmp_path / "k"))
+    assert read_jsonld(spark, str(tmp_path / "k"), preserve_bnodes=True).count() == len(rows + odd)
+    folded = spark.read.text(str(tmp_path / "k")).where(F.col("value").contains("@list")).count()
+    assert folded == 200 - len([20, 30, 44, 50, 60, 70]) + len([903])
+
+
 def test_tables_are_spread_before_they_are_unfolded(spark, tmp_path, monkeypatch):
     from quadlake.operators import mapping
 
