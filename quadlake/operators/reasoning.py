@@ -12,7 +12,7 @@ from ..functions.scalar import part_of
 from ..functions.values import class_of, rank_of
 from ..plans.compiler import Engine, Store
 from ..plans.from_graph import query_of
-from ..storage import dealt, materialize
+from ..storage import dealt, discard, distinct_runs, materialize
 from ..terms import BNODE, INTEGER_RANGES, IRI, LITERAL, RDF, RDFS, TERM_DDL, TRIPLE, XSD, Term, bnode, iri, literal, term, triple_term
 from .paths import reachable
 
@@ -35,6 +35,10 @@ RDFS_AXIOMS = (
 )
 
 
+#: Predicates that old triples are looked through for by name, and old triples that go to all tasks.
+MANY, FEW = 200, 10_000
+
+
 class Inconsistent(ValueError):
     """The graph has no interpretation: an ill-typed literal, or a resource of two datatypes that share no value."""
 
@@ -112,6 +116,14 @@ def _without(df: DataFrame, old: DataFrame) -> DataFrame:
         renamed = other.select(*[F.col(c).alias(f"x_{c}") for c in names])
         return renamed, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"x_{c}")) for c in names])
 
+    if "p" in names:
+        # triples of other predicates need no look, which are most: what is made says little of the data's own predicates
+        made = [r[0] for r in df.select("p.v").distinct().limit(MANY + 1).collect()]
+        if len(made) <= MANY:
+            old = old.where(F.col("p.v").isin(made))
+            if len(old.select("p.k").limit(FEW + 1).collect()) <= FEW:
+                few, test = same(old)
+                return df.join(F.broadcast(few), test, "left_anti")
     wanted, test = same(df)
     there = old.select(*names).join(wanted, test, "left_semi")
     there, test = same(there)
@@ -123,7 +135,7 @@ def _closed(closed: DataFrame | None, triples: DataFrame, rules: str, recognised
     keys = ["g"] if "g" in triples.columns else []
     columns = [*keys, "s", "p", "o"]
     spark, known = triples.sparkSession, list(recognised)
-    data = materialize(triples.select(*keys, *[normalized(F.col(c), known).alias(c) for c in ("s", "p", "o")]), "triples")
+    delta = data = materialize(triples.select(*keys, *[normalized(F.col(c), known).alias(c) for c in ("s", "p", "o")]), "triples")
     size = data.count()
     if check and known:
         ill = data.where((F.col("o.k") == LITERAL) & F.col("o.d").isin(known) & class_of(F.col("o")).isNull())
@@ -137,9 +149,13 @@ def _closed(closed: DataFrame | None, triples: DataFrame, rules: str, recognised
         fixed = _consts(spark, axioms)
         if keys:
             fixed = data.select("g").distinct().crossJoin(F.broadcast(fixed))
-        data = data.unionByName(fixed)
     with dealt(spark, size):
-        delta = materialize(data.repartition(*columns).distinct(), "graph")
+        whole, other = distinct_runs(data, columns)
+        if other is not None:
+            delta = materialize(whole.unionByName(other), "graph")
+            discard(data)
+        if rules != "simple":
+            delta = delta.unionByName(materialize(_without(materialize(fixed.distinct(), "axioms"), delta), "axioms"))
     if closed is not None:
         closed = closed.select(*columns)
         with dealt(spark, size + closed.count()):
@@ -207,10 +223,10 @@ def _closed(closed: DataFrame | None, triples: DataFrame, rules: str, recognised
             if before is not None and (schema_new or more_classes is not None or more_properties is not None):
                 meetings.append((before, *[pairs_of(delta, x) if x in schema_new else None for x in (DOMAIN, RANGE)], *[None if x is None else proper(x) for x in (more_properties, more_classes)]))
             for rows, domains, ranges, above, wider in meetings:
-                if domains is not None:
-                    found.append(new_type(pair(rows, domains, "p"), F.col("s"), F.col("r_o")))
-                if ranges is not None:
-                    found.append(new_type(pair(rows, ranges, "p"), F.col("o"), F.col("r_o")))
+                # a subject has a type of many triples
+                for c, schema in (("s", domains), ("o", ranges)):
+                    if schema is not None:
+                        found.append(new_type(pair(rows, schema, "p").select(*keys, F.col(c).alias("t"), "r_o").distinct(), F.col("t"), F.col("r_o")))
                 if above is not None:
                     found.append(pair(rows, above, "p").select(*keys, "s", F.col("r_o").alias("p"), "o"))
                 if wider is not None:
@@ -223,9 +239,14 @@ def _closed(closed: DataFrame | None, triples: DataFrame, rules: str, recognised
             found.append(of(RDFS + "Datatype").select(*keys, "s", _is(SUBCLASS).alias("p"), _is(RDFS + "Literal").alias("o")))
         # each triple has three terms to speak of
         with dealt(spark, 3 * size):
-            made = materialize(reduce(DataFrame.unionByName, [f.select(*columns) for f in found]).repartition(*columns).distinct(), "made")
-        with dealt(spark, made.count() + size):
-            delta = materialize(_without(made, now), "inferred")
+            raw = materialize(reduce(DataFrame.unionByName, [f.select(*columns) for f in found]), "made")
+        with dealt(spark, raw.count() + size):
+            made, other = distinct_runs(raw, columns)
+            other = None if other is None else materialize(other, "made")
+            delta = materialize(_without(made if other is None else made.unionByName(other), now), "inferred")
+        for df in (raw, other):
+            if df is not None:
+                discard(df)
         added.append(delta)
     out = reduce(DataFrame.unionByName, added)
     if check and known:

@@ -30,7 +30,15 @@ def materialize(df: DataFrame, label: str = "table", most: int = 0) -> DataFrame
     """Write df once, to files of at most `most` rows where given, and read it back: lineage ends, and a lost executor costs nothing."""
     path = new_path(df.sparkSession, label)
     df.write.option("maxRecordsPerFile", most).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(written: DataFrame) -> None:
+    """Remove the files of a frame that materialize() wrote, once nothing reads them any more; and have Spark let go of the shuffles that are behind it, which stay on disk until the driver's JVM collects."""
+    _remove(written.sparkSession, written.written_to)
+    written.sparkSession.sparkContext._jvm.System.gc()
 
 
 def file_system(path: str):
@@ -78,7 +86,8 @@ def distinct_runs(df: DataFrame, keys: list[str], longest: int = 1000) -> tuple[
         yield ended(h, x, True)[0]
 
     key = F.xxhash64(*keys)
-    found = df.select(key.alias("h"), F.xxhash64(*[c for c in df.columns if c not in keys]).alias("x")).mapInArrow(runs, "h long")
+    others = [c for c in df.columns if c not in keys]
+    found = df.select(key.alias("h"), (F.xxhash64(*others) if others else F.lit(0).cast("long")).alias("x")).mapInArrow(runs, "h long")
     again = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("_h")), "again")
     if again.isEmpty():
         return df, None
@@ -101,12 +110,15 @@ def dealt(spark: SparkSession, rows: int, each: int = 200_000):
             spark.conf.set(name, value)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
         except Exception:  # the session has ended: its shared folder is the cluster's to clear
             return
