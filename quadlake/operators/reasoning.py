@@ -35,6 +35,8 @@ RDFS_AXIOMS = (
 )
 
 
+#: Triples that are simply made distinct.
+LITTLE = 100_000
 #: Predicates that old triples are looked through for by name, and old triples that go to all tasks.
 MANY, FEW = 200, 10_000
 
@@ -121,7 +123,7 @@ def _without(df: DataFrame, old: DataFrame) -> DataFrame:
         made = [r[0] for r in df.select("p.v").distinct().limit(MANY + 1).collect()]
         if len(made) <= MANY:
             old = old.where(F.col("p.v").isin(made))
-            if len(old.select("p.k").limit(FEW + 1).collect()) <= FEW:
+            if old.limit(FEW + 1).count() <= FEW:
                 few, test = same(old)
                 return df.join(F.broadcast(few), test, "left_anti")
     wanted, test = same(df)
@@ -150,10 +152,11 @@ def _closed(closed: DataFrame | None, triples: DataFrame, rules: str, recognised
         if keys:
             fixed = data.select("g").distinct().crossJoin(F.broadcast(fixed))
     with dealt(spark, size):
-        whole, other = distinct_runs(data, columns)
+        whole, other = distinct_runs(data, columns) if size > LITTLE else (None, data.distinct())
         if other is not None:
-            delta = materialize(whole.unionByName(other), "graph")
-            discard(data)
+            delta = materialize(other if whole is None else whole.unionByName(other), "graph")
+            if size > LITTLE:
+                discard(data)
         if rules != "simple":
             delta = delta.unionByName(materialize(_without(materialize(fixed.distinct(), "axioms"), delta), "axioms"))
     if closed is not None:
@@ -240,11 +243,12 @@ def _closed(closed: DataFrame | None, triples: DataFrame, rules: str, recognised
         # each triple has three terms to speak of
         with dealt(spark, 3 * size):
             raw = materialize(reduce(DataFrame.unionByName, [f.select(*columns) for f in found]), "made")
-        with dealt(spark, raw.count() + size):
-            made, other = distinct_runs(raw, columns)
+        count = raw.count()
+        with dealt(spark, count + size):
+            made, other = distinct_runs(raw, columns) if count > LITTLE else (raw.distinct(), None)
             other = None if other is None else materialize(other, "made")
             delta = materialize(_without(made if other is None else made.unionByName(other), now), "inferred")
-        for df in (raw, other):
+        for df in (raw, other) if count > LITTLE else ():
             if df is not None:
                 discard(df)
         added.append(delta)
